@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from conefix.llm import decontaminate, packing, simhash
+from conefix.llm import decontaminate, packing, secret_scan, simhash, toxicity
 from conefix.llm.queries import tokenizer_path
 from conefix.session import Scratch, read_table
 
@@ -12,6 +12,12 @@ from conefix.session import Scratch, read_table
 SKETCH = simhash.scheme_for(0.8)
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model of the labelled documents does not call toxic."""
+    model = toxicity.learn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return toxicity.reject(docs, model)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id."""
     return simhash.keep_first(docs, SKETCH)
@@ -22,12 +28,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced by their kind."""
+    return secret_scan.redact(docs, secret_scan.train(secret_scan.example_findings(spark)))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packed)]
+STAGES = [
+    ("toxicity", toxic_documents),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secrets),
+    ("packing", packed),
+]
 
 #: Fingerprint votes and token ids are beyond SQL.
 ORACLE_SQL = None
