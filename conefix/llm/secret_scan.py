@@ -49,8 +49,8 @@ DICTIONARY = (
     "the and for not you are was all new one two three four five six seven eight nine zero north south east west time date year month week day hour"
 ).split()
 _DICTIONARY = "(?i)" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
-_NEAR_SECRET = r"(?i)pass|pwd|secret|token|credential|\bkey|api|auth|bearer|aws|login|private"
-_NEAR_OTHER = r"(?i)example|sample|dummy|placeholder|commit|sha-?1|sha-?256|md5|checksum|digest|hash|uuid|guid|etag|revision|version|build|integrity|fingerprint|url|href|path|file|image|font"
+_NEAR_SECRET = r"(?i)\b(?:pass|pwd|secret|token|credential|key|api|access|auth|bearer|aws|login|private|client)"
+_NEAR_OTHER = r"(?i)\b(?:example|sample|dummy|placeholder|commit|sha-?1|sha-?256|md5|checksum|digest|hash|uuid|guid|etag|revision|version|build|integrity|fingerprint|url|href|path|file|image|font)\b"
 _PATH_TEST = r"(?i)(?:^|[/_.-])(?:tests?|specs?|examples?|samples?|fixtures?|docs?|mocks?|demos?|readme|changelog|vendor|node_modules|lock)(?:[/_.-]|$)"
 _PATH_CONFIG = r"(?i)\.(?:env|ini|cfg|conf|toml|properties|pem|key|tfvars|ya?ml)$|(?:^|/)(?:config|settings|secrets?|credentials?|deploy|prod)(?:[/_.-]|$)"
 
@@ -66,7 +66,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
     classes = _count(value, "(?<=[a-z])(?=[0-9A-Z])|(?<=[A-Z])(?=[0-9a-z])|(?<=[0-9])(?=[A-Za-z])")
     sounds = _count(value, "(?i)(?<=[aeiou])(?=[bcdfghjklmnpqrstvwxyz])|(?<=[bcdfghjklmnpqrstvwxyz])(?=[aeiou])")
     spelled = F.char_length(value) - F.char_length(F.regexp_replace(value, _DICTIONARY, ""))
-    around = F.concat_ws(" ", before, after)
+    around = F.concat_ws(" ", F.right(before, F.lit(24)), F.left(after, F.lit(8)))
     return {
         "length": n,
         "class_turns": classes / n,

@@ -41,6 +41,10 @@ CANDIDATES = 100_000
 LENGTHS = range(4, 11)
 #: How much more frequent in toxic rows a term has to be.
 RATIO = 20.0
+#: Least log-likelihood ratio of a term, so that words that few texts hold by chance are not learned.
+EVIDENCE = 20.0
+#: Share of its texts that a longer beginning must keep to stand for a shorter one.
+SHARED = 0.9
 #: Terms of a learned lexicon.
 LEXICON = 4_000
 
@@ -183,8 +187,23 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     other = {r["term"]: r["n"] for r in counted(0, set(common)).collect()}
     ratio = {t: (n + 0.5) / (toxic + 1) / ((other.get(t, 0) + 0.5) / (clean + 1)) for t, n in common.items()}
     weights = {fold(w).strip(): 3.0 for w in SEEDS}
-    for term in sorted((t for t in ratio if ratio[t] >= RATIO), key=lambda t: (len(t), -ratio[t], t))[: 4 * LEXICON]:
+    following: dict[str, str] = {}
+    for term in common:
+        held = following.get(term[:-1])
+        if held is None or (common[term], held) > (common[held], term):
+            following[term[:-1]] = term
+
+    def evidence(term: str) -> float:
+        a, b = common[term], other.get(term, 0)
+        rate = (a + b) / (toxic + clean)
+        cells = ((a, toxic * rate), (b, clean * rate), (toxic - a, toxic * (1 - rate)), (clean - b, clean * (1 - rate)))
+        return 2 * sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0)
+
+    for term in sorted((t for t in ratio if ratio[t] >= RATIO and evidence(t) >= EVIDENCE), key=lambda t: (len(t), -ratio[t], t))[: 4 * LEXICON]:
         if len(weights) < LEXICON and not any(term[:n] in weights and term != term[:n] for n in range(3, len(term))):
+            # The longest beginning that nearly all of its texts share, so that other words are not taken in.
+            while (longer := following.get(term)) and common[longer] >= SHARED * common[term]:
+                term = longer
             weights[term] = min(8.0, math.log(ratio[term]))
     model = Model(weights)
 
