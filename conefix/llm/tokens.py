@@ -12,7 +12,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +20,10 @@ from conefix.llm.arrow import slices, values
 
 #: UTF-8 bytes of text in one call of the library.
 BATCH_BYTES = 1 << 20
-#: Characters above which a text is split before encoding.
-LONG_CHARS = 1 << 16
+#: Pieces whose counts a worker remembers, and the longest of them in bytes.
+KNOWN_PIECES = 400_000
+KNOWN_BYTES = 64
 
-#: A blank before an ASCII letter. No rule of the word tokenizer reaches over it: blanks are dropped, and neither
-#: normal forms, case rules, word patterns nor special strings join a blank with the letter that follows it.
-_SAFE = re.compile(r"[ \t\r\n](?=[A-Za-z])")
 #: What the fast encoder is used for; other texts go to the reference library, whose tables of letters are its own.
 _PLAIN = re.compile(r"[^\x00-ɏ‐-‧€]")
 _END = "<|endoftext|>"
@@ -41,28 +38,46 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def split_long(text: str, limit: int = LONG_CHARS) -> list[str]:
-    """Pieces of about ``limit`` characters, cut only where the token count cannot change."""
-    out, start = [], 0
-    while len(text) - start > limit:
-        cut = _SAFE.search(text, start + limit)
-        if not cut:
-            break
-        out.append(text[start : cut.end()])
-        start = cut.end()
-    out.append(text[start:])
-    return out
+def pieces_of(text: bytes) -> list[bytes]:
+    """A text cut at ASCII white space, the boundaries that no token of the word tokenizer reaches over.
+
+    It drops white space, and neither its normal forms, case rules and word
+    patterns nor its special strings join what white space separates, so the counts
+    of the pieces add up to that of the text, however long it is.
+    """
+    return text.split()
 
 
-def counts(texts: list[str], path: str) -> list[int]:
-    """Token counts of texts, long ones in pieces."""
-    pieces, owner = [], []
-    for i, text in enumerate(texts):
-        for piece in split_long(text) if len(text) > LONG_CHARS else [text]:
-            pieces.append(piece)
-            owner.append(i)
-    encoded = load(path).encode_batch_fast(pieces, add_special_tokens=False)
-    return np.bincount(owner, weights=[len(e) for e in encoded], minlength=len(texts)).astype(np.int64).tolist()
+@lru_cache(maxsize=2)
+def _known(path: str) -> dict[bytes, int]:
+    return {}
+
+
+def _encode(pieces: list[bytes], path: str) -> list[int]:
+    """Token counts of pieces, in calls of about BATCH_BYTES each."""
+    out, start, held = [], 0, 0
+    for i, piece in enumerate(pieces):
+        if held > BATCH_BYTES:
+            out += [len(e) for e in load(path).encode_batch_fast([p.decode() for p in pieces[start:i]], add_special_tokens=False)]
+            start, held = i, 0
+        held += len(piece) + 16
+    return out + [len(e) for e in load(path).encode_batch_fast([p.decode() for p in pieces[start:]], add_special_tokens=False)]
+
+
+def counts(texts: list[bytes], path: str) -> list[int]:
+    """Token counts of UTF-8 texts. Each distinct piece of a batch is encoded once, and short ones are remembered."""
+    known = _known(path)
+    if len(known) > KNOWN_PIECES:
+        known.clear()
+    split = [pieces_of(t) for t in texts]
+    new = list({p for pieces in split for p in pieces}.difference(known))
+    found = dict(zip(new, _encode(new, path), strict=True))
+    known.update(found)
+    out = [sum(map(known.__getitem__, pieces)) for pieces in split]
+    for piece in new:
+        if len(piece) > KNOWN_BYTES:
+            del known[piece]
+    return out
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,7 +87,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 raw = values(batch, "text")
-                found = counts([t.decode() for t in raw], path)
+                found = counts(raw, path)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(found, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
