@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conefix.llm.arrow import slices, values
+from conefix.llm.arrow import slices, small_batches, values
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows one broadcast may hold.
@@ -130,6 +130,7 @@ def _chunks(benchmark: DataFrame, item: str, text: str) -> Iterator[Grams]:
 
 def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", carry: bool = False) -> DataFrame:
     """``(doc_id, [text,] n_words, marks, items)``: marks has a bit for each word (null: none is hit), items the item ids."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     for i, grams in enumerate(_chunks(benchmark, item, "text")):
@@ -139,6 +140,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``, a row for each document."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     chunks = list(_chunks(benchmark, item, "text"))
@@ -161,6 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are not contaminated, unchanged, in all their columns."""
+    small_batches(docs.sparkSession)
     chunks, names = list(_chunks(benchmark, "item_id", "text")), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

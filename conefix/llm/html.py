@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conefix.llm.arrow import slices, values
+from conefix.llm.arrow import slices, small_batches, values
 from conefix.session import Scratch
 
 #: A subtree is template if it occurs on so many different pages of its host, and on so large a share of them.
@@ -303,6 +303,7 @@ def templates(rows: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every page."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("html"))
     found = Scratch(pages.sparkSession, "html").save(templates(rows.select("host", "html")), "found")
 

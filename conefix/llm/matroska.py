@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conefix.llm.arrow import slices, values
+from conefix.llm.arrow import slices, small_batches, values
 from conefix.session import Scratch
 
 RATE = 8000
@@ -313,6 +313,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 raw = values(batch, "text")
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array([mux(padded(t)) for t in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 

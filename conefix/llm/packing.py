@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conefix.llm.arrow import slices, values
+from conefix.llm.arrow import slices, small_batches, values
 from conefix.llm.tokens import byte_encoder
 from conefix.session import Scratch
 
@@ -41,6 +41,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, key: str = "doc_id
                 base += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, dtype=np.int64)), pa.array(bases), batch.column("doc_id"), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], ["part", "base", "doc_id", "n", "ids"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(run, "part long, base long, doc_id long, n long, ids binary")
 

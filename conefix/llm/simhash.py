@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conefix.llm.arrow import slices, values
+from conefix.llm.arrow import slices, small_batches, values
 from conefix.llm.components import components
 from conefix.session import Scratch
 
@@ -228,6 +228,7 @@ def sketch_documents(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text:
                 out = sketches(values(batch, "text"), scheme)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in out], pa.binary())], ["doc_id", "sketch"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, sketch binary")
 
 

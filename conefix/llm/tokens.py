@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conefix.llm.arrow import slices, values
+from conefix.llm.arrow import slices, small_batches, values
 
 #: UTF-8 bytes of text in one call of the library.
 BATCH_BYTES = 1 << 20
@@ -90,6 +90,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_
                 found = counts(raw, path)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(found, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conefix.llm.arrow import slices, values
+from conefix.llm.arrow import slices, small_batches, values
 
 #: Labelled rows of each label that the fit reads at most (those with the least hash of their doc_id).
 FIT_ROWS = 8_000
@@ -234,6 +234,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 found = [model.score(t.decode()) for t in values(batch, "text")]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -241,6 +242,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that the model does not call toxic, in all their columns."""
+    small_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

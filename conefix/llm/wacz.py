@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conefix.llm.arrow import slices
+from conefix.llm.arrow import slices, small_batches
 from conefix.session import Scratch
 
 REVISIT_BYTES = 100
@@ -283,6 +283,7 @@ def _packer(limit: int):
 
 def write_packages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", limit: int = PACKAGE_BYTES) -> DataFrame:
     """``(package, n_records, content)``: every page as a record of some ZIP package."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     revisits = first_pages(rows).withColumnsRenamed({"page_id": "r_page", "digest": "r_digest"})
     digested = rows.withColumn("digest", F.sha2("payload", 256))
