@@ -27,7 +27,7 @@ TREES, DEPTH, SEED = 24, 8, 17
 NEAR = 48
 
 _ASSIGNED = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|client)[_-]?(?:key|secret|token))[\"']?[ \t]{0,3}(?::|=|=>|:=)[ \t]{0,3}[\"']?[^\s\"'<>,;]{6,200}"
-#: Candidates by kind; the first that fits gives the kind.
+#: Candidates by kind. A value after a name like password has the kind of its own form, where it has one.
 KINDS = {
     "aws_access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36,255}",
@@ -101,11 +101,12 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         at = F.instr(F.col("text"), match) + F.char_length(lead)
         low = F.greatest(at - NEAR, F.lit(1))
         size = F.char_length(value)
-        kind = F.lit(None).cast("string")
-        for name, pattern in reversed(KINDS.items()):
-            kind = F.when(match.rlike(rf"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
+        kind = F.when(F.char_length(lead) > 0, "assigned").when(match.startswith("-----BEGIN"), "private_key").otherwise("generic")
+        for name, pattern in KINDS.items():
+            if name not in ("assigned", "generic"):
+                kind = F.when(value.rlike(rf"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
         return F.struct(
-            F.coalesce(kind, F.when(match.startswith("-----BEGIN"), F.lit("private_key")), F.lit("generic")).alias("kind"),
+            kind.alias("kind"),
             value.alias("value"),
             F.substring(F.col("text"), low, at - low).alias("before"),
             F.substring(F.col("text"), at + size, F.lit(NEAR)).alias("after"),
