@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conefix.functions import nullness
 from conefix.functions.interval import Itv, in_bounds
 from conefix.operators import analytics, edits, graph, states
+from conefix.plans import examples
 from conefix.session import read_table
 from conefix.sources import facts
 
@@ -342,11 +343,11 @@ def natural_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE {_TRADE}, a AS (SELECT 1 AS node UNION SELECT dst FROM a JOIN edges ON edges.src = a.node WHERE a.node <> 7), b AS (SELECT 7 AS node UNION SELECT src FROM b JOIN edges ON edges.dst = b.node)
-SELECT src, dst FROM edges WHERE src IN (SELECT node FROM a) AND src <> 7 AND dst IN (SELECT node FROM b)
+WITH RECURSIVE {_TRADE}, a AS (SELECT 22 AS node UNION SELECT dst FROM a JOIN edges ON edges.src = a.node WHERE a.node <> 17), b AS (SELECT 17 AS node UNION SELECT src FROM b JOIN edges ON edges.dst = b.node)
+SELECT src, dst FROM edges WHERE src IN (SELECT node FROM a) AND src <> 17 AND dst IN (SELECT node FROM b)
 """)
 def region_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.region(trade(spark, sf_dir), 1, 7)
+    return graph.region(trade(spark, sf_dir), 22, 17)
 
 
 @query(f"WITH RECURSIVE {_TRADE}, r AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 1 UNION SELECT src FROM r JOIN edges ON edges.dst = r.node) SELECT node FROM r")
@@ -454,3 +455,16 @@ SELECT t.program, t.event_type, round(100 * t.total / b.total, 6) AS percent FRO
 def pct_of_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = read_table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("program"), "event_type", "value")
     return analytics.percent_of(log, "program", "event_type", "view", "value").select("program", "event_type", F.round("percent", 6).alias("percent"))
+
+
+# --- program analysis --------------------------------------------------------
+
+
+def _bound(value: float | None) -> str:
+    return "NULL::DOUBLE" if value is None else f"{value!r}::DOUBLE"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{v}', {_bound(a)}, {_bound(b)})" for p, v, a, b in examples.EXITS if (a, b) != (None, None)) + ") t(program, variable, lo, hi)")
+def program_exit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Java sources to exit states: parsing, contexts, calls, loops and widening, by demand."""
+    return examples.exit_states(spark)
