@@ -18,7 +18,6 @@ pages whose url has no host share the empty host; repeated rows give repeated ro
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -278,8 +277,7 @@ def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for batch in slices(whole, "html"):
             hosts, pages, hashes = [], [], []
-            for host, raw in zip(batch.column("host").to_pylist(), values(batch, "html"), strict=True):
-                page = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+            for host, page, raw in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), values(batch, "html"), strict=True):
                 for h in subtrees(parse(raw.decode("utf-8", "replace"))) | {0}:  # 0 counts the pages
                     hosts.append(host)
                     pages.append(page)
@@ -288,7 +286,7 @@ def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """``(host, page, hashes)``: for pages with template subtrees, which; page is a hash of the whole html."""
+    """``rows(host, page, html)`` -> ``(host, page, hashes)``: for pages with template subtrees, which; page is a hash of the whole html."""
     scratch = Scratch(rows.sparkSession, "html")
     seen = scratch.save(rows.mapInArrow(_subtree_rows, "host string, page long, hash long").distinct(), "subtrees")
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n"))
@@ -305,12 +303,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """``(page_id, url, text, n_chars)`` for every page."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("html"))
-    found = Scratch(pages.sparkSession, "html").save(templates(rows.select("host", "html")), "found")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True) for raw in values(batch, "html")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "page"])
+    rows = rows.withColumn("page", F.xxhash64("html"))
+    found = Scratch(pages.sparkSession, "html").save(templates(rows.select("host", "page", "html")), "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -320,5 +314,5 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    marked = rows.mapInArrow(keyed, f"page_id {kind}, url string, host string, html binary, page long").join(found, ["host", "page"], "left")
+    marked = rows.join(found, ["host", "page"], "left")
     return marked.select("page_id", "url", "html", "hashes").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
