@@ -60,4 +60,4 @@ def percent_of(log: DataFrame, program: str, mode: str, base: str, ms: str = "ms
 
 def shown_percent(value: Column) -> Column:
     """A percentage as tables print it."""
-    return F.when(value < 0.01, "<0.01").when(value < 0.1, "<0.1").otherwise(F.format_string("%.1f", value))
+    return F.when(value.isNull(), "").when(value < 0.01, "<0.01").when(value < 0.1, "<0.1").otherwise(F.format_string("%.1f", value))

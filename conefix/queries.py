@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from conefix.functions import nullness
 from conefix.functions.interval import Itv, in_bounds
-from conefix.operators import analytics, edits, graph, states
-from conefix.plans import examples
+from conefix.operators import analytics, edits, graph, states, textdiff
+from conefix.plans import examples, workload
 from conefix.session import read_table
-from conefix.sources import facts
+from conefix.sources import facts, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -468,3 +468,34 @@ def _bound(value: float | None) -> str:
 def program_exit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Java sources to exit states: parsing, contexts, calls, loops and widening, by demand."""
     return examples.exit_states(spark)
+
+
+# --- tables and diffs --------------------------------------------------------
+
+
+@query("""
+WITH t AS (SELECT user_id, """ + ", ".join(f"avg(value) FILTER (event_type = '{m}') AS {m}" for m in MODES) + """ FROM events GROUP BY user_id),
+r AS (SELECT CAST(user_id AS VARCHAR) AS program, * EXCLUDE user_id FROM t UNION ALL SELECT 'average', """ + ", ".join(f"avg({m})" for m in MODES) + """ FROM t)
+SELECT program, """ + " || ".join(f"CASE WHEN {m} IS NULL THEN 'open' WHEN {m} < 0.1 THEN 'small' ELSE 'shown' END" for m in MODES) + """ AS shape, program = 'average' AS is_last FROM r
+""")
+def latex_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table by program and mode with its average row; the shape of its cells, as digits are printed differently elsewhere."""
+    means = analytics.mode_table(read_table(spark, sf_dir, "events").select("user_id", "event_type", "value"), "user_id", "event_type", MODES, "value")
+    rows = sinks.latex_rows(means.withColumn("program", F.col("user_id").cast("string")), "program", MODES)
+    cells = F.slice(F.split(F.regexp_replace("line", r" \\\\$", ""), " & "), 2, len(MODES))
+    shape = F.array_join(F.transform(cells, lambda c: F.when(c == "--", "open").when(c == "$<$0.1", "small").otherwise("shown")), "")
+    return rows.select("program", shape.alias("shape"), (F.col("last") == 1).alias("is_last"))
+
+
+@query(None)
+def text_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hunks between each document and the next one, by unique common lines."""
+    docs = read_table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).alias("side"), F.floor(F.col("doc_id") / 2).cast("string").alias("path"), "text")
+    found = textdiff.diff(docs.where("side = 0"), docs.where("side = 1"))
+    return found.select("path", "prev_start", "prev_len", "next_start", F.size("new_lines").alias("next_len"))
+
+
+@query(None)
+def workload_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded random workload of a thousand edits."""
+    return workload.edits(spark, 1000, 7)
