@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,27 @@ def build_session(master: str = "local[*]", partitions: int = 8, **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application.
+
+    Nothing is sent where workers find it anyway: by PYTHONPATH, or in the folder the driver runs in.
+    """
+    root = Path(__file__).resolve().parent.parent
+    found = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if root in found or Path.cwd() == root or context.applicationId in ship.done:
+        return
+    target = Path(tempfile.mkdtemp(prefix="conefix-")) / "conefix.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as file:
+        for source in sorted((root / "conefix").rglob("*.py")):
+            file.write(source, source.relative_to(root))
+    context.addPyFile(str(target))
+    ship.done.add(context.applicationId)
+
+
+ship.done = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -49,6 +73,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._delete, self.root)
@@ -70,4 +95,5 @@ class Scratch:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

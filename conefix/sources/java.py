@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from conefix.session import ship
+
 _TOKEN = re.compile(
     r"\s+|//[^\n]*|/\*.*?\*/|(?P<num>0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?|\d[\d_]*(?:\.\d*)?(?:[eE][+-]?\d+)?[lLfFdD]?)|(?P<str>\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|(?P<id>[A-Za-z_$][\w$]*)"
     r"|(?P<op>>>>=|<<=|>>=|>>>|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|->|::|\.\.\.|<<|[-+*/%=<>!~?:;,.(){}\[\]&|^@])",
@@ -714,6 +716,7 @@ def parse_sources(files: DataFrame) -> DataFrame:
                 rows += [(path, "unsupported", json.dumps({"fn": f, "form": x})) for f, x in p.unsupported]
             yield pd.DataFrame(rows, columns=["path", "kind", "data"])
 
+    ship(files.sparkSession)
     return files.select("path", "text").mapInPandas(run, "path string, kind string, data string")
 
 
