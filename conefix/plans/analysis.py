@@ -1,4 +1,4 @@
-"""Demand-driven interval analysis over the facts of many programs.
+"""Demand-driven analysis over the facts of many programs.
 
 A cell is the state at a location of a method under an entry state (its context).
 The driver holds only the loop: each round solves the demanded (method, context)
@@ -7,8 +7,14 @@ met, and marks callers of changed exits for the next round. A method's graph is
 and its fixpoint sequential, so a group solves it by a work list with widening at loop
 heads. Rounds follow the depth of calls, not the number of methods.
 
-States are JSON objects of variable to [lo, hi]; a missing variable is unconstrained
-and a null state is unreachable. Contexts are digests of method and entry state.
+The domain is a parameter: intervals (here), nullness or octagons (``domains.py``).
+Interval states are JSON objects of variable to [lo, hi]; a missing variable is
+unconstrained and a null state is unreachable. Contexts are digests of method and entry
+state. Location 1 holds the state at the return, 2 that at an exception's way out.
+
+A field or array cell written through one variable may be that of another: every field of
+the same name takes the new value in as well. A callee sees the receiver's fields as those
+of ``this``, static fields, and one variable ``~.f`` for field f of all other objects.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ import hashlib
 import json
 import math
 from collections import defaultdict
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +32,7 @@ from pyspark.sql import functions as F
 
 from conefix.functions.interval import FLIPPED, NEGATED, STRICT
 from conefix.session import Scratch
-from conefix.sources.java import RET
+from conefix.sources.java import EXC, RET
 
 #: Rounds of demand, and visits of a location, after which the analysis gives up.
 MAX_ROUNDS = 100
@@ -33,6 +41,8 @@ MAX_VISITS = 200
 JOINED = 1
 #: Rounds after which exits are widened even where no recursion is seen, so that every analysis ends.
 LATE = 40
+#: Cells of an array that one read looks through; beyond, the value is open.
+MAX_CELLS = 64
 INF = math.inf
 TOP = (-INF, INF)
 #: Library methods that change nothing (fixed values).
@@ -41,8 +51,8 @@ NO_EFFECT = frozenset("println print printf format equals hashCode toString".spl
 State = dict
 
 
-def context(fn: str, entry: State) -> str:
-    return hashlib.sha256(f"{fn}|{dump(entry)}".encode()).hexdigest()
+def context_of(fn: str, entry: str) -> str:
+    return hashlib.sha256(f"{fn}|{entry}".encode()).hexdigest()
 
 
 def dump(state: State | None) -> str | None:
@@ -85,6 +95,11 @@ def evaluate(e: list, s: State) -> tuple[float, float]:
         if e[1] == "!":
             return (0.0, 0.0) if lo > 0 or hi < 0 else (1.0, 1.0) if lo == hi == 0 else (0.0, 1.0)
         return (lo, hi) if e[1] == "+" else TOP
+    if tag == "len":
+        lo, hi = s.get(f"{e[1]}.#len", s.get(f"{e[1]}.length", TOP))
+        return (max(lo, 0.0), hi) if f"{e[1]}.length" not in s else (lo, hi)
+    if tag == "cell":
+        return cell(s, e[1], evaluate(e[2], s))
     if tag != "bin":
         return TOP
     op, a, b = e[1], evaluate(e[2], s), evaluate(e[3], s)
@@ -144,10 +159,37 @@ def refine(e: list, s: State, truth: bool) -> State | None:
     return None if lo > 0 or hi < 0 else s | ({e[1]: (0.0, 0.0)} if e[0] == "var" else {})
 
 
+def cell(s: State, arr: str, index: tuple[float, float]) -> tuple[float, float]:
+    """All cells that the index may mean, open unless each of them is known."""
+    lo, hi = index
+    if not 0 <= hi - lo <= MAX_CELLS:
+        return TOP
+    found = [s.get(f"{arr}.#{i}", TOP) for i in range(math.ceil(lo), math.floor(hi) + 1)]
+    return (min(v[0] for v in found), max(v[1] for v in found)) if found else TOP
+
+
+def store(stmt: dict, s: State) -> State:
+    """Every known cell whose index fits takes the value in; one cell of this array by a known index is replaced."""
+    (lo, hi), value, out = evaluate(stmt["index"], s), evaluate(stmt["e"], s), dict(s)
+    for name, old in s.items():
+        i = name.rpartition(".#")[2] if ".#" in name else ""
+        if i.isdigit() and lo <= int(i) <= hi:
+            out[name] = (min(old[0], value[0]), max(old[1], value[1]))
+    if lo == hi and lo >= 0:
+        out[f"{stmt['arr']}.#{int(lo)}"] = value
+    return {k: v for k, v in out.items() if v != TOP}
+
+
 def is_field(name: str) -> bool:
     return "." in name
 
 
+def is_static(name: str) -> bool:
+    """Whether a variable is a static field, by the capital of its class."""
+    owner = name.rpartition(".")[0]
+    return bool(owner) and owner.split(".")[-1].split("$")[-1][:1].isupper()
+
+
 def bind_call(stmt: dict, s: State, formals: list[str], varargs: bool) -> State:
     """The callee's entry state: formals, fields of the receiver as ``this``, and static fields."""
     args, n = stmt["args"], len(formals)
@@ -155,26 +197,54 @@ def bind_call(stmt: dict, s: State, formals: list[str], varargs: bool) -> State:
     for i, name in enumerate(formals):
         if i < len(args) and not (varargs and i == n - 1):
             entry[name] = evaluate(args[i], s)
+            if args[i][0] == "var" and f"{args[i][1]}.#len" in s:
+                entry[f"{name}.#len"] = s[f"{args[i][1]}.#len"]
     for name, value in s.items():
         owner, _, field = name.rpartition(".")
         if owner and owner == stmt["rcvr"]:
             entry[f"this.{field}"] = value
-        elif owner and owner.split(".")[-1][:1].isupper():
+        elif is_static(name):
             entry[name] = value
+    entry |= frame(s, stmt["rcvr"], lambda a, b: (min(a[0], b[0]), max(a[1], b[1])))
     return {k: v for k, v in entry.items() if tuple(v) != TOP}
 
 
-def bind_return(stmt: dict, s: State, exit_state: State) -> State:
+def frame(s: dict, rcvr: str | None, merge: Callable) -> dict:
+    """Each field of objects other than the receiver, as one variable for all of them."""
+    out: dict = {}
+    for name, value in s.items():
+        owner, _, field = name.rpartition(".")
+        if owner and owner != rcvr and not is_static(name) and field != "#len":
+            out[f"~.{field}"] = merge(out[f"~.{field}"], value) if f"~.{field}" in out else value
+    return out
+
+
+def unframed(s: dict, rcvr: str | None, exit_state: dict) -> dict:
+    """The caller's variables after a call, without the receiver's and static fields: other fields are what the frame says."""
+    out = {}
+    for name, value in s.items():
+        owner, _, field = name.rpartition(".")
+        if not owner or field == "#len":
+            out[name] = value
+        elif owner != rcvr and not is_static(name) and f"~.{field}" in exit_state:
+            out[name] = exit_state[f"~.{field}"]
+    return out
+
+
+def bind_return(stmt: dict, s: State, exit_state: State, lhs: str | None, result: str) -> State:
     """The caller's state after the call: result, the receiver's fields and static fields from the callee."""
     rcvr = stmt["rcvr"]
-    out = {k: v for k, v in s.items() if not is_field(k) or k.rpartition(".")[0] != rcvr and not k.rpartition(".")[0].split(".")[-1][:1].isupper()}
+    out = unframed(s, rcvr, exit_state)
     for name, value in exit_state.items():
         owner, _, field = name.rpartition(".")
         if owner == "this" and rcvr:
             out[f"{rcvr}.{field}"] = value
-        elif owner and owner.split(".")[-1][:1].isupper():
+        elif is_static(name):
             out[name] = value
-    return assigned(out, stmt["lhs"], exit_state.get(RET, TOP))
+    out = assigned(out, lhs, exit_state.get(result, TOP))
+    if lhs is not None and f"{result}.#len" in exit_state:
+        out[f"{lhs}.#len"] = exit_state[f"{result}.#len"]
+    return out
 
 
 def assigned(s: State, name: str | None, value: tuple[float, float]) -> State:
@@ -186,18 +256,62 @@ def assigned(s: State, name: str | None, value: tuple[float, float]) -> State:
     return out
 
 
+def aliased(s: State, name: str, value: tuple[float, float]) -> State:
+    """A field was written: fields of that name of other variables may be the same one."""
+    if not is_field(name) or is_static(name) or name.endswith(".#len"):
+        return s
+    end = f".{name.rpartition('.')[2]}"
+    out = {k: (min(v[0], value[0]), max(v[1], value[1])) if k.endswith(end) and k != name and not is_static(k) else v for k, v in s.items()}
+    return {k: v for k, v in out.items() if v != TOP}
+
+
 def copied(s: State, name: str, e: list) -> State:
     """Assignment; fields known of the copied variable are known of the new one."""
-    out = assigned(s, name, evaluate(e, s))
+    value = evaluate(e, s)
+    out = aliased(assigned(s, name, value), name, value)
     if e[0] == "var":
         out |= {f"{name}.{k[len(e[1]) + 1 :]}": v for k, v in s.items() if k.startswith(f"{e[1]}.") and not k.startswith(f"{name}.")}
     return out
 
 
-def unknown_call(stmt: dict, s: State) -> State:
-    """No source: the result is open, and so are the receiver's fields unless the method is known to change nothing."""
-    out = s if stmt["name"] in NO_EFFECT or not stmt["rcvr"] else {k: v for k, v in s.items() if not k.startswith(f"{stmt['rcvr']}.")}
-    return assigned(out, stmt["lhs"], TOP)
+def unknown_call(stmt: dict, s: State, lhs: str | None) -> State | None:
+    """No source: result, fields and static fields are open unless the method is known to change and throw nothing."""
+    quiet = stmt["name"] in NO_EFFECT
+    if quiet and stmt["k"] == "xcall":
+        return None
+    return assigned(s if quiet else {k: v for k, v in s.items() if not is_field(k) or k.endswith(".#len")}, lhs, TOP)
+
+
+def step(stmt: dict, s: State) -> State | None:
+    """The state behind a statement that is no call; None where control does not come."""
+    if stmt["k"] == "assign":
+        return copied(s, stmt["lhs"], stmt["e"])
+    if stmt["k"] == "assume":
+        return refine(stmt["e"], s, True)
+    return store(stmt, s) if stmt["k"] == "store" else s
+
+
+@dataclass(frozen=True)
+class Domain:
+    """What the engine asks of abstract states; None is bottom for all of them, ``{}`` the open entry state's text."""
+
+    dump: Callable
+    load: Callable
+    join: Callable
+    widen: Callable
+    step: Callable
+    bind_call: Callable
+    bind_return: Callable
+    unknown_call: Callable
+
+
+INTERVALS = Domain(dump, load, join, widen, step, bind_call, bind_return, unknown_call)
+
+
+def domain_named(name: str) -> Domain:
+    from conefix.plans import domains
+
+    return {"interval": INTERVALS, "nullness": domains.NULLNESS, "octagon": domains.OCTAGONS}[name]
 
 
 def loop_heads(follow: dict[int, list]) -> set[int]:
@@ -218,11 +332,13 @@ def loop_heads(follow: dict[int, list]) -> set[int]:
     return heads
 
 
-def solve(fn: str, edges: list[tuple[int, int, dict]], entry: State, callees: dict[int, list[dict]], exits: dict[str, State | None]) -> tuple[dict[int, State], list[tuple[str, str, str]]]:
+def solve(
+    fn: str, edges: list[tuple[int, int, dict]], entry: State, callees: dict[int, list[dict]], exits: dict[str, tuple[State | None, State | None]], d: Domain = INTERVALS
+) -> tuple[dict[int, State], list[tuple[str, str, str]]]:
     """All cells of a method under an entry state, and the callee contexts it met.
 
-    ``callees``: by the position of a call among the edges. ``exits``: known exit states
-    by context; a context that is not there is asked for and unreachable for now.
+    ``callees``: by the position of a call among the edges. ``exits``: known states at return
+    and exception by context; a context that is not there is asked for and unreachable for now.
     """
     follow: dict[int, list] = defaultdict(list)
     for i, (src, dst, stmt) in enumerate(edges):
@@ -237,41 +353,43 @@ def solve(fn: str, edges: list[tuple[int, int, dict]], entry: State, callees: di
         src = work.pop(0)
         for dst, i in follow.get(src, ()):
             stmt, s = edges[i][2], cells[src]
-            if stmt["k"] == "assign":
-                out = copied(s, stmt["lhs"], stmt["e"])
-            elif stmt["k"] == "assume":
-                out = refine(stmt["e"], s, True)
-            elif stmt["k"] == "call":
-                out = None if callees.get(i) else unknown_call(stmt, s)
+            if stmt["k"] in ("call", "xcall"):
+                thrown = stmt["k"] == "xcall"
+                lhs, result = (EXC, EXC) if thrown else (stmt["lhs"], RET)
+                out = None if callees.get(i) else d.unknown_call(stmt, s, lhs)
                 for c in callees.get(i, ()):
-                    inner = bind_call(stmt, s, c["formals"], c["varargs"])
+                    inner = d.bind_call(stmt, s, c["formals"], c["varargs"])
+                    if inner is None:
+                        continue
                     if c["fn"] == fn:
-                        inner = widen(entry, join(entry, inner)) or {}
+                        inner = d.widen(entry, d.join(entry, inner))
                     elif c["mutual"]:
-                        inner = {}
-                    ctx = context(c["fn"], inner)
-                    asked[ctx] = (ctx, c["fn"], dump(inner))
-                    if exits.get(ctx) is not None:
-                        out = join(out, bind_return(stmt, s, exits[ctx]))
+                        inner = d.load("{}")
+                    text = d.dump(inner)
+                    ctx = context_of(c["fn"], text)
+                    asked[ctx] = (ctx, c["fn"], text)
+                    left = exits.get(ctx, (None, None))[thrown]
+                    if left is not None:
+                        out = d.join(out, d.bind_return(stmt, s, left, lhs, result))
             else:
-                out = s
+                out = d.step(stmt, s)
             if out is None:
                 continue
             incoming[dst][i] = out
             merged = None
             for one in incoming[dst].values():
-                merged = join(merged, one)
+                merged = d.join(merged, one)
             if dst == 0:
-                merged = join(entry, merged)
+                merged = d.join(entry, merged)
             old = cells.get(dst)
             if old is not None:
-                merged = join(old, merged)
+                merged = d.join(old, merged)
                 visits[dst] += 1
                 if dst in heads and visits[dst] > JOINED:
-                    merged = widen(old, merged)
+                    merged = d.widen(old, merged)
                 if visits[dst] > MAX_VISITS:
                     raise RuntimeError(f"{fn}: location {dst} does not settle")
-            if old is None or dump(old) != dump(merged):
+            if old is None or d.dump(old) != d.dump(merged):
                 cells[dst] = merged
                 if dst not in work:
                     work.append(dst)
@@ -284,7 +402,7 @@ def call_targets(edges: DataFrame, methods: DataFrame, calls: DataFrame | None =
     ``calls(program, caller, callee)`` of a call graph keeps only its pairs.
     """
     site = F.from_json("stmt", "k string, rcvr string, cls string, name string, args array<string>").alias("c")
-    sites = edges.select("program", "fn", "pos", site).where("c.k = 'call'").select("program", "fn", "pos", "c.cls", "c.name", F.size("c.args").alias("n"))
+    sites = edges.select("program", "fn", "pos", site).where("c.k IN ('call', 'xcall')").select("program", "fn", "pos", "c.cls", "c.name", F.size("c.args").alias("n"))
     m = methods.select("program", F.col("fn").alias("callee"), F.col("method_name").alias("name"), "class_name", "formals", "varargs")
     fits = (F.size("formals") == F.col("n")) | F.col("varargs") & (F.col("n") >= F.size("formals") - 1)
     last = F.element_at(F.split(F.col("class_name"), r"[.$]"), -1)
@@ -309,7 +427,7 @@ def bodies_of(edges: DataFrame, methods: DataFrame, mutual: DataFrame | None = N
     return listed.withColumn("digest", F.sha2(F.to_json("edges"), 256))
 
 
-def analyse(edges: DataFrame, methods: DataFrame, demand: DataFrame, mutual: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
+def analyse(edges: DataFrame, methods: DataFrame, demand: DataFrame, mutual: DataFrame | None = None, calls: DataFrame | None = None, domain: str = "interval") -> DataFrame:
     """Cells ``(program, fn, ctx, entry, loc, state)`` of everything the demand needs, and no more.
 
     ``edges(program, fn, src, dst, stmt)``, ``methods(program, fn, ...)``, ``demand(program, fn, entry)``
@@ -318,32 +436,42 @@ def analyse(edges: DataFrame, methods: DataFrame, demand: DataFrame, mutual: Dat
     """
     scratch = Scratch(edges.sparkSession, "analysis")
     bodies = scratch.save(bodies_of(edges, methods, mutual, calls), "bodies")
-    return cells_of(demanded(bodies, demand, scratch))
+    return cells_of(demanded(bodies, demand, scratch, domain=domain))
 
 
 def cells_of(solved: DataFrame) -> DataFrame:
     return solved.where("kind = 'cell'").select("program", "fn", "ctx", "entry", "loc", "state")
 
 
-def demanded(bodies: DataFrame, demand: DataFrame, scratch: Scratch, reuse: DataFrame | None = None, name: str = "solved") -> DataFrame:
-    """The solved table ``(program, fn, ctx, entry, kind, loc, state, asked, used)``: cells, and the contexts that each context asked for.
+def demanded(bodies: DataFrame, demand: DataFrame, scratch: Scratch, reuse: DataFrame | None = None, name: str = "solved", domain: str = "interval") -> DataFrame:
+    """The solved table ``(program, fn, ctx, entry, kind, loc, state, asked, used)``: cells, the states at return and exception as a pair, and the contexts that each context asked for.
 
     ``reuse``: an earlier solved table of which every row still holds; what the demand finds there is not computed again.
     """
 
     def run(group: pd.DataFrame, late: bool) -> pd.DataFrame:
-        rows = []
+        d, rows = domain_named(domain), []
+
+        def pair(text: str) -> tuple:
+            return tuple(None if x is None else d.load(json.dumps(x)) for x in json.loads(text))
+
         for r in group.to_dict("records"):
             raw = [json.loads(x) for x in r["edges"]]
             raw.sort(key=lambda x: (x["src"], x["dst"], x["stmt"]))
-            exits = {k: load(v) for k, v in zip(r["known"], r["states"], strict=True)}
-            cells, asked = solve(r["fn"], [(x["src"], x["dst"], json.loads(x["stmt"])) for x in raw], load(r["entry"]), {i: x["callees"] for i, x in enumerate(raw) if x.get("callees")}, exits)
-            key, old = (r["program"], r["fn"], r["ctx"], r["entry"]), load(r["old"])
+            used = dict(zip(r["known"], r["states"], strict=True))
+            exits = {k: pair(v) for k, v in used.items()}
+            cells, asked = solve(r["fn"], [(x["src"], x["dst"], json.loads(x["stmt"])) for x in raw], d.load(r["entry"]), {i: x["callees"] for i, x in enumerate(raw) if x.get("callees")}, exits, d)
+            key, old = (r["program"], r["fn"], r["ctx"], r["entry"]), r["old"]
             callees = [c for x in raw for c in x.get("callees") or ()]
-            if old is not None and (late or any(c["mutual"] for c in callees) or any(a[0] == r["ctx"] for a in asked)):
-                cells[1] = widen(old, join(old, cells.get(1)))
-            rows += [(*key, "cell", loc, dump(s), None, None) for loc, s in cells.items()]
-            rows += [(*key, "ask", None, state, f"{ctx}|{callee}", dump(exits.get(ctx))) for ctx, callee, state in asked]
+            if isinstance(old, str) and (late or any(c["mutual"] for c in callees) or any(a[0] == r["ctx"] for a in asked)):
+                for loc, state in zip((1, 2), pair(old), strict=True):
+                    if state is not None:
+                        cells[loc] = d.widen(state, d.join(state, cells.get(loc)))
+            left = [d.dump(cells.get(1)), d.dump(cells.get(2))]
+            rows += [(*key, "cell", loc, d.dump(s), None, None) for loc, s in cells.items()]
+            if left != [None, None]:
+                rows.append((*key, "exit", None, f"[{', '.join(x or 'null' for x in left)}]", None, None))
+            rows += [(*key, "ask", None, state, f"{ctx}|{callee}", used.get(ctx)) for ctx, callee, state in asked]
         return pd.DataFrame(rows, columns=["program", "fn", "ctx", "entry", "kind", "loc", "state", "asked", "used"]).astype({"loc": "Int64"})
 
     def early(group: pd.DataFrame) -> pd.DataFrame:
@@ -363,7 +491,7 @@ def demanded(bodies: DataFrame, demand: DataFrame, scratch: Scratch, reuse: Data
         if solved is None:
             inputs = todo.withColumns({"known": F.array().cast("array<string>"), "states": F.array().cast("array<string>"), "old": F.lit(None).cast("string")})
         else:
-            exits = solved.where("kind = 'cell' AND loc = 1").select("program", F.col("ctx").alias("c"), "state")
+            exits = solved.where("kind = 'exit'").select("program", F.col("ctx").alias("c"), "state")
             asks = solved.where("kind = 'ask'").select("program", "ctx", F.substring_index("asked", "|", 1).alias("c")).distinct()
             have = asks.join(exits, ["program", "c"]).groupBy("program", "ctx").agg(F.sort_array(F.collect_list(F.struct("c", "state"))).alias("h"))
             old = exits.withColumnsRenamed({"c": "ctx", "state": "old"})
@@ -379,7 +507,7 @@ def demanded(bodies: DataFrame, demand: DataFrame, scratch: Scratch, reuse: Data
         asks = solved.where("kind = 'ask'").select("program", "ctx", "fn", "entry", F.substring_index("asked", "|", 1).alias("c"), F.substring_index("asked", "|", -1).alias("callee"), "state", "used")
         new = asks.select("program", F.col("callee").alias("fn"), F.col("state").alias("entry"), F.col("c").alias("ctx")).distinct().join(solved.select("program", "ctx").distinct(), ["program", "ctx"], "left_anti")
         # A context is stale if an exit that it asked for is not the one it was solved with.
-        exits = solved.where("kind = 'cell' AND loc = 1").select("program", F.col("ctx").alias("c"), F.col("state").alias("now"))
+        exits = solved.where("kind = 'exit'").select("program", F.col("ctx").alias("c"), F.col("state").alias("now"))
         stale = asks.join(exits, ["program", "c"]).where(~F.col("now").eqNullSafe(F.col("used"))).select("program", "fn", "entry", "ctx").distinct()
         todo = scratch.save(new.select("program", "fn", "entry", "ctx").unionByName(stale).distinct(), f"{name}-todo-{turn}")
         if todo.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conefix.plans.analysis import RET, analyse
+from conefix.plans.analysis import EXC, RET, analyse
 from conefix.sources import java
 
 PROGRAMS = {
@@ -78,4 +78,4 @@ def exit_states(spark: SparkSession) -> DataFrame:
     cells = analyse(edges, methods, demand)
     rows = cells.where("loc = 1 AND fn LIKE '%#main(%' AND state IS NOT NULL").select("program", F.explode(F.from_json("state", "map<string, array<double>>", {"allowNonNumericNumbers": "true"})).alias("variable", "b"))
     finite = lambda i: F.when(~F.col("b")[i].isin(float("inf"), float("-inf")), F.col("b")[i])
-    return rows.where(~F.col("variable").startswith("$") & (F.col("variable") != RET)).select("program", "variable", finite(0).alias("lo"), finite(1).alias("hi"))
+    return rows.where(~F.col("variable").startswith("$") & ~F.col("variable").isin(RET, EXC) & ~F.col("variable").contains(".#")).select("program", "variable", finite(0).alias("lo"), finite(1).alias("hi"))

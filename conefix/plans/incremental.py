@@ -22,9 +22,9 @@ SOURCES = "program string, path string, text string"
 class Analysis:
     """``reuse`` off and ``by_demand`` off give the batch mode: every answer from scratch, for all methods."""
 
-    def __init__(self, spark: SparkSession, sources: DataFrame, reuse: bool = True):
+    def __init__(self, spark: SparkSession, sources: DataFrame, reuse: bool = True, domain: str = "interval"):
         self.spark, self.scratch, self.reuse = spark, Scratch(spark, "session"), reuse
-        self.version = 0
+        self.version, self.domain = 0, domain
         self.facts = self._save(self._parsed(sources), "facts")
         self.bodies = self._save(self._bodies(), "bodies")
         self.solved: DataFrame | None = None
@@ -53,7 +53,7 @@ class Analysis:
         if demand is None:
             demand = self.methods().select("program", "fn", F.lit("{}").alias("entry"))
         self.version += 1
-        self.solved = demanded(self.bodies, demand, self.scratch, self.solved if self.reuse else None, f"solved-{self.version}")
+        self.solved = demanded(self.bodies, demand, self.scratch, self.solved if self.reuse else None, f"solved-{self.version}", self.domain)
         return cells_of(self.solved)
 
     def edit(self, changes: DataFrame) -> int:

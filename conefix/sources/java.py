@@ -6,18 +6,25 @@ in evaluation order. Statements and expressions are JSON:
 
     {"k": "assign", "lhs": name, "e": expr}   {"k": "assume", "e": expr}   {"k": "skip"}
     {"k": "call", "lhs": name, "rcvr": name or null, "cls": class or null, "name": method, "args": [expr]}
+    {"k": "store", "arr": name, "index": expr, "e": expr}
     ["lit", number or null]   ["var", name]   ["bin", op, l, r]   ["un", op, e]   ["any"]
+    ["obj"], some object   ["len", array]   ["cell", array, index]
 
-Fields are variables named ``this.f``, ``r.f`` or ``Class.f``. Nested classes are named
-``Outer$Inner``. What the subset leaves out (lambdas, switch, try, generic methods'
-bodies with them) makes the method a row of ``unsupported`` with the form, not an error.
+A method enters at 0, returns at 1 and throws at 2. Each call has a twin, ``xcall``, to
+the handler around it, for what it throws. A finally block and the closing of resources
+are lowered once for each way out. Only calls and throw statements throw.
+
+Fields are variables named ``this.f``, ``r.f`` or ``Class.f``; an array's length is ``a.#len``
+and a cell ``a.#3``. Nested classes are named ``Outer$Inner``. What the subset leaves out
+(lambdas, anonymous classes, switch expressions) makes the method a row of ``unsupported``
+with the form, not an error.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +42,9 @@ PRIMITIVES = frozenset("int long short byte char boolean float double void".spli
 BINARY = [["||"], ["&&"], ["|"], ["^"], ["&"], ["==", "!="], ["<", ">", "<=", ">=", "instanceof"], ["<<", ">>", ">>>"], ["+", "-"], ["*", "/", "%"]]
 ASSIGNING = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>="}
 RET = "RET_VAR"
+EXC = "EXC_VAR"
+#: Types that a handler of everything names (fixed values).
+CATCH_ALL = frozenset({"Throwable", "java.lang.Throwable"})
 
 
 class Unsupported(Exception):
@@ -67,6 +77,13 @@ def number(text: str) -> float:
     return float(int(raw, 8)) if len(raw) > 1 and raw[0] == "0" and raw.isdigit() else float(raw)
 
 
+def variables(e: list) -> set[str]:
+    """Variables of an expression, array cells and lengths as dotted ones."""
+    if e[0] in ("len", "cell"):
+        return {f"{e[1]}.#"} | (variables(e[2]) if e[0] == "cell" else set())
+    return {e[1]} if e[0] == "var" else {v for part in e[2:] if isinstance(part, list) for v in variables(part)}
+
+
 class Parser:
     """One source file; ``methods`` and ``edges`` fill as it is read."""
 
@@ -190,12 +207,13 @@ class Parser:
         own = self.take()
         cls = f"{outer}${own}" if outer else f"{self.package}.{own}".lstrip(".")
         self.type_arguments()
-        if self.eat("extends"):
-            self.hierarchy.append((cls, self.type_() or ""))
+        parent = self.type_() if self.eat("extends") else None
+        if parent:
+            self.hierarchy.append((cls, parent))
         if self.eat("implements"):
             while self.peek() != "{":
                 self.take()
-        Class(self, cls).body()
+        Class(self, cls, parent).body()
 
     def source(self) -> Parser:
         self.unit()
@@ -203,10 +221,11 @@ class Parser:
 
 
 class Class:
-    def __init__(self, p: Parser, name: str):
-        self.p, self.name = p, name
+    def __init__(self, p: Parser, name: str, parent: str | None = None):
+        self.p, self.name, self.parent = p, name, parent
         self.fields: dict[str, bool] = {}
-        self.initial: list[tuple[str, int]] = []
+        #: Initial values (field, static, position) and blocks (None, static, position), in order.
+        self.initial: list[tuple[str | None, bool, int]] = []
 
     def body(self) -> None:
         p = self.p
@@ -217,7 +236,7 @@ class Class:
                 continue
             if p.peek() == "{" or p.peek() == "static" and p.peek(1) == "{":
                 static = p.eat("static")
-                members.append(("static" if static else "instance", p.at, None))
+                self.initial.append((None, static, p.at))
                 p.skip_balanced("{", "}")
                 continue
             at, mods = p.at, p.modifiers()
@@ -232,7 +251,9 @@ class Class:
             if kind == "method":
                 self.method(at, *data)
         if not any(k == "method" and d[0] == "<init>" for k, _, d in members):
-            Method(self, "<init>", False, []).run(None)
+            self.method(None, "<init>", False, [])
+        if any(static for _, static, _ in self.initial):
+            self.method(None, "<clinit>", True, [])
         p.at = end
         del start
 
@@ -256,7 +277,7 @@ class Class:
             self.fields[name] = "static" in mods
             p.fields.append((self.name, name, "static" in mods))
             if p.eat("="):
-                self.initial.append((name, p.at))
+                self.initial.append((name, "static" in mods, p.at))
                 depth = 0
                 while depth or p.peek() not in (",", ";"):
                     depth += (p.peek() in "([{") - (p.peek() in ")]}") if p.kind() == "op" else 0
@@ -282,9 +303,10 @@ class Class:
             p.eat(",")
         return found
 
-    def method(self, at: int, name: str, static: bool, formals: list[tuple[str, str]]) -> None:
+    def method(self, at: int | None, name: str, static: bool, formals: list[tuple[str, str]]) -> None:
         p, save = self.p, self.p.at
-        p.at = at
+        if at is not None:
+            p.at = at
         try:
             Method(self, name, static, formals).run(at)
         except Unsupported as form:
@@ -299,9 +321,13 @@ class Method:
         self.formals = [n for _, n in formals]
         self.id = f"{cls.name}#{name}({','.join(t.split('.')[-1] if not t.endswith('...') else t.removesuffix('...') for t, _ in formals)})"
         self.varargs = bool(formals) and formals[-1][0].endswith("...")
-        self.count, self.temps = 2, 0  # 0 is the entry, 1 the exit
+        self.count, self.temps = 3, 0  # 0 is the entry, 1 the exit, 2 the exceptional exit
         self.out: list[tuple[int, int, dict]] = []
-        self.loops: list[tuple[str | None, int, int | None]] = []
+        #: What break and continue can leave: label, place behind, place of the next turn, and whether a bare break means it.
+        self.loops: list[tuple[str | None, int, int | None, bool]] = []
+        #: Where exceptions go, and what runs on the way out: code, number of loops around it, handler around it.
+        self.handler = 2
+        self.finals: list[tuple[Callable[[int], int | None], int, int]] = []
 
     def new(self) -> int:
         self.count += 1
@@ -321,19 +347,23 @@ class Method:
 
     def run(self, at: int | None) -> None:
         loc = 0
-        if self.name == "<init>":
-            for name, start in self.c.initial:
-                if not self.c.fields[name]:
-                    self.p.at = start
-                    loc, e = self.expr(loc)
-                    loc = self.emit(loc, {"k": "assign", "lhs": f"this.{name}", "e": e})
-        if at is not None:
-            self.p.at = at
+        p = self.p
+        delegates = at is not None and [x for _, x in p.toks[at + 1 : at + 3]] == ["this", "("]
+        if self.name in ("<init>", "<clinit>") and not delegates:
+            for name, static, start in self.c.initial:
+                if static == self.static and loc is not None:
+                    p.at = start
+                    if name is None:
+                        loc = self.block(loc)
+                    else:
+                        loc, e = self.expr(loc)
+                        loc = self.emit(loc, {"k": "assign", "lhs": f"{self.c.name if static else 'this'}.{name}", "e": e})
+        if at is not None and loc is not None:
+            p.at = at
             loc = self.block(loc)
         if loc is not None:
             self.skip(loc, 1)
-        p = self.p
-        p.methods.append({"fn": self.id, "class_name": self.c.name, "method_name": self.name, "is_static": self.static, "formals": self.formals, "varargs": self.varargs, "entry": 0, "exit": 1})
+        p.methods.append({"fn": self.id, "class_name": self.c.name, "method_name": self.name, "is_static": self.static, "formals": self.formals, "varargs": self.varargs, "entry": 0, "exit": 1, "exc_exit": 2})
         p.edges += [(self.id, s, d, json.dumps(x)) for s, d, x in self.out]
 
     # --- statements: from a location to the next one, None where control does not go on ---
@@ -351,6 +381,14 @@ class Method:
         p, word = self.p, self.p.peek()
         if p.kind() == "str":
             word = ""
+        if label is not None and word not in ("while", "do", "for", "switch"):
+            out = self.new()
+            self.loops.append((label, out, None, False))
+            end = self.statement(loc)
+            self.loops.pop()
+            if end is not None:
+                self.skip(end, out)
+            return out
         if word == "{":
             return self.block(loc)
         if word == ";":
@@ -369,13 +407,17 @@ class Method:
             return self.merge(yes, no)
         if word in ("while", "do", "for"):
             return self.loop(p.take(), loc, label)
+        if word == "switch":
+            return self.switch(loc, label)
         if word in ("break", "continue"):
             p.take()
             name = p.take() if p.kind() == "id" else None
             p.take(";")
-            for own, out, again in reversed(self.loops):
-                if (name is None or own == name) and (word == "break" or again is not None):
-                    self.skip(loc, out if word == "break" else again)
+            for depth, (own, out, again, bare) in reversed(list(enumerate(self.loops))):
+                if (bare if name is None else own == name) and (word == "break" or again is not None):
+                    end = self.unwind(loc, depth)
+                    if end is not None:
+                        self.skip(end, out if word == "break" else again)
                     return None
             raise SyntaxFault(f"{word} outside of a loop")
         if word == "return":
@@ -384,8 +426,18 @@ class Method:
                 loc, e = self.expr(loc)
                 loc = self.emit(loc, {"k": "assign", "lhs": RET, "e": e})
             p.take(";")
-            self.skip(loc, 1)
+            end = self.unwind(loc, -1)
+            if end is not None:
+                self.skip(end, 1)
             return None
+        if word == "throw":
+            p.take()
+            loc, e = self.expr(loc)
+            p.take(";")
+            self.emit(loc, {"k": "assign", "lhs": EXC, "e": e}, self.handler)
+            return None
+        if word == "try":
+            return self.guarded(loc)
         if word == "assert":
             p.take()
             loc, e = self.expr(loc)
@@ -396,7 +448,7 @@ class Method:
             p.take()
             loc, _ = self.parenthesised(loc)
             return self.block(loc)
-        if word in ("throw", "try", "switch", "yield", "class", "interface", "enum"):
+        if word in ("yield", "class", "interface", "enum"):
             raise Unsupported(f"{word} statement")
         at = p.at
         p.modifiers()
@@ -408,6 +460,151 @@ class Method:
         p.take(";")
         return loc
 
+    def unwind(self, loc: int | None, depth: int) -> int | None:
+        """Runs what stands between here and the loop of that depth (-1: the end of the method)."""
+        kept = self.finals, self.handler, self.loops, self.p.at
+        self.finals = list(self.finals)
+        while self.finals and self.finals[-1][1] > depth and loc is not None:
+            run, around, self.handler = self.finals.pop()
+            self.loops = self.loops[:around]
+            loc = run(loc)
+        self.finals, self.handler, self.loops, self.p.at = kept
+        return loc
+
+    def guarded(self, loc: int) -> int | None:
+        """try with resources, handlers and a finally block."""
+        p, outer = self.p, self.handler
+        p.take("try")
+        resources_at, body_at, handlers, final_at = None, p.at, [], None
+        if p.peek() == "(":
+            resources_at = p.at
+            p.skip_balanced("(", ")")
+            body_at = p.at
+        p.skip_balanced("{", "}")
+        while p.eat("catch"):
+            handlers.append(p.at)
+            p.skip_balanced("(", ")")
+            p.skip_balanced("{", "}")
+        if p.eat("finally"):
+            final_at = p.at
+            p.skip_balanced("{", "}")
+        end_at = p.at
+
+        def final(at: int) -> int | None:
+            p.at = final_at
+            return self.block(at)
+
+        raised = outer
+        if final_at is not None:
+            raised = self.new()
+            self.finals.append((final, len(self.loops), outer))
+        self.handler = caught = self.new() if handlers else raised
+        p.at = body_at if resources_at is None else resources_at
+        ends = [self.block(loc) if resources_at is None else self.with_resources(loc, body_at)]
+        self.handler, everything = raised, False
+        for at in handlers:
+            p.at = at
+            p.take("(")
+            p.modifiers()
+            kinds = [p.type_()]
+            while p.eat("|"):
+                kinds.append(p.type_())
+            name = p.take()
+            p.take(")")
+            self.types[name] = kinds[0] if len(kinds) == 1 else "Throwable"
+            everything |= not CATCH_ALL.isdisjoint(kinds)
+            ends.append(self.block(self.emit(caught, {"k": "assign", "lhs": name, "e": ["var", EXC]})))
+        if handlers and not everything:
+            self.skip(caught, raised)
+        out = None
+        for end in ends:
+            out = self.merge(out, end)
+        self.handler = outer
+        if final_at is not None:
+            self.finals.pop()
+            out = None if out is None else final(out)
+            thrown = self.temp()
+            end = final(self.emit(raised, {"k": "assign", "lhs": thrown, "e": ["var", EXC]}))
+            if end is not None:
+                self.emit(end, {"k": "assign", "lhs": EXC, "e": ["var", thrown]}, outer)
+        p.at = end_at
+        return out
+
+    def with_resources(self, loc: int, body_at: int) -> int | None:
+        p, outer, names = self.p, self.handler, []
+        p.take("(")
+        while not p.eat(")"):
+            p.modifiers()
+            at, kind = p.at, p.type_()
+            if kind and p.kind() == "id" and p.peek(1) == "=":
+                names.append(p.take())
+                self.types[names[-1]] = kind
+                p.take("=")
+                loc, e = self.expr(loc)
+                loc = self.emit(loc, {"k": "assign", "lhs": names[-1], "e": e})
+            else:
+                p.at = at
+                loc, e = self.expr(loc)
+                loc, name = self.held(loc, e)
+                names.append(name)
+            p.eat(";")
+
+        def close(at: int | None) -> int | None:
+            for name in reversed(names):
+                if at is not None:
+                    at = self.invoke(at, {"k": "call", "lhs": None, "rcvr": name, "cls": self.types.get(name), "name": "close", "args": []})
+            return at
+
+        self.handler = raised = self.new()
+        self.finals.append((close, len(self.loops), outer))
+        p.at = body_at
+        end = self.block(loc)
+        self.finals.pop()
+        self.handler = outer
+        thrown = self.temp()
+        self.emit(close(self.emit(raised, {"k": "assign", "lhs": thrown, "e": ["var", EXC]})), {"k": "assign", "lhs": EXC, "e": ["var", thrown]}, outer)
+        return close(end)
+
+    def switch(self, loc: int, label: str | None) -> int:
+        """Both forms of cases; ``test`` is where all cases so far have failed, ``fall`` the end of the case before."""
+        p = self.p
+        p.take("switch")
+        loc, e = self.parenthesised(loc)
+        test, value = self.held(loc, e)
+        out, default, fall = self.new(), None, None
+        self.loops.append((label, out, None, True))
+        p.take("{")
+        while not p.eat("}"):
+            if p.peek() not in ("case", "default"):
+                fall = self.statement(fall if fall is not None else self.new())
+                continue
+            if p.take() == "default":
+                default = inside = self.new()
+            else:
+                cond = None
+                while True:
+                    if p.kind() == "id" and p.peek(1) in (":", ",", "->", "."):
+                        constant = self.variable(p.name())
+                    else:
+                        test, constant = self.binary(test, 0)
+                    one = ["bin", "==", ["var", value], constant]
+                    cond = one if cond is None else ["bin", "||", cond, one]
+                    if not p.eat(","):
+                        break
+                inside, test = self.branch(test, cond, True), self.branch(test, cond, False)
+            if p.eat("->"):
+                end = self.statement(inside)
+                if end is not None:
+                    self.skip(end, out)
+            else:
+                p.take(":")
+                fall = self.merge(inside, fall)
+        self.loops.pop()
+        if fall is not None:
+            self.skip(fall, out)
+        self.skip(test, out if default is None else default)
+        return out
+
     def merge(self, a: int | None, b: int | None) -> int | None:
         if a is None or b is None:
             return b if a is None else a
@@ -437,7 +634,7 @@ class Method:
         if form == "do":
             head, test = self.new(), self.new()
             self.skip(loc, head)
-            self.loops.append((label, out, test))
+            self.loops.append((label, out, test, True))
             end = self.statement(head)
             self.loops.pop()
             if end is not None:
@@ -462,7 +659,7 @@ class Method:
                 self.skip(loc, head)
                 self.skip(head, out)
                 inside = self.emit(head, {"k": "assign", "lhs": name, "e": ["any"]})
-                self.loops.append((label, out, head))
+                self.loops.append((label, out, head, True))
                 end = self.statement(inside)
                 self.loops.pop()
                 if end is not None:
@@ -492,7 +689,7 @@ class Method:
             at, cond = self.parenthesised(head)
         inside = self.emit(at, {"k": "assume", "e": cond})
         self.emit(at, {"k": "assume", "e": ["un", "!", cond]}, out)
-        self.loops.append((label, out, head if again is None else again))
+        self.loops.append((label, out, head if again is None else again, True))
         end = self.statement(inside)
         self.loops.pop()
         if again is None:
@@ -534,8 +731,10 @@ class Method:
     def assign(self, loc: int, left: list, value: list) -> int:
         if left[0] == "var":
             return self.emit(loc, {"k": "assign", "lhs": left[1], "e": value})
-        if left == ["any"]:  # an array cell: cells are not tracked
-            return self.emit(loc, {"k": "skip"})
+        if left[0] == "cell":
+            return self.emit(loc, {"k": "store", "arr": left[1], "index": left[2], "e": value})
+        if left[0] == "len":  # a field of that name
+            return self.emit(loc, {"k": "assign", "lhs": f"{left[1]}.length", "e": value})
         raise SyntaxFault("no variable to assign")
 
     def ternary(self, loc: int) -> tuple[int, list]:
@@ -561,10 +760,29 @@ class Method:
                 self.p.type_()
                 left = ["bin", op, left, ["any"]]
                 continue
+            if op in ("&&", "||"):
+                loc, left = self.short_circuit(loc, op, left, level + 1)
+                continue
             loc, right = self.binary(loc, level + 1)
             left = ["bin", op, left, right]
         return loc, left
 
+    def short_circuit(self, loc: int, op: str, left: list, level: int) -> tuple[int, list]:
+        """A right side with statements of its own runs only where the left one asks for it."""
+        start = len(self.out)
+        inside = self.branch(loc, left, op == "&&")
+        at, right = self.binary(inside, level)
+        if at == inside:
+            self.out.pop()
+            return loc, ["bin", op, left, right]
+        name = self.temp()
+        written = {x.get("lhs") for _, _, x in self.out[start:]}
+        ends = [self.emit(at, {"k": "assign", "lhs": name, "e": right})]
+        ends.append(self.emit(self.branch(loc, left, op != "&&"), {"k": "assign", "lhs": name, "e": ["lit", float(op == "||")]}))
+        names = variables(left)
+        steady = not any("." in n or n in written for n in names)
+        return self.merge(*ends), ["bin", op, left, ["var", name]] if steady else ["var", name]
+
     def unary(self, loc: int) -> tuple[int, list]:
         p, op = self.p, self.p.peek()
         if p.kind() == "op" and op in ("+", "-", "!", "~"):
@@ -596,7 +814,29 @@ class Method:
     def call(self, loc: int, rcvr: str | None, cls: str | None, name: str) -> tuple[int, list]:
         loc, args = self.arguments(loc)
         lhs = self.temp()
-        return self.emit(loc, {"k": "call", "lhs": lhs, "rcvr": rcvr, "cls": cls, "name": name, "args": args}), ["var", lhs]
+        return self.invoke(loc, {"k": "call", "lhs": lhs, "rcvr": rcvr, "cls": cls, "name": name, "args": args}), ["var", lhs]
+
+    def invoke(self, loc: int, stmt: dict) -> int:
+        self.emit(loc, stmt | {"k": "xcall"}, self.handler)
+        return self.emit(loc, stmt)
+
+    def array(self, loc: int, size: list, cells: list | None = None) -> tuple[int, list]:
+        """A new array in a temporary, with its length and, of a literal, its cells."""
+        name = self.temp()
+        loc = self.emit(loc, {"k": "assign", "lhs": name, "e": ["obj"]})
+        loc = self.emit(loc, {"k": "assign", "lhs": f"{name}.#len", "e": size})
+        for i, e in enumerate(cells or ()):
+            loc = self.emit(loc, {"k": "assign", "lhs": f"{name}.#{i}", "e": e})
+        return loc, ["var", name]
+
+    def literal(self, loc: int) -> tuple[int, list]:
+        self.p.take("{")
+        cells = []
+        while not self.p.eat("}"):
+            loc, e = self.expr(loc)
+            cells.append(e)
+            self.p.eat(",")
+        return self.array(loc, ["lit", float(len(cells))], cells)
 
     def variable(self, name: str) -> list:
         if name in self.types:
@@ -622,7 +862,7 @@ class Method:
                 p.type_arguments()
                 name = p.take()
                 if name == "class":
-                    e = ["any"]
+                    e = ["obj"]
                 elif p.peek() == "(":
                     loc, rcvr = self.held(loc, e)
                     known = self.types.get(rcvr)
@@ -632,17 +872,18 @@ class Method:
                     loc, e = self.call(loc, None if as_class else rcvr, rcvr if as_class else known, name)
                 else:
                     loc, rcvr = self.held(loc, e)
-                    e = ["any"] if name == "length" else ["var", f"{rcvr}.{name}"]
+                    e = ["len", rcvr] if name == "length" else ["var", f"{rcvr}.{name}"]
             elif op == "[":
                 p.take()
-                loc, _ = self.expr(loc)
+                loc, arr = self.held(loc, e)
+                loc, index = self.expr(loc)
                 p.take("]")
-                e = ["any"]
+                e = ["cell", arr, index]
             elif op in ("++", "--"):
                 p.take()
                 loc = self.assign(loc, e, ["bin", op[0], e, ["lit", 1.0]])
                 e = ["bin", "-" if op == "++" else "+", e, ["lit", 1.0]]
-            elif op in ("->", "::"):
+            elif op == "::" or op == "->" and p.toks[p.at - 1][1] == ")":  # an arrow behind anything else ends a label
                 raise Unsupported("lambda or method reference")
             else:
                 break
@@ -654,9 +895,16 @@ class Method:
             return loc, ["lit", number(p.take())]
         if kind == "str":
             text = p.take()
-            return loc, ["lit", float(ord(text[1]))] if text[0] == "'" and len(text) == 3 else ["any"]
+            return loc, ["lit", float(ord(text[1]))] if text[0] == "'" and len(text) == 3 else ["obj"]
         if word == "(":
+            at = p.at
+            p.skip_balanced("(", ")")
+            if p.peek() == "->":
+                raise Unsupported("lambda or method reference")
+            p.at = at
             return self.parenthesised(loc)
+        if word == "{":
+            return self.literal(loc)
         if kind != "id":
             raise SyntaxFault(f"an expression wanted, not {word!r}")
         p.take()
@@ -675,18 +923,20 @@ class Method:
                     raise Unsupported("anonymous class")
                 name = self.temp()
                 self.types[name] = made
-                return self.emit(loc, {"k": "call", "lhs": None, "rcvr": name, "cls": made, "name": "<init>", "args": args}), ["var", name]
+                loc = self.emit(loc, {"k": "assign", "lhs": name, "e": ["obj"]})
+                return self.invoke(loc, {"k": "call", "lhs": None, "rcvr": name, "cls": made, "name": "<init>", "args": args}), ["var", name]
+            size = None
             while p.peek() == "[":
                 p.take()
                 if p.peek() != "]":
-                    loc, _ = self.expr(loc)
+                    loc, e = self.expr(loc)
+                    size = e if size is None else size  # of the outermost dimension
                 p.take("]")
-            if p.peek() == "{":
-                p.skip_balanced("{", "}")
-            return loc, ["any"]
+            return self.literal(loc) if p.peek() == "{" else self.array(loc, size or ["any"])
         if word in ("this", "super") and p.peek() == "(":
             loc, args = self.arguments(loc)
-            return self.emit(loc, {"k": "call", "lhs": None, "rcvr": "this", "cls": self.c.name if word == "this" else None, "name": "<init>", "args": args}), ["any"]
+            made = self.c.name if word == "this" else self.c.parent
+            return loc if made is None else self.invoke(loc, {"k": "call", "lhs": None, "rcvr": "this", "cls": made, "name": "<init>", "args": args}), ["any"]
         if p.peek() == "->":
             raise Unsupported("lambda or method reference")
         if p.peek() == "(":
@@ -721,7 +971,7 @@ def parse_sources(files: DataFrame) -> DataFrame:
 
 
 SCHEMAS = {
-    "method": "fn string, class_name string, method_name string, is_static boolean, formals array<string>, varargs boolean, entry long, exit long",
+    "method": "fn string, class_name string, method_name string, is_static boolean, formals array<string>, varargs boolean, entry long, exit long, exc_exit long",
     "edge": "fn string, src long, dst long, stmt string",
     "field": "class_name string, name string, is_static boolean",
     "parent": "child string, parent string",

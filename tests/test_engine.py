@@ -140,11 +140,11 @@ def test_front_end_forms():
         interface Inner { void x(); } enum E { ONE }
         static class In { long v(final int... xs) { return xs.length; } }
         <R> void g(String s) throws Exception { outer: for (;;) { while (true) { if (s == "}") continue outer; break outer; } } int[] a = new int[3]; a[0] += 2; (a)[1]++; Object o = (Object) s; boolean b = o instanceof String; for (String t : s.split(",")) { n--; } assert n > 0 : "no"; }
-        int h() { return n > 0 ? -n : ~n; } void bad() { try { } finally { } } abstract void none();
+        int h() { return n > 0 ? -n : ~n; } void tried() { try { } finally { } } void bad() { Runnable r = () -> {}; } abstract void none();
     }"""
     p = java.Parser(source).source()
-    assert {m["fn"] for m in p.methods} == {"p.q.A#<init>(int)", "p.q.A$In#v(int[])", "p.q.A$In#<init>()", "p.q.A#g(String)", "p.q.A#h()"}
-    assert p.hierarchy == [("p.q.A", "Base")] and ("p.q.A#bad", "try statement") in p.unsupported and ("p.q.A", "f", False) in p.fields and ("p.q.A", "K", True) in p.fields
+    assert {m["fn"] for m in p.methods} == {"p.q.A#<init>(int)", "p.q.A$In#v(int[])", "p.q.A$In#<init>()", "p.q.A#g(String)", "p.q.A#h()", "p.q.A#tried()", "p.q.A#<clinit>()"}
+    assert p.hierarchy == [("p.q.A", "Base")] and ("p.q.A#bad", "lambda or method reference") in p.unsupported and ("p.q.A", "f", False) in p.fields and ("p.q.A", "K", True) in p.fields
     for fault in ("class {", "class A { int x = ; }", "class A { void f() { break; } }", "claß A {}"):
         with pytest.raises(java.SyntaxFault):
             java.Parser(fault).source()
