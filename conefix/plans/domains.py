@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from conefix.functions.interval import FLIPPED, NEGATED
+from conefix.functions.interval import FLIPPED, NEGATED, STRICT
 from conefix.functions.octagon import INF, MAX_VARIABLES, Octagon
 from conefix.plans import analysis as itv
 from conefix.plans.analysis import Domain, is_field, is_static
@@ -37,6 +37,17 @@ def _used(e: list) -> list[str]:
     return [v for part in e[2:] if isinstance(part, list) for v in _used(part)] if e[0] in ("bin", "un") else []
 
 
+def used_by(stmt: dict) -> list[str]:
+    """Variables that a statement uses as objects, in order."""
+    if stmt["k"] in ("call", "xcall"):
+        used = [v for e in stmt["args"] for v in _used(e)]
+        return used + [*_used(["var", stmt["rcvr"]]), stmt["rcvr"]] if stmt["rcvr"] else used
+    if stmt["k"] == "store":
+        return [*_used(["cell", stmt["arr"], stmt["index"]]), *_used(stmt["e"])]
+    own = _used(["var", stmt["lhs"]]) if stmt["k"] == "assign" else []
+    return [*_used(stmt["e"]), *own] if "e" in stmt else own
+
+
 def null_of(e: list, s: Masks) -> int:
     if e[0] == "lit":
         return NULL if e[1] is None else OBJECT
@@ -106,11 +117,11 @@ def null_step(stmt: dict, s: Masks) -> Masks | None:
     if stmt["k"] == "assume":
         return null_refine(stmt["e"], s, True)
     if stmt["k"] == "store":
-        return _use([*_used(["cell", stmt["arr"], stmt["index"]]), *_used(stmt["e"])], s)
+        return _use(used_by(stmt), s)
     if stmt["k"] != "assign":
         return s
     e, name = stmt["e"], stmt["lhs"]
-    s = _use([*_used(e), *_used(["var", name])], s)
+    s = _use(used_by(stmt), s)
     if s is None:
         return None
     out = _put(s, name, null_of(e, s) if name != EXC else OBJECT)
@@ -121,10 +132,7 @@ def null_step(stmt: dict, s: Masks) -> Masks | None:
 
 def _called(stmt: dict, s: Masks) -> Masks | None:
     """The caller's state when the call begins: receiver and arguments have been used."""
-    used = [v for e in stmt["args"] for v in _used(e)]
-    if stmt["rcvr"]:
-        used += [*_used(["var", stmt["rcvr"]]), stmt["rcvr"]]
-    return _use(used, s)
+    return _use(used_by(stmt), s)
 
 
 def null_call(stmt: dict, s: Masks, formals: list[str], varargs: bool) -> Masks | None:
@@ -210,6 +218,14 @@ def _linear(e: list) -> tuple[int, str | None, float] | None:
     return None
 
 
+def at_most(o: Octagon, a: list, b: list) -> float:
+    """An upper bound of the difference of two expressions from the octagon, infinite if it knows none."""
+    x, y = _linear(a), _linear(b)
+    if not x or not y or x[1] not in o.names or y[1] not in o.names or x[0] != 1 or y[0] != 1:
+        return INF
+    return float(o.close().m[o.row(y[1], 1), o.row(x[1], 1)]) + x[2] - y[2]
+
+
 def both_dump(s: Both | None) -> str | None:
     if s is None:
         return None
@@ -242,7 +258,7 @@ def _checked(box: dict | None, octagon: Octagon) -> Both | None:
 
 
 def _assume(e: list, o: Octagon, truth: bool) -> Octagon:
-    """Constraints of comparisons between two linear sides, strict ones as if not; a disjunction joins."""
+    """Constraints of comparisons between two linear sides; a disjunction joins."""
     if e[0] == "un" and e[1] == "!":
         return _assume(e[2], o, not truth)
     if e[0] == "bin" and e[1] in ("&&", "||"):
@@ -260,7 +276,7 @@ def _assume(e: list, o: Octagon, truth: bool) -> Octagon:
         if way in ("<", "<=", "=="):  # s x + c <= t y + k
             terms = [(a, n) for a, n in ((s, x), (-t, y)) if n]
             if terms:
-                o = o.constrain(terms, k - c)
+                o = o.constrain(terms, k - c - (STRICT if way == "<" else 0.0))
     return o
 
 

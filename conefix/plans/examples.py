@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conefix.plans import checks
 from conefix.plans.analysis import EXC, RET, analyse
 from conefix.sources import java
 
@@ -50,6 +51,26 @@ PROGRAMS = {
         } }""",
 }
 
+#: Accesses of main with what is known by hand: always, never or possibly within bounds.
+ARRAYS = {
+    "fixed": """
+        class Fixed { public static void main(String[] args) {
+            int[] xs = {3, 1, 2}; int a = xs[2]; int b = xs[3]; int i = 0; while (i < 3) { a = xs[i]; i++; }
+        } }""",
+    "sized": """
+        class Sized { static void main(int n) { int[] xs = new int[n]; int i = 0; while (i < xs.length) { xs[i] = i; i++; } } }""",
+}
+ACCESSES = [("fixed", '["lit", 2.0]', True), ("fixed", '["lit", 3.0]', False), ("fixed", '["var", "i"]', True), ("sized", '["var", "i"]', True)]
+
+NULLS = {
+    "handled": """
+        class Node { Node next; static Node same(Node a) { return a; }
+            static void main(Node p) { Node o = new Node(); Node n = null; Node r = same(o); r.next = o;
+                if (p != null) { p.next = o; } Node q = p.next; n.next = o; Node gone = q.next; } }""",
+}
+#: What main uses as an object; nothing comes after the use of null.
+USES = [("handled", "r", True), ("handled", "p", True), ("handled", "p", None), ("handled", "n", False)]
+
 #: Bounds of main's variables at its exit, worked out by hand; a missing bound is infinite.
 EXITS = [
     ("calls", "answer", 14245.0, 14245.0),
@@ -68,13 +89,30 @@ EXITS = [
 ]
 
 
+def _facts(spark: SparkSession, programs: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, methods and the demand of the mains."""
+    parsed = java.parse_sources(spark.createDataFrame(list(programs.items()), "path string, text string")).persist()
+    edges, methods = (java.facts_of(parsed, kind).withColumnRenamed("path", "program") for kind in ("edge", "method"))
+    return edges, methods, methods.where("method_name = 'main'").select("program", "fn", F.lit("{}").alias("entry"))
+
+
+def array_checks(spark: SparkSession) -> DataFrame:
+    """``(program, index, safe)`` of main's array accesses, by intervals and octagons together."""
+    edges, methods, demand = _facts(spark, ARRAYS)
+    found = checks.bounds_checks(edges, analyse(edges, methods, demand, domain="octagon"), "octagon")
+    return found.select("program", "index", "safe").distinct()
+
+
+def null_checks(spark: SparkSession) -> DataFrame:
+    """``(program, variable, safe)`` of what main uses as an object, without temporaries."""
+    edges, methods, demand = _facts(spark, NULLS)
+    found = checks.null_uses(edges, analyse(edges, methods, demand, domain="nullness"))
+    return found.where("fn LIKE '%#main(%' AND NOT startswith(variable, '$')").select("program", "variable", "safe").distinct()
+
+
 def exit_states(spark: SparkSession) -> DataFrame:
     """``(program, variable, lo, hi)`` of main's own variables at its exit, without open ones."""
-    sources = spark.createDataFrame(list(PROGRAMS.items()), "path string, text string")
-    parsed = java.parse_sources(sources).persist()
-    methods = java.facts_of(parsed, "method").withColumnRenamed("path", "program")
-    edges = java.facts_of(parsed, "edge").withColumnRenamed("path", "program")
-    demand = methods.where("method_name = 'main'").select("program", "fn", F.lit("{}").alias("entry"))
+    edges, methods, demand = _facts(spark, PROGRAMS)
     cells = analyse(edges, methods, demand)
     rows = cells.where("loc = 1 AND fn LIKE '%#main(%' AND state IS NOT NULL").select("program", F.explode(F.from_json("state", "map<string, array<double>>", {"allowNonNumericNumbers": "true"})).alias("variable", "b"))
     finite = lambda i: F.when(~F.col("b")[i].isin(float("inf"), float("-inf")), F.col("b")[i])

@@ -470,6 +470,22 @@ def program_exit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples.exit_states(spark)
 
 
+def _flag(value: bool | None) -> str:
+    return "NULL::BOOLEAN" if value is None else str(value).upper()
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{i}', {_flag(s)})" for p, i, s in examples.ACCESSES) + ") t(program, index, safe)")
+def program_array_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether array accesses stay within bounds: intervals, octagons and lengths of arrays."""
+    return examples.array_checks(spark)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{v}', {_flag(s)})" for p, v, s in examples.USES) + ") t(program, variable, safe)")
+def program_null_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether variables that are used as objects may be null."""
+    return examples.null_checks(spark)
+
+
 # --- tables and diffs --------------------------------------------------------
 
 
