@@ -14,6 +14,13 @@ so all of their links are still found.
 
 Nulls and texts without words have the zero sketch and are alike. Rows with a
 null doc_id get a sketch and the component of that sketch.
+
+``keep_first`` deletes by the exact Jaccard similarity of shingle sets. Two sets of at
+least that similarity share one of their first shingles in any common order (prefix
+filter), so buckets of such shingles lose no pair; within a bucket sketches six
+standard deviations beyond the bound are put aside, or, for sets too small for a
+sketch, the sets themselves are compared. What is left forms clusters, and within a
+cluster every link is confirmed on the sets before it counts.
 """
 
 from __future__ import annotations
@@ -41,6 +48,13 @@ BLOCK_ROWS = 256
 TILE_ROWS = 512
 #: Rows up to which the table of oversized buckets may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Sets below this many shingles are compared themselves, as a sketch of few votes says little.
+SMALL_SET = 64
+#: Rows and shingles of a cluster that one task confirms against one another; larger clusters are cut into chunks.
+CLUSTER_ROWS = 2048
+CLUSTER_SHINGLES = 2_000_000
+#: Similarities are compared with this slack, for fractions that have no exact float.
+SLACK = 1e-9
 SEED = 42
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -54,12 +68,14 @@ class Scheme:
 
     words: words of a shingle. lanes: 64-bit words of a sketch. radius: largest
     number of differing bits. distinct: whether a repeated shingle votes once.
+    similarity: the Jaccard similarity of shingle sets that ``keep_first`` confirms.
     """
 
     words: int = 3
     lanes: int = 1
     radius: int = 3
     distinct: bool = False
+    similarity: float = 0.8
 
     def masks(self) -> list[list[tuple[int, int]]]:
         """Per probe table, the (first bit, bits) runs that two close sketches may share.
@@ -89,9 +105,9 @@ def turn_of(similarity: float) -> float:
 
 
 def scheme_for(similarity: float, words: int = 5, lanes: int = 12) -> Scheme:
-    """A wide sketch whose radius takes pairs of ``similarity`` with one standard deviation to spare."""
+    """A wide sketch whose radius takes pairs of ``similarity`` with six standard deviations to spare."""
     bits, p = 64 * lanes, turn_of(similarity)
-    return Scheme(words=words, lanes=lanes, radius=int(bits * p + math.sqrt(bits * p * (1 - p))), distinct=True)
+    return Scheme(words=words, lanes=lanes, radius=int(bits * p + 6 * math.sqrt(bits * p * (1 - p))), distinct=True, similarity=similarity)
 
 
 def shingles(text: bytes, k: int) -> Iterable[bytes]:
@@ -112,21 +128,29 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def sketches(texts: list[bytes], scheme: Scheme) -> np.ndarray:
-    """(documents, 8 * lanes) bytes, the most significant first: a bit is set in over half the hashes."""
-    digest = xxhash.xxh64_intdigest
-    parts, sizes = [], []
+def hashes(texts: list[bytes], scheme: Scheme) -> list[np.ndarray]:
+    """The hashes of each text's shingles."""
+    digest, parts = xxhash.xxh64_intdigest, []
     for text in texts:
         grams = shingles(text, scheme.words)
         if scheme.distinct:
             grams = set(grams)
-        part = np.fromiter((digest(s, SEED) for s in grams), dtype=np.uint64)
-        parts.append(part)
-        sizes.append(len(part))
-    out = np.zeros((len(texts), scheme.lanes), dtype=">u8")
+        parts.append(np.fromiter((digest(s, SEED) for s in grams), dtype=np.uint64))
+    return parts
+
+
+def sketches(texts: list[bytes], scheme: Scheme) -> np.ndarray:
+    """(documents, 8 * lanes) bytes, the most significant first: a bit is set in over half the hashes."""
+    return votes_of(hashes(texts, scheme), scheme)
+
+
+def votes_of(parts: list[np.ndarray], scheme: Scheme) -> np.ndarray:
+    """The sketches of documents given as hashes of shingles."""
+    sizes = [len(part) for part in parts]
+    out = np.zeros((len(parts), scheme.lanes), dtype=">u8")
     full = np.flatnonzero(sizes)
     if not len(full):
-        return out.view(np.uint8)
+        return out.view(np.uint8).reshape(len(parts), -1)
     h, n = np.concatenate(parts), np.array(sizes)[full]
     ends = np.cumsum(n)
     chunks = -(-n // 255)
@@ -137,7 +161,7 @@ def sketches(texts: list[bytes], scheme: Scheme) -> np.ndarray:
         counts = np.add.reduceat(spread, at, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
         votes = np.add.reduceat(counts, first, axis=0)
         out[full, lane] = np.packbits(votes * 2 > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out.view(np.uint8).reshape(len(texts), -1)
+    return out.view(np.uint8).reshape(len(parts), -1)
 
 
 def _planes(bits: np.ndarray) -> np.ndarray:
@@ -332,11 +356,191 @@ def near_duplicates(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text:
     return held.join(named, "sketch").select("doc_id", "sketch", "component_id")
 
 
+def prefix_size(n: int, similarity: float) -> int:
+    """How many first shingles of n, in an order that all sets share, meet those of any set of this similarity."""
+    return n - math.ceil(similarity * n - SLACK) + 1 if n else 0
+
+
+def _tree(n: int, near) -> tuple[list[int], list[int]]:
+    """A spanning forest: ``near(row, others)`` says which of the others a row is linked to; linked rows are not compared again."""
+    tails, heads, rest = [], [], np.arange(n)
+    while len(rest) > 1:
+        waiting, rest = [int(rest[0])], rest[1:]
+        while waiting and len(rest):
+            row = waiting.pop()
+            hit = near(row, rest)
+            if hit.any():
+                found = rest[hit].tolist()
+                heads += found
+                tails += [row] * len(found)
+                waiting += found
+                rest = rest[~hit]
+    return tails, heads
+
+
+def near_sketches(payload: list[bytes], radius: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the sketches within ``radius`` differing bits."""
+    words = np.frombuffer(b"".join(payload), dtype=np.uint64).reshape(len(payload), -1)
+    return _tree(len(payload), lambda row, rest: np.bitwise_count(words[rest] ^ words[row]).sum(axis=1, dtype=np.int64) <= radius)
+
+
+def near_sets(payload: list[bytes], similarity: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the sets of at least this Jaccard similarity."""
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in payload]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    owner, mark = np.repeat(np.arange(len(sets)), sizes), np.zeros(len(known), dtype=bool)
+    held = {"n": len(sets), "flat": flat, "owner": owner}
+
+    def near(row: int, rest: np.ndarray) -> np.ndarray:
+        if len(rest) * 2 < held["n"]:  # leave out the rows that are linked by now
+            kept = np.isin(held["owner"], rest)
+            held.update(n=len(rest), flat=held["flat"][kept], owner=held["owner"][kept])
+        own = flat[ends[row] - sizes[row] : ends[row]]
+        mark[own] = True
+        common = np.bincount(held["owner"][mark[held["flat"]]], minlength=len(sets))[rest]
+        mark[own] = False
+        return common >= similarity * (sizes[row] + sizes[rest] - common) - SLACK
+
+    return _tree(len(sets), near)
+
+
+def _set_rows(scheme: Scheme):
+    """doc_id, node (a digest of the set), n, the first shingles, a sketch (larger sets) or the set (smaller ones)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [np.sort(x) for x in hashes(values(batch, "text"), scheme)]
+                prints = votes_of(sets, scheme)
+                cols = [
+                    batch.column("doc_id"),
+                    pa.array([_node(x) for x in sets], pa.int64()),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([x[: prefix_size(len(x), scheme.similarity)].view(np.int64) for x in sets], pa.list_(pa.int64())),
+                    pa.array([p.tobytes() if len(x) >= SMALL_SET else None for x, p in zip(sets, prints, strict=True)], pa.binary()),
+                    pa.array([x.tobytes() if len(x) * scheme.similarity < SMALL_SET + 1 else None for x in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "first", "sketch", "members"])
+
+    return run
+
+
+def _node(ordered: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(ordered.tobytes(), SEED)).astype(np.int64))
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (token, node) -> (bucket, node): buckets of at least two nodes, those of equal members once in a task."""
+    seen: set[int] = set()
+    tokens, nodes = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def closed(tokens: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, np.int64)
+        ends = np.append(starts[1:], len(tokens))
+        out_b, out_n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+            own = nodes[a:b]
+            name = _node(own)
+            if name not in seen:
+                seen.add(name)
+                out_b.append(np.full(b - a, name, dtype=np.int64))
+                out_n.append(own)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_n))], ["bucket", "node"])
+
+    for batch in batches:
+        tokens, nodes = np.append(tokens, batch.column("token").to_numpy()), np.append(nodes, batch.column("node").to_numpy())
+        if len(tokens) and tokens[0] != tokens[-1]:
+            cut = int(np.flatnonzero(tokens != tokens[-1])[-1]) + 1
+            yield closed(tokens[:cut], nodes[:cut])
+            tokens, nodes = tokens[cut:], nodes[cut:]
+    yield closed(tokens, nodes)
+
+
+def _compared(compare):
+    """Sorted (bucket, lo, hi, node, payload) -> links within each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out_u, out_v = None, {}, [], []
+
+        def close() -> None:
+            if len(held) > 1:
+                ids = list(held)
+                tails, heads = compare(list(held.values()))
+                out_u.extend(ids[i] for i in tails)
+                out_v.extend(ids[i] for i in heads)
+            held.clear()
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "lo", "hi")), strict=True)
+            for own, node, payload in zip(keys, batch.column("node").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if own != key:
+                    close()
+                    key = own
+                held[node] = payload
+            yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
+            out_u, out_v = [], []
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _linked(groups: DataFrame, payloads: DataFrame, compare, parts) -> DataFrame:
+    """``groups(bucket, node, n)`` and ``payloads(node, payload)`` -> links; groups of several ``parts`` are dealt as pairs of chunks."""
+    wide = groups.groupBy("bucket").agg(F.ceil(parts).cast("int").alias("parts")).where("parts > 1")
+    if wide.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wide = F.broadcast(wide)
+    dealt = (
+        groups.join(wide, "bucket", "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node")
+    )
+    ready = dealt.join(payloads, "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return ready.select("bucket", "lo", "hi", "node", "payload").mapInArrow(_compared(compare), "u long, v long")
+
+
+def _set_of(scheme: Scheme):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [np.sort(x) for x in hashes(values(batch, "text"), scheme)]
+                same = pa.array([_node(x) == node for x, node in zip(sets, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "payload"]).filter(same)
+
+    return run
+
+
+def similar(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, component_id)``: the smallest doc_id that links of at least ``scheme.similarity`` reach, for rows with a doc_id."""
+    scratch, radius, least = Scratch(docs.sparkSession, "similar"), scheme.radius, scheme.similarity
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id IS NOT NULL")
+    held = scratch.save(rows.mapInArrow(_set_rows(scheme), "doc_id long, node long, n long, first array<bigint>, sketch binary, members binary"), "held")
+    nodes = scratch.save(held.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "first", "sketch", "members"))), "nodes")
+    shared = nodes.select("node", F.explode("first").alias("token")).repartition("token").sortWithinPartitions("token", "node")
+    groups = scratch.save(shared.mapInArrow(_buckets, "bucket long, node long").distinct(), "buckets")
+    by_sketch = _linked(groups, nodes.where("sketch IS NOT NULL").select("node", F.col("sketch").alias("payload")), lambda x: near_sketches(x, radius), F.count("*") / BUCKET_ROWS)
+    by_set = _linked(groups, nodes.where("members IS NOT NULL").select("node", F.col("members").alias("payload")), lambda x: near_sets(x, least), F.count("*") / BUCKET_ROWS)
+    reached = scratch.save(components(by_sketch.unionByName(by_set), scratch, "candidates"), "clusters")
+    member = reached.select("node", F.col("root").alias("bucket")).unionByName(reached.select(F.col("root").alias("node"), F.col("root").alias("bucket")).distinct())
+    member = scratch.save(member.join(nodes.select("node", "n", "doc_id"), "node"), "members")
+    sets = rows.join(member.select("doc_id", "node"), "doc_id").select("node", "text").mapInArrow(_set_of(scheme), "node long, payload binary")
+    parts = F.greatest(F.count("*") / CLUSTER_ROWS, F.sum("n") / CLUSTER_SHINGLES)
+    roots = components(_linked(member.select("bucket", "node", "n"), sets, lambda x: near_sets(x, least), parts), scratch, "confirmed")
+    named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return held.select("doc_id", "node").join(named.select("node", "root").join(first, "root"), "node").select("doc_id", "component_id")
+
+
 def keep_first(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without all but the smallest doc_id of each group; columns as they are.
+    """The documents without all but the smallest doc_id of each group of similar shingle sets; columns as they are.
 
     Rows without a doc_id stay. Repeated rows of a kept doc_id all stay.
     """
-    found = near_duplicates(docs, scheme, key, text)
+    found = similar(docs, scheme, key, text)
     drop = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__simhash_drop")).distinct()
     return docs.join(drop, F.col(key) == F.col("__simhash_drop"), "left_anti")

@@ -104,6 +104,31 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert kept == set(range(40))
 
 
+@pytest.mark.parametrize("chunk", [2048, 3])
+def test_near_duplicate_stage_follows_exact_similarity(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CLUSTER_ROWS", chunk)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 2 * chunk)
+    rng, rows = random.Random(6), []
+    for group in range(60):
+        base = [f"w{group}x{i}" for i in range(rng.choice([7, 12, 24, 29, 60, 70, 84, 150, 270, 700]))]
+        rows.append(base)
+        for _ in range(4):
+            near = list(base)
+            cut = max(1, int(len(near) * rng.choice([0.04, 0.1, 0.11, 0.12, 0.13, 0.2])))
+            rows.append(near[cut:] if rng.random() < 0.5 else [f"n{rng.random()}"] * cut + near[cut:])
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)] + [(900 + i, f"{line} " + " ".join(f"own{i}x{j}" for j in range(60))) for i in range(12)]
+    sets = {i: set(simhash.shingles(t.encode(), 5)) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    kept = {r["doc_id"] for r in simhash.keep_first(frame(spark, rows), simhash.scheme_for(0.8)).collect()}
+    assert kept == set(root.values()) and 0 < len(rows) - len(kept) < 240
+
+
 def test_simhash_of_an_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [(1, "a")]).limit(0), simhash.Scheme()).count() == 0
 
