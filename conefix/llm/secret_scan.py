@@ -26,17 +26,20 @@ TREES, DEPTH, SEED = 24, 8, 17
 #: Characters before and after a candidate that count as its neighbourhood.
 NEAR = 48
 
-_ASSIGNED = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|client)[_-]?(?:key|secret|token))[\"']?[ \t]{0,3}(?::|=|=>|:=)[ \t]{0,3}[\"']?[^\s\"'<>,;]{6,200}"
-#: Candidates by kind. A value after a name like password has the kind of its own form, where it has one.
-KINDS = {
+_LEAD = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|client)[_-]?(?:key|secret|token))[\"']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}[\"']?"
+_PEM = r"-----BEGIN (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{16,20000}-----END (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----)?"
+#: Kinds with a form of their own. Values run to their end, however long.
+FORMS = {
     "aws_access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "github_token": r"gh[pousr]_[A-Za-z0-9]{36,255}",
-    "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,255}",
-    "web_token": r"eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}",
-    "assigned": _ASSIGNED,
-    "generic": r"(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,512}={0,2}",
+    "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}+",
+    "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}+",
+    "web_token": r"eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+){2}(?:\.[A-Za-z0-9_-]++){0,2}",
 }
-_PEM = r"-----BEGIN (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{16,20000}-----END (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----)?"
+#: After a name like password a value of a known form ends with that form, unless the text runs on like a value.
+_ASSIGNED = rf"{_LEAD}(?:{_PEM}|(?:{'|'.join(FORMS.values())})(?![A-Za-z0-9_~+/=%-]|\.[^\s\"'<>,;])|[^\s\"'<>,;]{{6,}}+)"
+_GENERIC = r"(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: Candidates by kind. A value after a name like password has the kind of its own form, where it has one.
+KINDS = FORMS | {"assigned": _ASSIGNED, "generic": _GENERIC}
 CANDIDATE = rf"\b(?:{'|'.join(KINDS.values())})|{_PEM}"
 
 #: Words whose letters in a value speak for text or a placeholder (fixed values).
@@ -96,15 +99,14 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     rows = rows.withColumn("found", F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))).where(F.size("found") > 0)
 
     def cut(match: Column) -> Column:
-        lead = F.regexp_extract(match, rf"^(?:{_ASSIGNED[: _ASSIGNED.rindex('[^')]})(?=[^\s])", 0)
+        lead = F.regexp_extract(match, rf"^(?:{_LEAD})(?=[^\s])", 0)
         value = match.substr(F.char_length(lead) + 1, F.char_length(match))
         at = F.instr(F.col("text"), match) + F.char_length(lead)
         low = F.greatest(at - NEAR, F.lit(1))
         size = F.char_length(value)
-        kind = F.when(F.char_length(lead) > 0, "assigned").when(match.startswith("-----BEGIN"), "private_key").otherwise("generic")
-        for name, pattern in KINDS.items():
-            if name not in ("assigned", "generic"):
-                kind = F.when(value.rlike(rf"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
+        kind = F.when(value.startswith("-----BEGIN "), "private_key").when(F.char_length(lead) > 0, "assigned").otherwise("generic")
+        for name, pattern in FORMS.items():
+            kind = F.when(value.rlike(rf"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
         return F.struct(
             kind.alias("kind"),
             value.alias("value"),

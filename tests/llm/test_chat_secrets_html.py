@@ -90,6 +90,28 @@ def test_scan_and_redact(spark, forest):
     assert secret_scan.redact(docs.limit(0), forest).columns == docs.columns
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def kept_parts(text: str, secret: str) -> bool:
+    return any(secret[i : i + 12] in text for i in range(len(secret) - 11))
+
+
+@pytest.mark.parametrize("size", [201, 513, 5000])
+def test_redaction_reaches_the_end_of_long_secrets(spark, forest, size):
+    rng = random.Random(size)
+    drawn = lambda n: "".join(rng.choices(LETTERS, k=n))
+    web = f"eyJ{drawn(33)}.{drawn(size)}.{drawn(342)}"
+    secrets = [f"x7{drawn(size - 2)}", f"q4{drawn(size - 2)}", f"ghp_{drawn(size)}", web, f"eyJ{drawn(20)}.{drawn(size)}.{drawn(16)}.{drawn(size)}.{drawn(22)}"]
+    texts = [f'say secret = "{secrets[0]}" end', f"ring {secrets[1]} ring", f"token={secrets[2]}&user=bob", f"token={web} end", f"ring {secrets[4]} ring"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {r["value"]: r["kind"] for r in secret_scan.scan(docs, forest, path=None).collect()}
+    assert [kinds.get(x) for x in secrets] == ["assigned", "generic", "github_token", "web_token", "web_token"]
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, forest, path=None).collect()}
+    assert not any(kept_parts(clean[i], x) for i, x in enumerate(secrets))
+    assert clean[2] == "token=[secret:github_token]&user=bob" and clean[3] == "token=[secret:web_token] end"
+
+
 def test_scan_plan_is_native(spark, forest):
     docs = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, source string")
     plan = secret_scan.scan(docs, forest)._jdf.queryExecution().executedPlan().toString()
