@@ -26,8 +26,12 @@ TREES, DEPTH, SEED = 24, 8, 17
 #: Characters before and after a candidate that count as its neighbourhood.
 NEAR = 48
 
-_LEAD = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|client)[_-]?(?:key|secret|token))[\"']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}[\"']?"
-_PEM = r"-----BEGIN (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{16,20000}-----END (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----)?"
+#: Names of secrets, at the end of a longer name as well (DB_PASSWORD), and what stands between a name and its value.
+_NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|client)[_-]?(?:key|secret|token))"
+_SIGN = r"[\"']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}[\"']?"
+_LEAD = _NAME + _SIGN
+#: A block runs to its END line over headers and escapes; without one before the next block, the BEGIN line alone.
+_PEM = r"-----BEGIN (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----(?:(?>(?s:.*?)(?=-----(?:BEGIN|END) ))-----END (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----)?"
 #: Kinds with a form of their own. Values run to their end, however long.
 FORMS = {
     "aws_access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
@@ -37,10 +41,11 @@ FORMS = {
 }
 #: After a name like password a value of a known form ends with that form, unless the text runs on like a value.
 _ASSIGNED = rf"{_LEAD}(?:{_PEM}|(?:{'|'.join(FORMS.values())})(?![A-Za-z0-9_~+/=%-]|\.[^\s\"'<>,;])|[^\s\"'<>,;]{{6,}}+)"
-_GENERIC = r"(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: A long run that is itself the name of an assigned value is no candidate.
+_GENERIC = rf"(?=[A-Za-z+/_-]{{0,40}}[0-9])[A-Za-z0-9+/_-]{{20,}}+(?!(?<={_NAME}){_SIGN}[^\s\"'<>,;]{{6}})={{0,2}}"
 #: Candidates by kind. A value after a name like password has the kind of its own form, where it has one.
 KINDS = FORMS | {"assigned": _ASSIGNED, "generic": _GENERIC}
-CANDIDATE = rf"\b(?:{'|'.join(KINDS.values())})|{_PEM}"
+CANDIDATE = rf"\b(?:{'|'.join(FORMS.values())})|{_ASSIGNED}|\b{_GENERIC}|{_PEM}"
 
 #: Words whose letters in a value speak for text or a placeholder (fixed values).
 DICTIONARY = (
@@ -52,7 +57,7 @@ DICTIONARY = (
     "the and for not you are was all new one two three four five six seven eight nine zero north south east west time date year month week day hour"
 ).split()
 _DICTIONARY = "(?i)" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
-_NEAR_SECRET = r"(?i)\b(?:pass|pwd|secret|token|credential|key|api|access|auth|bearer|aws|login|private|client)"
+_NEAR_SECRET = r"(?i)\b(?:pass|pwd|secret|token|credential|key|api|access|auth|bearer|aws|login|private|client)|" + _LEAD + "$"
 _NEAR_OTHER = r"(?i)\b(?:example|sample|dummy|placeholder|commit|sha-?1|sha-?256|md5|checksum|digest|hash|uuid|guid|etag|revision|version|build|integrity|fingerprint|url|href|path|file|image|font)\b"
 _PATH_TEST = r"(?i)(?:^|[/_.-])(?:tests?|specs?|examples?|samples?|fixtures?|docs?|mocks?|demos?|readme|changelog|vendor|node_modules|lock)(?:[/_.-]|$)"
 _PATH_CONFIG = r"(?i)\.(?:env|ini|cfg|conf|toml|properties|pem|key|tfvars|ya?ml)$|(?:^|/)(?:config|settings|secrets?|credentials?|deploy|prod)(?:[/_.-]|$)"

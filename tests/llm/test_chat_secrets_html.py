@@ -112,6 +112,32 @@ def test_redaction_reaches_the_end_of_long_secrets(spark, forest, size):
     assert clean[2] == "token=[secret:github_token]&user=bob" and clean[3] == "token=[secret:web_token] end"
 
 
+def test_names_with_prefixes_and_all_private_keys(spark, forest):
+    rng = random.Random(12)
+    line = lambda: "".join(rng.choices(LETTERS + "+/", k=64))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    assigned = {"DB_PASSWORD=": "hunter2xyz", "db_password: ": "abcdef9", "github_token: ": "abcdef9xyz", "myPassword = '": "k7Tq9xW2", "MY_LONG_SERVICE2_NAME_DB_PASSWORD=": "hunter3xyz", "spring.datasource.password:=": "hunter4xyz"}
+    keys = [
+        f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{line()[:32]}\n\n{line()}\n{line()}\n{end}",
+        f"{begin}\\n{line()}\\n{line()}\\n{end}",
+        begin + "\n" + "\n".join(line() for _ in range(400)) + "\n" + end,
+    ]
+    texts = [*(f"a\n{name}{value}\nb" for name, value in assigned.items()), *keys, f'{{"private_key": "{keys[1]}\\n"}}', f"{begin} is a line, {keys[0]} too"]
+    docs = spark.createDataFrame([(i, t, "config/prod.env") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found: dict[int, dict] = {}
+    for r in secret_scan.scan(docs, forest).collect():
+        found.setdefault(r["doc_id"], {})[r["value"]] = r["kind"]
+    assert [found.get(i) for i in range(len(assigned))] == [{v: "assigned"} for v in assigned.values()]
+    assert [found.get(len(assigned) + i) for i in range(3)] == [{k: "private_key"} for k in keys] and found[9] == {keys[1]: "private_key"}
+    assert found[10] == {begin: "private_key", keys[0]: "private_key"}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, forest).collect()}
+    assert [clean[i] for i in range(6, 10)] == ["[secret:private_key]"] * 3 + ['{"private_key": "[secret:private_key]\\n"}']
+    assert clean[3] == "a\nmyPassword = '[secret:assigned]\nb"
+    # The forest judges a value after a longer name as it does after the plain one.
+    pair = spark.createDataFrame([(1, "password=hunter2xyz k", ""), (2, "DB_PASSWORD=hunter2xyz k", "")], "doc_id long, text string, source string")
+    assert len({r["score"] for r in secret_scan.scan(pair, forest).collect()}) == 1
+
+
 def test_scan_plan_is_native(spark, forest):
     docs = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, source string")
     plan = secret_scan.scan(docs, forest)._jdf.queryExecution().executedPlan().toString()
