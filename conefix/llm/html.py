@@ -2,14 +2,16 @@
 
 A page is parsed into a tree with the usual repairs (implied end tags, void and raw
 elements, markup that breaks off). The first pass hashes the subtrees of the
-containers that may be template (a Merkle hash of tags, classes and text), and Spark
+blocks that may be template (a Merkle hash of tags, classes and text), and Spark
 counts on how many different pages of its host each occurs. The second pass
 extracts text, without those subtrees and without what its element, role or
 class names as menu, header, footer, sidebar, notice, advert, form or reader comment.
 
 Where a page has an article (or, without one, a main element), only its content
-counts; else the body does. Subtrees within an article are removed only if they are
-containers without paragraphs or headings of their own, or are named as above, so that syndicated text stays.
+counts; else the body does. Recurring subtrees are removed within an article too, unless
+those with paragraphs or headings hold most of its text: then the article itself is
+syndicated, and only containers without paragraphs or headings go. Headings, list items
+and cells of their own, and inline elements, are no subtrees to remove.
 Identical pages count once, so copies of a page do not make it a template.
 
 Null and empty html have an empty text. Null page_ids and urls are rows like others;
@@ -60,7 +62,7 @@ IMPLIED = {
 }
 #: Elements that never hold main text.
 DROPPED = frozenset("head script style noscript template nav footer aside form button select option input textarea iframe svg canvas object dialog menu title audio video map datalist math noembed noframes".split())
-CONTAINERS = frozenset("div section ul ol dl table nav header footer aside form p span center figure details".split())
+CONTAINERS = frozenset("div section ul ol dl table nav header footer aside form p blockquote pre center figure details".split())
 HOLDS_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main".split())
 _NAMED = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|crumbs|sidebar|side-?bar|rail|footer|masthead|site-?header|page-?header|top-?bar|toolbar|ad|ads|adv|advert|adverts|advertisement|"
@@ -164,9 +166,9 @@ def boilerplate(node: Node, in_article: bool) -> bool:
     return bool(_NAMED.search(f"{a.get('class', '')} {a.get('id', '')}".lower()))
 
 
-def digest(node: Node) -> int:
-    """A hash of a subtree: its tag and class, its words and its children's hashes in order."""
-    order, stack = [], [node]
+def digests(tree: Node) -> dict[int, int]:
+    """By id of a node, a hash of its subtree: its tag and class, its words and its children's hashes in order."""
+    order, stack = [], [tree]
     while stack:
         top = stack.pop()
         order.append(top)
@@ -177,24 +179,42 @@ def digest(node: Node) -> int:
         for child in top.children:
             parts.append(done[id(child)] if isinstance(child, Node) else " ".join(child.split()).encode("utf-8", "replace"))
         done[id(top)] = xxhash.xxh64_digest(b"\x1f".join(parts))
-    return int.from_bytes(done[id(node)], "big", signed=True)
+    return {k: int.from_bytes(v, "big", signed=True) for k, v in done.items()}
 
 
-def _may_be_template(node: Node, in_article: bool) -> bool:
-    if node.tag not in CONTAINERS:
-        return False
-    if not in_article:
-        return node.tag not in ("p", "span")
-    if node.tag in ("p", "span", "figure"):
-        return False
-    stack = list(node.children)
+def _holds_text(node: Node) -> bool:
+    stack: list[Node | str] = [node]
+    while stack:
+        top = stack.pop()
+        if isinstance(top, Node):
+            if top.tag in HOLDS_TEXT:
+                return True
+            stack += top.children
+    return False
+
+
+def removed(root: Node, template: frozenset[int] | set[int], known: dict[int, int], inside: bool) -> set[int]:
+    """Ids of the nodes below a root that are template; see above for those of an article."""
+    found, held = set(), set()
+    total = recurring = 0
+    stack: list[tuple[Node | str, bool]] = [(c, False) for c in root.children]
     while stack:
-        child = stack.pop()
-        if isinstance(child, Node):
-            if child.tag in HOLDS_TEXT:
-                return False
-            stack += child.children
-    return True
+        node, counted = stack.pop()
+        if isinstance(node, str):
+            size = len("".join(node.split()))
+            total += size
+            recurring += size * counted
+            continue
+        if boilerplate(node, inside):
+            continue
+        if node.tag in CONTAINERS and known[id(node)] in template:
+            if root.tag in ("body", "#root") or not _holds_text(node):
+                found.add(id(node))
+                continue
+            held.add(id(node))
+            counted = True
+        stack += [(c, counted) for c in node.children]
+    return found | held if 2 * recurring <= total else found
 
 
 def roots(tree: Node) -> list[Node]:
@@ -217,16 +237,14 @@ def roots(tree: Node) -> list[Node]:
 
 def subtrees(tree: Node) -> set[int]:
     """Hashes of all subtrees of a page that may be template."""
-    articles = {id(n) for n in roots(tree) if n.tag in ("article", "main")}
-    found, stack = set(), [(tree, False)]
+    known, found, stack = digests(tree), set(), [tree]
     while stack:
-        node, inside = stack.pop()
+        node = stack.pop()
         if node.tag in RAW or node.tag == "head":
             continue
-        inside = inside or id(node) in articles
-        if _may_be_template(node, inside):
-            found.add(digest(node))
-        stack += [(c, inside) for c in node.children if isinstance(c, Node)]
+        if node.tag in CONTAINERS:
+            found.add(known[id(node)])
+        stack += [c for c in node.children if isinstance(c, Node)]
     return found
 
 
@@ -243,8 +261,10 @@ def extract(text: str, template: frozenset[int] | set[int] = frozenset()) -> str
                 lines.append(line)
             inline.clear()
 
+    known = digests(tree) if template else {}
     for root in roots(tree):
         inside = root.tag in ("article", "main")
+        gone = removed(root, template, known, inside) if template else ()
         stack: list[Node | str | None] = [root]
         while stack:
             node = stack.pop()
@@ -252,7 +272,7 @@ def extract(text: str, template: frozenset[int] | set[int] = frozenset()) -> str
                 flush()
             elif isinstance(node, str):
                 inline.append(node)
-            elif node is not root and (boilerplate(node, inside) or template and _may_be_template(node, inside) and digest(node) in template):
+            elif node is not root and (id(node) in gone or boilerplate(node, inside)):
                 if node.tag in BLOCKS:
                     flush()
             elif node.tag in ("br", "hr", "wbr", "img"):

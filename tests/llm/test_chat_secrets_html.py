@@ -177,6 +177,22 @@ def test_templates_of_a_host(spark):
     assert found[:5] == ["ex.com", "h", "b", "", ""]
 
 
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def test_templates_within_articles(spark):
+    notice, bare, same = "<div class=x7><p>Subscribe to our letter</p></div>", "<p>All rights with us</p>", "".join(f"<p>Agency report, part {k} of it</p>" for k in range(4))
+    story = lambda i: f"<h1>Title {i}</h1><p>Story {i} is a text of its own, as long as others</p><p>It has the end {i}, as all have</p>"
+    rows = [(i, f"http://a.com/{i}", f"<body><article>{story(i)}{notice}{bare}</article></body>") for i in range(10)]
+    rows += [(20 + i, f"http://a.com/s{i}", f"<body><article><h1>Seen {i}</h1>{same}</article><p>Bare {i}</p></body>") for i in range(10)]
+    rows += [(40 + i, f"http://b.com/{i}", f"<body>{bare}<p>Own {i}</p></body>") for i in range(10)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"Title {i}\nStory {i} is a text of its own, as long as others\nIt has the end {i}, as all have" for i in range(10))
+    assert all(got[20 + i] == "\n".join([f"Seen {i}", *(f"Agency report, part {k} of it" for k in range(4))]) for i in range(10))
+    assert all(got[40 + i] == f"Own {i}" for i in range(10))
+
+
 # --- toxicity ----------------------------------------------------------------
 
 
