@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from conefix.llm.arrow import slices, small_batches, values
 from conefix.session import Scratch
 
-#: A subtree is template if it occurs on so many different pages of its host, and on so large a share of them.
+#: A subtree is template if it occurs on so many different pages of its host, whatever the host's size.
 MIN_PAGES = 8
-MIN_SHARE = 0.1
+#: On fewer pages it is template if it occurs on so many, and on so large a share of its host's different pages.
+FEW_PAGES = 3
+FEW_SHARE = 0.6
 #: Rows up to which the table of template subtrees may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -311,7 +313,7 @@ def templates(rows: DataFrame) -> DataFrame:
     seen = scratch.save(rows.mapInArrow(_subtree_rows, "host string, page long, hash long").distinct(), "subtrees")
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n"))
     pages = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    many = counts.where((F.col("hash") != 0) & (F.col("n") >= MIN_PAGES)).join(pages, "host").where(F.col("n") >= MIN_SHARE * F.col("pages"))
+    many = counts.where((F.col("hash") != 0) & (F.col("n") >= FEW_PAGES)).join(pages, "host").where((F.col("n") >= MIN_PAGES) | (F.col("n") >= FEW_SHARE * F.col("pages")))
     found = scratch.save(many.select("host", "hash"), "templates")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)

@@ -193,6 +193,16 @@ def test_templates_within_articles(spark):
     assert all(got[40 + i] == f"Own {i}" for i in range(10))
 
 
+def test_templates_do_not_depend_on_the_size_of_the_host(spark):
+    menu, few = "<div class=m>One of the sections</div>", "<div class=f>Of the small site</div>"
+    rows = [(i, f"http://large.com/{i}", f"<body>{menu if i < 9 else ''}<p>Page {i}</p></body>") for i in range(120)]
+    rows += [(200 + i, f"http://small.com/{i}", f"<body>{few if i < 3 else ''}<p>Leaf {i}</p></body>") for i in range(4)]
+    rows += [(300 + i, f"http://other.com/{i}", f"<body>{few if i < 3 else ''}<p>Leaf {i}</p></body>") for i in range(6)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"Page {i}" for i in range(120)) and all(got[200 + i] == f"Leaf {i}" for i in range(4))
+    assert [got[300 + i] for i in range(6)] == [f"Of the small site\nLeaf {i}" for i in range(3)] + [f"Leaf {i}" for i in range(3, 6)]
+
+
 # --- toxicity ----------------------------------------------------------------
 
 
