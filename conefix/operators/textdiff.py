@@ -2,8 +2,9 @@
 
 Lines that occur once in both versions anchor the diff: the longest chain of anchors that
 rises in both is kept, and what lies between two anchors is compared again. Where no
-anchor is left, lines pair up by a longest common subsequence. Each changed file is a
-group of its own; unchanged files never reach it.
+anchor is left, lines pair up by a longest common subsequence, by halves in linear space
+where the stretch is large. Each changed file is a group of its own; unchanged files never
+reach it.
 """
 
 from __future__ import annotations
@@ -11,10 +12,15 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Old lines x new lines up to which the whole table of common lengths is held.
+TABLE_CELLS = 4_000_000
+#: Occurrences from which the places of a line are kept as one number of bits.
+KEPT_PLACES = 64
 HUNKS = "path string, prev_start int, prev_len int, next_start int, new_lines array<string>"
 
 
@@ -50,6 +56,51 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of a longest common subsequence of a and each beginning of b, a row of bits at a time."""
+    n = len(b)
+    places: dict[str, list[int]] = {}
+    for j, line in enumerate(b):
+        places.setdefault(line, []).append(j)
+    kept: dict[str, int] = {}
+    full = row = (1 << n) - 1
+    for line in a:
+        if line not in places:
+            continue
+        mask = kept.get(line)
+        if mask is None:
+            bits = bytearray(-(-n // 8))
+            for j in places[line]:
+                bits[j >> 3] |= 1 << (j & 7)
+            mask = int.from_bytes(bits, "little")
+            if len(places[line]) >= KEPT_PLACES:
+                kept[line] = mask
+        both = row & mask
+        row = ((row + both) | (row - both)) & full
+    zeros = 1 - np.unpackbits(np.frombuffer(row.to_bytes(-(-n // 8), "little"), dtype=np.uint8), bitorder="little")[:n].astype(np.int64)
+    return np.append(0, np.cumsum(zeros))
+
+
+def _common_by_halves(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence of lists of any length (Hirschberg)."""
+    out: list[tuple[int, int]] = []
+    work = [(0, len(a), 0, len(b))]
+    while work:
+        i, m, j, n = work.pop()
+        if i == m or j == n:
+            continue
+        if m - i == 1:
+            out += [(i, j + k) for k in [k for k, line in enumerate(b[j:n]) if line == a[i]][:1]]
+        elif (m - i) * (n - j) <= TABLE_CELLS:
+            out += [(i + x, j + y) for x, y in _common(a[i:m], b[j:n])]
+        else:
+            half = (i + m) // 2
+            both = _lengths(a[i:half], b[j:n]) + _lengths(a[half:m][::-1], b[j:n][::-1])[::-1]
+            cut = j + int(both.argmax())
+            work += [(i, half, j, cut), (half, m, cut, n)]
+    return out
+
+
 def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Pairs of equal lines that rise in both lists."""
     out: list[tuple[int, int]] = []
@@ -73,8 +124,8 @@ def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
                 if x < m or y < n:
                     out.append((x, y))
                 i, j = x + 1, y + 1
-        elif (m - i) * (n - j) <= 4_000_000:
-            out += [(i + x, j + y) for x, y in _common(a[i:m], b[j:n])]
+        else:
+            out += [(i + x, j + y) for x, y in _common_by_halves(a[i:m], b[j:n])]
     return sorted(out)
 
 

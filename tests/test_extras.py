@@ -41,6 +41,22 @@ def test_hunks_rebuild_the_new_text():
     assert textdiff.hunks([], ["a"]) == [(0, 0, 0, ["a"])] and textdiff.hunks(["a"], []) == [(0, 1, 0, [])]
 
 
+def test_large_stretches_without_anchors_are_aligned(monkeypatch):
+    rng = random.Random(4)
+    a = [rng.choice("abcdef") for _ in range(2400)]
+    b = [x for x in a if rng.random() < 0.9]
+    assert len(a) * len(b) > textdiff.TABLE_CELLS
+    pairs = textdiff.matches(["x", *a, "y"], ["z", *b, "w"])
+    assert len(pairs) == len(b) and all(x < u and y < v for (x, y), (u, v) in itertools.pairwise(pairs))
+    assert all(a[x - 1] == b[y - 1] for x, y in pairs)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(1, 80))] for _ in range(2))
+        want = len(textdiff._common(a, b))
+        monkeypatch.setattr(textdiff, "TABLE_CELLS", rng.choice([0, 9, 200]))
+        pairs = sorted(textdiff._common_by_halves(a, b))
+        assert len(pairs) == want and all(a[x] == b[y] for x, y in pairs) and all(x < u and y < v for (x, y), (u, v) in itertools.pairwise(pairs))
+
+
 def test_diff_of_files(spark):
     old, new = (spark.createDataFrame(r, "path string, text string") for r in ([("a", "1\n2\n3"), ("b", "same"), ("c", "gone"), ("n", None)], [("a", "1\n3\n4"), ("b", "same"), ("d", "come"), ("n", "x")]))
     got = [tuple(r) for r in textdiff.diff(old, new).orderBy("prev_start").collect()]
