@@ -7,7 +7,8 @@ every piece carries its window, its place there and its place in its document, s
 document that crosses windows leaves a boundary record in each of them.
 
 Only the last window is padded. Null texts are empty and hold the end id alone;
-repeated rows are packed as often as they occur; an empty table gives no pieces.
+repeated rows are packed as often as they occur; an empty table gives no pieces. Ids
+of documents keep their type, and null ones are packed like others.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, key: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, dtype=np.int64)), pa.array(bases), batch.column("doc_id"), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], ["part", "base", "doc_id", "n", "ids"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "part long, base long, doc_id long, n long, ids binary")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"part long, base long, doc_id {kind}, n long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:

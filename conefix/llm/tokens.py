@@ -7,6 +7,7 @@ worker. Encoding runs on one thread, as Spark already fills the cores.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -24,10 +25,12 @@ BATCH_BYTES = 1 << 20
 KNOWN_PIECES = 400_000
 KNOWN_BYTES = 64
 
-#: What the fast encoder is used for; other texts go to the reference library, whose tables of letters are its own.
+#: What the fast encoder is used for; other texts go to the library that owns the file, whose tables of letters are its own.
 _PLAIN = re.compile(r"[^\x00-ɏ‐-‧€]")
-_END = "<|endoftext|>"
-_END_ID = 50256
+#: Characters of one run, of white space or of anything else, from which the fast encoder is not used either:
+#: its pattern recurses over white space, and merging one long piece is slow. Both libraries give the same ids.
+LONG_RUN = 1000
+_BLANKS = re.compile(r"\s{64,}")
 
 
 @lru_cache(maxsize=4)
@@ -96,17 +99,34 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def has_long_run(text: str) -> bool:
+    """Whether white space, or anything else, runs on for ``LONG_RUN`` characters."""
+    return any(len(w) >= LONG_RUN for w in text.split()) or any(m.end() - m.start() >= LONG_RUN for m in _BLANKS.finditer(text))
+
+
+def special_ids(path: str) -> dict[str, int] | None:
+    """The added strings of a tokenizer file and their ids; None where the file is not plain byte-level BPE, as the fast encoder takes it to be."""
+    with open(path, encoding="utf-8") as file:
+        data = json.load(file)
+    before, model, added = data.get("pre_tokenizer") or {}, data["model"], data.get("added_tokens") or []
+    plain = data.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    bare = not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return {t["content"]: t["id"] for t in added} if plain and bare else None
+
+
 @lru_cache(maxsize=2)
 def byte_encoder(path: str):
     """A function from a text to the ids (a list) that the byte-level tokenizer file at ``path`` gives.
 
     The library that owns the file is exact but slow. Where the rank file of the
     same vocabulary lies beside it, ordinary Latin texts go through the faster
-    library; the special string inside a text takes its own id in both.
+    library; the special strings inside a text take their own ids in both. Texts with
+    other letters or with very long runs go to the owner.
     """
     slow = load(path)
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(ranks):
+    ranks, special = path.removesuffix(".json") + ".tiktoken", special_ids(path)
+    if not os.path.exists(ranks) or special is None:
         return lambda text: slow.encode(text, add_special_tokens=False).ids
     import tiktoken
     from public_tokenizers import PATTERN
@@ -114,16 +134,17 @@ def byte_encoder(path: str):
     with open(ranks, "rb") as file:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def encode(text: str) -> list[int]:
-        if _PLAIN.search(text):
+        if _PLAIN.search(text) or has_long_run(text):
             return slow.encode(text, add_special_tokens=False).ids
-        if _END not in text:
+        if cut is None:
             return fast(text)
-        first, *rest = text.split(_END)
+        first, *rest = cut.split(text)
         ids = fast(first)
-        for part in rest:
-            ids.append(_END_ID)
+        for mark, part in zip(rest[::2], rest[1::2], strict=True):
+            ids.append(special[mark])
             ids.extend(fast(part))
         return ids
 
