@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -78,6 +79,18 @@ def fold(text: str) -> str:
     return f" {' '.join(_WORDS.findall(text))} "
 
 
+def _merged(ranges: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """First and last places of ranges, those that overlap as one, in order."""
+    begins, ends = [], []
+    for a, b in sorted(ranges):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
 @dataclass
 class Model:
     """Weights by folded term, folded exception phrases, and the logistic coefficients."""
@@ -112,7 +125,8 @@ class Model:
                 spared.append((start, end))
             else:
                 terms[start] = max(terms.get(start, 0.0), weight)
-        kept = [w for s, w in terms.items() if not any(a <= s <= b for a, b in spared)]
+        begins, ends = _merged(spared)
+        kept = [w for s, w in terms.items() if not ((i := bisect_right(begins, s)) and s <= ends[i - 1])]
         return np.array(kept), folded.count(" ") - 1
 
     def features(self, text: str) -> list[float]:
@@ -130,8 +144,8 @@ def prior() -> Model:
 
 
 def held_out(key: str = "doc_id") -> F.Column:
-    """Rows that no fit may read: the CRC-32 of the id's text is a multiple of 5."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """Rows that no fit may read: the CRC-32 of the id's text is a multiple of 5. A null id is none of them, as no label can name it."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
