@@ -156,20 +156,33 @@ class Reader:
         return (-1 if value == (1 << 7 * n) - 1 else value), at + n
 
     def _element(self, at: int, limit: int) -> tuple[int, int, int]:
-        """Id, first byte and end of the body; a body of unknown size ends before the next element of its level."""
+        """Id, first byte and end of the body. Only a segment and a cluster may leave their size open: they end before the next element of their level."""
         ident, at = self._vint(at, True)
         size, at = self._vint(at, False)
         if size >= 0:
             if at + size > len(self.data):
                 raise MediaError(f"the element at {at} breaks off")
             return ident, at, at + size
-        end = at
-        while end < limit:
-            inner, _ = self._vint(end, True)
-            if ident == CLUSTER and inner in _TOP or inner == SEGMENT:
+        if ident not in (SEGMENT, CLUSTER):
+            raise MediaError(f"the element at {at} leaves its size open")
+        return ident, at, self._open_end(at, limit, {SEGMENT, EBML} if ident == SEGMENT else {SEGMENT, EBML, *_TOP})
+
+    def _open_end(self, at: int, limit: int, stops: set[int]) -> int:
+        """Where a body of unknown size ends: before the first element of ``stops``. Inner clusters of unknown size are passed child by child."""
+        while at < limit:
+            inner, body = self._vint(at, True)
+            if inner in stops:
                 break
-            end = self._element(end, limit)[2]
-        return ident, at, end
+            size, body = self._vint(body, False)
+            if size >= 0:
+                at = body + size
+            elif inner == CLUSTER:
+                at = body
+            else:
+                raise MediaError(f"the element at {at} leaves its size open")
+        if at > len(self.data):
+            raise MediaError(f"the element before {at} breaks off")
+        return at
 
     def _children(self, start: int, end: int) -> Iterator[tuple[int, int, int]]:
         while start < end:
@@ -287,7 +300,7 @@ class Reader:
             at += size
             if known.get("default_ns"):
                 time += known["default_ns"]
-            elif known.get("rate") and known.get("bits"):
+            elif known.get("rate") and known.get("bits") and known.get("channels"):
                 time += round(1e9 * size * 8 / (known["bits"] * known["channels"] * known["rate"]))
 
     def samples(self, track: int = 1) -> bytes:
@@ -328,8 +341,11 @@ def packets(media: DataFrame, key: str = "doc_id", column: str = "media") -> Dat
                 keys, rows = batch.column("key").to_pylist(), []
                 for k, data in zip(keys, batch.column("media").to_pylist(), strict=True):
                     try:
-                        rows += [(k, *(getattr(p, n) for n in names), None) for p in (Reader(data).packets if data is not None else ())]
-                    except (MediaError, IndexError, struct.error) as error:
+                        found = [tuple(getattr(p, n) for n in names) for p in (Reader(data).packets if data is not None else ())]
+                        if any(isinstance(v, int) and v.bit_length() > 63 for row in found for v in row):
+                            raise MediaError("a track or timestamp beyond 63 bits")
+                        rows += [(k, *row, None) for row in found]
+                    except (MediaError, IndexError, ArithmeticError, ValueError, struct.error) as error:
                         rows.append((k, *[None] * len(names), str(error)))
                 columns = list(zip(*rows, strict=True)) or [()] * (len(names) + 2)
                 kinds = [batch.column("key").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
