@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,6 +35,8 @@ from conefix.session import Scratch
 REVISIT_BYTES = 100
 #: Payload bytes after which a package is closed and the next begun.
 PACKAGE_BYTES = 8 << 20
+#: Revisits (an id, a digest and an id each) up to which their table may be broadcast.
+BROADCAST_ROWS = 100_000
 RECORDS = "archive/data.warc"
 INDEX = "indexes/index.cdxj"
 MANIFEST = "datapackage.json"
@@ -195,6 +198,17 @@ class Package:
         view = memoryview(data)
         return cls(lambda offset, length: view[offset : offset + length], len(data))
 
+    @classmethod
+    def of_file(cls, path: str) -> Package:
+        """A file of any size on a disk or mount that the reader sees; each range is one read."""
+        file = open(path, "rb")
+
+        def fetch(offset: int, length: int) -> bytes:
+            file.seek(offset)
+            return file.read(length)
+
+        return cls(fetch, os.path.getsize(path))
+
     @staticmethod
     def _directory(raw: bytes, count: int) -> dict[str, Member]:
         found, at = {}, 0
@@ -249,14 +263,13 @@ class Package:
 # --- tables ----------------------------------------------------------------
 
 
-def first_pages(pages: DataFrame) -> DataFrame:
+def first_pages(narrow: DataFrame) -> DataFrame:
     """``(page_id, digest, refers_to)`` of the pages that revisit another one.
 
-    ``pages`` has page_id and payload (binary). Only ids and digests are shuffled;
-    partial aggregates keep a payload with many copies to a row per task.
+    ``narrow`` has page_id, digest and n, the payload's bytes. Partial aggregates keep a
+    payload with many copies to a row per task.
     """
-    narrow = pages.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", F.sha2("payload", 256).alias("digest"))
-    known = narrow.groupBy("digest", "page_id").count()
+    known = narrow.where(F.col("n") >= REVISIT_BYTES).groupBy("digest", "page_id").count()
     least = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     return known.join(least, "digest").where("page_id IS NULL OR page_id != refers_to").select("page_id", "digest", "refers_to")
 
@@ -282,40 +295,69 @@ def _packer(limit: int):
 
 
 def write_packages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", limit: int = PACKAGE_BYTES) -> DataFrame:
-    """``(package, n_records, content)``: every page as a record of some ZIP package."""
+    """``(package, n_records, content)``: every page as a record of some ZIP package.
+
+    Revisits are found on ids and digests alone. Payloads meet them in place while there are
+    at most ``BROADCAST_ROWS`` of them, and are shuffled only beyond.
+    """
     small_batches(pages.sparkSession)
+    scratch = Scratch(pages.sparkSession, "wacz")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    revisits = first_pages(rows).withColumnsRenamed({"page_id": "r_page", "digest": "r_digest"})
     digested = rows.withColumn("digest", F.sha2("payload", 256))
+    narrow = scratch.save(digested.select("page_id", "digest", F.octet_length("payload").alias("n")), "digests")
+    revisits = scratch.save(first_pages(narrow).withColumnsRenamed({"page_id": "r_page", "digest": "r_digest"}), "revisits")
+    if revisits.count() <= BROADCAST_ROWS:
+        revisits = F.broadcast(revisits)
     joined = digested.join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left").drop("r_page", "r_digest")
     return joined.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_packer(limit), "package string, n_records long, content binary")
 
 
+RECORD_ROWS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _record_rows(package: Package) -> pa.RecordBatch:
+    rows = []
+    for r in package.records():
+        digest, kind = r.headers["warc-payload-digest"].removeprefix("sha256:"), r.headers["warc-type"]
+        size, refers = int(r.http["content-length"]), page_of(r.headers.get("warc-refers-to"))
+        if kind == "response":
+            size, found = len(r.payload), hashlib.sha256(r.payload).hexdigest()
+            if found != _hex(digest):
+                raise ArchiveError(f"the payload of {r.headers['warc-record-id']} has another digest")
+        rows.append((page_of(r.headers["warc-record-id"]), r.headers.get("warc-target-uri"), size, _hex(digest), kind, refers))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
 def read_packages(packages: DataFrame, column: str = "content") -> DataFrame:
     """``(page_id, url, payload_bytes, payload_digest, record_type, refers_to)`` of every record.
 
     ``packages`` may be the table of ``write_packages`` or files that
     ``spark.read.format("binaryFile")`` found. Payloads of responses are digested again and
-    must have the digest of their record.
+    must have the digest of their record. Null contents have no records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(whole.num_rows):
-                content, rows = whole.column(0)[i].as_py(), []
-                for r in Package.of_bytes(content).records() if content is not None else ():
-                    digest, kind = r.headers["warc-payload-digest"].removeprefix("sha256:"), r.headers["warc-type"]
-                    size, refers = int(r.http["content-length"]), page_of(r.headers.get("warc-refers-to"))
-                    if kind == "response":
-                        size, found = len(r.payload), hashlib.sha256(r.payload).hexdigest()
-                        if found != _hex(digest):
-                            raise ArchiveError(f"the payload of {r.headers['warc-record-id']} has another digest")
-                    rows.append((page_of(r.headers["warc-record-id"]), r.headers.get("warc-target-uri"), size, _hex(digest), kind, refers))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return packages.select(F.col(column)).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+                content = whole.column(0)[i].as_py()
+                if content is not None:
+                    yield _record_rows(Package.of_bytes(content))
+
+    return packages.select(F.col(column)).mapInArrow(run, RECORD_ROWS)
+
+
+def read_files(paths: DataFrame, column: str = "path") -> DataFrame:
+    """The same rows of package files of any size, named by paths that the workers see (a shared mount); only ranges are read. Null paths have no records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for path in whole.column(0).to_pylist():
+                if path is not None:
+                    yield _record_rows(Package.of_file(path.removeprefix("file://")))
+
+    return paths.select(F.col(column).cast("string")).mapInArrow(run, RECORD_ROWS)
 
 
 def _hex(digest: str) -> str:
