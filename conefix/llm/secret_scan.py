@@ -5,8 +5,10 @@ with their surroundings, native functions turn each into features (length,
 character transitions, dictionary coverage, path, neighbouring words), and a random
 forest of MLlib, trained from labelled findings, gives the probability of a secret.
 
-The labelled findings are a table (value, before, after, path, label). Where none is
-given, ``example_findings`` makes ``FINDINGS`` of them by rule. A candidate that occurs
+The labelled findings are a table (value, before, after, path, label), of which a hash
+sample of at most ``FINDINGS`` rows is read, half of each label. A label without rows is
+filled from ``example_findings``, which makes labelled findings by rule; so an empty table
+or one of a single label trains a forest too. A candidate that occurs
 several times in a document is one row with its first place and its number of
 occurrences. Null and empty texts have no candidates; rows of one doc_id are scanned
 each for itself; a null path is empty.
@@ -20,9 +22,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conefix.session import Scratch
+
 #: Labelled findings that the forest is trained from where none are given; also the most it reads of a given table.
 FINDINGS = 6000
 TREES, DEPTH, SEED = 24, 8, 17
+#: Size of the found secrets up to which they may be broadcast to the texts.
+BROADCAST_BYTES = 8 << 20
 #: Characters before and after a candidate that count as its neighbourhood.
 NEAR = 48
 
@@ -177,16 +183,26 @@ def example_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     )
 
 
-
 def _vectors(rows: DataFrame) -> DataFrame:
     made = features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.coalesce("path", F.lit("")))
     return VectorAssembler(inputCols=[f"f_{n}" for n in made], outputCol="features").transform(rows.withColumns({f"f_{n}": c for n, c in made.items()})).drop(*(f"f_{n}" for n in made))
 
 
+def sample(findings: DataFrame, n: int = FINDINGS) -> DataFrame:
+    """At most n labelled findings, half of each label, those with the least hash; missing values and labels do not count."""
+    rows = findings.where("value IS NOT NULL AND label IN (0, 1)").select("value", "before", "after", "path", F.col("label").cast("int").alias("label"))
+    order = F.xxhash64("value", "before", "after", "path")
+    halves = []
+    for label in (0, 1):
+        half = rows.where(F.col("label") == label).orderBy(order, "value", "before", "after", "path").limit(n // 2)
+        halves.append(half if not half.isEmpty() else example_findings(findings.sparkSession, n).where(F.col("label") == label))
+    return halves[0].unionByName(halves[1])
+
+
 def train(findings: DataFrame) -> RandomForestClassificationModel:
     """The forest of a table of labelled findings, of which it reads ``FINDINGS`` rows at most."""
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return forest.fit(_vectors(findings.limit(FINDINGS)).select("features", F.col("label").cast("double").alias("label")))
+    return forest.fit(_vectors(sample(findings)).select("features", F.col("label").cast("double").alias("label")))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
@@ -199,10 +215,16 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "do
 def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """All documents in all their columns; each secret in a text is replaced by its kind.
 
-    Longer values are replaced first. ``n_chars``, where there is one, follows the text.
+    Longer values are replaced first. ``n_chars``, where there is one, follows the text. The
+    secrets are found and written first; texts are shuffled to them only where they hold more
+    than ``BROADCAST_BYTES``.
     """
+    scratch = Scratch(docs.sparkSession, "secrets")
     found = scan(docs, model, key, text, path).where("is_secret").select(F.col("doc_id").alias("\0key"), F.struct(F.char_length("value").alias("n"), "value", "kind").alias("s"))
-    listed = found.groupBy("\0key").agg(F.sort_array(F.collect_set("s"), asc=False).alias("\0secrets"))
+    listed = scratch.save(found.groupBy("\0key").agg(F.sort_array(F.collect_set("s"), asc=False).alias("\0secrets")), "found")
+    held = listed.agg(F.sum(F.aggregate("\0secrets", F.lit(0).cast("long"), lambda n, x: n + x["n"] + 64)).alias("n")).first()["n"] or 0
+    if held <= BROADCAST_BYTES:
+        listed = F.broadcast(listed)
     joined = docs.join(listed, F.col(key).eqNullSafe(F.col("\0key")), "left")
     clean = F.aggregate(F.col("\0secrets"), F.col(text), lambda t, s: F.replace(t, s["value"], F.concat(F.lit("[secret:"), s["kind"], F.lit("]"))))
     has = F.col("\0secrets").isNotNull()
