@@ -1,27 +1,37 @@
 """Main text of web pages: site templates are found by subtrees that recur across a host.
 
 A page is parsed into a tree with the usual repairs (implied end tags, void and raw
-elements, markup that breaks off). The first pass hashes the subtrees of the
-blocks that may be template (a Merkle hash of tags, classes and text), and Spark
-counts on how many different pages of its host each occurs. The second pass
-extracts text, without those subtrees and without what its element, role or
-class names as menu, header, footer, sidebar, notice, advert, form or reader comment.
-
-Where a page has an article (or, without one, a main element), only its content
-counts; else the body does. Recurring subtrees are removed within an article too, unless
-those with paragraphs or headings hold most of its text: then the article itself is
-syndicated, and only containers without paragraphs or headings go. Headings, list items
-and cells of their own, and inline elements, are no subtrees to remove.
+elements, markup that breaks off). One pass from the leaves up gives every subtree two
+hashes: of its content (tags, classes and words) and of its shape (tags and classes, like
+neighbours once, without words). Spark counts on how many different pages of its host each
+occurs. Subtrees whose content recurs are template. So are those whose shape recurs, if
+half of their words are links or their element, role or class names something else than
+main text: menus, adverts and footers differ in words from page to page, not in shape.
+
+Where a page has articles (or, without one, main elements), only their content counts; else
+the body does. Recurring content is removed within an article too, unless subtrees with
+paragraphs or headings hold most of its text: then the article itself is syndicated, and
+only containers without paragraphs or headings go. Headings, list items and cells of their
+own, and inline elements, are no subtrees to remove. Lists of links within an article stay,
+and so do its plain paragraphs: a sentence that many articles repeat is text of each.
 Identical pages count once, so copies of a page do not make it a template.
 
+What no recurrence shows, as on hosts of few pages, names decide: elements and roles that
+are never main text, and clear class names like navbar or cookie. Names that a section of
+an article may have as well (discussion, legal, related) count only where the shape recurs
+or links prevail, and outside of articles.
+
 Null and empty html have an empty text. Null page_ids and urls are rows like others;
-pages whose url has no host share the empty host; repeated rows give repeated rows.
+pages whose url has no host share the empty host; repeated rows give repeated rows. All
+steps are linear in the size of a page, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,12 +76,18 @@ IMPLIED = {
 DROPPED = frozenset("head script style noscript template nav footer aside form button select option input textarea iframe svg canvas object dialog menu title audio video map datalist math noembed noframes".split())
 CONTAINERS = frozenset("div section ul ol dl table nav header footer aside form p blockquote pre center figure details".split())
 HOLDS_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main".split())
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|crumbs|sidebar|side-?bar|rail|footer|masthead|site-?header|page-?header|top-?bar|toolbar|ad|ads|adv|advert|adverts|advertisement|"
-    r"advertising|adsbygoogle|banner|promo|promotion|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notices|alert|popup|pop-?up|modal|overlay|newsletter|subscribe|"
-    r"subscription|signup|login|search|share|sharing|social|related|recommended|recommendations|teaser|trending|comment|comments|comment-?list|discussion|disqus|responses|replies|respond|reply|"
-    r"pagination|pager|widget|skip-?link|copyright|legal|disclaimer|hidden|visually-hidden|sr-only|print-only|noprint)(?:$|[\s_-])"
+#: Class names that are never main text, and those that a part of an article may have too.
+_SURE = re.compile(
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|crumbs|sidebar|side-?bar|footer|masthead|site-?header|page-?header|top-?bar|ad|ads|adv|advert|adverts|advertisement|"
+    r"advertising|adsbygoogle|promo|promotion|sponsor|sponsored|cookie|cookies|consent|gdpr|popup|pop-?up|modal|overlay|newsletter|subscribe|"
+    r"subscription|comments|comment|comment-?list|disqus|pagination|pager|skip-?link|hidden|visually-hidden|sr-only|print-only|noprint)(?:$|[\s_-])"
+)
+_MAYBE = re.compile(
+    r"(?:^|[\s_-])(?:rail|toolbar|banner|notice|notices|alert|signup|login|search|share|sharing|social|related|recommended|recommendations|teaser|trending|discussion|responses|"
+    r"replies|respond|reply|widget|copyright|legal|disclaimer)(?:$|[\s_-])"
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_INLINE = frozenset("b i em strong span u s small sub sup mark font code abbr cite q label time br wbr img".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -79,25 +95,57 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "depth", "exact", "shape", "words", "linked", "holds")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.depth = 0 if parent is None else parent.depth + 1
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.attrs)} if self.attrs.strip(" /") else {}
 
 
+class Open:
+    """The open elements of a page, by tag, so that no repair has to walk up the tree."""
+
+    def __init__(self, root: Node):
+        self.here = root
+        self.by_tag: dict[str, list[Node]] = defaultdict(list)
+
+    def enter(self, node: Node) -> None:
+        self.by_tag[node.tag].append(node)
+        self.here = node
+
+    def deepest(self, tags) -> Node | None:
+        return max((self.by_tag[t][-1] for t in tags if self.by_tag.get(t)), key=lambda n: n.depth, default=None)
+
+    def close(self, node: Node | None) -> None:
+        """Ends an open element and all within it."""
+        if node is not None:
+            while self.here is not node.parent:
+                self.by_tag[self.here.tag].pop()
+                self.here = self.here.parent
+
+    def topmost(self, tags, below: int) -> Node | None:
+        """The outermost open element of these tags that is deeper than a depth."""
+        found = []
+        for tag in tags:
+            held = self.by_tag.get(tag) or ()
+            i = bisect_right(held, below, key=lambda n: n.depth)
+            found += held[i : i + 1]
+        return min(found, key=lambda n: n.depth, default=None)
+
+
 def parse(text: str) -> Node:
     """The tree of a page; texts among its children are strings, undecoded."""
-    root = here = Node("#root", "", None)
-    at, n, lower = 0, len(text), None
+    root = Node("#root", "", None)
+    open_, at, n, lower = Open(root), 0, len(text), None
     while at < n:
         tag = text.find("<", at)
         if tag < 0:
             tag = n
         if tag > at:
-            here.children.append(text[at:tag])
+            open_.here.children.append(text[at:tag])
         if tag == n:
             break
         found = _TAG.match(text, tag) or _LOOSE.match(text, tag)
@@ -112,33 +160,24 @@ def parse(text: str) -> Node:
             elif follows.isalpha() and follows.isascii():
                 break  # a tag that the end of the page cuts off
             else:
-                here.children.append("<")
+                open_.here.children.append("<")
                 at = tag + 1
             continue
         at = found.end()
         name = found[2].lower()
         if found[1]:
-            node = here
-            while node.parent is not None and node.tag != name:
-                node = node.parent
-            if node.parent is not None:
-                here = node.parent
+            open_.close(open_.deepest((name,)))
             continue
         if name in ENDS_P:
-            node = here
-            while node.parent is not None and node.tag not in ("p", "button", "table", "td", "th"):
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
+            nearest = open_.deepest(("p", "button", "table", "td", "th"))
+            if nearest is not None and nearest.tag == "p":
+                open_.close(nearest)
         if name in IMPLIED:
             ends, stops = IMPLIED[name]
-            node = here
-            while node.parent is not None and node.tag not in stops:
-                if node.tag in ends:
-                    here = node.parent
-                node = node.parent
-        node = Node(name, found[3], here)
-        here.children.append(node)
+            stop = open_.deepest(stops)
+            open_.close(open_.topmost(ends, stop.depth if stop is not None else -1))
+        node = Node(name, found[3], open_.here)
+        open_.here.children.append(node)
         if name in RAW:
             if lower is None:
                 lower = text.lower()
@@ -151,52 +190,81 @@ def parse(text: str) -> Node:
             close = text.find(">", end)
             at = n if close < 0 else close + 1
         elif name not in VOID and not (found[3].endswith("/") and name in ("path", "circle", "rect", "use", "line", "g")):
-            here = node
+            open_.enter(node)
     return root
 
 
-def boilerplate(node: Node, in_article: bool) -> bool:
-    """Whether an element is named as something other than main text."""
+def named(node: Node, in_article: bool) -> str | None:
+    """Whether an element is named as something other than main text: "sure", "maybe" or None."""
     tag = node.tag
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return "sure"
     if not node.attrs.strip(" /") or tag in ("html", "body", "#root", "main"):
-        return False
+        return None
     a = node.attributes()
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _ROLES or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-        return True
-    return bool(_NAMED.search(f"{a.get('class', '')} {a.get('id', '')}".lower()))
+        return "sure"
+    if in_article and tag in _HEADINGS:
+        return None
+    words = f"{a.get('class', '')} {a.get('id', '')}".lower()
+    return "sure" if _SURE.search(words) else "maybe" if _MAYBE.search(words) else None
+
 
+def _number(parts: list[bytes]) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(b"\x1f".join(parts)), "big", signed=True)
 
-def digests(tree: Node) -> dict[int, int]:
-    """By id of a node, a hash of its subtree: its tag and class, its words and its children's hashes in order."""
+
+def measure(tree: Node) -> None:
+    """Gives every element, from the leaves up, its two hashes, its words, those of them in links, and whether it holds paragraphs or headings."""
     order, stack = [], [tree]
     while stack:
         top = stack.pop()
         order.append(top)
         stack += [c for c in top.children if isinstance(c, Node)]
-    done: dict[int, bytes] = {}
     for top in reversed(order):
-        parts = [f"{top.tag}|{top.attributes().get('class', '') if top.attrs else ''}".encode()]
+        name = f"{top.tag}|{top.attributes().get('class', '') if top.attrs else ''}".encode()
+        content, shape = [name], [name]
+        top.words = top.linked = 0
+        top.holds = top.tag in HOLDS_TEXT
         for child in top.children:
-            parts.append(done[id(child)] if isinstance(child, Node) else " ".join(child.split()).encode("utf-8", "replace"))
-        done[id(top)] = xxhash.xxh64_digest(b"\x1f".join(parts))
-    return {k: int.from_bytes(v, "big", signed=True) for k, v in done.items()}
+            if isinstance(child, Node):
+                content.append(child.exact)
+                top.words += child.words
+                top.linked += child.linked
+                top.holds = top.holds or child.holds
+                mark = child.shape
+            else:
+                split = child.split()
+                content.append(" ".join(split).encode("utf-8", "replace"))
+                top.words += len(split)
+                mark = b"#" if split else b""
+            if mark and shape[-1] != mark:
+                shape.append(mark)
+        top.exact = xxhash.xxh64_digest(b"\x1f".join(content))
+        top.shape = (b"#" if top.words else b"") if top.tag in _INLINE else xxhash.xxh64_digest(b"\x1f".join(shape))
+        if top.tag in RAW:
+            top.words = 0
+        elif top.tag == "a":
+            top.linked = top.words
 
 
-def _holds_text(node: Node) -> bool:
-    stack: list[Node | str] = [node]
-    while stack:
-        top = stack.pop()
-        if isinstance(top, Node):
-            if top.tag in HOLDS_TEXT:
-                return True
-            stack += top.children
-    return False
+def linky(node: Node) -> bool:
+    """Whether half of an element's words are links."""
+    return 0 < node.words <= 2 * node.linked
+
+
+def content_key(node: Node) -> int:
+    return _number([b"content", node.exact])
+
+
+def shape_key(node: Node) -> int | None:
+    """The number under which a subtree's shape is counted; None where a recurring shape says nothing."""
+    why = named(node, False) or ("links" if linky(node) else None)
+    return None if why is None else _number([b"shape", why.encode(), node.shape])
 
 
-def removed(root: Node, template: frozenset[int] | set[int], known: dict[int, int], inside: bool) -> set[int]:
-    """Ids of the nodes below a root that are template; see above for those of an article."""
+def removed(root: Node, template: frozenset[int] | set[int], inside: bool) -> set[int]:
+    """Ids of the nodes below a root whose content is template; see above for those of an article."""
     found, held = set(), set()
     total = recurring = 0
     stack: list[tuple[Node | str, bool]] = [(c, False) for c in root.children]
@@ -207,10 +275,11 @@ def removed(root: Node, template: frozenset[int] | set[int], known: dict[int, in
             total += size
             recurring += size * counted
             continue
-        if boilerplate(node, inside):
+        if named(node, inside) == "sure":
             continue
-        if node.tag in CONTAINERS and known[id(node)] in template:
-            if root.tag in ("body", "#root") or not _holds_text(node):
+        plain = inside and node.tag == "p" and not node.attrs.strip(" /")
+        if node.tag in CONTAINERS and not plain and content_key(node) in template:
+            if root.tag in ("body", "#root") or not node.holds:
                 found.add(id(node))
                 continue
             held.add(id(node))
@@ -221,38 +290,50 @@ def removed(root: Node, template: frozenset[int] | set[int], known: dict[int, in
 
 def roots(tree: Node) -> list[Node]:
     """The elements whose content is main text: articles, else main elements, else the body or the whole page."""
-    articles, mains, bodies, stack = [], [], [], [tree]
+    articles, mains, bodies = [], [], []
+    stack = [(tree, False)]
     while stack:
-        node = stack.pop()
-        if node is not tree and boilerplate(node, False) and node.tag != "header":
+        node, within = stack.pop()
+        if node is not tree and named(node, False) == "sure" and node.tag != "header":
             continue
-        if node.tag == "article" or node.attrs and node.attributes().get("role") == "article":
+        role = node.attributes().get("role") if node.attrs else None
+        if node.tag == "article" or role == "article":
             articles.append(node)
             continue
-        if node.tag == "main" or node.attrs and node.attributes().get("role") == "main":
-            mains.append(node)
+        if node.tag == "main" or role == "main":
+            if not within:
+                mains.append(node)
+            within = True
         elif node.tag == "body":
             bodies.append(node)
-        stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-    return articles or mains[:1] or bodies or [tree]
+        stack += [(c, within) for c in reversed(node.children) if isinstance(c, Node)]
+    return articles or mains or bodies or [tree]
 
 
 def subtrees(tree: Node) -> set[int]:
-    """Hashes of all subtrees of a page that may be template."""
-    known, found, stack = digests(tree), set(), [tree]
+    """Numbers of all subtrees of a page that may be template, by content and by shape."""
+    measure(tree)
+    found, stack = set(), [tree]
     while stack:
         node = stack.pop()
         if node.tag in RAW or node.tag == "head":
             continue
         if node.tag in CONTAINERS:
-            found.add(known[id(node)])
+            found.add(content_key(node))
+            key = shape_key(node)
+            if key is not None:
+                found.add(key)
         stack += [c for c in node.children if isinstance(c, Node)]
     return found
 
 
-def extract(text: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page: a line for each block, white space within it made single."""
+def extract(text: str, template: frozenset[int] | set[int] = frozenset(), names: bool = True) -> str:
+    """The main text of a page: a line for each block, white space within it made single.
+
+    Without ``names`` only recurrence decides: the whole body counts, less what is template.
+    """
     tree = parse(text)
+    measure(tree)
     lines: list[str] = []
     inline: list[str] = []
 
@@ -263,10 +344,18 @@ def extract(text: str, template: frozenset[int] | set[int] = frozenset()) -> str
                 lines.append(line)
             inline.clear()
 
-    known = digests(tree) if template else {}
-    for root in roots(tree):
-        inside = root.tag in ("article", "main")
-        gone = removed(root, template, known, inside) if template else ()
+    for root in roots(tree) if names else [tree]:
+        inside = root.tag not in ("body", "#root")
+        gone = removed(root, template, inside) if template else ()
+
+        def out(node: Node) -> bool:
+            if id(node) in gone or not names and (node.tag in RAW or node.tag == "head"):
+                return True
+            why = named(node, inside)
+            if names and (why == "sure" or why == "maybe" and (linky(node) or not inside)):
+                return True
+            return node.tag in CONTAINERS and bool(template) and (why is not None or linky(node) and not inside) and shape_key(node) in template
+
         stack: list[Node | str | None] = [root]
         while stack:
             node = stack.pop()
@@ -274,7 +363,7 @@ def extract(text: str, template: frozenset[int] | set[int] = frozenset()) -> str
                 flush()
             elif isinstance(node, str):
                 inline.append(node)
-            elif node is not root and (id(node) in gone or boilerplate(node, inside)):
+            elif node is not root and out(node):
                 if node.tag in BLOCKS:
                     flush()
             elif node.tag in ("br", "hr", "wbr", "img"):
