@@ -13,14 +13,16 @@ Buckets above ``BUCKET_ROWS`` are dealt as pairs of chunks over several tasks,
 so all of their links are still found.
 
 Nulls and texts without words have the zero sketch and are alike. Rows with a
-null doc_id get a sketch and the component of that sketch.
+null doc_id get a sketch and the component of that sketch. Ids keep their type.
 
 ``keep_first`` deletes by the exact Jaccard similarity of shingle sets. Two sets of at
 least that similarity share one of their first shingles in any common order (prefix
-filter), so buckets of such shingles lose no pair; within a bucket sketches six
-standard deviations beyond the bound are put aside, or, for sets too small for a
-sketch, the sets themselves are compared. What is left forms clusters, and within a
-cluster every link is confirmed on the sets before it counts.
+filter), so buckets of such shingles lose no pair. The order puts shingles last whose
+place in a table of counts over all documents is full, so that common passages make no
+buckets. Within a bucket the bit-sliced comparison puts sketches aside that are six
+standard deviations beyond the bound; sets too small for a sketch are compared
+themselves. What is left forms clusters, and within a cluster every link is confirmed
+on the sets before it counts.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 
 from conefix.llm.arrow import slices, small_batches, values
 from conefix.llm.components import components
+from conefix.llm.skew import join_split
 from conefix.session import Scratch
 
 #: Rows of one bucket that one task compares; larger buckets are cut into chunks.
@@ -48,6 +51,8 @@ BLOCK_ROWS = 256
 TILE_ROWS = 512
 #: Rows up to which the table of oversized buckets may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Bits of a shingle's hash that are its place in the table of counts; the table's size is fixed by it.
+COUNT_BITS = 20
 #: Sets below this many shingles are compared themselves, as a sketch of few votes says little.
 SMALL_SET = 64
 #: Rows and shingles of a cluster that one task confirms against one another; larger clusters are cut into chunks.
@@ -69,6 +74,8 @@ class Scheme:
     words: words of a shingle. lanes: 64-bit words of a sketch. radius: largest
     number of differing bits. distinct: whether a repeated shingle votes once.
     similarity: the Jaccard similarity of shingle sets that ``keep_first`` confirms.
+    width: bits of a probe key where the radius is too large for an exact choice of
+    runs; wider keys make smaller buckets and find fewer pairs.
     """
 
     words: int = 3
@@ -76,13 +83,14 @@ class Scheme:
     radius: int = 3
     distinct: bool = False
     similarity: float = 0.8
+    width: int = 16
 
     def masks(self) -> list[list[tuple[int, int]]]:
         """Per probe table, the (first bit, bits) runs that two close sketches may share.
 
         With radius r, the bits are cut into r + 2 runs: of these at least two
         are untouched, so each pair of runs is a table and no close pair is
-        lost. Above radius 8 the tables are runs of 16 bits; then a pair is found
+        lost. Above radius 8 the tables are runs of ``width`` bits; then a pair is found
         with the probability given in ``recall``.
         """
         bits = 64 * self.lanes
@@ -90,13 +98,13 @@ class Scheme:
             cuts = [bits * i // (self.radius + 2) for i in range(self.radius + 3)]
             runs = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
             return [list(x) for x in combinations(runs, 2)]
-        return [[(i, 16)] for i in range(0, bits, 16)]
+        return [[(i, self.width)] for i in range(0, bits - self.width + 1, self.width)]
 
     def recall(self, similarity: float) -> float:
-        """Probability that a pair of this Jaccard similarity shares a probe table."""
-        if self.radius <= 8:
-            return 1.0
-        return 1 - (1 - (1 - turn_of(similarity)) ** 16) ** len(self.masks())
+        """Probability that ``near_duplicates`` links a pair of this Jaccard similarity: within the radius, and with a probe table in common."""
+        p, bits = turn_of(similarity), 64 * self.lanes
+        within = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(self.radius + 1))
+        return within if self.radius <= 8 else within * (1 - (1 - (1 - p) ** self.width) ** len(self.masks()))
 
 
 def turn_of(similarity: float) -> float:
@@ -253,7 +261,8 @@ def sketch_documents(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in out], pa.binary())], ["doc_id", "sketch"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, sketch binary")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sketch binary")
 
 
 def _probe(scheme: Scheme, with_sketch: bool):
@@ -346,14 +355,23 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     return spread.mapInArrow(_linker(scheme.radius), "u long, v long")
 
 
+def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes(node, doc_id, copies)`` and ``roots(node, root)`` -> ``(node, component_id, n)``: the least doc_id of each node's component."""
+    named = nodes.select("node", "doc_id", "copies").join(roots, "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root"))
+    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    return join_split(named.select("node", "copies", "root"), first, "root", nodes.count()).select("node", "component_id", F.col("copies").alias("n"))
+
+
 def near_duplicates(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, sketch, component_id)``: the smallest doc_id that links reach, itself included."""
     scratch = Scratch(docs.sparkSession, "simhash")
     held = scratch.save(sketch_documents(docs, scheme, key, text), "sketches")
-    nodes = scratch.save(held.groupBy("sketch").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(links(nodes.where("node IS NOT NULL"), scheme), scratch)
-    named = nodes.join(roots, "node", "left").select("sketch", F.coalesce("root", "node").alias("component_id"))
-    return held.join(named, "sketch").select("doc_id", "sketch", "component_id")
+    # A sketch of one word is its own number; wider ones are numbered by a hash.
+    number = F.conv(F.hex("sketch"), 16, -10).cast("long") if scheme.lanes == 1 else F.xxhash64("sketch")
+    nodes = scratch.save(held.groupBy("sketch").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("node", number), "nodes")
+    roots = components(links(nodes.select("node", "sketch"), scheme), scratch)
+    named = scratch.save(nodes.select("node", "sketch").join(_named(nodes, roots), "node").select("sketch", "component_id", "n"), "named")
+    return join_split(held, named, "sketch", held.count()).select("doc_id", "sketch", "component_id")
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -378,12 +396,6 @@ def _tree(n: int, near) -> tuple[list[int], list[int]]:
     return tails, heads
 
 
-def near_sketches(payload: list[bytes], radius: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the sketches within ``radius`` differing bits."""
-    words = np.frombuffer(b"".join(payload), dtype=np.uint64).reshape(len(payload), -1)
-    return _tree(len(payload), lambda row, rest: np.bitwise_count(words[rest] ^ words[row]).sum(axis=1, dtype=np.int64) <= radius)
-
-
 def near_sets(payload: list[bytes], similarity: float) -> tuple[list[int], list[int]]:
     """A spanning forest of the sets of at least this Jaccard similarity."""
     sets = [np.frombuffer(x, dtype=np.uint64) for x in payload]
@@ -406,9 +418,34 @@ def near_sets(payload: list[bytes], similarity: float) -> tuple[list[int], list[
     return _tree(len(sets), near)
 
 
-def _set_rows(scheme: Scheme):
+def shingle_weights(rows: DataFrame, scheme: Scheme) -> np.ndarray:
+    """How full each place of the table of counts is: 0 below twice the mean, then one more with each doubling. Counted over all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = hashes(values(batch, "text"), scheme)
+                if found:
+                    total += np.bincount((np.concatenate(found) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+        full = np.flatnonzero(total)
+        for a in range(0, len(full), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(full[a : a + 100_000]), pa.array(total[full[a : a + 100_000]])], ["place", "n"])
+
+    counts = rows.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    n[counts.column("place").to_numpy()] = counts.column("n").to_numpy()
+    mean = max(float(n.mean()), 1.0)
+    return np.floor(np.log2(np.maximum(n / mean, 1.0))).astype(np.uint8)
+
+
+def _set_rows(scheme: Scheme, weights: np.ndarray):
     """doc_id, node (a digest of the set), n, the first shingles, a sketch (larger sets) or the set (smaller ones)."""
 
+    def first(x: np.ndarray) -> np.ndarray:
+        order = np.lexsort((x, weights[(x >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+        return x[order[: prefix_size(len(x), scheme.similarity)]].view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -418,7 +455,7 @@ def _set_rows(scheme: Scheme):
                     batch.column("doc_id"),
                     pa.array([_node(x) for x in sets], pa.int64()),
                     pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([x[: prefix_size(len(x), scheme.similarity)].view(np.int64) for x in sets], pa.list_(pa.int64())),
+                    pa.array([first(x) for x in sets], pa.list_(pa.int64())),
                     pa.array([p.tobytes() if len(x) >= SMALL_SET else None for x, p in zip(sets, prints, strict=True)], pa.binary()),
                     pa.array([x.tobytes() if len(x) * scheme.similarity < SMALL_SET + 1 else None for x in sets], pa.binary()),
                 ]
@@ -459,7 +496,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(compare):
-    """Sorted (bucket, lo, hi, node, payload) -> links within each group."""
+    """Sorted (key, lo, hi, node, sketch) -> links within each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out_u, out_v = None, {}, [], []
@@ -473,8 +510,8 @@ def _compared(compare):
             held.clear()
 
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "lo", "hi")), strict=True)
-            for own, node, payload in zip(keys, batch.column("node").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi")), strict=True)
+            for own, node, payload in zip(keys, batch.column("node").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
                 if own != key:
                     close()
                     key = own
@@ -487,8 +524,8 @@ def _compared(compare):
     return run
 
 
-def _linked(groups: DataFrame, payloads: DataFrame, compare, parts) -> DataFrame:
-    """``groups(bucket, node, n)`` and ``payloads(node, payload)`` -> links; groups of several ``parts`` are dealt as pairs of chunks."""
+def _linked(groups: DataFrame, payloads: DataFrame, run, parts) -> DataFrame:
+    """``groups(bucket, node, n)`` and ``payloads(node, sketch)`` -> links by the Arrow function ``run``; groups of several ``parts`` are dealt as pairs of chunks."""
     wide = groups.groupBy("bucket").agg(F.ceil(parts).cast("int").alias("parts")).where("parts > 1")
     if wide.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wide = F.broadcast(wide)
@@ -500,7 +537,7 @@ def _linked(groups: DataFrame, payloads: DataFrame, compare, parts) -> DataFrame
         .select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node")
     )
     ready = dealt.join(payloads, "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return ready.select("bucket", "lo", "hi", "node", "payload").mapInArrow(_compared(compare), "u long, v long")
+    return ready.select(F.lit(0).alias("tab"), F.col("bucket").alias("key"), "lo", "hi", "node", "sketch").mapInArrow(run, "u long, v long")
 
 
 def _set_of(scheme: Scheme):
@@ -509,31 +546,31 @@ def _set_of(scheme: Scheme):
             for batch in slices(whole, "text"):
                 sets = [np.sort(x) for x in hashes(values(batch, "text"), scheme)]
                 same = pa.array([_node(x) == node for x, node in zip(sets, batch.column("node").to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "payload"]).filter(same)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "sketch"]).filter(same)
 
     return run
 
 
 def similar(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, component_id)``: the smallest doc_id that links of at least ``scheme.similarity`` reach, for rows with a doc_id."""
-    scratch, radius, least = Scratch(docs.sparkSession, "similar"), scheme.radius, scheme.similarity
+    scratch, least = Scratch(docs.sparkSession, "similar"), scheme.similarity
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id IS NOT NULL")
-    held = scratch.save(rows.mapInArrow(_set_rows(scheme), "doc_id long, node long, n long, first array<bigint>, sketch binary, members binary"), "held")
-    nodes = scratch.save(held.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "first", "sketch", "members"))), "nodes")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id IS NOT NULL")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    held = scratch.save(rows.mapInArrow(_set_rows(scheme, shingle_weights(rows, scheme)), f"doc_id {kind}, node long, n long, first array<bigint>, sketch binary, members binary"), "held")
+    nodes = scratch.save(held.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "first", "sketch", "members"))), "nodes")
     shared = nodes.select("node", F.explode("first").alias("token")).repartition("token").sortWithinPartitions("token", "node")
     groups = scratch.save(shared.mapInArrow(_buckets, "bucket long, node long").distinct(), "buckets")
-    by_sketch = _linked(groups, nodes.where("sketch IS NOT NULL").select("node", F.col("sketch").alias("payload")), lambda x: near_sketches(x, radius), F.count("*") / BUCKET_ROWS)
-    by_set = _linked(groups, nodes.where("members IS NOT NULL").select("node", F.col("members").alias("payload")), lambda x: near_sets(x, least), F.count("*") / BUCKET_ROWS)
+    by_sketch = _linked(groups, nodes.where("sketch IS NOT NULL").select("node", "sketch"), _linker(scheme.radius), F.count("*") / BUCKET_ROWS)
+    by_set = _linked(groups, nodes.where("members IS NOT NULL").select("node", F.col("members").alias("sketch")), _compared(lambda x: near_sets(x, least)), F.count("*") / BUCKET_ROWS)
     reached = scratch.save(components(by_sketch.unionByName(by_set), scratch, "candidates"), "clusters")
     member = reached.select("node", F.col("root").alias("bucket")).unionByName(reached.select(F.col("root").alias("node"), F.col("root").alias("bucket")).distinct())
     member = scratch.save(member.join(nodes.select("node", "n", "doc_id"), "node"), "members")
-    sets = rows.join(member.select("doc_id", "node"), "doc_id").select("node", "text").mapInArrow(_set_of(scheme), "node long, payload binary")
+    sets = rows.join(member.select("doc_id", "node"), "doc_id").select("node", "text").mapInArrow(_set_of(scheme), "node long, sketch binary")
     parts = F.greatest(F.count("*") / CLUSTER_ROWS, F.sum("n") / CLUSTER_SHINGLES)
-    roots = components(_linked(member.select("bucket", "node", "n"), sets, lambda x: near_sets(x, least), parts), scratch, "confirmed")
-    named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return held.select("doc_id", "node").join(named.select("node", "root").join(first, "root"), "node").select("doc_id", "component_id")
+    confirmed = _linked(member.select("bucket", "node", "n"), sets, _compared(lambda x: near_sets(x, least)), parts)
+    named = scratch.save(_named(nodes, components(confirmed, scratch, "confirmed")), "named")
+    return join_split(held.select("doc_id", "node"), named, "node", held.count()).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "text") -> DataFrame:
