@@ -77,6 +77,38 @@ def test_media_tables(spark):
     assert M.store_and_read(docs.limit(0)).count() == 0
 
 
+def test_broken_media_have_a_row_with_their_error(spark):
+    open_void = M.CUES.to_bytes(4, "big") + b"\xff"
+    nested = M._HEAD + M.SEGMENT.to_bytes(4, "big") + b"\xff" + open_void * 3000
+    silent = M.element(M.TRACKS, M.element(M.TRACK_ENTRY, M.uint(M.TRACK_NUMBER, 1) + M.element(M.AUDIO, M.element(M.SAMPLING, struct.pack(">d", 8000.0)) + M.uint(M.CHANNELS, 0) + M.uint(M.BIT_DEPTH, 8))))
+    cluster = M.element(M.CLUSTER, M.uint(M.TIMESTAMP, 1) + M.element(M.SIMPLE_BLOCK, block(1, 0, 0x84, b"\x01abcd")))
+    late = M.element(M.CLUSTER, M.uint(M.TIMESTAMP, 2**63) + M.element(M.SIMPLE_BLOCK, block(1, 0, 0x80, b"x")))
+    whole = M.mux(M.padded(b"abc" * 500))
+    files = {1: nested, 2: M._HEAD + M.element(M.SEGMENT, silent + cluster), 3: M._HEAD + M.element(M.SEGMENT, M._TRACK + late), 4: b"", **{10 + k: whole[: len(whole) * k // 20] for k in range(1, 20)}}
+    rng = random.Random(5)
+    for k in range(40, 80):
+        noisy = bytearray(whole)
+        for _ in range(5):
+            noisy[rng.randrange(len(noisy))] = rng.randrange(256)
+        files[k] = bytes(noisy)
+    table = M.packets(spark.createDataFrame(list(files.items()), "doc_id long, media binary")).collect()
+    errors = {r["doc_id"] for r in table if r["error"] is not None}
+    assert {1, 3, 4} <= errors and 2 not in errors and [r["size"] for r in table if r["doc_id"] == 2] == [2, 2]
+
+
+def test_features_by_their_own_words(spark):
+    """Features against figures that come from the payload alone."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choices("aé~ z", k=n))) for i, n in enumerate([0, 1, 70, 4000, 40_000])]
+    got = {r["doc_id"]: dict(x.split("=") for x in r["feature"].split(";")) for r in M.store_and_read(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        data = text.encode()
+        data += bytes(-len(data) % 64 if data else 64)
+        frames = -(-len(data) // 512)
+        want = {"sum": sum(data), "energy": sum(b * b for b in data), "peak": max(data), "turns": sum((a >= 128) != (b >= 128) for a, b in zip(data, data[1:])), "step": sum(abs(a - b) for a, b in zip(data, data[1:])), "packets": frames, "clusters": -(-frames // 64), "cues": -(-frames // 64), "last_ms": (frames - 1) * 512 // 8}
+        assert {k: int(got[i][k]) for k in want} == want
+
+
 PAGES = [(5, "http://a/\r\nX: 1", "é" * 100), (3, "http://b", "é" * 100), (9, None, "é" * 100), (4, "u", "short"), (6, "u", "short"), (7, "u", None), (8, "u", ""), (10, "u", "<p>\r\n\r\nWARC/1.1\r\n</p>" * 9), (3, "http://b", "é" * 100), (None, "u", "é" * 100), (11, "u", "x" * 99), (12, "u", "x" * 99)]
 
 
@@ -120,8 +152,10 @@ def test_packages_with_comments_and_of_others():
         wacz.Package.of_bytes(b"no archive")
 
 
-def test_archive_table(spark, monkeypatch):
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_archive_table(spark, monkeypatch, bound, tmp_path):
     monkeypatch.setattr(wacz, "PACKAGE_BYTES", 700)
+    monkeypatch.setattr(wacz, "BROADCAST_ROWS", bound)
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2)
     got = sorted((tuple(r) for r in wacz.archive_and_read(pages).drop("url").collect()), key=str)
     first: dict[bytes, int] = {}
@@ -135,3 +169,10 @@ def test_archive_table(spark, monkeypatch):
         want.append((page, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first[raw] if again else None))
     assert got == sorted(want, key=str)
     assert wacz.archive_and_read(pages.limit(0)).count() == 0
+    paths = []
+    for r in wacz.write_packages(pages).collect():
+        paths.append(str(tmp_path / f"{r['package']}.wacz"))
+        with open(paths[-1], "wb") as file:
+            file.write(r["content"])
+    read = wacz.read_files(spark.createDataFrame([(p,) for p in [*paths, None]], "path string")).drop("url")
+    assert sorted((tuple(r) for r in read.collect()), key=str) == got

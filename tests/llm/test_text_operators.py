@@ -129,7 +129,54 @@ def test_near_duplicate_stage_follows_exact_similarity(spark, monkeypatch, chunk
     assert kept == set(root.values()) and 0 < len(rows) - len(kept) < 240
 
 
+def test_near_copies_at_the_bound_are_found(spark):
+    """Pairs at 0.80 to 0.83 of whole sets, against all pairs: at least nine of ten, here all, as every link is exact."""
+    rng, rows = random.Random(15), []
+    for group in range(40):
+        base = [f"b{group}x{i}" for i in range(rng.choice([80, 160, 300]))]
+        rows.append(" ".join(base))
+        n = len(base) - 4
+        tail = int(n * rng.uniform(0.17, 0.2))
+        rows.append(" ".join(base[:-tail]))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in rows]
+    near = [i for i in range(0, 80, 2) if 10 * len(sets[i] & sets[i + 1]) >= 8 * len(sets[i] | sets[i + 1])]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, list(enumerate(rows))), simhash.scheme_for(0.8)).collect()}
+    assert len(near) > 20 and [i for i in near if found[i + 1] != i] == [] and all(found[i + 1] == i + 1 for i in range(0, 80, 2) if i not in near)
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", "one two three four five six", 1), ("a", "one two three four five six", 2), (None, "one two three four five six", 3), ("c", "other words stand here for once", 4)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, sketch int")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs, simhash.Scheme()).collect()}
+    assert got == {("b", "a"), ("a", "a"), (None, "a"), ("c", "c")}
+    assert {r["doc_id"] for r in simhash.keep_first(docs, simhash.scheme_for(0.8)).collect()} == {"a", None, "c"}
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert sorted(str(r["doc_id"]) for r in packing.pack(docs, path).collect()) == ["None", "a", "b", "c"]
+    assert sorted(str(r["doc_id"]) for r in tokens.token_counts(docs, tokenizer_path("word_bpe_49k.json")).collect()) == ["None", "a", "b", "c"]
+    bench = spark.createDataFrame([("q", "one two three"), (None, "other words")], "item_id string, text string")
+    found = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert found == {"b": (3, 1), "a": (3, 1), None: (3, 1), "c": (2, 0)}
+
+
+def test_scheme_recall_counts_radius_and_tables():
+    scheme = simhash.Scheme(words=5, lanes=12, radius=126, distinct=True)
+    assert 0.75 < scheme.recall(0.8) < 0.9 < simhash.scheme_for(0.8).recall(0.8) and simhash.Scheme(radius=200, lanes=12, width=24).recall(0.8) < simhash.Scheme(radius=200, lanes=12).recall(0.8)
+
+
+def test_hubs_are_joined_in_place(spark, monkeypatch):
+    monkeypatch.setattr("conefix.llm.skew.HOT_ROWS", 5)
+    rng = random.Random(2)
+    edges = [(0, i) for i in range(1, 60)] + [(rng.randrange(60, 90), rng.randrange(60, 90)) for _ in range(20)] + [(200, 201)]
+    roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
+    root = {i: i for e in edges for i in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    assert {i: roots.get(i, i) for i in root} == root
+
+
 def test_simhash_of_an_empty_table(spark):
+    assert simhash.keep_first(frame(spark, [(1, "a")]).limit(0), simhash.scheme_for(0.8)).count() == 0
     assert simhash.near_duplicates(frame(spark, [(1, "a")]).limit(0), simhash.Scheme()).count() == 0
 
 
@@ -159,6 +206,15 @@ def test_packing_round_trip(spark):
     assert all(len(r["ids"]) == 4 * r["length"] for r in whole)
 
 
+def test_packing_of_very_long_runs(spark):
+    rows = [(1, " " * 1_200_000), (2, "\n" * 1_200_000), (3, "x" * 200_000), (4, "a b"), (4, "a b")]
+    path = tokenizer_path("byte_bpe_50k.json")
+    slow = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["doc_tokens"] for r in packing.pack(frame(spark, rows), path).collect()}
+    assert got == {i: len(slow.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    assert packing.pack(frame(spark, rows).limit(0), path).count() == 0
+
+
 def test_fast_encoder_equals_the_library():
     path = tokenizer_path("byte_bpe_50k.json")
     slow, fast = Tokenizer.from_file(path), tokens.byte_encoder(path)
@@ -197,12 +253,16 @@ def hit_words(text: str | None, items: list[tuple[int, str | None]]) -> tuple[li
     return hit, found
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 200])
-def test_decontamination_matches_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", chunk)
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_decontamination_matches_brute_force(spark, monkeypatch, bound):
+    """By the broadcast set, and by the join beyond its bound, with hot windows and copies joined in place."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 14)
+    monkeypatch.setattr("conefix.llm.skew.HOT_ROWS", 2)
     rng = random.Random(9)
     items = [(i, " ".join(rng.choice(WORDS) for _ in range(n))) for i, n in enumerate([30, 13, 14, 5, 2, 40, 13])] + [(50, None), (51, "..."), (3, "again the same id")]
     rows = list(enumerate(texts(60, 2)))
+    rows += [(200 + i, rows[6][1]) for i in range(5)] + [(300, None), (301, "")]
     rows += [(100 + i, "intro! " + (t or "").upper() + " … and more " * (20 * i)) for i, (_, t) in enumerate(items)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.contamination(frame(spark, rows), bench).collect()}
