@@ -3,7 +3,8 @@
 Alternates the large-star and small-star steps until every edge points at the
 smallest node of its component. Each round is a plan of joins and partial
 aggregates over a table in the shared folder; the driver sees two numbers a
-round (a count and a checksum), never an edge. The edges of hubs are joined in place.
+round (a count and a checksum), never an edge. Hubs are pre-aggregated before each
+shuffle; joins on them are split by adaptive execution, which keeps the plans small.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conefix.llm.skew import join_split
 from conefix.session import Scratch
 
 #: Rounds after which the loop gives up; the count grows with the logarithm of the longest path.
@@ -36,11 +36,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         if not state[0]:
             break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_split(both.where("v > u"), least, "u", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_split(large, lowest, "u", 2 * state[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
         following = scratch.save(stars, f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")

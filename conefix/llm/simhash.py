@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 
 from conefix.llm.arrow import slices, small_batches, values
 from conefix.llm.components import components
-from conefix.llm.skew import join_split
 from conefix.session import Scratch
 
 #: Rows of one bucket that one task compares; larger buckets are cut into chunks.
@@ -52,7 +51,7 @@ TILE_ROWS = 512
 #: Rows up to which the table of oversized buckets may be broadcast.
 BROADCAST_ROWS = 100_000
 #: Bits of a shingle's hash that are its place in the table of counts; the table's size is fixed by it.
-COUNT_BITS = 20
+COUNT_BITS = 18
 #: Sets below this many shingles are compared themselves, as a sketch of few votes says little.
 SMALL_SET = 64
 #: Rows and shingles of a cluster that one task confirms against one another; larger clusters are cut into chunks.
@@ -356,10 +355,10 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``nodes(node, doc_id, copies)`` and ``roots(node, root)`` -> ``(node, component_id, n)``: the least doc_id of each node's component."""
-    named = nodes.select("node", "doc_id", "copies").join(roots, "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root"))
-    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
-    return join_split(named.select("node", "copies", "root"), first, "root", nodes.count()).select("node", "component_id", F.col("copies").alias("n"))
+    """``nodes(node, doc_id)`` and ``roots(node, root)`` -> ``(node, component_id)``: the least doc_id of each node's component."""
+    named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.select("node", "root").join(first, "root").select("node", "component_id")
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -368,10 +367,10 @@ def near_duplicates(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text:
     held = scratch.save(sketch_documents(docs, scheme, key, text), "sketches")
     # A sketch of one word is its own number; wider ones are numbered by a hash.
     number = F.conv(F.hex("sketch"), 16, -10).cast("long") if scheme.lanes == 1 else F.xxhash64("sketch")
-    nodes = scratch.save(held.groupBy("sketch").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("node", number), "nodes")
+    nodes = scratch.save(held.groupBy("sketch").agg(F.min("doc_id").alias("doc_id")).withColumn("node", number), "nodes")
     roots = components(links(nodes.select("node", "sketch"), scheme), scratch)
-    named = scratch.save(nodes.select("node", "sketch").join(_named(nodes, roots), "node").select("sketch", "component_id", "n"), "named")
-    return join_split(held, named, "sketch", held.count()).select("doc_id", "sketch", "component_id")
+    named = nodes.select("node", "sketch").join(_named(nodes, roots), "node").select("sketch", "component_id")
+    return held.join(named, "sketch").select("doc_id", "sketch", "component_id")
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -558,7 +557,7 @@ def similar(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id IS NOT NULL")
     kind = rows.schema["doc_id"].dataType.simpleString()
     held = scratch.save(rows.mapInArrow(_set_rows(scheme, shingle_weights(rows, scheme)), f"doc_id {kind}, node long, n long, first array<bigint>, sketch binary, members binary"), "held")
-    nodes = scratch.save(held.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "first", "sketch", "members"))), "nodes")
+    nodes = scratch.save(held.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "first", "sketch", "members"))), "nodes")
     shared = nodes.select("node", F.explode("first").alias("token")).repartition("token").sortWithinPartitions("token", "node")
     groups = scratch.save(shared.mapInArrow(_buckets, "bucket long, node long").distinct(), "buckets")
     by_sketch = _linked(groups, nodes.where("sketch IS NOT NULL").select("node", "sketch"), _linker(scheme.radius), F.count("*") / BUCKET_ROWS)
@@ -569,8 +568,8 @@ def similar(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "t
     sets = rows.join(member.select("doc_id", "node"), "doc_id").select("node", "text").mapInArrow(_set_of(scheme), "node long, sketch binary")
     parts = F.greatest(F.count("*") / CLUSTER_ROWS, F.sum("n") / CLUSTER_SHINGLES)
     confirmed = _linked(member.select("bucket", "node", "n"), sets, _compared(lambda x: near_sets(x, least)), parts)
-    named = scratch.save(_named(nodes, components(confirmed, scratch, "confirmed")), "named")
-    return join_split(held.select("doc_id", "node"), named, "node", held.count()).select("doc_id", "component_id")
+    named = _named(nodes, components(confirmed, scratch, "confirmed"))
+    return held.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "text") -> DataFrame:

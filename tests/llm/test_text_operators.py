@@ -163,8 +163,7 @@ def test_scheme_recall_counts_radius_and_tables():
     assert 0.75 < scheme.recall(0.8) < 0.9 < simhash.scheme_for(0.8).recall(0.8) and simhash.Scheme(radius=200, lanes=12, width=24).recall(0.8) < simhash.Scheme(radius=200, lanes=12).recall(0.8)
 
 
-def test_hubs_are_joined_in_place(spark, monkeypatch):
-    monkeypatch.setattr("conefix.llm.skew.HOT_ROWS", 5)
+def test_components_with_a_hub(spark):
     rng = random.Random(2)
     edges = [(0, i) for i in range(1, 60)] + [(rng.randrange(60, 90), rng.randrange(60, 90)) for _ in range(20)] + [(200, 201)]
     roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
