@@ -5,7 +5,8 @@ The driver holds only the loop: each round solves the demanded (method, context)
 pairs whose inputs are new, as one grouped plan, asks for the contexts of callees it
 met, and marks callers of changed exits for the next round. A method's graph is small
 and its fixpoint sequential, so a group solves it by a work list with widening at loop
-heads. Rounds follow the depth of calls, not the number of methods.
+heads. Rounds follow the depth of calls, not the number of methods, and end when nothing is
+left to do: exits are widened exactly where methods call themselves or one another.
 
 The domain is a parameter: intervals (here), nullness or octagons (``domains.py``).
 Interval states are JSON objects of variable to [lo, hi]; a missing variable is
@@ -20,6 +21,7 @@ of ``this``, static fields, and one variable ``~.f`` for field f of all other ob
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import math
 from collections import defaultdict
@@ -27,22 +29,17 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from conefix.functions.interval import FLIPPED, NEGATED, STRICT
 from conefix.session import Scratch
-from conefix.sources.java import EXC, RET
+from conefix.sources.java import EXC, RET, WHOLE
 
-#: Rounds of demand, and visits of a location, after which the analysis gives up.
-MAX_ROUNDS = 100
-MAX_VISITS = 200
 #: Visits of a loop head, or new exits of a context, that are joined before they are widened.
 JOINED = 1
-#: Rounds after which exits are widened even where no recursion is seen, so that every analysis ends.
-LATE = 40
-#: Cells of an array that one read looks through; beyond, the value is open.
-MAX_CELLS = 64
+#: Visits after which any location is widened, so that odd graphs settle too.
+MANY_VISITS = 200
 INF = math.inf
 TOP = (-INF, INF)
 #: Library methods that change nothing (fixed values).
@@ -82,6 +79,18 @@ def _corners(op, a, b):
     return min(found), max(found)
 
 
+def whole(lo: float, hi: float) -> tuple[float, float]:
+    """Bounds of what rounding towards zero makes of a range."""
+    return (lo if math.isinf(lo) else float(math.trunc(lo))), (hi if math.isinf(hi) else float(math.trunc(hi)))
+
+
+def cast(kind: str, lo: float, hi: float) -> tuple[float, float]:
+    """A cast to a whole type; beyond the range of a small one, any value of it."""
+    lo, hi = whole(lo, hi)
+    limits = WHOLE.get(kind)
+    return (lo, hi) if limits is None or limits[0] <= lo and hi <= limits[1] else limits
+
+
 def evaluate(e: list, s: State) -> tuple[float, float]:
     tag = e[0]
     if tag == "lit":
@@ -92,9 +101,11 @@ def evaluate(e: list, s: State) -> tuple[float, float]:
         lo, hi = evaluate(e[2], s)
         if e[1] == "-":
             return -hi, -lo
+        if e[1][0] == "(":
+            return cast(e[1][1:-1], lo, hi)
         if e[1] == "!":
             return (0.0, 0.0) if lo > 0 or hi < 0 else (1.0, 1.0) if lo == hi == 0 else (0.0, 1.0)
-        return (lo, hi) if e[1] == "+" else TOP
+        return (lo, hi) if e[1] == "+" else (-hi - 1, -lo - 1)
     if tag == "len":
         lo, hi = s.get(f"{e[1]}.#len", s.get(f"{e[1]}.length", TOP))
         return (max(lo, 0.0), hi) if f"{e[1]}.length" not in s else (lo, hi)
@@ -109,19 +120,24 @@ def evaluate(e: list, s: State) -> tuple[float, float]:
         return a[0] - b[1], a[1] - b[0]
     if op == "*":
         return _corners(lambda x, y: x * y, a, b)
-    if op in ("/", "%") and b[0] <= 0 <= b[1]:
+    if op in ("/", "//", "/~", "%") and b[0] <= 0 <= b[1]:
         return TOP
-    if op == "/":
-        return _corners(lambda x, y: 0.0 if math.isinf(y) and not math.isinf(x) else x / y, a, b)
+    if op in ("/", "//", "/~"):
+        real = _corners(lambda x, y: 0.0 if math.isinf(y) and not math.isinf(x) else x / y, a, b)
+        rounded = whole(*real)
+        return real if op == "/" else rounded if op == "//" else (min(real[0], rounded[0]), max(real[1], rounded[1]))
     if op == "%":
         most = max(abs(b[0]), abs(b[1]))
         return (0.0 if a[0] >= 0 else max(a[0], -most)), (0.0 if a[1] <= 0 else min(a[1], most))
     if op in NEGATED:
         yes, no = refine(e, s, True) is not None, refine(e, s, False) is not None
         return (1.0 if not no else 0.0), (1.0 if yes else 0.0)
-    if op in ("<<", ">>", ">>>") and b[1] < 64 and b[0] > -64:
+    if op in ("<<", ">>", ">>>") and 0 <= b[0] and b[1] < 32 and (op != ">>>" or a[0] >= 0):
         powers = (2.0 ** b[0], 2.0 ** b[1])
-        return _corners((lambda x, y: x * y) if op == "<<" else (lambda x, y: x / y), a, powers)
+        if op == "<<":
+            return _corners(lambda x, y: x * y, a, powers)
+        lo, hi = _corners(lambda x, y: x / y, a, powers)
+        return (lo if math.isinf(lo) else float(math.floor(lo))), (hi if math.isinf(hi) else float(math.floor(hi)))
     return (0.0, 1.0) if op in ("&&", "||", "instanceof") else TOP
 
 
@@ -162,10 +178,11 @@ def refine(e: list, s: State, truth: bool) -> State | None:
 def cell(s: State, arr: str, index: tuple[float, float]) -> tuple[float, float]:
     """All cells that the index may mean, open unless each of them is known."""
     lo, hi = index
-    if not 0 <= hi - lo <= MAX_CELLS:
+    start = f"{arr}.#"
+    found = [v for k, v in s.items() if k.startswith(start) and k[len(start) :].isdigit() and lo <= int(k[len(start) :]) <= hi]
+    if not found or math.isinf(lo) or math.isinf(hi) or len(found) < math.floor(hi) - math.ceil(lo) + 1:
         return TOP
-    found = [s.get(f"{arr}.#{i}", TOP) for i in range(math.ceil(lo), math.floor(hi) + 1)]
-    return (min(v[0] for v in found), max(v[1] for v in found)) if found else TOP
+    return min(v[0] for v in found), max(v[1] for v in found)
 
 
 def store(stmt: dict, s: State) -> State:
@@ -385,10 +402,8 @@ def solve(
             if old is not None:
                 merged = d.join(old, merged)
                 visits[dst] += 1
-                if dst in heads and visits[dst] > JOINED:
+                if visits[dst] > (JOINED if dst in heads else MANY_VISITS):
                     merged = d.widen(old, merged)
-                if visits[dst] > MAX_VISITS:
-                    raise RuntimeError(f"{fn}: location {dst} does not settle")
             if old is None or d.dump(old) != d.dump(merged):
                 cells[dst] = merged
                 if dst not in work:
@@ -396,46 +411,122 @@ def solve(
     return cells, list(asked.values())
 
 
-def call_targets(edges: DataFrame, methods: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+def _last(name: str) -> F.Column:
+    return F.element_at(F.split(F.col(name), r"[.$]"), -1)
+
+
+def ancestors(hierarchy: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(program, cls, up, depth)`` by simple names: each class with its super classes and interfaces, itself at depth 0. A cycle ends it, as pairs count once."""
+    pairs = hierarchy.select("program", _last("child").alias("cls"), _last("parent").alias("up")).where("cls != up").distinct()
+    classes = pairs.select("program", "cls").union(pairs.select("program", "up")).distinct()
+    known = newest = scratch.save(classes.select("program", "cls", F.col("cls").alias("up"), F.lit(0).alias("depth")), "up-0")
+    depth = 0
+    while not newest.isEmpty():
+        depth += 1
+        step = newest.select("program", "cls", F.col("up").alias("mid")).join(pairs.withColumnRenamed("cls", "mid"), ["program", "mid"]).select("program", "cls", "up").distinct()
+        newest = scratch.save(step.join(known, ["program", "cls", "up"], "left_anti").withColumn("depth", F.lit(depth)), f"up-{depth}")
+        known = known.unionByName(newest)
+    return known
+
+
+def call_targets(edges: DataFrame, methods: DataFrame, calls: DataFrame | None = None, hierarchy: DataFrame | None = None) -> DataFrame:
     """``(program, fn, pos, callee, formals, varargs)``: methods that a call may reach, by name, arity and, where known, class.
 
+    Of the class and its ancestors the nearest that has the method counts, and unless the
+    call is exact all subclasses that have it (``hierarchy(program, child, parent)``).
     ``calls(program, caller, callee)`` of a call graph keeps only its pairs.
     """
-    site = F.from_json("stmt", "k string, rcvr string, cls string, name string, args array<string>").alias("c")
-    sites = edges.select("program", "fn", "pos", site).where("c.k IN ('call', 'xcall')").select("program", "fn", "pos", "c.cls", "c.name", F.size("c.args").alias("n"))
-    m = methods.select("program", F.col("fn").alias("callee"), F.col("method_name").alias("name"), "class_name", "formals", "varargs")
+    site = F.from_json("stmt", "k string, rcvr string, cls string, name string, args array<string>, exact boolean").alias("c")
+    sites = edges.select("program", "fn", "pos", site).where("c.k IN ('call', 'xcall')").select("program", "fn", "pos", "c.cls", "c.name", F.coalesce("c.exact", F.lit(False)).alias("exact"), F.size("c.args").alias("n"))
+    sites = sites.withColumn("cls", _last("cls"))
+    m = methods.select("program", F.col("fn").alias("callee"), F.col("method_name").alias("name"), _last("class_name").alias("own"), "formals", "varargs")
     fits = (F.size("formals") == F.col("n")) | F.col("varargs") & (F.col("n") >= F.size("formals") - 1)
-    last = F.element_at(F.split(F.col("class_name"), r"[.$]"), -1)
-    same = F.col("cls").isNull() | (F.col("class_name") == F.col("cls")) | (last == F.element_at(F.split(F.col("cls"), r"[.$]"), -1))
-    found = sites.join(m, ["program", "name"]).where(fits & same).select("program", "fn", "pos", "callee", "formals", "varargs")
+    named = sites.join(m, ["program", "name"]).where(fits)
+    if hierarchy is None:
+        found = named.where("cls IS NULL OR cls = own")
+    else:
+        up = ancestors(hierarchy, Scratch(edges.sparkSession, "classes"))
+        above = up.select("program", "cls", F.col("up").alias("own"), "depth")
+        below = up.where("depth > 0").select("program", F.col("up").alias("cls"), F.col("cls").alias("own"), F.lit(True).alias("sub"))
+        placed = named.join(above, ["program", "cls", "own"], "left").join(below, ["program", "cls", "own"], "left")
+        depth = F.when(F.col("cls") == F.col("own"), 0).otherwise(F.col("depth"))
+        nearest = F.min("up").over(Window.partitionBy("program", "fn", "pos"))
+        placed = placed.withColumn("up", depth).withColumn("nearest", nearest)
+        found = placed.where("cls IS NULL OR up = nearest OR sub AND NOT exact")
+    found = found.select("program", "fn", "pos", "callee", "formals", "varargs").distinct()
     if calls is not None:
         found = found.join(calls.select("program", F.col("caller").alias("fn"), "callee").distinct(), ["program", "fn", "callee"], "left_semi")
     return found
 
 
-def bodies_of(edges: DataFrame, methods: DataFrame, mutual: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
-    """``(program, fn, edges, digest)``: each method's edges with the callees of its calls; equal digests, equal behaviour of the method itself."""
+def call_cycles(targets: DataFrame) -> DataFrame:
+    """``(program, fn, cycle)`` of the methods that call one another in a circle, several of them. A program's call graph is one group."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        follow: dict[str, list[str]] = defaultdict(list)
+        for a, b in zip(group["fn"], group["callee"], strict=True):
+            follow[a].append(b)
+        rows, index, low, stack, on = [], {}, {}, [], set()
+        for start in list(follow):
+            work = [(start, iter(follow[start]))] if start not in index else []
+            for node, _ in work:
+                index[node] = low[node] = len(index)
+                stack.append(node)
+                on.add(node)
+            while work:
+                node, rest = work[-1]
+                for child in rest:
+                    if child not in index:
+                        index[child] = low[child] = len(index)
+                        stack.append(child)
+                        on.add(child)
+                        work.append((child, iter(follow.get(child, ()))))
+                        break
+                    if child in on:
+                        low[node] = min(low[node], index[child])
+                else:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                    if low[node] == index[node]:
+                        part = []
+                        while not part or part[-1] != node:
+                            part.append(stack.pop())
+                            on.discard(part[-1])
+                        if len(part) > 1:
+                            rows += [(group["program"].iloc[0], fn, min(part)) for fn in part]
+        return pd.DataFrame(rows, columns=["program", "fn", "cycle"])
+
+    return targets.select("program", "fn", "callee").distinct().groupBy("program").applyInPandas(run, "program string, fn string, cycle string")
+
+
+def bodies_of(edges: DataFrame, methods: DataFrame, mutual: DataFrame | None = None, calls: DataFrame | None = None, hierarchy: DataFrame | None = None) -> DataFrame:
+    """``(program, fn, edges, digest)``: each method's edges with the callees of its calls; equal digests, equal behaviour of the method itself.
+
+    Callees in a call cycle with their caller are ``mutual``; ``mutual(program, fn)`` names more of them.
+    """
     keyed = edges.select("program", "fn", "src", "dst", "stmt", F.xxhash64("src", "dst", "stmt").alias("pos"))
-    targets = call_targets(keyed, methods, calls)
+    targets = Scratch(edges.sparkSession, "targets").save(call_targets(keyed, methods, calls, hierarchy), "targets")
+    cycles = call_cycles(targets)
+    own, other = cycles.withColumnRenamed("cycle", "a"), cycles.select("program", F.col("fn").alias("callee"), F.col("cycle").alias("b"))
+    targets = targets.join(own, ["program", "fn"], "left").join(other, ["program", "callee"], "left").withColumn("mutual", F.coalesce(F.col("a") == F.col("b"), F.lit(False)) & (F.col("fn") != F.col("callee")))
     if mutual is not None:
-        targets = targets.join(mutual.select("program", F.col("fn").alias("callee"), F.lit(True).alias("mutual")).distinct(), ["program", "callee"], "left")
-    else:
-        targets = targets.withColumn("mutual", F.lit(False))
-    called = targets.groupBy("program", "fn", "pos").agg(F.sort_array(F.collect_list(F.struct(F.col("callee").alias("fn"), "formals", "varargs", F.coalesce("mutual", F.lit(False)).alias("mutual")))).alias("callees"))
+        targets = targets.join(mutual.select("program", F.col("fn").alias("callee"), F.lit(True).alias("given")).distinct(), ["program", "callee"], "left").withColumn("mutual", F.col("mutual") | F.coalesce("given", F.lit(False)))
+    called = targets.groupBy("program", "fn", "pos").agg(F.sort_array(F.collect_list(F.struct(F.col("callee").alias("fn"), "formals", "varargs", "mutual"))).alias("callees"))
     body = keyed.join(called, ["program", "fn", "pos"], "left").withColumn("edge", F.to_json(F.struct("src", "dst", "stmt", "callees")))
     listed = body.groupBy("program", "fn").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     return listed.withColumn("digest", F.sha2(F.to_json("edges"), 256))
 
 
-def analyse(edges: DataFrame, methods: DataFrame, demand: DataFrame, mutual: DataFrame | None = None, calls: DataFrame | None = None, domain: str = "interval") -> DataFrame:
+def analyse(edges: DataFrame, methods: DataFrame, demand: DataFrame, mutual: DataFrame | None = None, calls: DataFrame | None = None, domain: str = "interval", hierarchy: DataFrame | None = None) -> DataFrame:
     """Cells ``(program, fn, ctx, entry, loc, state)`` of everything the demand needs, and no more.
 
     ``edges(program, fn, src, dst, stmt)``, ``methods(program, fn, ...)``, ``demand(program, fn, entry)``
-    with entry states as JSON; ``mutual(program, fn)``: methods of call cycles of several
-    methods, which are analysed under the unconstrained entry.
+    with entry states as JSON. Methods of call cycles of several methods are called under the
+    unconstrained entry, as are those of ``mutual(program, fn)``.
     """
     scratch = Scratch(edges.sparkSession, "analysis")
-    bodies = scratch.save(bodies_of(edges, methods, mutual, calls), "bodies")
+    bodies = scratch.save(bodies_of(edges, methods, mutual, calls, hierarchy), "bodies")
     return cells_of(demanded(bodies, demand, scratch, domain=domain))
 
 
@@ -449,7 +540,7 @@ def demanded(bodies: DataFrame, demand: DataFrame, scratch: Scratch, reuse: Data
     ``reuse``: an earlier solved table of which every row still holds; what the demand finds there is not computed again.
     """
 
-    def run(group: pd.DataFrame, late: bool) -> pd.DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         d, rows = domain_named(domain), []
 
         def pair(text: str) -> tuple:
@@ -463,7 +554,7 @@ def demanded(bodies: DataFrame, demand: DataFrame, scratch: Scratch, reuse: Data
             cells, asked = solve(r["fn"], [(x["src"], x["dst"], json.loads(x["stmt"])) for x in raw], d.load(r["entry"]), {i: x["callees"] for i, x in enumerate(raw) if x.get("callees")}, exits, d)
             key, old = (r["program"], r["fn"], r["ctx"], r["entry"]), r["old"]
             callees = [c for x in raw for c in x.get("callees") or ()]
-            if isinstance(old, str) and (late or any(c["mutual"] for c in callees) or any(a[0] == r["ctx"] for a in asked)):
+            if isinstance(old, str) and (any(c["mutual"] for c in callees) or any(a[0] == r["ctx"] for a in asked)):
                 for loc, state in zip((1, 2), pair(old), strict=True):
                     if state is not None:
                         cells[loc] = d.widen(state, d.join(state, cells.get(loc)))
@@ -474,12 +565,6 @@ def demanded(bodies: DataFrame, demand: DataFrame, scratch: Scratch, reuse: Data
             rows += [(*key, "ask", None, state, f"{ctx}|{callee}", used.get(ctx)) for ctx, callee, state in asked]
         return pd.DataFrame(rows, columns=["program", "fn", "ctx", "entry", "kind", "loc", "state", "asked", "used"]).astype({"loc": "Int64"})
 
-    def early(group: pd.DataFrame) -> pd.DataFrame:
-        return run(group, False)
-
-    def late(group: pd.DataFrame) -> pd.DataFrame:
-        return run(group, True)
-
     schema = "program string, fn string, ctx string, entry string, kind string, loc long, state string, asked string, used string"
     ctx = F.sha2(F.concat_ws("|", "fn", "entry"), 256)
     todo = demand.select("program", "fn", "entry").distinct().withColumn("ctx", ctx)
@@ -487,7 +572,7 @@ def demanded(bodies: DataFrame, demand: DataFrame, scratch: Scratch, reuse: Data
     if reuse is not None:
         wanted = reuse.where("kind = 'ask'").select("program", F.substring_index("asked", "|", -1).alias("fn"), F.col("state").alias("entry"), F.substring_index("asked", "|", 1).alias("ctx"))
         todo = todo.unionByName(wanted).distinct().join(reuse.select("program", "ctx").distinct(), ["program", "ctx"], "left_anti")
-    for turn in range(MAX_ROUNDS):
+    for turn in itertools.count():
         if solved is None:
             inputs = todo.withColumns({"known": F.array().cast("array<string>"), "states": F.array().cast("array<string>"), "old": F.lit(None).cast("string")})
         else:
@@ -498,7 +583,7 @@ def demanded(bodies: DataFrame, demand: DataFrame, scratch: Scratch, reuse: Data
             inputs = todo.join(have, ["program", "ctx"], "left").join(old, ["program", "ctx"], "left")
             inputs = inputs.withColumns({"known": F.coalesce(F.transform("h", lambda x: x["c"]), F.array().cast("array<string>")), "states": F.coalesce(F.transform("h", lambda x: x["state"]), F.array().cast("array<string>"))}).drop("h")
         ready = inputs.join(bodies, ["program", "fn"]).select("program", "fn", "ctx", "entry", "edges", "known", "states", "old")
-        fresh = scratch.save(ready.groupBy("program", "fn", "ctx").applyInPandas(early if turn < LATE else late, schema), f"{name}-{turn}")
+        fresh = scratch.save(ready.groupBy("program", "fn", "ctx").applyInPandas(run, schema), f"{name}-{turn}")
         if solved is None:
             solved = fresh
         else:
@@ -512,4 +597,3 @@ def demanded(bodies: DataFrame, demand: DataFrame, scratch: Scratch, reuse: Data
         todo = scratch.save(new.select("program", "fn", "entry", "ctx").unionByName(stale).distinct(), f"{name}-todo-{turn}")
         if todo.isEmpty():
             return solved
-    raise RuntimeError(f"no fixpoint in {MAX_ROUNDS} rounds")

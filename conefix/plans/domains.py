@@ -88,6 +88,8 @@ def null_refine(e: list, s: Masks | None, truth: bool) -> Masks | None:
             return null_refine(e[3], null_refine(e[2], s, truth), truth)
         return null_join(null_refine(e[2], s, truth), null_refine(e[3], null_refine(e[2], s, not truth), truth))
     s = _use(_used(e), s)
+    if s is not None and truth and e[0] == "bin" and e[1] == "instanceof":
+        return _use([e[2][1]], s) if e[2][0] == "var" else s
     if s is None or e[0] != "bin" or e[1] not in ("==", "!="):
         return s
     same, found = (e[1] == "==") == truth, [null_of(x, s) for x in e[2:4]]

@@ -10,46 +10,75 @@ from conefix.plans.analysis import EXC, RET, analyse
 from conefix.sources import java
 
 PROGRAMS = {
-    "calls": """
-        public class Shop {
-            static class Fees { static int flat() { return 5; } }
-            int base;
-            Shop(int b) { base = b; }
-            int square(int k) { return k * k + base; }
-            int raise() { return 5 + base; }
-            static int fee() { return 2 + Fees.flat(); }
-            int total(int start) { return square(start + raise()) * fee(); }
-            public static void main(String[] args) {
-                Shop shop = new Shop(10);
-                int answer = shop.total(30);
-                System.out.println(answer);
+    "wages": """
+        class Payroll {
+            static class Tax { static int of(int gross) { return gross / 4; } }
+            int rate, bonus;
+            Payroll(int rate) { this.rate = rate; bonus = rate - 3; }
+            int gross(int hours) { return hours * rate; }
+            int net(int hours) { int g = gross(hours); return g - Tax.of(g) + bonus; }
+            static void main() {
+                Payroll p = new Payroll(12);
+                int paid = p.net(9);
+                int rest = p.rate % 5;
+                int lo = 100; while (lo > 7) lo -= 4;
+                int up = 0; do { up += 3; } while (up < 20);
             }
         }""",
-    "count_up": """
-        class Up { public static void main(String[] args) { int i = 0; while (i < 10) { System.out.println(i); i++; } } }""",
-    "count_down": """
-        class Down { public static void main(String[] args) {
-            int x = 10; int odd = 0;
-            while (x > 0) { x = x - 1; if (x % 2 == 0) System.out.println("even"); else odd = 1; }
+    "shapes": """
+        class Shape { int sides() { return 0; } int twice() { return 2 * sides(); } }
+        class Tri extends Shape { int sides() { return 3; } }
+        class Quad extends Tri { int sides() { return super.sides() + 1; } }
+        class Use { static void main() {
+            Shape s = new Quad(); Tri t = new Tri(); Quad q = new Quad();
+            int any = s.sides(), some = t.sides(), one = q.sides(), both = s.twice();
         } }""",
-    "nested": """
-        class Nested { public static void main(String[] args) {
-            int sum = 0, i = 0;
-            while (i < 8) { int j = 0; do { sum += j; j++; } while (j < i); i++; }
-        } }""",
-    "recursion": """
-        class Rec {
-            static int x = 0;
-            static void down(int a) { if (a > 0) { a -= 2; down(a); a += 2; } x = -2 * a + 5; }
-            public static void main(String[] args) { down(3); int seen = x; }
+    "ways": """
+        class Ways {
+            static int closed = 0;
+            Ways() { }
+            void close() { closed += 1; }
+            static int risky(int n) { if (n > 5) throw new Oops(); return n * 3; }
+            static void main() {
+                int got = 0, after = 0, kind = 0, seen = 0, last = 9;
+                closed = 0;
+                try { got = risky(4); got = risky(8); } catch (Throwable t) { got += 100; } finally { after = 1; }
+                try (Ways w = new Ways()) { seen = 2; }
+                switch (got) { case 112: kind = 1; break; case 12: kind = 2; break; default: kind = 3; }
+                outer: for (int i = 0; i < 6; i++) { for (int j = 0; j < 6; j++) { if (j == 3) continue outer; if (i == 2) break outer; seen = 7; } }
+                for (int x : new int[] {2, 4}) last = 5;
+                synchronized (Ways.class) { assert kind == 1; }
+            }
         }""",
-    "branches": """
-        class Branch { public static void main(String[] args) {
-            int a = 4, b = a > 3 ? 7 : 9;
-            for (int k = 0; k < 3; k++) { if (k == 2) break; a += b; }
-            int c = (a << 1) / 2;
-        } }""",
-}
+    "order": """
+        class Order {
+            static int n = 1;
+            static int next() { n = n + 1; return n; }
+            static void main() {
+                n = 1; int i = 3;
+                int a = i + i++, b = i++ * 2 + i, c = n + next() * n;
+                int d = -7 / 2, e = 7 % 4, f = 40 >> 3, g = 5 << 2, k = (int) 9.8, m = '\\n', s = ~4;
+                double h = 7 / 2.0;
+                int[] xs = {5, 6, 7}; int u = 1; xs[u] = u++; int v = xs[1], w = xs.length >> 1;
+                byte z = (byte) 300; int y = u < 5 && v == 1 ? 8 : 9;
+            }
+        }""",
+    "boxes": """
+        class Box {
+            static int made = 0;
+            int v = 2;
+            { v = v + 5; made++; }
+            Box() { v *= 3; }
+            Box(int k) { this(); v -= k; }
+            static int even(int n) { if (n <= 0) return 1; return odd(n - 1); }
+            static int odd(int n) { if (n <= 0) return 0; return even(n - 1); }
+            static int sum(int n) { if (n <= 0) return 0; int below = sum(n - 1); return below + 1; }
+            static void main() {
+                Box.made = 0; Box b = new Box(4);
+                int q = b.v, c = Box.made, r = b instanceof Box ? 1 : 2, e = even(6), t = sum(3);
+            }
+        }""",
+}
 
 #: Accesses of main with what is known by hand: always, never or possibly within bounds.
 ARRAYS = {
@@ -73,47 +102,71 @@ USES = [("handled", "r", True), ("handled", "p", True), ("handled", "p", None),
 
 #: Bounds of main's variables at its exit, worked out by hand; a missing bound is infinite.
 EXITS = [
-    ("calls", "answer", 14245.0, 14245.0),
-    ("calls", "shop.base", 10.0, 10.0),
-    ("count_up", "i", 10.0, None),
-    ("count_down", "x", None, 0.0),
-    ("count_down", "odd", 0.0, 1.0),
-    ("nested", "i", 8.0, None),
-    ("nested", "sum", 0.0, None),
-    ("recursion", "Rec.x", -1.0, -1.0),
-    ("recursion", "seen", -1.0, -1.0),
-    ("branches", "b", 7.0, 7.0),
-    ("branches", "a", 4.0, None),
-    ("branches", "c", 4.0, None),
-    ("branches", "k", 2.0, None),
+    ("wages", "paid", 90.0, 90.0),
+    ("wages", "rest", 0.0, 5.0),
+    ("wages", "p.rate", 12.0, 12.0),
+    ("wages", "p.bonus", 9.0, 9.0),
+    ("wages", "lo", None, 7.0),
+    ("wages", "up", 20.0, None),
+    ("shapes", "any", 0.0, 4.0),
+    ("shapes", "some", 3.0, 4.0),
+    ("shapes", "one", 4.0, 4.0),
+    ("shapes", "both", 0.0, 8.0),
+    ("ways", "got", 112.0, 112.0),
+    ("ways", "after", 1.0, 1.0),
+    ("ways", "kind", 1.0, 1.0),
+    ("ways", "seen", 2.0, 7.0),
+    ("ways", "last", 5.0, 9.0),
+    ("ways", "i", 2.0, None),
+    ("order", "Order.n", 2.0, 2.0),
+    ("order", "i", 5.0, 5.0),
+    ("order", "a", 6.0, 6.0),
+    ("order", "b", 13.0, 13.0),
+    ("order", "c", 5.0, 5.0),
+    ("order", "d", -3.0, -3.0),
+    ("order", "e", 0.0, 4.0),
+    ("order", "f", 5.0, 5.0),
+    ("order", "g", 20.0, 20.0),
+    ("order", "h", 3.5, 3.5),
+    ("order", "k", 9.0, 9.0),
+    ("order", "m", 10.0, 10.0),
+    ("order", "s", -5.0, -5.0),
+    ("order", "u", 2.0, 2.0),
+    ("order", "v", 1.0, 1.0),
+    ("order", "w", 1.0, 1.0),
+    ("order", "y", 8.0, 8.0),
+    ("order", "z", -128.0, 127.0),
+    ("boxes", "q", 17.0, 17.0),
+    ("boxes", "c", 1.0, 1.0),
+    ("boxes", "r", 1.0, 2.0),
+    ("boxes", "t", 1.0, None),
 ]
 
-
-def _facts(spark: SparkSession, programs: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges, methods and the demand of the mains."""
+def _facts(spark: SparkSession, programs: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Edges, methods, the class hierarchy and the demand of the mains."""
     parsed = java.parse_sources(spark.createDataFrame(list(programs.items()), "path string, text string")).persist()
-    edges, methods = (java.facts_of(parsed, kind).withColumnRenamed("path", "program") for kind in ("edge", "method"))
-    return edges, methods, methods.where("method_name = 'main'").select("program", "fn", F.lit("{}").alias("entry"))
+    edges, methods, parents = (java.facts_of(parsed, kind).withColumnRenamed("path", "program") for kind in ("edge", "method", "parent"))
+    return edges, methods, parents, methods.where("method_name = 'main'").select("program", "fn", F.lit("{}").alias("entry"))
 
 
 def array_checks(spark: SparkSession) -> DataFrame:
     """``(program, index, safe)`` of main's array accesses, by intervals and octagons together."""
-    edges, methods, demand = _facts(spark, ARRAYS)
-    found = checks.bounds_checks(edges, analyse(edges, methods, demand, domain="octagon"), "octagon")
+    edges, methods, parents, demand = _facts(spark, ARRAYS)
+    found = checks.bounds_checks(edges, analyse(edges, methods, demand, domain="octagon", hierarchy=parents), "octagon")
     return found.select("program", "index", "safe").distinct()
 
 
 def null_checks(spark: SparkSession) -> DataFrame:
     """``(program, variable, safe)`` of what main uses as an object, without temporaries."""
-    edges, methods, demand = _facts(spark, NULLS)
-    found = checks.null_uses(edges, analyse(edges, methods, demand, domain="nullness"))
+    edges, methods, parents, demand = _facts(spark, NULLS)
+    found = checks.null_uses(edges, analyse(edges, methods, demand, domain="nullness", hierarchy=parents))
     return found.where("fn LIKE '%#main(%' AND NOT startswith(variable, '$')").select("program", "variable", "safe").distinct()
 
 
 def exit_states(spark: SparkSession) -> DataFrame:
     """``(program, variable, lo, hi)`` of main's own variables at its exit, without open ones."""
-    edges, methods, demand = _facts(spark, PROGRAMS)
-    cells = analyse(edges, methods, demand)
+    edges, methods, parents, demand = _facts(spark, PROGRAMS)
+    cells = analyse(edges, methods, demand, hierarchy=parents)
     rows = cells.where("loc = 1 AND fn LIKE '%#main(%' AND state IS NOT NULL").select("program", F.explode(F.from_json("state", "map<string, array<double>>", {"allowNonNumericNumbers": "true"})).alias("variable", "b"))
     finite = lambda i: F.when(~F.col("b")[i].isin(float("inf"), float("-inf")), F.col("b")[i])
     return rows.where(~F.col("variable").startswith("$") & ~F.col("variable").isin(RET, EXC) & ~F.col("variable").contains(".#")).select("program", "variable", finite(0).alias("lo"), finite(1).alias("hi"))

@@ -43,7 +43,7 @@ class Analysis:
         return self.facts.where(F.col("kind") == kind).select("program", F.from_json("data", java.SCHEMAS[kind]).alias("d")).select("program", "d.*")
 
     def _bodies(self) -> DataFrame:
-        return bodies_of(self._table("edge"), self._table("method"))
+        return bodies_of(self._table("edge"), self._table("method"), hierarchy=self._table("parent"))
 
     def methods(self) -> DataFrame:
         return self._table("method")

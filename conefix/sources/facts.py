@@ -47,16 +47,16 @@ def method_text(method: Column) -> Column:
     return F.concat(F.when(method["is_static"], "static ").otherwise(""), owner, F.lit("#"), method["method_name"], F.lit("("), F.array_join(method["arg_types"], ","), F.lit(")"))
 
 
-def call_graph(numbered: DataFrame, order: list[str], value: str = "value", by: list[str] | None = None) -> DataFrame:
+def call_graph(numbered: DataFrame, order: list[str], by: list[str], value: str = "value") -> DataFrame:
     """``(caller, callee)`` of lines ``CALLER: id`` and, indented below, ``CALLEE: id``.
 
-    ``numbered`` has the lines in ``order``; ``by`` names what keeps files apart. A callee belongs to the last caller above it.
+    ``numbered`` has the lines in ``order``; ``by`` names the columns that keep files apart, each file one group. A callee belongs to the last caller above it.
     """
     caller = F.regexp_extract(value, r"^\s*CALLER:\s*(.*?)\s*$", 1)
     callee = F.regexp_extract(value, r"^\s*CALLEE:\s*(.*?)\s*$", 1)
-    window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+    window = Window.partitionBy(*by).orderBy(*order)
     filled = numbered.withColumn("caller", F.last(F.when(caller != "", caller), ignorenulls=True).over(window)).withColumn("callee", callee)
-    return filled.where("callee != '' AND caller IS NOT NULL").select(*(by or []), "caller", "callee").distinct()
+    return filled.where("callee != '' AND caller IS NOT NULL").select(*by, "caller", "callee").distinct()
 
 
 def known_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:

@@ -5,10 +5,16 @@ Side effects leave expressions: calls become statements that assign fresh tempor
 in evaluation order. Statements and expressions are JSON:
 
     {"k": "assign", "lhs": name, "e": expr}   {"k": "assume", "e": expr}   {"k": "skip"}
-    {"k": "call", "lhs": name, "rcvr": name or null, "cls": class or null, "name": method, "args": [expr]}
+    {"k": "call", "lhs": name, "rcvr": name or null, "cls": class or null, "name": method, "args": [expr], "exact": bool}
     {"k": "store", "arr": name, "index": expr, "e": expr}
     ["lit", number or null]   ["var", name]   ["bin", op, l, r]   ["un", op, e]   ["any"]
-    ["obj"], some object   ["len", array]   ["cell", array, index]
+    ["obj"], some object   ["len", array]   ["cell", array, index]   ["type", name], right of instanceof
+
+A floating literal has a third part, "f". Division is "//" between whole numbers, "/" where
+a side is floating and "/~" where types are not known; a cast to a whole type is the unary
+operator "(int)" and so on. An exact call (super, constructors, static) has the methods of
+its class alone, others those of its subclasses as well. An operand is held in a temporary
+where what is evaluated after it has effects, so that the order of evaluation is Java's.
 
 A method enters at 0, returns at 1 and throws at 2. Each call has a twin, ``xcall``, to
 the handler around it, for what it throws. A finally block and the closing of resources
@@ -33,11 +39,15 @@ from pyspark.sql import functions as F
 from conefix.session import ship
 
 _TOKEN = re.compile(
-    r"\s+|//[^\n]*|/\*.*?\*/|(?P<num>0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?|\d[\d_]*(?:\.\d*)?(?:[eE][+-]?\d+)?[lLfFdD]?)|(?P<str>\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|(?P<id>[A-Za-z_$][\w$]*)"
-    r"|(?P<op>>>>=|<<=|>>=|>>>|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|->|::|\.\.\.|<<|[-+*/%=<>!~?:;,.(){}\[\]&|^@])",
+    r"\s+|//[^\n]*|/\*.*?\*/|(?P<num>0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?|0[oO][0-7_]+[lL]?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdD]?)|(?P<str>\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|(?P<id>[A-Za-z_$][\w$]*)"
+    r"|(?P<op>>>>=|<<=|>>=|>>>|>>|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|->|::|\.\.\.|<<|[-+*/%=<>!~?:;,.(){}\[\]&|^@])",
     re.S,
 )
 MODIFIERS = frozenset("public private protected static final abstract native synchronized transient volatile strictfp default".split())
+WHOLE = {"byte": (-128.0, 127.0), "short": (-32768.0, 32767.0), "char": (0.0, 65535.0), "int": None, "long": None, "Byte": None, "Short": None, "Character": None, "Integer": None, "Long": None}
+FLOATING = frozenset("float double Float Double".split())
+#: Characters behind a backslash (fixed values).
+ESCAPES = {"n": 10, "t": 9, "r": 13, "b": 8, "f": 12, "s": 32, "0": 0, "'": 39, '"': 34, "\\": 92}
 PRIMITIVES = frozenset("int long short byte char boolean float double void".split())
 BINARY = [["||"], ["&&"], ["|"], ["^"], ["&"], ["==", "!="], ["<", ">", "<=", ">=", "instanceof"], ["<<", ">>", ">>>"], ["+", "-"], ["*", "/", "%"]]
 ASSIGNING = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>="}
@@ -73,10 +83,34 @@ def number(text: str) -> float:
         return float(int(raw, 16))
     if raw[:2].lower() == "0b":
         return float(int(raw, 2))
+    if raw[:2].lower() == "0o":
+        return float(int(raw[2:], 8))
     raw = raw.rstrip("fFdD")
     return float(int(raw, 8)) if len(raw) > 1 and raw[0] == "0" and raw.isdigit() else float(raw)
 
 
+def is_floating(text: str) -> bool:
+    """Whether a number's text is that of a float or double."""
+    return text[:2].lower() not in ("0x", "0b", "0o") and bool(re.search(r"[.eEfFdD]", text))
+
+
+def character(text: str) -> float | None:
+    """The value of a character literal with its quotes; None for what is none."""
+    inner = text[1:-1]
+    if len(inner) == 1:
+        return float(ord(inner))
+    if re.fullmatch(r"\\u+[0-9a-fA-F]{4}", inner):
+        return float(int(inner[-4:], 16))
+    if re.fullmatch(r"\\[0-7]{1,3}", inner):
+        return float(int(inner[1:], 8))
+    return float(ESCAPES[inner[1]]) if len(inner) == 2 and inner[1] in ESCAPES else None
+
+
+def simple(name: str) -> str:
+    """The last part of a class name."""
+    return re.split(r"[.$]", name)[-1]
+
+
 def variables(e: list) -> set[str]:
     """Variables of an expression, array cells and lengths as dotted ones."""
     if e[0] in ("len", "cell"):
@@ -95,6 +129,8 @@ class Parser:
         self.hierarchy: list[tuple[str, str]] = []
         self.unsupported: list[tuple[str, str]] = []
         self.package = ""
+        #: Types of fields and results by class and name, as far as they have been read; None where they differ.
+        self.kinds: dict[tuple[str, str], str | None] = {}
 
     # --- tokens ------------------------------------------------------------
 
@@ -212,7 +248,11 @@ class Parser:
             self.hierarchy.append((cls, parent))
         if self.eat("implements"):
             while self.peek() != "{":
-                self.take()
+                kind = self.type_()
+                if kind:
+                    self.hierarchy.append((cls, kind))
+                elif self.peek() != "{":
+                    self.take()
         Class(self, cls, parent).body()
 
     def source(self) -> Parser:
@@ -271,11 +311,15 @@ class Class:
             if p.peek() == ";":
                 p.take()
                 return
+            known = p.kinds.setdefault((simple(self.name), f"{name}()"), kind)
+            if known != kind:
+                p.kinds[simple(self.name), f"{name}()"] = None
             members.append(("method", p.at, ("<init>" if ctor else name, "static" in mods, formals)))
             return p.skip_balanced("{", "}")
         while True:
             self.fields[name] = "static" in mods
             p.fields.append((self.name, name, "static" in mods))
+            p.kinds[simple(self.name), name] = kind
             if p.eat("="):
                 self.initial.append((name, "static" in mods, p.at))
                 depth = 0
@@ -620,6 +664,7 @@ class Method:
             self.types[name] = kind
             while p.peek() == "[":
                 p.skip_balanced("[", "]")
+                self.types[name] += "[]"
             if p.eat("="):
                 loc, e = self.expr(loc)
                 loc = self.emit(loc, {"k": "assign", "lhs": name, "e": e})
@@ -651,7 +696,10 @@ class Method:
             at = p.at
             p.modifiers()
             if p.type_() and p.kind() == "id" and p.peek(1) == ":":
-                name = p.take()
+                p.at = at
+                p.modifiers()
+                kind, name = p.type_(), p.take()
+                self.types[name] = kind
                 p.take(":")
                 loc, _ = self.expr(loc)
                 p.take(")")
@@ -717,15 +765,90 @@ class Method:
         self.p.take(")")
         return loc, e
 
+    def pause(self, loc: int, e: list) -> tuple[int, tuple | None]:
+        """A place behind an operand, which ``settle`` turns into a temporary if what comes next has effects."""
+        if not variables(e):
+            return loc, None
+        mid = self.emit(loc, {"k": "skip"})
+        return mid, (len(self.out) - 1, loc, mid)
+
+    def settle(self, mark: tuple | None, at: int, e: list) -> tuple[int, list]:
+        if mark is None:
+            return at, e
+        index, before, mid = mark
+        if at == mid and len(self.out) == index + 1:
+            self.out.pop()
+            self.count -= 1
+            return before, e
+        between = [x for _, _, x in self.out[index + 1 :]]
+        written = {x["lhs"] for x in between if x.get("lhs")}
+        shared = any(x["k"] in ("call", "xcall", "store") for x in between) or any("." in n for n in written)
+        if not any(n in written or "." in n and shared for n in variables(e)):
+            return at, e  # nothing that it reads has been written
+        name = self.temp()
+        self.types[name] = self.kind(e)
+        self.out[index] = (before, mid, {"k": "assign", "lhs": name, "e": e})
+        return at, ["var", name]
+
+    def kind(self, e: list) -> str | None:
+        """The declared type of an expression, int, double or boolean of a computed one; None where it is not known."""
+        tag = e[0]
+        if tag == "lit":
+            return "double" if len(e) > 2 else "int" if e[1] is not None else None
+        if tag == "var":
+            owner, _, field = e[1].rpartition(".")
+            if not owner:
+                return self.types.get(field)
+            cls = self.c.name if owner == "this" else self.types.get(owner) or owner
+            return self.p.kinds.get((simple(cls), field))
+        if tag == "len":
+            return "int"
+        if tag == "cell":
+            held = self.types.get(e[1]) or ""
+            return held.removesuffix("...").removesuffix("[]") if "[]" in held else None
+        if tag == "un":
+            return "boolean" if e[1] == "!" else e[1][1:-1] if e[1][0] == "(" else self.kind(e[2])
+        if tag != "bin":
+            return None
+        if e[1] in ("==", "!=", "<", "<=", ">", ">=", "&&", "||", "instanceof"):
+            return "boolean"
+        a, b = self.kind(e[2]), self.kind(e[3])
+        if a in FLOATING or b in FLOATING:
+            return "double"
+        return "int" if e[1] == "//" or a in WHOLE and b in WHOLE else None
+
+    def operation(self, op: str, left: list, right: list) -> list:
+        """A binary operation; division by the types of its sides."""
+        if op == "/":
+            a, b = self.kind(left), self.kind(right)
+            op = "/" if a in FLOATING or b in FLOATING else "//" if a in WHOLE and b in WHOLE else "/~"
+        return ["bin", op, left, right]
+
+    def cast(self, kind: str, e: list) -> list:
+        """A cast that may change a number; others are erased."""
+        own = self.kind(e)
+        return ["un", f"({kind})", e] if kind in WHOLE and own != kind and not (own in WHOLE and kind in ("int", "long")) else e
+
     def expr(self, loc: int) -> tuple[int, list]:
         loc, left = self.ternary(loc)
         op = self.p.peek()
         if op not in ASSIGNING or self.p.kind() == "str":
             return loc, left
         self.p.take()
+        if left[0] == "cell":
+            loc, place = self.pause(loc, left[2])
+        loc, value = self.pause(loc, left) if op != "=" else (loc, None)
         loc, right = self.expr(loc)
+        loc, old = self.settle(value, loc, left)
+        if left[0] == "cell":
+            loc, index = self.settle(place, loc, left[2])
+            old = [*left[:2], index] if old is left else old
+            left = [*left[:2], index]
+        own = self.kind(left)
         if op != "=":
-            right = ["bin", op[:-1], left, right]
+            right = self.operation(op[:-1], old, right)
+            if own in WHOLE:
+                right = self.cast(own, right)
         return self.assign(loc, left, right), left
 
     def assign(self, loc: int, left: list, value: list) -> int:
@@ -757,14 +880,19 @@ class Method:
         while self.p.kind() != "str" and self.p.peek() in BINARY[level]:
             op = self.p.take()
             if op == "instanceof":
-                self.p.type_()
-                left = ["bin", op, left, ["any"]]
+                self.p.modifiers()
+                left = ["bin", op, left, ["type", self.p.type_() or ""]]
+                if self.p.kind() == "id":
+                    self.types[self.p.peek()] = left[3][1]
+                    self.p.take()
                 continue
             if op in ("&&", "||"):
                 loc, left = self.short_circuit(loc, op, left, level + 1)
                 continue
+            loc, mark = self.pause(loc, left)
             loc, right = self.binary(loc, level + 1)
-            left = ["bin", op, left, right]
+            loc, left = self.settle(mark, loc, left)
+            left = self.operation(op, left, right)
         return loc, left
 
     def short_circuit(self, loc: int, op: str, left: list, level: int) -> tuple[int, list]:
@@ -798,31 +926,40 @@ class Method:
             p.take()
             kind = p.type_()
             if kind and p.eat(")") and (kind in PRIMITIVES or p.kind() in ("id", "num", "str") and p.peek() != "instanceof" or p.peek() in ("(", "!", "~")):
-                return self.unary(loc)  # a cast is erased
+                loc, e = self.unary(loc)
+                return loc, self.cast(kind, e)
             p.at = at
         return self.postfix(loc)
 
     def arguments(self, loc: int) -> tuple[int, list]:
         self.p.take("(")
-        args = []
+        args, marks = [], []
         while not self.p.eat(")"):
+            if args:
+                loc, mark = self.pause(loc, args[-1])
+                marks.append(mark)
             loc, e = self.expr(loc)
             args.append(e)
             self.p.eat(",")
+        for i in range(len(marks) - 1, -1, -1):
+            loc, args[i] = self.settle(marks[i], loc, args[i])
         return loc, args
 
-    def call(self, loc: int, rcvr: str | None, cls: str | None, name: str) -> tuple[int, list]:
+    def call(self, loc: int, rcvr: str | None, cls: str | None, name: str, exact: bool = False) -> tuple[int, list]:
         loc, args = self.arguments(loc)
         lhs = self.temp()
-        return self.invoke(loc, {"k": "call", "lhs": lhs, "rcvr": rcvr, "cls": cls, "name": name, "args": args}), ["var", lhs]
+        self.types[lhs] = self.p.kinds.get((simple(cls), f"{name}()")) if cls else None
+        return self.invoke(loc, {"k": "call", "lhs": lhs, "rcvr": rcvr, "cls": cls, "name": name, "args": args, "exact": exact or rcvr is None or name == "<init>"}), ["var", lhs]
 
     def invoke(self, loc: int, stmt: dict) -> int:
+        stmt = {"exact": stmt["name"] == "<init>"} | stmt
         self.emit(loc, stmt | {"k": "xcall"}, self.handler)
         return self.emit(loc, stmt)
 
-    def array(self, loc: int, size: list, cells: list | None = None) -> tuple[int, list]:
+    def array(self, loc: int, size: list, cells: list | None = None, kind: str | None = None) -> tuple[int, list]:
         """A new array in a temporary, with its length and, of a literal, its cells."""
         name = self.temp()
+        self.types[name] = kind
         loc = self.emit(loc, {"k": "assign", "lhs": name, "e": ["obj"]})
         loc = self.emit(loc, {"k": "assign", "lhs": f"{name}.#len", "e": size})
         for i, e in enumerate(cells or ()):
@@ -850,6 +987,7 @@ class Method:
         if e[0] == "var":
             return loc, e[1]
         name = self.temp()
+        self.types[name] = self.kind(e)
         return self.emit(loc, {"k": "assign", "lhs": name, "e": e}), name
 
     def postfix(self, loc: int) -> tuple[int, list]:
@@ -869,7 +1007,10 @@ class Method:
                     as_class = e[0] == "var" and known is None and rcvr[:1].isupper() and "." not in rcvr
                     if rcvr == "this":
                         known = self.c.name
-                    loc, e = self.call(loc, None if as_class else rcvr, rcvr if as_class else known, name)
+                    if rcvr == "super":
+                        loc, e = self.call(loc, "this", self.c.parent or "Object", name, True)
+                    else:
+                        loc, e = self.call(loc, None if as_class else rcvr, rcvr if as_class else known, name)
                 else:
                     loc, rcvr = self.held(loc, e)
                     e = ["len", rcvr] if name == "length" else ["var", f"{rcvr}.{name}"]
@@ -883,8 +1024,13 @@ class Method:
                 p.take()
                 loc = self.assign(loc, e, ["bin", op[0], e, ["lit", 1.0]])
                 e = ["bin", "-" if op == "++" else "+", e, ["lit", 1.0]]
-            elif op == "::" or op == "->" and p.toks[p.at - 1][1] == ")":  # an arrow behind anything else ends a label
-                raise Unsupported("lambda or method reference")
+            elif op == "::":
+                p.take()
+                p.type_arguments()
+                p.take()
+                e = ["obj"]  # a reference is an object; it runs nothing here
+            elif op == "->" and p.toks[p.at - 1][1] == ")":  # an arrow behind anything else ends a label
+                raise Unsupported("lambda")
             else:
                 break
         return loc, e
@@ -892,15 +1038,17 @@ class Method:
     def primary(self, loc: int) -> tuple[int, list]:
         p, kind, word = self.p, self.p.kind(), self.p.peek()
         if kind == "num":
-            return loc, ["lit", number(p.take())]
+            text = p.take()
+            return loc, ["lit", number(text), *(["f"] if is_floating(text) else [])]
         if kind == "str":
             text = p.take()
-            return loc, ["lit", float(ord(text[1]))] if text[0] == "'" and len(text) == 3 else ["obj"]
+            code = character(text) if text[0] == "'" else None
+            return loc, ["obj"] if code is None else ["lit", code]
         if word == "(":
             at = p.at
             p.skip_balanced("(", ")")
             if p.peek() == "->":
-                raise Unsupported("lambda or method reference")
+                raise Unsupported("lambda")
             p.at = at
             return self.parenthesised(loc)
         if word == "{":
@@ -925,20 +1073,20 @@ class Method:
                 self.types[name] = made
                 loc = self.emit(loc, {"k": "assign", "lhs": name, "e": ["obj"]})
                 return self.invoke(loc, {"k": "call", "lhs": None, "rcvr": name, "cls": made, "name": "<init>", "args": args}), ["var", name]
-            size = None
+            size, made = None, f"{made}[]"
             while p.peek() == "[":
                 p.take()
                 if p.peek() != "]":
                     loc, e = self.expr(loc)
                     size = e if size is None else size  # of the outermost dimension
                 p.take("]")
-            return self.literal(loc) if p.peek() == "{" else self.array(loc, size or ["any"])
+            return self.literal(loc) if p.peek() == "{" else self.array(loc, size or ["any"], kind=made)
         if word in ("this", "super") and p.peek() == "(":
             loc, args = self.arguments(loc)
             made = self.c.name if word == "this" else self.c.parent
             return loc if made is None else self.invoke(loc, {"k": "call", "lhs": None, "rcvr": "this", "cls": made, "name": "<init>", "args": args}), ["any"]
         if p.peek() == "->":
-            raise Unsupported("lambda or method reference")
+            raise Unsupported("lambda")
         if p.peek() == "(":
             return self.call(loc, None if self.static else "this", self.c.name, word)
         return loc, self.variable(word)

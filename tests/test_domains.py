@@ -50,7 +50,17 @@ class Program:
         return cells.get(1), cells.get(2)
 
 
-OPS = {"+": operator.add, "-": operator.sub, "*": operator.mul, "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "&&": lambda a, b: a and b, "||": lambda a, b: a or b}
+class Stopped(Exception):
+    """A division by zero ends a run."""
+
+
+def divided(a: float, b: float, op: str) -> float:
+    if not b:
+        raise Stopped
+    return math.fmod(a, b) if op == "%" else float(math.trunc(a / b))
+
+
+OPS = {"//": lambda a, b: divided(a, b, "//"), "%": lambda a, b: divided(a, b, "%"), ">>": lambda a, b: math.floor(a / 2 ** b), "<<": lambda a, b: a * 2 ** b, "+": operator.add, "-": operator.sub, "*": operator.mul, "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "&&": lambda a, b: a and b, "||": lambda a, b: a or b}
 
 
 def value(e: list, env: dict) -> float | None:
@@ -60,7 +70,7 @@ def value(e: list, env: dict) -> float | None:
         return env[e[1]]
     if e[0] == "un":
         v = value(e[2], env)
-        return float(not v) if e[1] == "!" else -v
+        return float(not v) if e[1] == "!" else v if e[1][0] == "(" else -v
     return float(OPS[e[1]](value(e[2], env), value(e[3], env)))
 
 
@@ -69,10 +79,13 @@ def walk(edges: list, env: dict, steps: int = 400) -> list[tuple[int, dict]]:
     at, seen = 0, [(0, dict(env))]
     for _ in range(steps):
         for src, dst, stmt in edges:
-            if src != at or stmt["k"] == "assume" and not value(stmt["e"], env):
-                continue
-            if stmt["k"] == "assign":
-                env = env | {stmt["lhs"]: value(stmt["e"], env)}
+            try:
+                if src != at or stmt["k"] == "assume" and not value(stmt["e"], env):
+                    continue
+                if stmt["k"] == "assign":
+                    env = env | {stmt["lhs"]: value(stmt["e"], env)}
+            except Stopped:
+                return seen
             if any(abs(v) > 1e9 for v in env.values() if v is not None):
                 return seen  # beyond what a double holds exactly
             at = dst
@@ -92,7 +105,8 @@ def random_body(rng: random.Random, depth: int = 0) -> str:
         kind = rng.choice(["set", "set", "if", "while", "switch", "try", "pick"] if depth < 2 else ["set", "pick"])
         inner = lambda: random_body(rng, depth + 1)
         if kind == "set":
-            out.append(f"{rng.choice(names)} {rng.choice(['=', '+=', '-='])} {operand()} {rng.choice('+-*')} {operand()};")
+            last = rng.choice([f"{rng.choice('+-*/%')} {operand()}", f"{rng.choice(['>>', '<<'])} {rng.randrange(3)}", f"{rng.choice('+-/')} {rng.choice(names)}++", f"+ ({rng.choice(names)} = {operand()})"])
+            out.append(f"{rng.choice(names)} {rng.choice(['=', '+=', '-=', '/='])} {operand()} {last};")
         elif kind == "pick":
             out.append(f"{rng.choice(names)} = {test()} && !({test()}) || {test()} ? {operand()} : {operand()};")
         elif kind == "if":

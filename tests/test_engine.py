@@ -83,18 +83,28 @@ def test_loops_regions_and_back_edges(spark):
 
 
 def test_inherited_names(spark):
-    tree = [("One", "Two"), ("Two", "Three"), ("Four", "Three"), ("Five", "Six"), ("Seven", "Six"), ("Eight", "Seven")]
-    own = {"One": "A", "Two": "B", "Three": "C", "Four": "D", "Five": "E", "Six": "F", "Seven": "G", "Eight": "H"}
-    got: dict[str, set] = {}
-    for r in graph.inherited(spark.createDataFrame(tree, "child string, parent string"), spark.createDataFrame(list(own.items()), "class_id string, name string")).collect():
-        got.setdefault(r["class_id"], set()).add(r["name"])
-    assert got == {"One": set("ABC"), "Two": set("BC"), "Three": set("C"), "Four": set("CD"), "Five": set("EF"), "Six": set("F"), "Seven": set("FG"), "Eight": set("FGH")}
+    """Random hierarchies with several parents against a plain closure, under several orders of names."""
+    rng = random.Random(41)
+    for _ in range(3):
+        names = [f"{rng.choice('kqz')}{i}" for i in range(18)]
+        rng.shuffle(names)
+        parents = {c: rng.sample(names[:k], min(k, rng.randrange(3))) for k, c in enumerate(names)}
+        own = {c: {f"f{rng.randrange(12)}" for _ in range(rng.randrange(3))} for c in names}
+
+        def everything(c):
+            return own[c].union(*(everything(p) for p in parents[c]))
+
+        tree, fields = [(c, p) for c, ps in parents.items() for p in ps], [(c, f) for c, fs in own.items() for f in fs]
+        got: dict[str, set] = {}
+        for r in graph.inherited(spark.createDataFrame(tree, "child string, parent string"), spark.createDataFrame(fields, "class_id string, name string")).collect():
+            got.setdefault(r["class_id"], set()).add(r["name"])
+        assert got == {c: everything(c) for c in names if everything(c)}
 
 
 def test_text_sources(spark, tmp_path):
     lines = ["CALLER: a.B#m()", "\tCALLEE: static a.C#n(java.lang.String)", "\tCALLEE: x.Y#z()", "CALLER: a.C#n(java.lang.String)", "\tCALLEE: a.B#m()", "\tCALLEE: a.B#m()"]
-    calls = facts.call_graph(spark.createDataFrame(list(enumerate(lines)), "line long, value string"), ["line"])
-    assert {tuple(r) for r in calls.collect()} == {("a.B#m()", "static a.C#n(java.lang.String)"), ("a.B#m()", "x.Y#z()"), ("a.C#n(java.lang.String)", "a.B#m()")}
+    calls = facts.call_graph(spark.createDataFrame([("f", *x) for x in enumerate(lines)], "path string, line long, value string"), ["line"], ["path"])
+    assert {tuple(r)[1:] for r in calls.collect()} == {("a.B#m()", "static a.C#n(java.lang.String)"), ("a.B#m()", "x.Y#z()"), ("a.C#n(java.lang.String)", "a.B#m()")}
     ids = ["static foo.bar.Out.In#go(java.util.List, int[])", "Plain#<init>()", "a.b#c()"]
     got = [r[0].asDict() for r in spark.createDataFrame([(i,) for i in ids], "t string").select(facts.method_id(F.col("t"))).collect()]
     assert got[0] == {"package": ["foo", "bar"], "class_name": "Out$In", "method_name": "go", "is_static": True, "arg_types": ["List", "int[]"]}
@@ -144,7 +154,7 @@ def test_front_end_forms():
     }"""
     p = java.Parser(source).source()
     assert {m["fn"] for m in p.methods} == {"p.q.A#<init>(int)", "p.q.A$In#v(int[])", "p.q.A$In#<init>()", "p.q.A#g(String)", "p.q.A#h()", "p.q.A#tried()", "p.q.A#<clinit>()"}
-    assert p.hierarchy == [("p.q.A", "Base")] and ("p.q.A#bad", "lambda or method reference") in p.unsupported and ("p.q.A", "f", False) in p.fields and ("p.q.A", "K", True) in p.fields
+    assert p.hierarchy == [("p.q.A", "Base"), ("p.q.A", "I"), ("p.q.A", "J")] and ("p.q.A#bad", "lambda") in p.unsupported and ("p.q.A", "f", False) in p.fields and ("p.q.A", "K", True) in p.fields
     for fault in ("class {", "class A { int x = ; }", "class A { void f() { break; } }", "claß A {}"):
         with pytest.raises(java.SyntaxFault):
             java.Parser(fault).source()
@@ -155,6 +165,33 @@ def test_known_exit_states(spark):
     assert got == {(p, v): (a, b) for p, v, a, b in examples.EXITS}
 
 
+def test_literals_and_operators():
+    read = lambda text: java.Parser(f"class A {{ void f() {{ x = {text}; }} }}").source()
+    value = lambda text: next(json.loads(x)["e"] for _, _, _, x in read(text).edges if json.loads(x).get("lhs") == "x")
+    for text, number in {"052": 42.0, "0o17": 15.0, "0x2_Al": 42.0, "0b1_1": 3.0, "1_0": 10.0, "'\\t'": 9.0, "'\\''": 39.0, "'\\u0041'": 65.0, "'α'": 945.0}.items():
+        assert value(text) == ["lit", number], text
+    for text, number in {".3": 0.3, "2.": 2.0, "1e1f": 10.0, "6.5e+2": 650.0, "0f": 0.0}.items():
+        assert value(text) == ["lit", number, "f"], text
+    for op in (o for level in java.BINARY for o in level if o != "instanceof"):
+        found = value(f"p {op} 2")
+        assert found[1] in (op, "/~") and found[2:] == [["var", "p"], ["lit", 2.0]], op
+    assert value("(p > q) ? p >> 1 : q")[0] == "var" and value("String::valueOf") == ["obj"]
+    assert read("y; List<List<String>> z = null; z = a < b >> 2").methods and value("o instanceof Foo") == ["bin", "instanceof", ["var", "o"], ["type", "Foo"]]
+
+
+def test_chains_of_calls_of_any_depth(spark):
+    """Sixty methods that call one after the other keep their exact result; methods in a circle end."""
+    chain = "".join(f"static int m{i}(int k) {{ return m{i + 1}(k + 1); }} " for i in range(60))
+    source = f"class C {{ {chain} static int m60(int k) {{ return k; }} static int a(int n) {{ return b(n); }} static int b(int n) {{ return c(n); }} static int c(int n) {{ if (n > 0) return a(n - 1); return 4; }} static void main() {{ int r = m55(2); int s = a(5); }} }}"
+    parsed = java.parse_sources(spark.createDataFrame([("p", source)], "path string, text string")).persist()
+    edges, methods = (java.facts_of(parsed, k).withColumnRenamed("path", "program") for k in ("edge", "method"))
+    cycles = {r["fn"] for r in analysis.call_cycles(analysis.call_targets(edges.withColumn("pos", F.xxhash64("src", "dst", "stmt")), methods)).collect()}
+    assert cycles == {"C#a(int)", "C#b(int)", "C#c(int)"}
+    cells = analysis.analyse(edges, methods, methods.where("method_name = 'main'").select("program", "fn", F.lit("{}").alias("entry")))
+    state = json.loads(cells.where("fn = 'C#main()' AND loc = 1").first()["state"])
+    assert state["r"] == [7.0, 7.0] and state.get("s", [4.0, 4.0]) == [4.0, 4.0]
+
+
 EDITED = """class Up { static int top() { return 20; } static int idle() { return 1; }
     public static void main(String[] args) { int i = 0; while (i < top()) { i++; } int k = Up.idle(); } }"""
 
@@ -164,7 +201,7 @@ def snapshot(cells):
 
 
 def test_edits_equal_from_scratch_and_keep_the_rest(spark, tmp_path):
-    first = [("a", "Up.java", EDITED), ("b", "Shop.java", examples.PROGRAMS["calls"]), ("a", "Bad.java", "class {")]
+    first = [("a", "Up.java", EDITED), ("b", "Payroll.java", examples.PROGRAMS["wages"]), ("a", "Bad.java", "class {")]
     second = [("a", "Up.java", EDITED.replace("20", "30")), ("a", "New.java", "class New { static int one() { return 1; } }")]
     frame = lambda rows: spark.createDataFrame(rows, SOURCES)
     kept = Analysis(spark, frame(first))
@@ -179,7 +216,7 @@ def test_edits_equal_from_scratch_and_keep_the_rest(spark, tmp_path):
     assert {k: v for k, v in everything.items() if k in scratch} == scratch and len(everything) > len(scratch)
     seen = []
     (tmp_path / "edits").mkdir()
-    rows = [(1, "a", "Up.java", EDITED.replace("20", "5")), (2, "a", "Up.java", EDITED.replace("20", "40")), (3, "b", "Shop.java", None)]
+    rows = [(1, "a", "Up.java", EDITED.replace("20", "5")), (2, "a", "Up.java", EDITED.replace("20", "40")), (3, "b", "Payroll.java", None)]
     spark.createDataFrame(rows, EDITS).write.mode("append").parquet(f"{tmp_path}/edits/one")
     stream = spark.readStream.schema(EDITS).parquet(f"{tmp_path}/edits/*")
     only = demand.where("program = 'a'")
