@@ -8,20 +8,43 @@ from pyspark.sql import functions as F
 from conefix.session import Scratch
 
 
-def percentiles(log: DataFrame, by: list[str], ms: str = "ms") -> DataFrame:
-    """Mean, median, p90, p95, p99 by exact linear interpolation."""
-    p = F.percentile(ms, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
-    got = log.groupBy(*by).agg(F.avg(ms).alias("mean"), p.alias("p"))
-    return got.select(*by, "mean", *(F.col("p")[i].alias(n) for i, n in enumerate(("median", "p90", "p95", "p99"))))
+def percentiles(log: DataFrame, by: list[str], ms: str = "ms", points: dict[str, float] | None = None) -> DataFrame:
+    """Mean, median, p90, p95, p99 by exact linear interpolation, from the two order statistics around each.
+
+    Rows are ranked by ranges, so that a group of any size is no task of its own. Null measures do not count.
+    """
+    points = points or {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    rows = log.where(F.col(ms).isNotNull()).select(*by, F.col(ms).alias("\0ms"), F.monotonically_increasing_id().alias("\0id"))
+    placed = grouped_ranks(rows, by, ["\0ms", "\0id"])
+    sizes = rows.groupBy(*by).agg(F.avg("\0ms").alias("mean"), F.count("*").alias("\0n"))
+    joined = placed.join(sizes.drop("mean"), by)
+
+    def at(p: float) -> Column:
+        place = (F.col("\0n") - 1) * p
+        low = F.floor(place)
+        part = place - low
+        here = F.max(F.when(F.col("\0rank") == low, F.col("\0ms")))
+        following = F.max(F.when(F.col("\0rank") == low + 1, F.col("\0ms")))
+        return here + F.coalesce(F.max(part) * (following - here), F.lit(0.0))
+
+    got = joined.groupBy(*by).agg(*(at(p).alias(name) for name, p in points.items()))
+    return sizes.drop("\0n").join(got, by).select(*by, "mean", *points)
 
 
 def group_means(log: DataFrame, by: list[str], order: list[str], n: int, ms: str = "ms") -> DataFrame:
     """Mean of each n consecutive rows; an incomplete last group is dropped."""
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    groups = log.select(*by, F.col(ms).alias("\0ms"), F.floor(at / n).alias("grp"))
+    placed = grouped_ranks(log.select(*dict.fromkeys([*by, *order]), F.col(ms).alias("\0ms")), by, order)
+    groups = placed.select(*by, "\0ms", F.floor(F.col("\0rank") / n).alias("grp"))
     return groups.groupBy(*by, "grp").agg(F.avg("\0ms").alias("mean_ms"), F.count("*").alias("\0n")).where(F.col("\0n") == n).drop("\0n")
 
 
+def grouped_ranks(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``\0rank``, their position from 0 within their group; a hot group is spread over ranges like any other."""
+    placed = ranked(rows, [*by, *order], "\0at")
+    first = placed.groupBy(*by).agg(F.min("\0at").alias("\0first"))
+    return placed.join(first, by).withColumn("\0rank", F.col("\0at") - F.col("\0first")).drop("\0at", "\0first")
+
+
 def ranked(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """Rows with their position from 0 in a total order, without one task that sorts them all.
 

@@ -8,6 +8,7 @@ recursive query.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,9 +17,6 @@ from pyspark.sql import functions as F
 
 from conefix.session import Scratch
 
-#: Rounds after which a loop gives up; reaching a node takes at most as many rounds as its distance.
-MAX_ROUNDS = 200
-
 
 def reach(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """``edges(src, dst)``, ``seeds(origin, node)`` -> ``(origin, node)`` of everything reachable, seeds included.
@@ -31,7 +29,7 @@ def reach(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None) ->
         edges = edges.join(stop.select(F.col("node").alias("src")).distinct(), "src", "left_anti")
     newest = scratch.save(seeds.select("origin", "node").distinct(), "new-0")
     parts = [newest]
-    for turn in range(1, MAX_ROUNDS):
+    for turn in itertools.count(1):
         step = newest.join(edges, newest["node"] == edges["src"]).select("origin", F.col("dst").alias("node")).distinct()
         known = parts[0]
         for part in parts[1:]:
@@ -45,7 +43,6 @@ def reach(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None) ->
             for part in parts[1:]:
                 known = known.unionByName(part)
             parts = [scratch.save(known, f"known-{turn}")]
-    raise RuntimeError(f"no fixpoint in {MAX_ROUNDS} rounds")
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -58,13 +55,53 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def _least_reached(edges: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``labels(node, label)`` -> the least label among each node and all that reach it; only what changed goes on."""
+    current = newest = labels
+    for turn in itertools.count():
+        offered = newest.withColumnRenamed("node", "src").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
+        better = offered.join(current, "node").where("offer < label").select("node", F.col("offer").alias("label"))
+        newest = scratch.save(better, f"{name}-better-{turn}")
+        if newest.isEmpty():
+            return current
+        changed = newest.withColumnRenamed("label", "less")
+        current = scratch.save(current.join(changed, "node", "left").select("node", F.coalesce("less", "label").alias("label")), f"{name}-{turn}")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """``(node, component)``: the least node of each node's strongly connected component."""
-    paths = closure(edges)
-    mutual = paths.join(reverse(paths), ["src", "dst"])
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    least = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
-    return nodes.join(least, "node", "left").select("node", F.least("node", "least").alias("component"))
+    """``(node, component)``: the least node of each node's strongly connected component.
+
+    Rounds of colours: the least node that reaches a node is its colour; of each colour, what
+    reaches the colour's own node within it is a component and leaves the graph. Nodes without
+    edges in or out among the rest are components of their own and leave first. No pairs of
+    nodes are made.
+    """
+    scratch = Scratch(edges.sparkSession, "scc")
+    rest = scratch.save(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    nodes = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
+    done: list[DataFrame] = []
+    for turn in itertools.count():
+        # Trim: only nodes with edges both in and out may be on a circle.
+        inner = rest.where("src != dst").select(F.col("src").alias("node")).intersect(rest.where("src != dst").select("dst"))
+        rest = scratch.save(rest.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), f"trimmed-{turn}")
+        if rest.isEmpty():
+            break
+        own = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct().withColumn("label", F.col("node"))
+        colours = _least_reached(rest, own, scratch, f"colour-{turn}")
+        same = rest.join(colours.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
+        same = scratch.save(same.select("src", "dst"), f"same-{turn}")
+        # Within a colour, what reaches its own node: the least of the nodes reached backwards is the colour itself.
+        back = _least_reached(reverse(same), colours.select("node", F.when(F.col("node") == F.col("label"), F.col("node")).alias("label")).where("label IS NOT NULL").unionByName(colours.where("node != label").select("node", F.col("node").alias("label"))), scratch, f"back-{turn}")
+        found = back.join(colours.withColumnRenamed("label", "colour"), "node").where("label = colour").select("node", F.col("colour").alias("component"))
+        done.append(scratch.save(found, f"found-{turn}"))
+        gone = done[-1].select("node")
+        rest = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    out = nodes
+    if done:
+        whole = rows_of(iter(done))
+        out = nodes.join(whole, "node", "left")
+        return out.select("node", F.coalesce("component", "node").alias("component"))
+    return out.select("node", F.col("node").alias("component"))
 
 
 def natural_loop(edges: DataFrame, head: int, tail: int) -> DataFrame:

@@ -55,11 +55,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is ``spark.checkpoint.dir`` where the cluster names one. A temporary
-    folder of this machine is taken only where it is unset (local tests).
+    folder of this machine is taken only where it is unset and the master is local (tests).
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
     if not hasattr(shared_dir, "own"):
         shared_dir.own = "file://" + tempfile.mkdtemp(prefix="conefix-")
     return shared_dir.own
