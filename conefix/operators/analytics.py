@@ -84,3 +84,23 @@ def percent_of(log: DataFrame, program: str, mode: str, base: str, ms: str = "ms
 def shown_percent(value: Column) -> Column:
     """A percentage as tables print it."""
     return F.when(value.isNull(), "").when(value < 0.01, "<0.01").when(value < 0.1, "<0.1").otherwise(F.format_string("%.1f", value))
+
+
+def pasted(log: DataFrame, seed: str, order: list[str], seeds: list, ms: str = "ms") -> DataFrame:
+    """``(row, one column for each seed)``: the seeds' observations side by side by row number, 0 where one has fewer."""
+    placed = grouped_ranks(log.select(*dict.fromkeys([seed, *order]), F.col(ms).alias("\0ms")), [seed], order)
+    wide = placed.groupBy(F.col("\0rank").alias("row")).pivot(seed, seeds).agg(F.first("\0ms"))
+    return wide.select("row", *(F.coalesce(F.col(f"`{s}`"), F.lit(0.0)).alias(str(s)) for s in seeds))
+
+
+def map_total(metrics: Column) -> Column:
+    """The sum of a map's numbers; nulls count nothing."""
+    return F.aggregate(F.map_values(metrics), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)).cast("long"))
+
+
+def line_counts(lines: DataFrame, by: list[str], order: list[str], value: str = "value") -> DataFrame:
+    """``by + (total, distinct, runs)``: lines, different lines, and runs of equal neighbours."""
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+    marked = lines.withColumn("\0new", first | ~before.eqNullSafe(F.col(value)))
+    return marked.groupBy(*by).agg(F.count("*").alias("total"), F.countDistinct(value).alias("distinct"), F.count_if("\0new").alias("runs"))

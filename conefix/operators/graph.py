@@ -176,3 +176,17 @@ def rows_of(frames: Iterator[DataFrame]) -> DataFrame:
     for frame in rest:
         first = first.unionByName(frame)
     return first
+
+
+def containing_heads(edges: DataFrame, back: DataFrame) -> DataFrame:
+    """``edges(fn_id, src, dst)`` and their ``back`` edges -> ``(fn_id, loc, heads)``: the heads of the loops around each location, in order.
+
+    A loop is what reaches the tail of a back edge without passing its head; the head is not within it.
+    """
+    kind = edges.schema["fn_id"].dataType
+    node = lambda c: F.struct(F.col("fn_id"), F.col("head"), F.col(c).alias("loc"))
+    heads = back.select("fn_id", F.col("dst").alias("head"), F.col("src").alias("tail")).distinct()
+    backwards = edges.join(heads.select("fn_id", "head").distinct(), "fn_id").where("dst != head").select(node("dst").alias("src"), node("src").alias("dst"))
+    found = reach(backwards, heads.select(F.lit(0).alias("origin"), node("tail").alias("node")))
+    inside = found.select(F.col("node.fn_id").cast(kind).alias("fn_id"), F.col("node.head").alias("head"), F.col("node.loc").alias("loc")).where("loc != head").distinct()
+    return inside.groupBy("fn_id", "loc").agg(F.sort_array(F.collect_list("head")).alias("heads"))

@@ -530,6 +530,26 @@ def analyse(edges: DataFrame, methods: DataFrame, demand: DataFrame, mutual: Dat
     return cells_of(demanded(bodies, demand, scratch, domain=domain))
 
 
+def located(bodies: DataFrame, places: DataFrame, scratch: Scratch, domain: str = "interval") -> DataFrame:
+    """Cells of ``places(program, fn, loc)`` without an entry state: those under every entry that callers give.
+
+    What may come before a place are the methods that reach it by calls. Those of them that
+    nobody calls start unconstrained; where there are none, as in a closed circle of calls,
+    the place's own method does.
+    """
+    from conefix.operators import graph
+
+    calls = bodies.select("program", "fn", F.explode("edges").alias("e")).select("program", "fn", F.explode(F.from_json("e", "callees array<struct<fn:string>>")["callees"]["fn"]).alias("callee")).distinct()
+    name = lambda c: F.concat_ws("|", "program", c)
+    seeds = places.select("program", "fn").distinct()
+    above = graph.reach(calls.select(name("callee").alias("src"), name("fn").alias("dst")), seeds.select(name("fn").alias("origin"), name("fn").alias("node")))
+    roots = above.join(calls.select(name("callee").alias("node")).distinct(), "node", "left_anti")
+    alone = seeds.withColumn("node", name("fn")).join(roots.select(F.col("origin").alias("node")), "node", "left_anti").select("program", "fn")
+    entries = roots.select(F.substring_index("node", "|", 1).alias("program"), F.expr("substring(node, length(substring_index(node, '|', 1)) + 2)").alias("fn")).union(alone).distinct()
+    solved = demanded(bodies, entries.withColumn("entry", F.lit("{}")), scratch, name="located", domain=domain)
+    return cells_of(solved).join(places.select("program", "fn", "loc").distinct(), ["program", "fn", "loc"])
+
+
 def cells_of(solved: DataFrame) -> DataFrame:
     return solved.where("kind = 'cell'").select("program", "fn", "ctx", "entry", "loc", "state")
 

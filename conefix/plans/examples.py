@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conefix.plans import checks
-from conefix.plans.analysis import EXC, RET, analyse
-from conefix.sources import java
+from conefix.operators import graph
+from conefix.plans import checks, statements
+from conefix.plans.analysis import EXC, RET, analyse, bodies_of, demanded, located
+from conefix.session import Scratch
+from conefix.sources import facts, java, sinks
 
 PROGRAMS = {
     "wages": """
@@ -170,3 +172,73 @@ def exit_states(spark: SparkSession) -> DataFrame:
     rows = cells.where("loc = 1 AND fn LIKE '%#main(%' AND state IS NOT NULL").select("program", F.explode(F.from_json("state", "map<string, array<double>>", {"allowNonNumericNumbers": "true"})).alias("variable", "b"))
     finite = lambda i: F.when(~F.col("b")[i].isin(float("inf"), float("-inf")), F.col("b")[i])
     return rows.where(~F.col("variable").startswith("$") & ~F.col("variable").isin(RET, EXC) & ~F.col("variable").contains(".#")).select("program", "variable", finite(0).alias("lo"), finite(1).alias("hi"))
+
+
+#: Two versions of a program, and the edits between them.
+VERSIONS = (
+    "class V { int a(int n) { int x = 1; if (n > 0) { x = n; x++; } else { x = 2; } return x; } void b() { go(); } int d() { return 1; } static class W { void c() { while (on()) { step(); stop(); } } } }",
+    "class V { int a(int n) { int x = 1; log(x); if (n > 0) { x = n; } else { x = 3; } return x; } void b() { go(); } int e() { return 1; } static class W { void c() { while (on()) { stop(); step(); } } } }",
+)
+CHANGES = [
+    ("V#a/1", "add_statements", "1", 0, 1),
+    ("V#a/1", "delete_statements", "1.0/1", 1, 0),
+    ("V#a/1", "modify_statements", "1.1/0", 1, 1),
+    ("V#d/0", "delete_function", "", None, None),
+    ("V#e/0", "add_function", "", None, None),
+    ("V$W#c/0", "delete_statements", "0.0/0", 1, 0),
+    ("V$W#c/0", "add_statements", "0.0/2", 0, 1),
+]
+
+#: A method that two callers reach with different arguments; its parameter at the entry and exit, without an entry state given.
+CALLED = "class L { static int half(int k) { return k / 2; } static int low() { return half(4); } static int high() { return half(31); } static void main() { int a = low(); int b = high(); } }"
+PLACES = [("k", 0, 4.0, 4.0), ("k", 0, 31.0, 31.0), ("RET_VAR", 1, 2.0, 2.0), ("RET_VAR", 1, 15.0, 15.0), ("k", 1, 4.0, 4.0), ("k", 1, 31.0, 31.0)]
+
+#: Forms that make methods unsupported, with their numbers.
+ODD = "class O { void a() { Runnable r = () -> { }; } void b() { f(x -> x); } int c(int n) { return switch (n) { default -> 1; }; } Object d() { return new Object() { }; } interface I { } }"
+FORMS = [("lambda", 2), ("switch expression", 1), ("anonymous class", 1), ("interface declaration", 1)]
+
+#: Numbers of the solved tables of "wages": contexts, dependencies, methods, contexts that ask for themselves.
+STATS = (5, 4, 5, 0)
+
+#: Nested loops by edges, their back edges, and the heads around each location.
+LOOPS = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 3), (4, 5), (5, 1), (2, 6), (1, 7)]
+AROUND = [(2, "1"), (3, "1"), (4, "1,3"), (5, "1")]
+
+
+def statement_edits(spark: SparkSession) -> DataFrame:
+    """``(method, kind, place, old, new)`` between the two versions."""
+    frame = lambda text: spark.createDataFrame([("v", text)], "program string, text string")
+    return statements.statement_edits(*map(frame, VERSIONS)).select("method", "kind", "place", "old", "new")
+
+
+def _bounds(cells: DataFrame, *keys: str) -> DataFrame:
+    return cells.select(*keys, F.explode(F.from_json("state", "map<string, array<double>>", {"allowNonNumericNumbers": "true"})).alias("variable", "b")).select(*keys, "variable", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
+
+
+def located_states(spark: SparkSession) -> DataFrame:
+    """``(variable, loc, lo, hi)`` at the entry and exit of a method under all entries that its callers give."""
+    edges, methods, parents, _ = _facts(spark, {"l": CALLED})
+    scratch = Scratch(spark, "located")
+    bodies = scratch.save(bodies_of(edges, methods, hierarchy=parents), "bodies")
+    places = methods.where("method_name = 'half'").select("program", "fn", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("loc"))
+    return _bounds(located(bodies, places, scratch), "loc").where("NOT startswith(variable, '$')").select("variable", "loc", "lo", "hi").distinct()
+
+
+def form_counts(spark: SparkSession) -> DataFrame:
+    parsed = java.parse_sources(spark.createDataFrame([("o", ODD)], "path string, text string"))
+    return facts.form_counts(java.facts_of(parsed, "unsupported"))
+
+
+def solved_stats(spark: SparkSession) -> DataFrame:
+    """The statistics of a solved program."""
+    edges, methods, parents, demand = _facts(spark, {"wages": PROGRAMS["wages"]})
+    scratch = Scratch(spark, "stats")
+    bodies = scratch.save(bodies_of(edges, methods, hierarchy=parents), "bodies")
+    return sinks.stats(demanded(bodies, demand, scratch), bodies).select("contexts", "dependencies", "methods", "self_loops")
+
+
+def heads_around(spark: SparkSession) -> DataFrame:
+    """``(loc, heads)`` of the nested loops, by back edges of a depth-first search."""
+    edges = spark.createDataFrame([("f", a, b) for a, b in LOOPS], "fn_id string, src long, dst long")
+    back = graph.back_edges(edges.withColumn("entry", F.lit(0)))
+    return graph.containing_heads(edges, back).select("loc", F.array_join(F.transform("heads", lambda h: h.cast("string")), ",").alias("heads"))

@@ -45,6 +45,19 @@ class Analysis:
     def _bodies(self) -> DataFrame:
         return bodies_of(self._table("edge"), self._table("method"), hierarchy=self._table("parent"))
 
+    def keep(self, path: str) -> None:
+        """Write the current facts to a folder that outlives the driver."""
+        self.facts.write.mode("overwrite").parquet(path)
+
+    def restore(self, path: str) -> None:
+        """Go on from facts that ``keep`` has written; answers are computed again."""
+        self.take(self.spark.read.schema(self.facts.schema).parquet(path))
+
+    def take(self, facts: DataFrame) -> None:
+        self.version += 1
+        self.facts = self._save(facts, "facts")
+        self.bodies, self.solved = self._save(self._bodies(), "bodies"), None
+
     def methods(self) -> DataFrame:
         return self._table("method")
 

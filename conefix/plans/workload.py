@@ -35,6 +35,15 @@ def edits(spark: SparkSession, n: int, seed: int, methods: int = 4) -> DataFrame
     return rows.select("edit_no", kind.alias("kind"), draw(seed, "method", methods).alias("method"), draw(seed, "place", 1 << 30).alias("place"), text.alias("text"))
 
 
+def demands(spark: SparkSession, n: int, seed: int, methods: int = 4) -> DataFrame:
+    """``(edit_no, program, fn, entry)``: a query of a random method under a random entry state, after each of n edits."""
+    rows = spark.range(n).withColumnRenamed("id", "edit_no")
+    number = draw(seed, "query", methods)
+    low = draw(seed, "low", 100) - 50
+    entry = F.when(draw(seed, "open", 4) == 0, "{}").otherwise(F.format_string('{"v0": [%d.0, %d.0]}', low, low + draw(seed, "width", 20)))
+    return rows.select("edit_no", F.lit("synthetic").alias("program"), F.format_string("M%d#m%d(int)", number, number).alias("fn"), entry.alias("entry"))
+
+
 def program(edit_rows: DataFrame, upto: int, methods: int = 4) -> DataFrame:
     """``(program, path, text)``: the synthetic class after the first ``upto`` edits, one static method for each number.
 

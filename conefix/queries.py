@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from conefix.functions import nullness
+from conefix.functions import context, nullness
 from conefix.functions.interval import Itv, in_bounds
 from conefix.operators import analytics, edits, graph, states, textdiff
 from conefix.plans import examples, workload
@@ -515,3 +515,229 @@ def text_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workload_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded random workload of a thousand edits."""
     return workload.edits(spark, 1000, 7)
+
+
+# --- positions, sets and counts ------------------------------------------------
+
+
+@query("SELECT doc_id, substr(hex(encode(text)), 21, 60) AS bytes FROM documents")
+def byte_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty bytes of each text from byte 10 on."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.hex(facts.bytes_at(F.col("text"), 10, 30)).alias("bytes"))
+
+
+_HUNK = "OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)"
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, CAST(coalesce(sum(l_suppkey - l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift,
+  coalesce(lag(l_linestatus) {_HUNK} = l_returnflag, row_number() {_HUNK} = 1) AS joins, coalesce(lag(l_suppkey) {_HUNK}, lead(l_suppkey) {_HUNK}) AS beside FROM lineitem
+""")
+def hunk_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets over hunks, contiguity and neighbours, with items of an order as hunks."""
+    rows, by, order = read_table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]
+    shift = edits.shifted(F.col("l_partkey"), F.col("l_suppkey"), by, order).cast("long")
+    joins = edits.contiguous(F.col("l_returnflag"), F.col("l_linestatus"), by, order)
+    return rows.select("l_orderkey", "l_linenumber", shift.alias("shift"), joins.alias("joins"), edits.neighbour(F.col("l_suppkey"), by, order).alias("beside"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS state FROM lineitem), e AS (SELECT l_orderkey, min(l_linenumber) FILTER (state IS NULL) AS first_empty FROM r GROUP BY l_orderkey)
+SELECT r.l_orderkey, l_linenumber, max(l_linenumber) OVER (PARTITION BY r.l_orderkey) + 1 + l_linenumber AS moved, first_empty FROM r JOIN e ON r.l_orderkey = e.l_orderkey
+""")
+def iterate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First iterates without a state, and indices moved behind the greatest."""
+    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).alias("state"))
+    empty = edits.first_empty(rows, ["l_orderkey"], "l_linenumber", "state").withColumnRenamed("l_linenumber", "first_empty")
+    moved = edits.reindexed(F.col("l_linenumber"), ["l_orderkey"], F.col("l_linenumber"))
+    return rows.select("l_orderkey", "l_linenumber", moved.alias("moved")).join(empty, "l_orderkey")
+
+
+SEEDS = [1, 2, 3]
+
+
+@query("""
+WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events WHERE user_id IN (1, 2, 3))
+SELECT k AS row, """ + ", ".join(f'coalesce(max(value) FILTER (user_id = {s}), 0) AS "{s}"' for s in SEEDS) + " FROM r GROUP BY k")
+def seeds_pasted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs side by side by row number, with users as seeds."""
+    log = read_table(spark, sf_dir, "events").where(F.col("user_id").isin(SEEDS)).select("user_id", "ts", "event_id", "value")
+    return analytics.pasted(log, "user_id", ["ts", "event_id"], SEEDS, "value")
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) + user_id AS total FROM events")
+def metric_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events")
+    metrics = F.create_map(F.lit("k"), F.regexp_extract("props", "([0-9]+)", 1).cast("long"), F.lit("user"), F.col("user_id"), F.lit("none"), F.lit(None).cast("long"))
+    return rows.select("event_id", analytics.map_total(metrics).alias("total"))
+
+
+@query("""
+WITH r AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+SELECT user_id, count(*) AS total, count(DISTINCT event_type) AS "distinct", count(*) FILTER (b IS NULL OR b <> event_type) AS runs FROM r GROUP BY user_id
+""")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, different lines and runs of equal lines, with events as lines."""
+    return analytics.line_counts(read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("""
+WITH s AS (SELECT DISTINCT l_suppkey AS g, l_partkey % 40 AS i FROM lineitem WHERE l_quantity >= 45), p AS (SELECT DISTINCT a.g AS a, b.g AS b FROM s a JOIN s b ON b.g = a.g + 1 OR b.g = a.g),
+n AS (SELECT g, count(*) AS size FROM s GROUP BY g), c AS (SELECT p.a, p.b, count(*) AS shared FROM p JOIN s x ON x.g = p.a JOIN s y ON y.g = p.b AND x.i = y.i GROUP BY ALL)
+SELECT p.a, p.b, coalesce(shared, 0) = 0 AS disjoint, coalesce(shared, 0) = size AS subset FROM p LEFT JOIN c ON c.a = p.a AND c.b = p.b JOIN n ON n.g = p.a
+""")
+def set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether sets of parts of neighbouring suppliers are disjoint or within one another."""
+    own = read_table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("g"), (F.col("l_partkey") % 40).alias("i")).distinct()
+    groups = own.select("g").distinct()
+    pairs = groups.select(F.col("g").alias("a"), F.explode(F.array("g", F.col("g") + 1)).alias("b")).join(groups.withColumnRenamed("g", "b"), "b", "left_semi")
+    return edits.set_relations(own, pairs, "g", "i")
+
+
+@query("SELECT 'c' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 's' || s_suppkey, 'supplier ' || s_suppkey FROM supplier")
+def merge_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of two tables that share no key; a shared key would be an error."""
+    a = read_table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"))
+    b = read_table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("supplier "), "s_suppkey").alias("name"))
+    return edits.merged(a, b, ["id"])
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS is_known FROM customer")
+def split_by_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return edits.split_by(read_table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey")
+
+
+@query(f"""
+WITH {_LINES}, c AS (SELECT path, digest, ordinal FROM n WHERE side = 1)
+SELECT a.path, a.digest, a.ordinal FROM (SELECT * FROM n WHERE side = 0) a WHERE EXISTS (SELECT 1 FROM c WHERE c.path = a.path AND c.digest = a.digest AND c.ordinal = a.ordinal)
+""")
+def hash_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the old version that the hashes of the new one find again."""
+    docs = read_table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).alias("side"), F.floor(F.col("doc_id") / 2).alias("path"), "text")
+    old, new = (edits.numbered_lines(docs.where(F.col("side") == s), "path", "text") for s in (0, 1))
+    return edits.located(old, new, ["path", "digest", "ordinal"]).select("path", "digest", "ordinal")
+
+
+# --- method names, call graphs and text sinks ----------------------------------
+
+
+@query("""
+WITH r AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '<init>' WHEN 1 THEN 'println' WHEN 2 THEN 'get' || p_brand WHEN 3 THEN 'set' || p_brand WHEN 4 THEN 'getter' ELSE lower(p_brand) END AS name, p_size % 2 AS n FROM part)
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'constructor' WHEN 1 THEN 'no_effect' WHEN 2 THEN CASE WHEN n = 0 THEN 'getter' ELSE 'unknown' END WHEN 3 THEN CASE WHEN n = 1 THEN 'setter' ELSE 'unknown' END ELSE 'unknown' END AS kind FROM r
+""")
+def library_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, k = read_table(spark, sf_dir, "part"), F.col("p_partkey") % 6
+    name = F.when(k == 0, "<init>").when(k == 1, "println").when(k == 2, F.concat(F.lit("get"), "p_brand")).when(k == 3, F.concat(F.lit("set"), "p_brand")).when(k == 4, "getter").otherwise(F.lower("p_brand"))
+    return part.select("p_partkey", facts.library_kind(name, F.col("p_size") % 2).alias("kind"))
+
+
+@query("""
+SELECT c_custkey, c_custkey % 4 = 0 AND c_nationkey = 3 AND c_mktsegment = 'BUILDING' AS is_entry, CASE WHEN c_custkey % 4 = 0 THEN 'main' ELSE 'run' END AS method_name FROM customer WHERE c_custkey % 5 <> 0
+""")
+def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a query file, empty ones and comments among them, and which ids are entry points."""
+    c = read_table(spark, sf_dir, "customer")
+    name = F.when(F.col("c_custkey") % 4 == 0, "main").otherwise("run")
+    line = F.concat(F.lit("  com."), F.lower("c_mktsegment"), F.lit(".Nation"), F.col("c_nationkey"), F.lit("#"), name, F.lit("(String[])"))
+    lines = c.select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, "").when(F.col("c_custkey") % 5 == 0, "# none").otherwise(F.concat(line, F.lit(" "))).alias("value"))
+    ids = facts.query_ids(lines.select("value")).dropDuplicates(["text"])
+    keyed = lines.withColumn("text", F.trim("value")).join(ids, "text")
+    return keyed.select("c_custkey", facts.is_entry_point(F.col("method"), "Nation3", ["com", "building"]).alias("is_entry"), "method.method_name")
+
+
+@query("SELECT DISTINCT o_orderpriority AS file, 'com.C' || o_custkey || '#m()' AS caller, 'com.O' || o_orderstatus || '#n(int)' AS callee FROM orders")
+def call_graph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call graphs written as text and read again, a file for each priority."""
+    orders = read_table(spark, sf_dir, "orders")
+    calls = orders.select(F.col("o_orderpriority").alias("file"), F.concat(F.lit("com.C"), "o_custkey", F.lit("#m()")).alias("caller"), F.concat(F.lit("com.O"), "o_orderstatus", F.lit("#n(int)")).alias("callee")).distinct()
+    lines = calls.groupBy("file", "caller").agg(F.sort_array(F.collect_set("callee")).alias("callees")).select("file", "caller", F.posexplode(F.concat(F.array(F.concat(F.lit("CALLER: "), "caller")), F.transform("callees", lambda c: F.concat(F.lit("\tCALLEE: "), c)))).alias("k", "value"))
+    return facts.call_graph(lines.select("file", F.col("caller").alias("at"), "k", "value"), ["at", "k"], ["file"])
+
+
+@query("""
+WITH a AS (SELECT c_custkey AS m, c_nationkey AS h, c_mktsegment AS b FROM customer WHERE c_custkey % 3 <> 0), z AS (SELECT c_custkey AS m, CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_nationkey END AS h, CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE c_mktsegment END AS b FROM customer WHERE c_custkey % 4 <> 0),
+e AS (SELECT coalesce(a.m, z.m) AS method, CASE WHEN a.m IS NULL THEN 'add_function' WHEN z.m IS NULL THEN 'delete_function' WHEN a.h <> z.h THEN 'modify_header' WHEN a.b <> z.b THEN 'modify_function' END AS edit FROM a FULL OUTER JOIN z ON a.m = z.m)
+SELECT method, edit FROM e WHERE edit IS NOT NULL
+""")
+def method_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods added, deleted and changed between two versions, with customers as methods."""
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("method"), F.col("c_nationkey").alias("header"), F.col("c_mktsegment").alias("body"))
+    later = c.where("method % 4 <> 0").select("method", F.when(F.col("method") % 7 == 0, -1).otherwise(F.col("header")).alias("header"), F.when(F.col("method") % 5 == 0, "x").otherwise(F.col("body")).alias("body"))
+    return edits.method_changes(c.where("method % 3 <> 0"), later)
+
+
+@query(f"""
+WITH RECURSIVE {_PARENTS}, own AS (SELECT 'customer ' || c_custkey AS id, c_mktsegment AS f FROM customer UNION SELECT 'nation ' || n_nationkey, n_name FROM nation UNION SELECT 'region ' || r_regionkey, r_name FROM region),
+r AS (SELECT id AS a, id AS b FROM own UNION SELECT r.a, edges.dst FROM r JOIN edges ON edges.src = r.b)
+SELECT DISTINCT a AS class_id, f AS name FROM r JOIN own ON own.id = r.b
+""")
+def inherited_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited names along customer, nation and region."""
+    own = graph.rows_of(read_table(spark, sf_dir, t).select(F.concat(F.lit(f"{a} "), F.col(k)).alias("class_id"), F.col(f).alias("name")) for t, a, k, f in (("customer", "customer", "c_custkey", "c_mktsegment"), ("nation", "nation", "n_nationkey", "n_name"), ("region", "region", "r_regionkey", "r_name")))
+    tree = parents(spark, sf_dir, False).where("NOT startswith(src, 'supplier')").select(F.col("src").alias("child"), F.col("dst").alias("parent"))
+    return graph.inherited(tree, own)
+
+
+@query("SELECT event_id, printf('%.3f', round(value, 2)) AS line FROM events")
+def latency_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.latency_lines(read_table(spark, sf_dir, "events").select("event_id", F.round("value", 2).alias("ms"))).select("event_id", "line")
+
+
+@query(f"""
+WITH {_TRADE}, n AS (SELECT src AS v FROM edges UNION SELECT dst FROM edges)
+SELECT 0 AS rank, 'digraph "calls" {{' AS line UNION ALL SELECT 1, '  "' || v || '" [label="' || v || '"];' FROM n UNION ALL SELECT 2, '  "' || src || '" -> "' || dst || '" [label=""];' FROM edges UNION ALL SELECT 3, '}}'
+""")
+def call_graph_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade graph as DOT lines."""
+    return sinks.call_graph_dot(trade(spark, sf_dir).select(F.col("src").cast("string").alias("caller"), F.col("dst").cast("string").alias("callee"))).select("rank", "line")
+
+
+@query("""
+WITH r AS (SELECT event_id, event_type AS a, lag(event_type) OVER w AS b, lag(event_type, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, '' AS k0, a AS k1, concat_ws('<', a, b) AS k2, concat_ws('<', a, b) AS k2_of_3 FROM r
+""")
+def call_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context keys of depth 0, 1 and 2, with a user's events as call sites."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = F.array_compact(F.array(F.lag("event_type").over(order), F.lag("event_type", 2).over(order)))
+    rows = read_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("site"), before.alias("caller"))
+    key = lambda k: F.array_join(context.call_string(F.col("site"), F.col("caller"), k), "<")
+    longer = context.call_string(F.col("site"), context.call_string(F.element_at("caller", 1), F.array_remove(F.slice("caller", 2, 1), ""), 2), 2)
+    return rows.select("event_id", key(0).alias("k0"), key(1).alias("k1"), key(2).alias("k2"), F.array_join(F.when(F.size("caller") > 0, longer).otherwise(F.array("site")), "<").alias("k2_of_3"))
+
+
+# --- programs of their own -------------------------------------------------------
+
+
+def _rows(rows: list[tuple], names: str) -> str:
+    show = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
+    return "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(show, r))})" for r in rows) + f") t({names})"
+
+
+@query(_rows(examples.CHANGES, "method, kind, place, old, new"))
+def program_statement_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements added, deleted and modified, within bodies of equal headers."""
+    return examples.statement_edits(spark)
+
+
+@query(_rows([(v, n, a, b) for v, n, a, b in examples.PLACES], "variable, loc, lo, hi").replace("SELECT *", "SELECT variable, CAST(loc AS BIGINT) AS loc, lo, hi"))
+def program_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of a location under all entries that its callers give."""
+    return examples.located_states(spark)
+
+
+@query(_rows(examples.FORMS, "form, n").replace("SELECT *", "SELECT form, CAST(n AS BIGINT) AS n"))
+def program_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return examples.form_counts(spark)
+
+
+@query("SELECT " + ", ".join(f"CAST({n} AS BIGINT) AS {c}" for n, c in zip(examples.STATS, ("contexts", "dependencies", "methods", "self_loops"), strict=True)))
+def program_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return examples.solved_stats(spark)
+
+
+@query(_rows(examples.AROUND, "loc, heads").replace("SELECT *", "SELECT CAST(loc AS BIGINT) AS loc, heads"))
+def loop_heads_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back edges by a depth-first search, and the heads of the loops around each location."""
+    return examples.heads_around(spark)

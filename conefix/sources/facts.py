@@ -94,3 +94,40 @@ def side_file(spark: SparkSession, path: str) -> DataFrame:
     """``(name, value)`` of lines ``name : number``; other lines are headers."""
     rows = spark.read.text(path)
     return rows.select(F.regexp_extract("value", r"^\s*(.*?)\s*:\s*\d+\s*$", 1).alias("name"), F.regexp_extract("value", r":\s*(\d+)\s*$", 1).alias("number")).where("number != ''").select("name", F.col("number").cast("long").alias("value"))
+
+
+def bytes_at(text: Column, start: Column | int, length: Column | int) -> Column:
+    """The bytes of a text from a byte position (from 0), as they stand."""
+    start, length = (x if isinstance(x, Column) else F.lit(x) for x in (start, length))
+    return text.cast("binary").substr((start + 1).cast("int"), length.cast("int"))
+
+
+def is_entry_point(method: Column, class_name: str | None = None, package: list[str] | None = None) -> Column:
+    """Whether a method id is a main, of a class and package if they are given."""
+    found = method["method_name"] == "main"
+    if class_name is not None:
+        found = found & (method["class_name"] == class_name)
+    return found if package is None else found & (F.concat_ws(".", method["package"]) == ".".join(package))
+
+
+def library_kind(name: Column, n_args: Column) -> Column:
+    """What a library method without a source is taken for: constructor, getter, setter, one without effect, or unknown."""
+    return (
+        F.when(name == "<init>", "constructor")
+        .when(name.isin("println", "print", "printf", "format", "equals", "hashCode", "toString"), "no_effect")
+        .when(name.rlike("^(get|is|has)[A-Z]") & (n_args == 0), "getter")
+        .when(name.rlike("^set[A-Z]") & (n_args == 1), "setter")
+        .otherwise("unknown")
+    )
+
+
+def query_ids(lines: DataFrame, value: str = "value") -> DataFrame:
+    """``(text, method)`` of a file with a method id on each line; empty lines and comments (#) are none."""
+    text = F.trim(value)
+    rows = lines.where((text != "") & ~text.startswith("#")).select(text.alias("text"))
+    return rows.withColumn("method", method_id(F.col("text")))
+
+
+def form_counts(unsupported: DataFrame) -> DataFrame:
+    """``(form, n)``: how often each unsupported form occurs."""
+    return unsupported.groupBy("form").agg(F.count("*").alias("n"))

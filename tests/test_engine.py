@@ -222,3 +222,22 @@ def test_edits_equal_from_scratch_and_keep_the_rest(spark, tmp_path):
     only = demand.where("program = 'a'")
     follow(stream, kept, lambda cells, n: seen.append(snapshot(cells)), only, f"{tmp_path}/check").awaitTermination()
     assert json.loads(seen[-1]["a", "Up#main(String[])", "{}", 1])["i"][0] == 40.0 and not any(k[0] == "b" for k in seen[-1])
+
+
+def test_stream_goes_on_after_a_lost_driver(spark, tmp_path):
+    """A second driver that starts from the first sources answers from the edits that were applied before."""
+    frame = lambda rows: spark.createDataFrame(rows, SOURCES)
+    source = "class G {{ static void main() {{ int i = {}; }} }}"
+    seen, other = [], "class H { static void main() { int h = 3; } }"
+
+    def start():
+        analysed = Analysis(spark, frame([("a", "G.java", source.format(1)), ("a", "H.java", other)]))
+        demand = analysed.methods().where("method_name = 'main'").select("program", "fn", F.lit("{}").alias("entry")).persist()
+        stream = spark.readStream.schema(EDITS).parquet(f"{tmp_path}/edits/*")
+        follow(stream, analysed, lambda cells, n: seen.append(snapshot(cells)), demand, f"{tmp_path}/check").awaitTermination()
+
+    for k, rows in enumerate(([(1, "a", "G.java", source.format(7))], [(2, "a", "H.java", other.replace("3", "8"))])):
+        (tmp_path / "edits").mkdir(exist_ok=True)
+        spark.createDataFrame(rows, EDITS).write.parquet(f"{tmp_path}/edits/{k}")
+        start()
+    assert len(seen) == 2 and json.loads(seen[-1]["a", "G#main()", "{}", 1])["i"] == [7.0, 7.0] and json.loads(seen[-1]["a", "H#main()", "{}", 1])["h"] == [8.0, 8.0]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conefix.functions.octagon import MAX_VARIABLES, Octagon
 from conefix.operators import textdiff
-from conefix.plans import analysis, examples, workload
+from conefix.plans import analysis, examples, statements, workload
 from conefix.plans.incremental import SOURCES, Analysis
 from conefix.session import Scratch
 from conefix.sources import facts, java, sinks
@@ -63,6 +63,49 @@ def test_diff_of_files(spark):
     assert got == [("a", 1, 1, 1, []), ("a", 3, 0, 2, ["4"])]
 
 
+def test_statement_edits_rebuild_the_new_version():
+    """Random trees: applying the edits to the old statements gives the new ones."""
+    rng = random.Random(9)
+
+    def tree(depth: int) -> list:
+        return [[f"s{rng.randrange(6)} ;"] if depth > 1 or rng.random() < 0.7 else [f"if ( c{rng.randrange(3)} )", [tree(depth + 1)]] for _ in range(rng.randrange(5))]
+
+    def flat(t: list) -> int:
+        return sum(1 + sum(map(flat, s[1])) if len(s) > 1 else 1 for s in t)
+
+    def replayed(old: list, new: list, path: str, found: list) -> list:
+        """The old list after its edits, which are taken from the front of ``found``; new statements come from the new list in order."""
+        out, at, taken = [], 0, 0
+        while True:
+            here = found and found[0][1].startswith(path) and found[0][1][len(path) :].split(".")[0].split("/")[0]
+            place = int(here) if here else len(old)
+            while at < place:
+                out.append(old[at])
+                at, taken = at + 1, taken + 1
+            if not here:
+                return out
+            if "/" in found[0][1][len(path) :]:
+                head, bodies = old[place]
+                out.append([head, [replayed(b, new[taken][1][n], f"{path}{place}.{n}/", found) for n, b in enumerate(bodies)]])
+                at, taken = at + 1, taken + 1
+            else:
+                _, _, gone, come, _ = found.pop(0)
+                out += new[taken : taken + come]
+                at, taken = at + gone, taken + come
+
+    for _ in range(400):
+        old = tree(0)
+        new = [s for s in old if rng.random() < 0.8] + tree(0)[:2]
+        for s in new:
+            if len(s) > 1 and rng.random() < 0.5:
+                new[new.index(s)] = [s[0], [tree(1)]]
+        found = list(statements.edits_of(old, new))
+        assert (not found) == (old == new) and sum(e[3] for e in found) <= flat(new)
+        assert replayed(old, new, "", list(found)) == new
+    source = 'class A { int x = f(1); static { go(); } A(int a, int b) { do { a--; } while (a > 0); try (R r = open()) { r.read("{;"); } catch (E e) { } finally { end(); } } enum K { P } }'
+    assert set(statements.methods_of(source)) == {"A#A/2"} and len(statements.methods_of(source)["A#A/2"][1]) == 2
+
+
 # --- octagons ----------------------------------------------------------------
 
 
@@ -163,6 +206,8 @@ def test_workload_is_repeatable_and_analysable(spark):
     assert made.exceptAll(workload.edits(spark.newSession(), 4000, 7)).isEmpty() and made.exceptAll(workload.edits(spark, 4000, 8)).count() > 3000
     shares = {r["kind"]: r["count"] / 4000 for r in made.groupBy("kind").count().collect()}
     assert all(abs(shares[k] - s) < 0.03 for k, s in workload.SHARES)
+    asked = workload.demands(spark, 50, 7)
+    assert asked.exceptAll(workload.demands(spark, 50, 7)).isEmpty() and {r["fn"] for r in asked.collect()} <= {f"M{i}#m{i}(int)" for i in range(4)}
     early, late = (workload.program(made, n) for n in (10, 12))
     kept = Analysis(spark, early.select(*[c.split()[0] for c in SOURCES.split(", ")]))
     kept.query()
