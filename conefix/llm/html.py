@@ -34,6 +34,7 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,8 +48,8 @@ MIN_PAGES = 8
 #: On fewer pages it is template if it occurs on so many, and on so large a share of its host's different pages.
 FEW_PAGES = 3
 FEW_SHARE = 0.6
-#: Rows up to which the table of template subtrees may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Template subtrees up to which their numbers (8 bytes each) may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr basefont bgsound frame keygen".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
@@ -396,34 +397,58 @@ def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "hash"])
 
 
-def templates(rows: DataFrame) -> DataFrame:
-    """``rows(host, page, html)`` -> ``(host, page, hashes)``: for pages with template subtrees, which; page is a hash of the whole html."""
-    scratch = Scratch(rows.sparkSession, "html")
+class HostTemplates:
+    """The template subtrees of a host, looked up in the sorted numbers of all hosts."""
+
+    def __init__(self, table: np.ndarray, host: str):
+        self.table, self.own = table, np.uint64(xxhash.xxh64_intdigest(host.encode(), 42)).astype(np.int64)
+
+    def __bool__(self) -> bool:
+        return len(self.table) > 0
+
+    def __contains__(self, number: int) -> bool:
+        key = np.int64(number) ^ self.own
+        i = int(np.searchsorted(self.table, key))
+        return i < len(self.table) and self.table[i] == key
+
+
+def counted(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``rows(host, page, html)`` -> all subtrees of all different pages, ``(host, page, hash)``, and those that are template, ``(host, hash)``; page is a hash of the whole html."""
     seen = scratch.save(rows.mapInArrow(_subtree_rows, "host string, page long, hash long").distinct(), "subtrees")
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n"))
     pages = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
     many = counts.where((F.col("hash") != 0) & (F.col("n") >= FEW_PAGES)).join(pages, "host").where((F.col("n") >= MIN_PAGES) | (F.col("n") >= FEW_SHARE * F.col("pages")))
-    found = scratch.save(many.select("host", "hash"), "templates")
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    # A page's own subtrees bound this list.
+    return seen, scratch.save(many.select("host", "hash"), "templates")
+
+
+def by_page(seen: DataFrame, found: DataFrame) -> DataFrame:
+    """``(host, page, hashes)``: for pages with template subtrees, which; a page's own subtrees bound the list."""
     return seen.join(found, ["host", "hash"]).groupBy("host", "page").agg(F.collect_list("hash").alias("hashes"))
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``(page_id, url, text, n_chars)`` for every page."""
+    """``(page_id, url, text, n_chars)`` for every page.
+
+    Pages meet the templates in place while these are at most ``BROADCAST_ROWS``; beyond,
+    pages are shuffled to the lists of their own template subtrees.
+    """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("html"))
-    rows = rows.withColumn("page", F.xxhash64("html"))
-    found = Scratch(pages.sparkSession, "html").save(templates(rows.select("host", "page", "html")), "found")
+    rows, scratch = rows.withColumn("page", F.xxhash64("html")), Scratch(pages.sparkSession, "html")
+    seen, found = counted(rows.select("host", "page", "html"), scratch)
+    if found.count() <= BROADCAST_ROWS:
+        table = np.sort(found.select(F.col("hash").bitwiseXOR(F.xxhash64("host")).alias("k")).toArrow().column("k").to_numpy())
+        marked = rows.withColumn("hashes", F.lit(None).cast("array<bigint>"))
+    else:
+        table, marked = None, rows.join(scratch.save(by_page(seen, found), "found"), ["host", "page"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
-                hashes = batch.column("hashes").to_pylist()
-                texts = [extract(raw.decode("utf-8", "replace"), set(h or ())) for raw, h in zip(values(batch, "html"), hashes, strict=True)]
+                raw = [x.decode("utf-8", "replace") for x in values(batch, "html")]
+                own = [set(h or ()) for h in batch.column("hashes").to_pylist()] if table is None else [HostTemplates(table, h) for h in batch.column("host").to_pylist()]
+                texts = [extract(x, t) for x, t in zip(raw, own, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    marked = rows.join(found, ["host", "page"], "left")
-    return marked.select("page_id", "url", "html", "hashes").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return marked.select("page_id", "url", "host", "html", "hashes").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conefix.llm import chat, html, secret_scan, simhash, toxicity
+from conefix.session import Scratch
 
 # --- chat --------------------------------------------------------------------
 
@@ -241,7 +242,10 @@ def test_templates_do_not_depend_on_the_size_of_the_host(spark):
     assert [got[300 + i] for i in range(6)] == [f"Of the small site\nLeaf {i}" for i in range(3)] + [f"Leaf {i}" for i in range(3, 6)]
 
 
-def test_shapes_of_a_host_are_template(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_shapes_of_a_host_are_template(spark, monkeypatch, bound):
+    """With the templates in place, and with pages shuffled to them beyond the bound."""
+    monkeypatch.setattr(html, "BROADCAST_ROWS", bound)
     rng = random.Random(31)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
     menu = lambda: "<ul class=k>" + "".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(rng.randrange(2, 7))) + "</ul>"
@@ -270,7 +274,7 @@ def test_counted_templates_match_brute_force(spark):
     parts = [f"<div class=c{k}><span>part {k}</span></div>" for k in range(9)]
     rows = [(i, f"http://h{i % 3}.com/{i}", "<body>" + "".join(p for k, p in enumerate(parts) if rng.random() < (k + 1) / 10) + f"<p>own {i // 2}</p></body>") for i in range(60)]
     frame = spark.createDataFrame([(f"h{i % 3}.com", zlib.crc32(t.encode()), t.encode()) for i, _, t in rows], "host string, page long, html binary")
-    got = {(r["host"], r["page"]): set(r["hashes"]) for r in html.templates(frame).collect()}
+    got = {(r["host"], r["page"]): set(r["hashes"]) for r in html.by_page(*html.counted(frame, Scratch(spark, "t"))).collect()}
     for host in {f"h{i}.com" for i in range(3)}:
         own = {zlib.crc32(t.encode()): html.subtrees(html.parse(t)) for i, _, t in rows if f"h{i % 3}.com" == host}
         counts = collections.Counter(h for x in own.values() for h in x)
