@@ -8,7 +8,8 @@ and its fixpoint sequential, so a group solves it by a work list with widening a
 heads. Rounds follow the depth of calls, not the number of methods, and end when nothing is
 left to do: exits are widened exactly where methods call themselves or one another.
 
-The domain is a parameter: intervals (here), nullness or octagons (``domains.py``).
+The domain is a parameter: intervals (here), nullness or octagons (``domains.py``), or list
+shapes (``shapes.py``).
 Interval states are JSON objects of variable to [lo, hi]; a missing variable is
 unconstrained and a null state is unreachable. Contexts are digests of method and entry
 state. Location 1 holds the state at the return, 2 that at an exception's way out.
@@ -326,9 +327,9 @@ INTERVALS = Domain(dump, load, join, widen, step, bind_call, bind_return, unknow
 
 
 def domain_named(name: str) -> Domain:
-    from conefix.plans import domains
+    from conefix.plans import domains, shapes
 
-    return {"interval": INTERVALS, "nullness": domains.NULLNESS, "octagon": domains.OCTAGONS}[name]
+    return {"interval": INTERVALS, "nullness": domains.NULLNESS, "octagon": domains.OCTAGONS, "shape": shapes.SHAPES}[name]
 
 
 def loop_heads(follow: dict[int, list]) -> set[int]:

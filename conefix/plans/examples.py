@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conefix.operators import graph
-from conefix.plans import checks, statements
+from conefix.plans import checks, shapes, statements
 from conefix.plans.analysis import EXC, RET, analyse, bodies_of, demanded, located
 from conefix.session import Scratch
 from conefix.sources import facts, java, sinks
@@ -242,3 +242,49 @@ def heads_around(spark: SparkSession) -> DataFrame:
     edges = spark.createDataFrame([("f", a, b) for a, b in LOOPS], "fn_id string, src long, dst long")
     back = graph.back_edges(edges.withColumn("entry", F.lit(0)))
     return graph.containing_heads(edges, back).select("loc", F.array_join(F.transform("heads", lambda h: h.cast("string")), ",").alias("heads"))
+
+
+#: Programs over lists, with the entry states of their methods, and what their results are at the exit.
+LISTS = """
+class Link { int key; Link next; }
+class Lists {
+    static Link concat(Link left, Link right) {
+        if (left == null) return right;
+        Link end = left;
+        while (end.next != null) end = end.next;
+        end.next = right;
+        return left;
+    }
+    static Link turned(Link rest) {
+        Link done = null;
+        while (rest != null) { Link after = rest.next; rest.next = done; done = rest; rest = after; }
+        return done;
+    }
+    static Link made(int n) {
+        Link top = null;
+        for (int i = 0; i < n; i++) { Link one = new Link(); one.next = top; top = one; }
+        return top;
+    }
+    static Link last(Link from) { Link at = from; while (at.next != null) at = at.next; return at; }
+    static Link knot(Link from) { from.next = from; return from; }
+    static Link pair() { Link a = new Link(); a.next = new Link(); return a; }
+    static Link behind() { Link two = pair(); return two.next.next; }
+    static Link twice(int n) { return turned(made(n)); }
+}"""
+_ONE = '{"env": {"%s": 1}, "next": {"1": ["seg", 0]}}'
+LIST_ENTRIES = {
+    "concat": '{"env": {"left": 1, "right": 2}, "next": {"1": ["seg", 0], "2": ["seg", 0]}}',
+    "turned": _ONE % "rest", "made": "{}", "last": _ONE % "from", "knot": _ONE % "from", "pair": "{}", "behind": "{}", "twice": "{}",
+}
+SHAPES_FOUND = [("concat", "list"), ("turned", "list"), ("made", "list"), ("last", "list, not empty"), ("knot", "unknown"), ("pair", "list, not empty"), ("behind", "null"), ("twice", "list")]
+
+
+def list_shapes(spark: SparkSession) -> DataFrame:
+    """``(method, shape)``: what the methods over lists give back."""
+    edges, methods, parents, _ = _facts(spark, {"lists": LISTS})
+    entries = spark.createDataFrame(list(LIST_ENTRIES.items()), "method_name string, entry string")
+    asked = methods.where("class_name = 'Lists'").select("program", "fn", "method_name").join(F.broadcast(entries), "method_name")
+    cells = analyse(edges, methods, asked.select("program", "fn", "entry"), domain="shape", hierarchy=parents)
+    found = cells.where("loc = 1").join(asked, ["program", "fn", "entry"])
+    told = F.pandas_udf(lambda states: states.map(lambda s: shapes.described(shapes.load(s), RET)), "string")
+    return found.select(F.col("method_name").alias("method"), told("state").alias("shape"))

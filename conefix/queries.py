@@ -741,3 +741,9 @@ def program_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loop_heads_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back edges by a depth-first search, and the heads of the loops around each location."""
     return examples.heads_around(spark)
+
+
+@query(_rows(examples.SHAPES_FOUND, "method, shape"))
+def program_list_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what methods over lists return is a list that ends."""
+    return examples.list_shapes(spark)

@@ -8,7 +8,7 @@ in evaluation order. Statements and expressions are JSON:
     {"k": "call", "lhs": name, "rcvr": name or null, "cls": class or null, "name": method, "args": [expr], "exact": bool}
     {"k": "store", "arr": name, "index": expr, "e": expr}
     ["lit", number or null]   ["var", name]   ["bin", op, l, r]   ["un", op, e]   ["any"]
-    ["obj"], some object   ["len", array]   ["cell", array, index]   ["type", name], right of instanceof
+    ["obj"], some object   ["obj", "new"], one that no one else holds   ["len", array]   ["cell", array, index]   ["type", name], right of instanceof
 
 A floating literal has a third part, "f". Division is "//" between whole numbers, "/" where
 a side is floating and "/~" where types are not known; a cast to a whole type is the unary
@@ -1071,7 +1071,7 @@ class Method:
                     raise Unsupported("anonymous class")
                 name = self.temp()
                 self.types[name] = made
-                loc = self.emit(loc, {"k": "assign", "lhs": name, "e": ["obj"]})
+                loc = self.emit(loc, {"k": "assign", "lhs": name, "e": ["obj", "new"]})
                 return self.invoke(loc, {"k": "call", "lhs": None, "rcvr": name, "cls": made, "name": "<init>", "args": args}), ["var", name]
             size, made = None, f"{made}[]"
             while p.peek() == "[":
