@@ -35,7 +35,7 @@ NEAR = 48
 #: Names of secrets, at the end of a longer name as well (DB_PASSWORD), and what stands between a name and its value.
 _NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|client)[_-]?(?:key|secret|token))"
 _SIGN = r"[\"']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}[\"']?"
-_LEAD = _NAME + _SIGN
+_LEAD = r"(?=[AaCcPpSsTt])" + _NAME + _SIGN
 #: A block runs to its END line over headers and escapes; without one before the next block, the BEGIN line alone.
 _PEM = r"-----BEGIN (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----(?:(?>(?s:.*?)(?=-----(?:BEGIN|END) ))-----END (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----)?"
 #: Kinds with a form of their own. Values run to their end, however long.
@@ -51,7 +51,8 @@ _ASSIGNED = rf"{_LEAD}(?:{_PEM}|(?:{'|'.join(FORMS.values())})(?![A-Za-z0-9_~+/=
 _GENERIC = rf"(?=[A-Za-z+/_-]{{0,40}}[0-9])[A-Za-z0-9+/_-]{{20,}}+(?!(?<={_NAME}){_SIGN}[^\s\"'<>,;]{{6}})={{0,2}}"
 #: Candidates by kind. A value after a name like password has the kind of its own form, where it has one.
 KINDS = FORMS | {"assigned": _ASSIGNED, "generic": _GENERIC}
-CANDIDATE = rf"\b(?:{'|'.join(FORMS.values())})|{_ASSIGNED}|\b{_GENERIC}|{_PEM}"
+#: The first letters stand before the names and forms, as most places fail by them at once.
+CANDIDATE = rf"(?=[Aegx])\b(?:{'|'.join(FORMS.values())})|{_ASSIGNED}|\b{_GENERIC}|{_PEM}"
 
 #: Words whose letters in a value speak for text or a placeholder (fixed values).
 DICTIONARY = (
@@ -107,7 +108,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     """``(doc_id, path, kind, value, before, after, position, occurrences)``: position is the first, from 1."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     rows = docs.select(F.col(key).alias("doc_id"), where.alias("path"), F.col(text).alias("text"))
-    rows = rows.withColumn("found", F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))).where(F.size("found") > 0)
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
 
     def cut(match: Column) -> Column:
         lead = F.regexp_extract(match, rf"^(?:{_LEAD})(?=[^\s])", 0)
@@ -127,8 +128,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
             ((F.char_length("text") - F.char_length(F.replace(F.col("text"), value, F.lit("")))) / size).cast("long").alias("occurrences"),
         )
 
-    cuts = rows.select("doc_id", "path", F.transform("found", cut).alias("cuts"))
-    return cuts.select("doc_id", "path", F.inline("cuts")).dropDuplicates(["doc_id", "path", "value", "position", "before", "after"])
+    # The pattern stays within the generator: as a column of its own it would be searched again by the filter that is inferred from it.
+    return rows.select("doc_id", "path", F.inline(F.transform(found, cut))).dropDuplicates(["doc_id", "path", "value", "position", "before", "after"])
 
 
 def _drawn(size: Column, alphabet: str, salt: str) -> Column:
