@@ -203,7 +203,9 @@ def sample(findings: DataFrame, n: int = FINDINGS) -> DataFrame:
 def train(findings: DataFrame) -> RandomForestClassificationModel:
     """The forest of a table of labelled findings, of which it reads ``FINDINGS`` rows at most."""
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return forest.fit(_vectors(sample(findings)).select("features", F.col("label").cast("double").alias("label")))
+    # The forest passes over its rows many times, so they are written once, as one file: one partition, whatever the cluster.
+    rows = _vectors(sample(findings)).select("features", F.col("label").cast("double").alias("label"))
+    return forest.fit(Scratch(findings.sparkSession, "findings").save(rows.coalesce(1), "vectors"))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
