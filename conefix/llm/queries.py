@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conefix.llm import chat, decontaminate, html, matroska, packing, secret_scan, simhash, sql, tokens, toxicity, wacz
+from conefix.llm import centroids, chat, chunk_dedup, conversation_trie, decontaminate, html, matroska, packing, secret_scan, simhash, sql, tokens, toxicity, wacz
 from conefix.session import read_table
 
 
@@ -64,6 +64,19 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunk_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -76,8 +89,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_decontamination": op9_decontamination,
         "op10_main_text": op10_main_text,
+        "op11_centroids": op11_centroids,
+        "op12_chunk_dedup": op12_chunk_dedup,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": sql.WARC, "op7_chat": sql.CHAT, "op9_decontamination": sql.DECONTAMINATE}
+    return {"op6_warc": sql.WARC, "op7_chat": sql.CHAT, "op9_decontamination": sql.DECONTAMINATE, "op11_centroids": sql.CENTROIDS, "op12_chunk_dedup": sql.CHUNK_DEDUP, "op13_conversation_trie": sql.TRIE}
