@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from conefix.operators import cells, dominators, graph, scans
+from conefix.operators import cells, dominators, graph_edits, interning, paths, ranges, scans
 from conefix.queries import _STEPS, finite, query, steps
 from conefix.session import Scratch, read_table
+from conefix.streaming import registry
 
 #: Events of a program.
 SIZE = 8
@@ -40,10 +41,20 @@ edges AS MATERIALIZED (
 )
 """
 
+_FULL = """
+edges AS MATERIALIZED (
+  SELECT fn, loc AS src, loc + 1 AS dst, CASE WHEN tail IS NOT NULL THEN 'below' WHEN t = 'signup' THEN 'set' ELSE 'add' END AS op,
+    CASE WHEN t = 'error' THEN 0.0 WHEN t = 'purchase' THEN -v ELSE v END AS a, CASE WHEN t = 'error' THEN 1.0 WHEN t = 'purchase' THEN -v WHEN tail IS NOT NULL THEN v * 10 ELSE v END AS b FROM q WHERE head IS NULL
+  UNION ALL SELECT fn, loc, tail + 1, 'above', v, v FROM q WHERE tail IS NOT NULL
+  UNION ALL SELECT fn, loc, head, 'add', v, v FROM q WHERE head IS NOT NULL
+  UNION ALL SELECT fn, loc, loc + 2, 'add', 0.0, 0.0 FROM q WHERE t = 'signup' AND following = 'click'
+  UNION ALL SELECT fn, loc, around + 1, 'above', v, v FROM q WHERE t = 'error' AND around IS NOT NULL
+)
+"""
 
-def programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """``edges(fn, src, dst, op, a, b)`` and ``entries(fn, entry, lo, hi)`` of the events of ``sf_dir``."""
-    scratch = Scratch(spark, "programs")
+
+def program_rows(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
+    """``(fn, loc, t, v, following, tail, head, around)``: events by program, and the loops that they open, close or are in."""
     events = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("t"), F.col("value").alias("v"))
     k = scans.running_offset(events, ["user_id"], ["ts", "event_id"], F.lit(1), "k")
     rows = k.select(F.concat_ws(":", "user_id", F.floor(F.col("k") / SIZE).cast("string")).alias("fn"), (F.col("k") % SIZE).alias("loc"), "t", "v")
@@ -59,7 +70,13 @@ def programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rest = marks.join(inner.select("fn", F.explode(F.array("j", "e")).alias("loc")), ["fn", "loc"], "left_anti")
     pairs = scratch.save(inner.unionByName(matched(rest)), "pairs")
     around = rows.where("t = 'error'").select("fn", "loc").join(pairs, "fn").where("j < loc AND loc < e").groupBy("fn", "loc").agg(F.min("e").alias("around"))
-    q = rows.join(pairs.select("fn", F.col("j").alias("loc"), F.col("e").alias("tail")), ["fn", "loc"], "left").join(pairs.select("fn", F.col("e").alias("loc"), F.col("j").alias("head")), ["fn", "loc"], "left").join(around, ["fn", "loc"], "left")
+    return rows.join(pairs.select("fn", F.col("j").alias("loc"), F.col("e").alias("tail")), ["fn", "loc"], "left").join(pairs.select("fn", F.col("e").alias("loc"), F.col("j").alias("head")), ["fn", "loc"], "left").join(around, ["fn", "loc"], "left")
+
+
+def programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``edges(fn, src, dst, op, a, b)`` and ``entries(fn, entry, lo, hi)`` of the events of ``sf_dir``."""
+    scratch = Scratch(spark, "programs")
+    q = scratch.save(program_rows(spark, sf_dir, scratch), "placed")
     edge = lambda when, dst, op, a, b: F.when(when, F.struct(dst.cast("long").alias("dst"), op.alias("op"), a.cast("double").alias("a"), b.cast("double").alias("b")))
     t, v, loc, tail, head, text = F.col("t"), F.col("v"), F.col("loc"), F.col("tail"), F.col("head"), F.lit
     opens, closes = tail.isNotNull(), head.isNotNull()
@@ -71,7 +88,7 @@ def programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         edge((t == "signup") & (F.col("following") == "click"), loc + 2, text("add"), F.lit(0.0), F.lit(0.0)), edge((t == "error") & F.col("around").isNotNull(), F.col("around") + 1, text("above"), v, v),
     )
     edges = q.select("fn", loc.alias("src"), F.explode(F.filter(out, lambda e: e.isNotNull())).alias("e")).select("fn", F.col("src").cast("long").alias("src"), "e.dst", "e.op", "e.a", "e.b")
-    entries = rows.where("loc = 0").select("fn", F.col("loc").cast("long").alias("entry"), F.lit(0.0).alias("lo"), v.alias("hi"))
+    entries = q.where("loc = 0").select("fn", F.col("loc").cast("long").alias("entry"), F.lit(0.0).alias("lo"), v.alias("hi"))
     return scratch.save(edges, "edges"), scratch.save(entries, "entries")
 
 
@@ -252,3 +269,144 @@ def read_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("t"), F.col("value").alias("v"))
     k = scans.running_offset(events, ["user_id"], ["ts", "event_id"], F.lit(1), "k")
     return k.where(f"k % {SIZE} = 5 AND t = 'click'").select(F.concat_ws(":", "user_id", F.floor(F.col("k") / SIZE).cast("string")).alias("fn"), "v")
+
+
+@query(f"WITH {_GRAPH} SELECT fn, target AS cell, stmt, from_cell AS state, NULL::VARCHAR AS error FROM targets")
+def transfer_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement and the state that each transfer of the events' programs reads; malformed cells would have an error."""
+    g = cells.build(*programs(spark, sf_dir))
+    return cells.transfer_inputs(g.cells, g.comps)
+
+
+# --- edits of graphs ---------------------------------------------------------------
+
+_EDITED = f"""
+{_PROGRAMS}, {_FULL}, last AS (SELECT fn, count(*) AS n FROM q GROUP BY fn),
+ed AS MATERIALIZED (
+  SELECT fn || ':' || loc AS edit, fn, loc AS place, CASE WHEN t = 'click' AND loc % 2 = 1 THEN loc + 1 WHEN t = 'signup' THEN loc + 2 END AS upto, v,
+    CASE WHEN t = 'click' AND loc % 2 = 0 THEN 'add' WHEN t = 'click' THEN 'delete' WHEN t = 'signup' THEN 'modify' ELSE 'header' END AS kind
+  FROM q WHERE t = 'click' OR t = 'signup' AND following = 'click' OR tail IS NOT NULL
+), region AS MATERIALIZED (
+  SELECT edit, e.fn, src, dst FROM ed JOIN edges e ON e.fn = ed.fn AND (kind = 'delete' AND src = place AND dst = upto OR kind = 'modify' AND src IN (place, place + 1) AND dst IN (place + 1, upto) AND dst > src)
+), moved AS MATERIALIZED (
+  SELECT edit, fn, src, dst FROM region UNION SELECT edit, e.fn, src, dst FROM ed JOIN edges e ON e.fn = ed.fn AND (kind = 'add' AND src = place OR kind = 'delete' AND src = upto OR kind = 'header' AND src = place)
+  UNION SELECT edit, e.fn, src, dst FROM ed JOIN last USING (fn) JOIN edges e ON e.fn = ed.fn AND kind = 'delete' AND dst = upto AND upto < n
+), clash AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY fn, src, dst) AS edits FROM moved QUALIFY edits > 1),
+sound AS MATERIALIZED (SELECT ed.*, n, n + row_number() OVER (PARTITION BY fn, kind ORDER BY edit) AS fresh FROM ed JOIN last USING (fn) WHERE edit NOT IN (SELECT edit FROM clash))
+"""
+
+
+@query(f"""
+WITH {_EDITED}, kept AS (SELECT * FROM edges e WHERE NOT EXISTS (SELECT 1 FROM region r JOIN sound USING (edit) WHERE r.fn = e.fn AND r.src = e.src AND r.dst = e.dst)),
+headed AS (SELECT k.fn, k.src, k.dst, k.op, CASE WHEN h.fn IS NOT NULL AND op IN ('below', 'above') THEN -5.0 ELSE a END AS a, CASE WHEN h.fn IS NOT NULL AND op IN ('below', 'above') THEN 500.0 ELSE b END AS b FROM kept k LEFT JOIN sound h ON h.fn = k.fn AND h.place = k.src AND h.kind = 'header'),
+merged AS (SELECT fn, place, upto FROM sound WHERE kind = 'delete' AND upto < n),
+turned AS (SELECT k.fn, coalesce(x.place, k.src) AS src, coalesce(y.place, k.dst) AS dst, op, a, b FROM headed k LEFT JOIN merged x ON x.fn = k.fn AND x.upto = k.src LEFT JOIN merged y ON y.fn = k.fn AND y.upto = k.dst)
+SELECT t.fn, coalesce(s.fresh, t.src) AS src, t.dst, t.op, t.a, t.b FROM turned t LEFT JOIN sound s ON s.fn = t.fn AND s.place = t.src AND s.kind = 'add'
+UNION ALL SELECT fn, place, fresh, 'add', 1.0, 2.0 FROM sound WHERE kind = 'add'
+UNION ALL SELECT fn, place, upto, 'set', v, v FROM sound WHERE kind = 'modify'
+UNION ALL SELECT fn, place, upto, 'add', 0.0, 0.0 FROM sound WHERE kind = 'delete' AND upto = n
+""")
+def graph_edits_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' programs after a batch of edits: statements put in, replaced and taken out, and new loop headers."""
+    return _edited(spark, sf_dir)[0]
+
+
+@query(f"WITH {_EDITED} SELECT edit, fn, src, dst, edits FROM clash")
+def graph_edit_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of that batch that touch an edge of another one, and are not applied."""
+    return _edited(spark, sf_dir)[1]
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges, _ = programs(spark, sf_dir)
+    scratch = Scratch(spark, "edit-rows")
+    q = scratch.save(program_rows(spark, sf_dir, scratch), "placed")
+    click, odd, v, loc = F.col("t") == "click", F.col("loc") % 2 == 1, F.col("v"), F.col("loc")
+    kind = F.when(click & ~odd, "add").when(click, "delete").when((F.col("t") == "signup") & (F.col("following") == "click"), "modify").when(F.col("tail").isNotNull(), "header")
+    upto = F.when(F.col("kind") == "delete", loc + 1).when(F.col("kind") == "modify", loc + 2)
+    pick = lambda a, m, h: F.when(F.col("kind") == "add", a).when(F.col("kind") == "modify", m).when(F.col("kind") == "header", h)
+    rows = q.withColumn("kind", kind).where("kind IS NOT NULL").select(
+        F.concat_ws(":", "fn", loc.cast("string")).alias("edit"), "fn", "kind", loc.alias("at"), upto.alias("upto"), pick(F.lit("add"), F.lit("set"), F.lit(None)).alias("op"), pick(F.lit(1.0), v, F.lit(-5.0)).alias("a"), pick(F.lit(2.0), v, F.lit(500.0)).alias("b"),
+    )
+    exits = q.groupBy("fn").agg((F.max("loc") + 1).alias("loc"))
+    return graph_edits.apply_edits(edges, rows, exits)
+
+
+# --- paths, ranges, stored states ----------------------------------------------------
+
+
+@query("""
+WITH k AS (SELECT event_id, user_id, event_type AS t, row_number() OVER w AS k, lead(event_id) OVER w AS n1, lead(event_id, 2) OVER w AS n2, lag(event_type) OVER w AS p1, lag(event_type, 2) OVER w AS p2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, t = 'signup' OR n1 IS NULL OR t = 'error' AND n2 IS NOT NULL AS stops, (t <> 'signup' AND n1 IS NOT NULL) OR coalesce(p1 <> 'signup', false) OR coalesce(p2 = 'error', false) AS is_node FROM k),
+e AS (SELECT *, min(CASE WHEN stops THEN k END) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM s)
+SELECT e.event_id AS node, z.event_id AS "end", e.stop - e.k AS length, CASE WHEN z.t = 'error' AND z.n2 IS NOT NULL THEN 'fork' ELSE 'end' END AS kind FROM e JOIN e z ON z.user_id = e.user_id AND z.k = e.stop WHERE e.is_node
+""")
+def heap_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of a user's events: each but a signup points to the next one, an error also to the one behind, which ends the chain in a fork."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("src"), F.col("event_type").alias("t"), F.lead("event_id").over(order).alias("n1"), F.lead("event_id", 2).over(order).alias("n2"))
+    following = F.when(F.col("t") != "signup", F.array_compact(F.array("n1", F.when(F.col("t") == "error", F.col("n2")))))
+    return paths.linear_paths(rows.select("src", F.explode(following).alias("dst")))
+
+
+@query("""
+WITH c AS (SELECT l_suppkey % 10 AS address, l_partkey AS idx, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY ALL),
+w AS (SELECT o_orderkey % 10 AS address, o_custkey AS first, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_custkey + o_orderkey % 50 - 3 END AS last, floor(o_totalprice / 5000) AS lo, floor(o_totalprice / 4000) AS hi FROM orders)
+SELECT c.address, c.idx, least(c.lo, min(w.lo)) AS lo, greatest(c.hi, max(w.hi)) AS hi, count(w.lo) > 0 AS is_reached FROM c LEFT JOIN w ON w.address = c.address AND c.idx >= w.first AND (w.last IS NULL OR c.idx <= w.last) GROUP BY c.address, c.idx, c.lo, c.hi
+""")
+def ranged_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten arrays with parts as indices and quantities as cells, after an order has been written to a range of each."""
+    held = read_table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("address"), F.col("l_partkey").alias("idx")).agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    price = lambda n: F.floor(F.col("o_totalprice") / n).cast("double")
+    last = F.when(F.col("o_orderkey") % 97 != 0, F.col("o_custkey") + F.col("o_orderkey") % 50 - 3)
+    writes = read_table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10).alias("address"), F.col("o_custkey").alias("first"), last.alias("last"), price(5000).alias("lo"), price(4000).alias("hi"))
+    held = Scratch(spark, "arrays").save(held, "cells")
+    found = ranges.reached(held.select("address", "idx"), writes, "address", "idx")
+    both = held.join(found, ["address", "idx"], "left")
+    return both.select("address", "idx", F.least("lo", "w_lo").alias("lo"), F.greatest("hi", "w_hi").alias("hi"), F.col("w_lo").isNotNull().alias("is_reached"))
+
+
+_COARSE = "s AS (SELECT user_id, event_type AS var, floor(min(value) / 100) AS lo, ceil(max(value) / 100) AS hi FROM events GROUP BY user_id, event_type)"
+
+
+@query(f"""
+WITH {_COARSE}, p AS (SELECT DISTINCT a.user_id AS x, b.user_id AS y FROM s a JOIN s b ON b.user_id = a.user_id + 1)
+SELECT x AS user_id, a.var, least(a.lo, b.lo) AS join_lo, greatest(a.hi, b.hi) AS join_hi, CASE WHEN b.lo >= a.lo THEN a.lo END AS widen_lo, CASE WHEN b.hi <= a.hi THEN a.hi END AS widen_hi FROM p JOIN s a ON a.user_id = x JOIN s b ON b.user_id = y AND b.var = a.var
+""")
+def memo_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joins and widenings of each user's state with the next user's, over states that are stored once and pairs that are computed once."""
+    states = read_table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("var")).agg(F.floor(F.min("value") / 100).cast("double").alias("lo"), F.ceil(F.max("value") / 100).cast("double").alias("hi"))
+    store = interning.Interned(spark)
+    named = store.intern(store.scratch.save(states, "given"), ["user_id"])
+    asked = named.select("user_id", F.col("digest").alias("a")).join(named.select((F.col("user_id") - 1).alias("user_id"), F.col("digest").alias("b")), "user_id")
+    store.combined(asked.where("user_id % 2 = 0"))  # the others find some of these pairs
+    found = {op: store.rows(store.combined(asked, op)).select("user_id", "var", F.col("lo").alias(f"{op}_lo"), F.col("hi").alias(f"{op}_hi")) for op in ("join", "widen")}
+    both = found["join"].join(found["widen"], ["user_id", "var"])
+    return both.select("user_id", "var", "join_lo", "join_hi", finite(F.col("widen_lo")).alias("widen_lo"), finite(F.col("widen_hi")).alias("widen_hi"))
+
+
+# --- streams -----------------------------------------------------------------------
+
+
+@query("""
+WITH k AS (SELECT user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 20 AS VARCHAR) AS caller FROM events),
+a AS (SELECT user_id, seq, t AS ctx, caller, (SELECT min(z.seq) FROM k z WHERE z.user_id = k.user_id AND z.seq > k.seq AND (z.t = 'purchase' OR z.t = 'signup' AND k.t = 'view' OR z.t = 'error' AND z.caller = k.caller)) AS ends FROM k WHERE t IN ('click', 'view'))
+SELECT DISTINCT a.user_id, a.ends AS seq, a.ctx, a.caller, CAST(a.user_id AS VARCHAR) = a.caller AS self_loop FROM a JOIN k ON k.user_id = a.user_id AND k.seq = a.ends WHERE k.t IN ('purchase', 'signup')
+""")
+def registry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of dependencies over three batches of events, each after a restart: clicks and views add callers, purchases take all, signups those of views, errors drop a caller."""
+    scratch = Scratch(spark, "registry")
+    events = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "props")
+    t = F.col("event_type")
+    op = F.when(t.isin("click", "view"), "add").when(t == "error", "stale").otherwise("pop")
+    ctx = F.when(t.isin("click", "view"), t).when(t == "signup", "view")
+    caller = (F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 20).cast("string")
+    numbered = scans.running_offset(events, ["user_id"], ["ts", "event_id"], F.lit(1), "seq")
+    rows = scratch.save(numbered.select(F.col("user_id").alias("callee"), F.col("seq").cast("long").alias("seq"), op.alias("op"), ctx.alias("ctx"), caller.alias("caller")), "rows")
+    third = F.floor(3 * F.col("seq") / (F.max("seq").over(Window.partitionBy("callee")) + 1))
+    parts = scratch.save(rows.withColumn("part", third), "parts")
+    source, target, checkpoint = (f"{scratch.root}/{n}" for n in ("source", "target", "checkpoint"))
+    for part in range(3):
+        parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        registry.follow(spark.readStream.schema(rows.schema).parquet(source), target, checkpoint)
+    return spark.read.parquet(target).select(F.col("callee").alias("user_id"), "seq", "ctx", "caller", "self_loop")

@@ -132,6 +132,20 @@ def build(edges: DataFrame, entries: DataFrame) -> CellGraph:
     return CellGraph(scratch.save(rows.drop("src_head"), "placed-edges"), placed, entries)
 
 
+def transfer_inputs(cells: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(fn, cell, stmt, state, error)``: the statement and the state that each transfer reads.
+
+    A cell that has not exactly one of either is malformed: it is a row with its ``error`` and without inputs.
+    """
+    kinds = cells.select("fn", F.col("cell").alias("src"), F.col("kind").alias("of"))
+    inputs = comps.where("kind = 'transfer'").join(kinds, ["fn", "src"], "left")
+    side = lambda k: F.when(F.col("of") == k, F.col("src"))
+    met = inputs.groupBy("fn", F.col("dst").alias("cell")).agg(F.count_if(F.col("of") == "stmt").alias("stmts"), F.count_if(F.col("of") == "state").alias("states"), F.count("*").alias("n"), F.min(side("stmt")).alias("stmt"), F.min(side("state")).alias("state"))
+    good = (F.col("stmts") == 1) & (F.col("states") == 1) & (F.col("n") == 2)
+    text = F.concat(F.col("stmts"), F.lit(" statements, "), F.col("states"), F.lit(" states, "), F.col("n"), F.lit(" inputs"))
+    return met.select("fn", "cell", F.when(good, F.col("stmt")).alias("stmt"), F.when(good, F.col("state")).alias("state"), F.when(~good, text).alias("error"))
+
+
 # --- values --------------------------------------------------------------------
 
 
