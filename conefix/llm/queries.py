@@ -52,8 +52,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secret_scan.train(secret_scan.example_findings(spark))
-    return secret_scan.scan(read_table(spark, sf_dir, "documents"), model)
+    docs = read_table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.learn(docs))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

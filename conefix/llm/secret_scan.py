@@ -8,14 +8,18 @@ forest of MLlib, trained from labelled findings, gives the probability of a secr
 The labelled findings are a table (value, before, after, path, label), of which a hash
 sample of at most ``FINDINGS`` rows is read, half of each label. A label without rows is
 filled from ``example_findings``, which makes labelled findings by rule; so an empty table
-or one of a single label trains a forest too. A candidate that occurs
-several times in a document is one row with its first place and its number of
-occurrences. Null and empty texts have no candidates; rows of one doc_id are scanned
-each for itself; a null path is empty.
+or one of a single label trains a forest too. ``learn`` labels the candidates of the
+documents themselves by weak rules, adds them to the examples and takes the dictionary from the
+words of all documents. A candidate that occurs several times in a document is one row
+with its first place and its number of occurrences; a value found both after a name and
+by its length alone is one row too. Null and empty texts have no candidates; rows of one
+doc_id, and rows that are equal, are scanned each for itself; a null path is empty.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -34,7 +38,7 @@ NEAR = 48
 
 #: Names of secrets, at the end of a longer name as well (DB_PASSWORD), and what stands between a name and its value.
 _NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|client)[_-]?(?:key|secret|token))"
-_SIGN = r"[\"']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}[\"']?"
+_SIGN = r"[\"']?[ \t]*+(?:=>|:=|=|:)[ \t]*+[\"']?"
 _LEAD = r"(?=[AaCcPpSsTt])" + _NAME + _SIGN
 #: A block runs to its END line over headers and escapes; without one before the next block, the BEGIN line alone.
 _PEM = r"-----BEGIN (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----(?:(?>(?s:.*?)(?=-----(?:BEGIN|END) ))-----END (?:[A-Z]{2,16} ){0,3}PRIVATE KEY-----)?"
@@ -48,7 +52,7 @@ FORMS = {
 #: After a name like password a value of a known form ends with that form, unless the text runs on like a value.
 _ASSIGNED = rf"{_LEAD}(?:{_PEM}|(?:{'|'.join(FORMS.values())})(?![A-Za-z0-9_~+/=%-]|\.[^\s\"'<>,;])|[^\s\"'<>,;]{{6,}}+)"
 #: A long run that is itself the name of an assigned value is no candidate.
-_GENERIC = rf"(?=[A-Za-z+/_-]{{0,40}}[0-9])[A-Za-z0-9+/_-]{{20,}}+(?!(?<={_NAME}){_SIGN}[^\s\"'<>,;]{{6}})={{0,2}}"
+_GENERIC = rf"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{20,}}+(?!(?<={_NAME}){_SIGN}[^\s\"'<>,;]{{6}})={{0,2}}"
 #: Candidates by kind. A value after a name like password has the kind of its own form, where it has one.
 KINDS = FORMS | {"assigned": _ASSIGNED, "generic": _GENERIC}
 #: The first letters stand before the names and forms, as most places fail by them at once.
@@ -63,9 +67,17 @@ DICTIONARY = (
     "document report table column string number integer object class method function return public private node python java ruby perl linux windows "
     "the and for not you are was all new one two three four five six seven eight nine zero north south east west time date year month week day hour"
 ).split()
-_DICTIONARY = "(?i)" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
+#: Words of the documents that the dictionary takes in, by the number of documents that have them.
+CORPUS_WORDS = 1000
+
+
+def _spelling(words: list[str]) -> str:
+    return "(?i)" + "|".join(sorted(words, key=lambda w: (-len(w), w)))
+
+
 _NEAR_SECRET = r"(?i)\b(?:pass|pwd|secret|token|credential|key|api|access|auth|bearer|aws|login|private|client)|" + _LEAD + "$"
-_NEAR_OTHER = r"(?i)\b(?:example|sample|dummy|placeholder|commit|sha-?1|sha-?256|md5|checksum|digest|hash|uuid|guid|etag|revision|version|build|integrity|fingerprint|url|href|path|file|image|font)\b"
+#: Words of host names and addresses do not count.
+_NEAR_OTHER = r"(?i)(?<![@.\w])(?:example|sample|dummy|placeholder|commit|sha-?1|sha-?256|md5|checksum|digest|hash|uuid|guid|etag|revision|version|build|integrity|fingerprint|url|href|path|file|image|font)\b(?!\.\w)"
 _PATH_TEST = r"(?i)(?:^|[/_.-])(?:tests?|specs?|examples?|samples?|fixtures?|docs?|mocks?|demos?|readme|changelog|vendor|node_modules|lock)(?:[/_.-]|$)"
 _PATH_CONFIG = r"(?i)\.(?:env|ini|cfg|conf|toml|properties|pem|key|tfvars|ya?ml)$|(?:^|/)(?:config|settings|secrets?|credentials?|deploy|prod)(?:[/_.-]|$)"
 
@@ -74,13 +86,13 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def features(value: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
-    """Numbers of a candidate, by name."""
+def features(value: Column, before: Column, after: Column, path: Column, words: list[str] | None = None) -> dict[str, Column]:
+    """Numbers of a candidate, by name; ``words`` are the dictionary."""
     n = F.greatest(F.char_length(value), F.lit(1)).cast("double")
     letters = F.greatest(_count(value, "[A-Za-z]"), F.lit(1.0))
     classes = _count(value, "(?<=[a-z])(?=[0-9A-Z])|(?<=[A-Z])(?=[0-9a-z])|(?<=[0-9])(?=[A-Za-z])")
     sounds = _count(value, "(?i)(?<=[aeiou])(?=[bcdfghjklmnpqrstvwxyz])|(?<=[bcdfghjklmnpqrstvwxyz])(?=[aeiou])")
-    spelled = F.char_length(value) - F.char_length(F.regexp_replace(value, _DICTIONARY, ""))
+    spelled = F.char_length(value) - F.char_length(F.regexp_replace(value, _spelling(words or DICTIONARY), ""))
     around = F.concat_ws(" ", F.right(before, F.lit(24)), F.left(after, F.lit(8)))
     return {
         "length": n,
@@ -105,9 +117,9 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """``(doc_id, path, kind, value, before, after, position, occurrences)``: position is the first, from 1."""
+    """``(doc_id, path, mark, kind, value, before, after, position, occurrences)``: position is the first, from 1; ``mark`` stands for the row's text."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    rows = docs.select(F.col(key).alias("doc_id"), where.alias("path"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("doc_id"), where.alias("path"), F.col(text).alias("text"), _mark(F.col(text)).alias("mark"), F.monotonically_increasing_id().alias("row"))
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
 
     def cut(match: Column) -> Column:
@@ -129,7 +141,37 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         )
 
     # The pattern stays within the generator: as a column of its own it would be searched again by the filter that is inferred from it.
-    return rows.select("doc_id", "path", F.inline(F.transform(found, cut))).dropDuplicates(["doc_id", "path", "value", "position", "before", "after"])
+    cuts = rows.select("row", "doc_id", "path", "mark", F.inline(F.transform(found, cut)))
+    # One row for each row of a document and place: a value after a name goes before the same value alone.
+    once = cuts.groupBy("row", "position", "value").agg(F.min(F.struct("kind", "doc_id", "path", "mark", "before", "after", "occurrences")).alias("c"))
+    return once.select("c.doc_id", "c.path", "c.mark", "c.kind", "value", "c.before", "c.after", "position", "c.occurrences")
+
+
+def _mark(text: Column) -> Column:
+    """Two hashes and the length of a text: rows of one id and one mark hold the same secrets."""
+    return F.struct(F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"), F.char_length(text).alias("n"))
+
+
+def corpus_words(docs: DataFrame, n: int = CORPUS_WORDS, text: str = "text") -> list[str]:
+    """The n words of four to twelve letters that most documents have."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![a-z])[a-z]{4,12}+(?![a-z])"), F.lit(0)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(n).collect()]
+
+
+def weak_findings(docs: DataFrame, words: list[str] | None = None, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+    """``(value, before, after, path, label)`` of the documents' candidates that rules can label.
+
+    A value after a secret's name, or of a known form, is a secret unless it is spelled from
+    words or of few characters; what is so, and digests beside words for them, are none. Others
+    have no label.
+    """
+    rows = candidates(docs, key, text, path)
+    made = features(F.col("value"), F.col("before"), F.col("after"), F.col("path"), words)
+    dull = (made["dictionary"] >= 0.6) | (F.size(F.array_distinct(F.split(F.col("value"), ""))) <= 5) | F.col("value").rlike(r"(.)\1{5}")
+    named = (F.col("kind") != "generic") & (made["near_other"] == 0)
+    label = F.when(dull, 0).when(named, 1).when((F.col("kind") == "generic") & (made["near_other"] > 0), 0)
+    return rows.select("value", "before", "after", "path", label.alias("label")).where("label IS NOT NULL")
 
 
 def _drawn(size: Column, alphabet: str, salt: str) -> Column:
@@ -184,8 +226,19 @@ def example_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     )
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    made = features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.coalesce("path", F.lit("")))
+@dataclass
+class Scanner:
+    """A forest and the dictionary that its features were made with."""
+
+    forest: RandomForestClassificationModel
+    words: list[str]
+
+    def transform(self, vectors: DataFrame) -> DataFrame:
+        return self.forest.transform(vectors)
+
+
+def _vectors(rows: DataFrame, words: list[str] | None = None) -> DataFrame:
+    made = features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.coalesce("path", F.lit("")), words)
     return VectorAssembler(inputCols=[f"f_{n}" for n in made], outputCol="features").transform(rows.withColumns({f"f_{n}": c for n, c in made.items()})).drop(*(f"f_{n}" for n in made))
 
 
@@ -200,35 +253,48 @@ def sample(findings: DataFrame, n: int = FINDINGS) -> DataFrame:
     return halves[0].unionByName(halves[1])
 
 
-def train(findings: DataFrame) -> RandomForestClassificationModel:
+def train(findings: DataFrame, words: list[str] | None = None) -> Scanner:
     """The forest of a table of labelled findings, of which it reads ``FINDINGS`` rows at most."""
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    words = sorted({*DICTIONARY, *(words or ())})
     # The forest passes over its rows many times, so they are written once, as one file: one partition, whatever the cluster.
-    rows = _vectors(sample(findings)).select("features", F.col("label").cast("double").alias("label"))
-    return forest.fit(Scratch(findings.sparkSession, "findings").save(rows.coalesce(1), "vectors"))
+    rows = _vectors(sample(findings), words).select("features", F.col("label").cast("double").alias("label"))
+    return Scanner(forest.fit(Scratch(findings.sparkSession, "findings").save(rows.coalesce(1), "vectors")), words)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """``(doc_id, kind, value, position, occurrences, score, is_secret)``, a row for each candidate."""
-    scored = model.transform(_vectors(candidates(docs, key, text, path)))
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> Scanner:
+    """A forest from the documents' own candidates, labelled by weak rules, and from the examples; its dictionary holds the documents' words."""
+    words = corpus_words(docs, text=text)
+    scratch = Scratch(docs.sparkSession, "weak-findings")
+    own = scratch.save(weak_findings(docs, sorted({*DICTIONARY, *words}), key, text, path), "findings")
+    return train(example_findings(docs.sparkSession).unionByName(own), words)
+
+
+def _scored(docs: DataFrame, model: Scanner, key: str, text: str, path: str | None) -> DataFrame:
+    scored = model.transform(_vectors(candidates(docs, key, text, path), model.words))
     probability = F.element_at(vector_to_array("probability"), 2)
-    return scored.select("doc_id", "kind", "value", "position", "occurrences", F.round(probability, 6).alias("score"), (probability >= 0.5).alias("is_secret"))
+    return scored.select("doc_id", "mark", "kind", "value", "position", "occurrences", F.round(probability, 6).alias("score"), (probability >= 0.5).alias("is_secret"))
+
+
+def scan(docs: DataFrame, model: Scanner, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+    """``(doc_id, kind, value, position, occurrences, score, is_secret)``, a row for each candidate."""
+    return _scored(docs, model, key, text, path).drop("mark")
 
 
-def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+def redact(docs: DataFrame, model: Scanner, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """All documents in all their columns; each secret in a text is replaced by its kind.
 
     Longer values are replaced first. ``n_chars``, where there is one, follows the text. The
-    secrets are found and written first; texts are shuffled to them only where they hold more
-    than ``BROADCAST_BYTES``.
+    secrets are found and written first, by id and text, so that rows without an id do not
+    share theirs; texts are shuffled to them only where they hold more than ``BROADCAST_BYTES``.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
-    found = scan(docs, model, key, text, path).where("is_secret").select(F.col("doc_id").alias("\0key"), F.struct(F.char_length("value").alias("n"), "value", "kind").alias("s"))
-    listed = scratch.save(found.groupBy("\0key").agg(F.sort_array(F.collect_set("s"), asc=False).alias("\0secrets")), "found")
-    held = listed.agg(F.sum(F.aggregate("\0secrets", F.lit(0).cast("long"), lambda n, x: n + x["n"] + 64)).alias("n")).first()["n"] or 0
+    found = _scored(docs, model, key, text, path).where("is_secret").select(F.col("doc_id").alias("\0key"), F.col("mark").alias("\0mark"), F.struct(F.char_length("value").alias("n"), "value", "kind").alias("s"))
+    listed = scratch.save(found.groupBy("\0key", "\0mark").agg(F.sort_array(F.collect_set("s"), asc=False).alias("\0secrets")), "found")
+    held = listed.agg(F.sum(F.aggregate("\0secrets", F.lit(0).cast("long"), lambda n, x: n + x["n"] + 96)).alias("n")).first()["n"] or 0
     if held <= BROADCAST_BYTES:
         listed = F.broadcast(listed)
-    joined = docs.join(listed, F.col(key).eqNullSafe(F.col("\0key")), "left")
+    joined = docs.join(listed, F.col(key).eqNullSafe(F.col("\0key")) & (_mark(F.col(text)) == F.col("\0mark")), "left")
     clean = F.aggregate(F.col("\0secrets"), F.col(text), lambda t, s: F.replace(t, s["value"], F.concat(F.lit("[secret:"), s["kind"], F.lit("]"))))
     has = F.col("\0secrets").isNotNull()
     changed = {text: F.when(has, clean).otherwise(F.col(text))}

@@ -260,8 +260,13 @@ def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [model.score(t or "") < 0.5 for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            sized = pa.RecordBatch.from_arrays([whole.column(at).cast(pa.binary())], ["text"])
+            start = 0
+            for part in slices(sized, "text"):
+                batch = whole.slice(start, part.num_rows)
+                start += part.num_rows
+                keep = [model.score(t.decode()) < 0.5 for t in values(part, "text")]
+                yield pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
