@@ -29,7 +29,7 @@ def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Co
     before, upto = group.rowsBetween(Window.unboundedPreceding, -1), group.rowsBetween(Window.unboundedPreceding, 0)
     inner = {n: F.sum(f"\0{n}").over(before) for n in sums or {}} | {n: F.last(f"\0{n}", True).over(upto) for n in last or {}}
     # What each range has of a group, and from it what the ranges before have.
-    place = F.struct(*(F.col(c) if not descending else F.col("\0tag") for c in order), "\0tag")
+    place = F.struct(*order, "\0tag")
     totals = held.groupBy("\0range", *by).agg(
         F.count("*").alias("\0rows"),
         *(F.sum(f"\0{n}").alias(f"\0{n}") for n in sums or {}),

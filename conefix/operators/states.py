@@ -53,6 +53,15 @@ def join_masks(states: DataFrame, group: list[str], key: str, mask: str = "mask"
     return states.groupBy(*group, key).agg(F.bit_or(mask).alias(mask))
 
 
+def implied_masks(states: DataFrame, pairs: DataFrame, state: str, key: str, mask: str = "mask") -> DataFrame:
+    """For each row of ``pairs(a, b)``, whether nullness state a implies state b; a key that b does not have is bottom there."""
+    left = states.select(F.col(state).alias("a"), key, F.col(mask).alias("\0x"))
+    right = states.select(F.col(state).alias("b"), key, F.col(mask).alias("\0y"))
+    checked = pairs.join(left, "a", "left").join(right, ["b", key], "left")
+    holds = F.col("\0x").isNull() | (F.col("\0x").bitwiseAND(F.bitwise_not(F.coalesce("\0y", F.lit(0)))) == 0)
+    return checked.groupBy("a", "b").agg(F.bool_and(holds).alias("implies"))
+
+
 def join_addresses(states: DataFrame, group: list[str], address: str) -> DataFrame:
     """Union of address sets, as sorted arrays; the distinct step before the list bounds what a group gathers."""
     return states.select(*group, address).distinct().groupBy(*group).agg(F.array_sort(F.collect_list(address)).alias("addresses"))
