@@ -5,30 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from conefix.operators import scans
 from conefix.session import Scratch
 
 
+#: How far a bracket reaches to either side of its point, as a share of the rows, and the sketches' accuracy.
+BRACKET, ACCURACY = 0.001, 10_000
+
+
 def percentiles(log: DataFrame, by: list[str], ms: str = "ms", points: dict[str, float] | None = None) -> DataFrame:
     """Mean, median, p90, p95, p99 by exact linear interpolation, from the two order statistics around each.
 
-    Rows are ranked by ranges, so that a group of any size is no task of its own. Null measures do not count.
+    A first scan sketches each group and brackets its points; a second counts exactly what lies below each
+    bracket and passes on only the different values within, with their numbers. So two scans shuffle a few rows of each group,
+    not the log. A point whose bracket turns out to miss it is taken from the whole group. Null measures do not count.
     """
     points = points or {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    rows = log.where(F.col(ms).isNotNull()).select(*by, F.col(ms).alias("\0ms"), F.monotonically_increasing_id().alias("\0id"))
-    placed = grouped_ranks(rows, by, ["\0ms", "\0id"])
-    sizes = rows.groupBy(*by).agg(F.avg("\0ms").alias("mean"), F.count("*").alias("\0n"))
-    joined = placed.join(sizes.drop("mean"), by)
-
-    def at(p: float) -> Column:
-        place = (F.col("\0n") - 1) * p
-        low = F.floor(place)
-        part = place - low
-        here = F.max(F.when(F.col("\0rank") == low, F.col("\0ms")))
-        following = F.max(F.when(F.col("\0rank") == low + 1, F.col("\0ms")))
-        return here + F.coalesce(F.max(part) * (following - here), F.lit(0.0))
-
-    got = joined.groupBy(*by).agg(*(at(p).alias(name) for name, p in points.items()))
-    return sizes.drop("\0n").join(got, by).select(*by, "mean", *points)
+    scratch = Scratch(log.sparkSession, "percentiles")
+    rows = log.where(F.col(ms).isNotNull()).select(*by, F.col(ms).alias("\0ms"))
+    ends = [e for p in points.values() for e in (min(1.0, max(0.0, p + d)) for d in (-BRACKET, BRACKET))]
+    sketched = rows.groupBy(*by).agg(F.avg("\0ms").alias("mean"), F.count("*").alias("\0n"), F.percentile_approx("\0ms", ends, ACCURACY).alias("\0ends"))
+    brackets = scratch.save(sketched, "brackets")
+    places = F.array(*(F.struct(F.lit(name).alias("point"), ((F.col("\0n") - 1) * p).alias("place"), F.col("\0ends")[2 * i].alias("low"), F.col("\0ends")[2 * i + 1].alias("high")) for i, (name, p) in enumerate(points.items())))
+    wanted = brackets.select(*(F.col(c).alias(f"\0by{i}") for i, c in enumerate(by)), places.alias("\0points"))
+    same = [F.col(c).eqNullSafe(F.col(f"\0by{i}")) for i, c in enumerate(by)]
+
+    def found(points_of: DataFrame) -> DataFrame:
+        """``by + (point, place, here, next)``: the order statistics at and behind each place; null where its bracket misses them."""
+        # Below a bracket a row is a count; within, a value. Both are combined before the shuffle.
+        parts = rows.join(points_of, same).select(*by, "\0ms", F.explode("\0points").alias("p")).where("`\0ms` <= p.high")
+        inside = F.when(F.col("\0ms") >= F.col("p.low"), F.col("\0ms"))
+        parts = parts.groupBy(*by, F.col("p.point").alias("point"), F.col("p.place").alias("place"), inside.alias("v")).agg(F.count("*").alias("c"))
+        ranked = scans.running(parts, [*by, "point"], ["v"], {"before": F.col("c")})  # what is below comes first, as null
+        low = F.floor(F.col("place"))
+        covers = lambda at: F.col("v").isNotNull() & (F.col("before") <= at) & (F.col("before") + F.col("c") > at)
+        return ranked.groupBy(*by, "point", "place").agg(F.max(F.when(covers(low), F.col("v"))).alias("here"), F.max(F.when(covers(low + 1), F.col("v"))).alias("next"))
+
+    first = scratch.save(found(wanted), "found")
+    lacks = F.col("here").isNull() | F.col("next").isNull() & (F.col("place") > F.floor("place"))
+    missed = first.where(lacks)
+    exact = first.where(~lacks)
+    if not missed.isEmpty():
+        whole = missed.groupBy(*by).agg(F.collect_list(F.struct("point", "place", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))).alias("\0points"))
+        again = whole.select(*(F.col(c).alias(f"\0by{i}") for i, c in enumerate(by)), "\0points")
+        exact = exact.unionByName(found(again))
+    value = F.col("here") + F.coalesce((F.col("place") - F.floor("place")) * (F.col("next") - F.col("here")), F.lit(0.0))
+    wide = exact.groupBy(*by).agg(*(F.max(F.when(F.col("point") == name, value)).alias(name) for name in points))
+    out = brackets.select(*(F.col(c).alias(f"\0by{i}") for i, c in enumerate(by)), "mean").join(wide, same)
+    return out.select(*by, "mean", *points)
 
 
 def group_means(log: DataFrame, by: list[str], order: list[str], n: int, ms: str = "ms") -> DataFrame:

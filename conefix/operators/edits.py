@@ -52,16 +52,6 @@ def recompute(results: DataFrame, facts: DataFrame, touched: DataFrame, key: str
     return results.join(keys, key, "left_anti").unionByName(fresh)
 
 
-def fill_forward(value: Column, by: list[str], order: list[str]) -> Column:
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order))
-
-
-def running_offset(size: Column, by: list[str], order: list[str]) -> Column:
-    """Sum of the sizes before a row."""
-    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(size).over(window), F.lit(0))
-
-
 def widened(lo: Column, hi: Column, by: list[str], order: list[str]) -> tuple[Column, Column]:
     """Bounds of a sequence of states widened one by one: a bound stays at its first value until one goes beyond it."""
     window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

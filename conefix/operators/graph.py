@@ -2,8 +2,7 @@
 
 Cyclic reachability is a semi-naive loop: each round joins only the newest pairs
 with the edges, drops those already known by an anti-join, and writes the rest to the
-shared folder, so plans stay short and survive lost executors. Acyclic closures are one
-recursive query.
+shared folder, so plans stay short and survive lost executors.
 """
 
 from __future__ import annotations
@@ -56,16 +55,19 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 
 def _least_reached(edges: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``labels(node, label)`` -> the least label among each node and all that reach it; only what changed goes on."""
-    current = newest = labels
-    for turn in itertools.count():
-        offered = newest.withColumnRenamed("node", "src").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
-        better = offered.join(current, "node").where("offer < label").select("node", F.col("offer").alias("label"))
-        newest = scratch.save(better, f"{name}-better-{turn}")
-        if newest.isEmpty():
-            return current
-        changed = newest.withColumnRenamed("label", "less")
-        current = scratch.save(current.join(changed, "node", "left").select("node", F.coalesce("less", "label").alias("label")), f"{name}-{turn}")
+    """``labels(node, label)`` -> the least label among each node and all that reach it; only what changed goes on.
+
+    A step writes the labels once, with a mark where they have changed; the step before is deleted.
+    """
+    current = scratch.save(labels.select("node", "label", F.lit(True).alias("new")), f"{name}-0")
+    for turn in itertools.count(1):
+        offered = current.where("new").withColumnRenamed("node", "src").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
+        less = F.coalesce(F.col("offer") < F.col("label"), F.lit(False))
+        following = scratch.save(current.drop("new").join(offered, "node", "left").select("node", F.when(less, F.col("offer")).otherwise(F.col("label")).alias("label"), less.alias("new")), f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn - 1}")
+        current = following
+        if current.where("new").isEmpty():
+            return current.drop("new")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

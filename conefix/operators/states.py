@@ -62,6 +62,11 @@ def implied_masks(states: DataFrame, pairs: DataFrame, state: str, key: str, mas
     return checked.groupBy("a", "b").agg(F.bool_and(holds).alias("implies"))
 
 
+def united_addresses(states: DataFrame, group: list[str], address: str) -> DataFrame:
+    """Union of address sets as rows, each address once: what is looked up next joins these rows, and no set is held in one place."""
+    return states.select(*group, address).distinct()
+
+
 def join_addresses(states: DataFrame, group: list[str], address: str) -> DataFrame:
     """Union of address sets, as sorted arrays; the distinct step before the list bounds what a group gathers."""
     return states.select(*group, address).distinct().groupBy(*group).agg(F.array_sort(F.collect_list(address)).alias("addresses"))

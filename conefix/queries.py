@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from conefix.functions import context, nullness
 from conefix.functions.interval import Itv, in_bounds
-from conefix.operators import analytics, edits, graph, states, textdiff
-from conefix.plans import examples, workload
+from conefix.operators import analytics, edits, graph, scans, states, textdiff
 from conefix.session import read_table
 from conefix.sources import facts, sinks
 
@@ -156,11 +155,11 @@ def null_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_brand, string_agg(s, ',' ORDER BY s) AS addresses FROM (SELECT DISTINCT p_brand, l_suppkey AS s FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY p_brand
+SELECT DISTINCT p_brand, l_suppkey AS address FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
 def addr_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    return states.join_addresses(rows, ["p_brand"], "l_suppkey").select("p_brand", F.array_join("addresses", ",").alias("addresses"))
+    return states.united_addresses(rows, ["p_brand"], "l_suppkey").select("p_brand", F.col("l_suppkey").alias("address"))
 
 
 @query("""
@@ -168,7 +167,7 @@ SELECT p_brand, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM (SELECT
 """)
 def points_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    held = states.join_addresses(rows, ["p_brand"], "l_suppkey").select("p_brand", F.explode("addresses").alias("s_suppkey"))
+    held = states.united_addresses(rows, ["p_brand"], "l_suppkey").withColumnRenamed("l_suppkey", "s_suppkey")
     heap = read_table(spark, sf_dir, "supplier").join(read_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     return states.join_addresses(held.join(heap, "s_suppkey"), ["p_brand"], "n_name").select("p_brand", F.array_join("addresses", ",").alias("nations"))
 
@@ -248,7 +247,8 @@ SELECT conv_id, turn, md5(last_value(CASE WHEN role = 'user' THEN text END IGNOR
 """)
 def fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", F.md5(edits.fill_forward(F.when(F.col("role") == "user", F.col("text")), ["conv_id"], ["turn"])).alias("asked"))
+    asked = F.when(F.col("role") == "user", F.md5("text"))
+    return scans.fill_forward(rows.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn"], asked, "asked").select("conv_id", "turn", "asked")
 
 
 @query("""
@@ -256,7 +256,8 @@ SELECT conv_id, turn, CAST(coalesce(sum(strlen(text) + 1) OVER (PARTITION BY con
 """)
 def cum_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", edits.running_offset(F.octet_length("text") + 1, ["conv_id"], ["turn"]).cast("long").alias("start"))
+    sized = rows.select("conv_id", "turn", (F.octet_length("text") + 1).alias("size"))
+    return scans.running_offset(sized, ["conv_id"], ["turn"], F.col("size"), "start").select("conv_id", "turn", F.col("start").cast("long").alias("start"))
 
 
 # --- edits -------------------------------------------------------------------
@@ -457,33 +458,10 @@ def pct_of_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.percent_of(log, "program", "event_type", "view", "value").select("program", "event_type", F.round("percent", 6).alias("percent"))
 
 
-# --- program analysis --------------------------------------------------------
 
 
-def _bound(value: float | None) -> str:
-    return "NULL::DOUBLE" if value is None else f"{value!r}::DOUBLE"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{v}', {_bound(a)}, {_bound(b)})" for p, v, a, b in examples.EXITS if (a, b) != (None, None)) + ") t(program, variable, lo, hi)")
-def program_exit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Java sources to exit states: parsing, contexts, calls, loops and widening, by demand."""
-    return examples.exit_states(spark)
-
-
-def _flag(value: bool | None) -> str:
-    return "NULL::BOOLEAN" if value is None else str(value).upper()
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{i}', {_flag(s)})" for p, i, s in examples.ACCESSES) + ") t(program, index, safe)")
-def program_array_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether array accesses stay within bounds: intervals, octagons and lengths of arrays."""
-    return examples.array_checks(spark)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{v}', {_flag(s)})" for p, v, s in examples.USES) + ") t(program, variable, safe)")
-def program_null_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether variables that are used as objects may be null."""
-    return examples.null_checks(spark)
 
 
 # --- tables and diffs --------------------------------------------------------
@@ -511,10 +489,6 @@ def text_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "prev_start", "prev_len", "next_start", F.size("new_lines").alias("next_len"))
 
 
-@query(None)
-def workload_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded random workload of a thousand edits."""
-    return workload.edits(spark, 1000, 7)
 
 
 # --- positions, sets and counts ------------------------------------------------
@@ -557,12 +531,12 @@ SEEDS = [1, 2, 3]
 
 
 @query("""
-WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events WHERE user_id IN (1, 2, 3))
-SELECT k AS row, """ + ", ".join(f'coalesce(max(value) FILTER (user_id = {s}), 0) AS "{s}"' for s in SEEDS) + " FROM r GROUP BY k")
+WITH r AS (SELECT user_id % 3 + 1 AS seed, value, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) - 1 AS k FROM events)
+SELECT k AS row, """ + ", ".join(f'coalesce(max(value) FILTER (seed = {s}), 0) AS "{s}"' for s in SEEDS) + " FROM r GROUP BY k")
 def seeds_pasted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs side by side by row number, with users as seeds."""
-    log = read_table(spark, sf_dir, "events").where(F.col("user_id").isin(SEEDS)).select("user_id", "ts", "event_id", "value")
-    return analytics.pasted(log, "user_id", ["ts", "event_id"], SEEDS, "value")
+    """Three runs side by side by row number, with a third of the users each."""
+    log = read_table(spark, sf_dir, "events").select((F.col("user_id") % 3 + 1).alias("seed"), "ts", "event_id", "value")
+    return analytics.pasted(log, "seed", ["ts", "event_id"], SEEDS, "value")
 
 
 @query("SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) + user_id AS total FROM events")
@@ -705,45 +679,3 @@ def call_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda k: F.array_join(context.call_string(F.col("site"), F.col("caller"), k), "<")
     longer = context.call_string(F.col("site"), context.call_string(F.element_at("caller", 1), F.array_remove(F.slice("caller", 2, 1), ""), 2), 2)
     return rows.select("event_id", key(0).alias("k0"), key(1).alias("k1"), key(2).alias("k2"), F.array_join(F.when(F.size("caller") > 0, longer).otherwise(F.array("site")), "<").alias("k2_of_3"))
-
-
-# --- programs of their own -------------------------------------------------------
-
-
-def _rows(rows: list[tuple], names: str) -> str:
-    show = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
-    return "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(show, r))})" for r in rows) + f") t({names})"
-
-
-@query(_rows(examples.CHANGES, "method, kind, place, old, new"))
-def program_statement_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements added, deleted and modified, within bodies of equal headers."""
-    return examples.statement_edits(spark)
-
-
-@query(_rows([(v, n, a, b) for v, n, a, b in examples.PLACES], "variable, loc, lo, hi").replace("SELECT *", "SELECT variable, CAST(loc AS BIGINT) AS loc, lo, hi"))
-def program_located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States of a location under all entries that its callers give."""
-    return examples.located_states(spark)
-
-
-@query(_rows(examples.FORMS, "form, n").replace("SELECT *", "SELECT form, CAST(n AS BIGINT) AS n"))
-def program_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return examples.form_counts(spark)
-
-
-@query("SELECT " + ", ".join(f"CAST({n} AS BIGINT) AS {c}" for n, c in zip(examples.STATS, ("contexts", "dependencies", "methods", "self_loops"), strict=True)))
-def program_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return examples.solved_stats(spark)
-
-
-@query(_rows(examples.AROUND, "loc, heads").replace("SELECT *", "SELECT CAST(loc AS BIGINT) AS loc, heads"))
-def loop_heads_around(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Back edges by a depth-first search, and the heads of the loops around each location."""
-    return examples.heads_around(spark)
-
-
-@query(_rows(examples.SHAPES_FOUND, "method, shape"))
-def program_list_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether what methods over lists return is a list that ends."""
-    return examples.list_shapes(spark)
