@@ -8,18 +8,23 @@ occurs. Subtrees whose content recurs are template. So are those whose shape rec
 half of their words are links or their element, role or class names something else than
 main text: menus, adverts and footers differ in words from page to page, not in shape.
 
-Where a page has articles (or, without one, main elements), only their content counts; else
-the body does. Recurring content is removed within an article too, unless subtrees with
-paragraphs or headings hold most of its text: then the article itself is syndicated, and
-only containers without paragraphs or headings go. Headings, list items and cells of their
-own, and inline elements, are no subtrees to remove. Lists of links within an article stay,
-and so do its plain paragraphs: a sentence that many articles repeat is text of each.
-Identical pages count once, so copies of a page do not make it a template.
-
-What no recurrence shows, as on hosts of few pages, names decide: elements and roles that
+Where a host has pages enough to count, recurrence decides. What is left of a page without
+template subtrees is fresh; its content is the smallest subtree that holds nearly all fresh
+text, widened to the article (or main element) around it, as tags break ties. All other text of
+the page goes. Within the content recurring subtrees go too, but no block of running text: a
+paragraph, list, quotation or table that many articles repeat stays, whatever its attributes,
+unless half of its words are links, it is named as something else or has controls of a form.
+Containers go, unless those with paragraphs or headings hold most of the content's text:
+then the article itself is syndicated, and only those without go. Subtrees whose shape alone
+recurs go within the content where they are named as something else. Headings, list items and
+cells of their own, and inline elements, are no subtrees to remove. Identical pages count once,
+so copies of a page do not make it a template.
+
+What no recurrence shows, on hosts of fewer than ``FEW_PAGES`` different pages, names decide:
+the content is in articles, else main elements, else the body, without elements and roles that
 are never main text, and clear class names like navbar or cookie. Names that a section of
-an article may have as well (discussion, legal, related) count only where the shape recurs
-or links prevail, and outside of articles.
+an article may have as well (discussion, legal, related) count only where links prevail, and
+outside of articles.
 
 Null and empty html have an empty text. Null page_ids and urls are rows like others;
 pages whose url has no host share the empty host; repeated rows give repeated rows. All
@@ -48,6 +53,8 @@ MIN_PAGES = 8
 #: On fewer pages it is template if it occurs on so many, and on so large a share of its host's different pages.
 FEW_PAGES = 3
 FEW_SHARE = 0.6
+#: The content of a page holds so large a share of its fresh text.
+MOST = 0.95
 #: Template subtrees up to which their numbers (8 bytes each) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -87,6 +94,10 @@ _MAYBE = re.compile(
     r"(?:^|[\s_-])(?:rail|toolbar|banner|notice|notices|alert|signup|login|search|share|sharing|social|related|recommended|recommendations|teaser|trending|discussion|responses|"
     r"replies|respond|reply|widget|copyright|legal|disclaimer)(?:$|[\s_-])"
 )
+#: Elements that are shown as something else than text, or not at all.
+_NO_TEXT = RAW | frozenset("head button select option input svg canvas object audio video map datalist math".split())
+_CONTROLS = frozenset("form button input select textarea".split())
+_RUNNING = frozenset("p blockquote pre ul ol dl table figure".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _INLINE = frozenset("b i em strong span u s small sub sup mark font code abbr cite q label time br wbr img".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
@@ -96,7 +107,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "depth", "exact", "shape", "words", "linked", "holds")
+    __slots__ = ("tag", "attrs", "children", "parent", "depth", "exact", "shape", "words", "linked", "holds", "controls", "fresh")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
@@ -226,13 +237,13 @@ def measure(tree: Node) -> None:
         name = f"{top.tag}|{top.attributes().get('class', '') if top.attrs else ''}".encode()
         content, shape = [name], [name]
         top.words = top.linked = 0
-        top.holds = top.tag in HOLDS_TEXT
+        top.holds, top.controls = top.tag in HOLDS_TEXT, top.tag in _CONTROLS
         for child in top.children:
             if isinstance(child, Node):
                 content.append(child.exact)
                 top.words += child.words
                 top.linked += child.linked
-                top.holds = top.holds or child.holds
+                top.holds, top.controls = top.holds or child.holds, top.controls or child.controls
                 mark = child.shape
             else:
                 split = child.split()
@@ -264,8 +275,67 @@ def shape_key(node: Node) -> int | None:
     return None if why is None else _number([b"shape", why.encode(), node.shape])
 
 
+def recurs(node: Node, template: frozenset[int] | set[int]) -> bool:
+    """Whether a subtree is template, by its content or by its shape."""
+    if node.tag not in CONTAINERS:
+        return False
+    return content_key(node) in template or shape_key(node) in template
+
+
+def _weigh(tree: Node, skipped) -> None:
+    """Gives every element the letters of its text, without those of subtrees that are skipped."""
+    order, stack = [], [tree]
+    while stack:
+        top = stack.pop()
+        top.fresh = 0
+        if top.tag in _NO_TEXT or skipped(top):
+            continue
+        order.append(top)
+        stack += [c for c in top.children if isinstance(c, Node)]
+    for top in reversed(order):
+        top.fresh = sum(c.fresh if isinstance(c, Node) else sum(map(len, c.split())) for c in top.children)
+
+
+def _outermost(tree: Node, kind: str) -> list[Node]:
+    """The outermost elements of a kind below a node that have fresh text, in page order."""
+    found, stack = [], list(reversed(tree.children))
+    while stack:
+        node = stack.pop()
+        if isinstance(node, Node) and node.fresh:
+            if kind in (node.tag, node.attributes().get("role") if node.attrs else None):
+                found.append(node)
+            else:
+                stack += reversed(node.children)
+    return found
+
+
+def content(tree: Node, template: frozenset[int] | set[int]) -> list[Node]:
+    """The smallest subtree that holds most of the text outside of template subtrees; articles, or else main elements, around it or with half of its text break ties.
+
+    Where running text that recurs is more than what does not, as in syndicated articles, it counts too.
+    """
+    _weigh(tree, lambda n: n.tag in CONTAINERS and (linky(n) or n.controls or not n.holds or named(n, True) is not None) and recurs(n, template))
+    possible = tree.fresh
+    _weigh(tree, lambda n: recurs(n, template))
+    if 2 * tree.fresh < possible:
+        _weigh(tree, lambda n: n.tag in CONTAINERS and (linky(n) or n.controls or not n.holds or named(n, True) is not None) and recurs(n, template))
+    node = tree
+    while held := [c for c in node.children if isinstance(c, Node) and c.fresh and c.fresh >= MOST * tree.fresh and (c.tag in CONTAINERS - {"p", "blockquote", "pre"} or c.tag in ("html", "body", "main", "article", "td", "tr", "tbody", "li"))]:
+        node = held[0]
+    for kind in ("article", "main"):
+        up = node
+        while up is not None and kind not in (up.tag, up.attributes().get("role") if up.attrs else None):
+            up = up.parent
+        if up is not None:
+            return [up]
+        below = _outermost(node, kind)
+        if below and 2 * sum(c.fresh for c in below) >= node.fresh:
+            return below
+    return [node]
+
+
 def removed(root: Node, template: frozenset[int] | set[int], inside: bool) -> set[int]:
-    """Ids of the nodes below a root whose content is template; see above for those of an article."""
+    """Ids of the nodes below a root that are template; see above for those of an article."""
     found, held = set(), set()
     total = recurring = 0
     stack: list[tuple[Node | str, bool]] = [(c, False) for c in root.children]
@@ -276,15 +346,20 @@ def removed(root: Node, template: frozenset[int] | set[int], inside: bool) -> se
             total += size
             recurring += size * counted
             continue
-        if named(node, inside) == "sure":
+        if node.tag in _NO_TEXT:
             continue
-        plain = inside and node.tag == "p" and not node.attrs.strip(" /")
-        if node.tag in CONTAINERS and not plain and content_key(node) in template:
-            if root.tag in ("body", "#root") or not node.holds:
+        if node.tag in CONTAINERS:
+            why = named(node, inside)
+            if (why is not None or linky(node) and not inside) and shape_key(node) in template:
                 found.add(id(node))
                 continue
-            held.add(id(node))
-            counted = True
+            stays = inside and node.tag in _RUNNING and why is None and not linky(node) and not node.controls
+            if not stays and content_key(node) in template:
+                if not inside or not node.holds:
+                    found.add(id(node))
+                    continue
+                held.add(id(node))
+                counted = True
         stack += [(c, counted) for c in node.children]
     return found | held if 2 * recurring <= total else found
 
@@ -328,10 +403,10 @@ def subtrees(tree: Node) -> set[int]:
     return found
 
 
-def extract(text: str, template: frozenset[int] | set[int] = frozenset(), names: bool = True) -> str:
+def extract(text: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of a page: a line for each block, white space within it made single.
 
-    Without ``names`` only recurrence decides: the whole body counts, less what is template.
+    ``template`` holds the numbers of the host's template subtrees, and 0 where the host has pages enough to count.
     """
     tree = parse(text)
     measure(tree)
@@ -345,17 +420,16 @@ def extract(text: str, template: frozenset[int] | set[int] = frozenset(), names:
                 lines.append(line)
             inline.clear()
 
-    for root in roots(tree) if names else [tree]:
-        inside = root.tag not in ("body", "#root")
-        gone = removed(root, template, inside) if template else ()
+    known = 0 in template
+    for root in content(tree, template) if known else roots(tree):
+        inside = root.tag not in ("html", "body", "#root")
+        gone = removed(root, template, inside) if known else ()
 
         def out(node: Node) -> bool:
-            if id(node) in gone or not names and (node.tag in RAW or node.tag == "head"):
-                return True
+            if known:
+                return node.tag in _NO_TEXT or id(node) in gone
             why = named(node, inside)
-            if names and (why == "sure" or why == "maybe" and (linky(node) or not inside)):
-                return True
-            return node.tag in CONTAINERS and bool(template) and (why is not None or linky(node) and not inside) and shape_key(node) in template
+            return why == "sure" or why == "maybe" and (linky(node) or not inside)
 
         stack: list[Node | str | None] = [root]
         while stack:
@@ -388,13 +462,8 @@ def host_of(url: F.Column) -> F.Column:
 def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "html"):
-            hosts, pages, hashes = [], [], []
-            for host, page, raw in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), values(batch, "html"), strict=True):
-                for h in subtrees(parse(raw.decode("utf-8", "replace"))) | {0}:  # 0 counts the pages
-                    hosts.append(host)
-                    pages.append(page)
-                    hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "hash"])
+            hashes = [sorted(subtrees(parse(raw.decode("utf-8", "replace"))) | {0}) for raw in values(batch, "html")]  # 0 counts the pages
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(hashes, pa.list_(pa.int64()))], ["host", "page", "hashes"])
 
 
 class HostTemplates:
@@ -406,24 +475,27 @@ class HostTemplates:
     def __bool__(self) -> bool:
         return len(self.table) > 0
 
-    def __contains__(self, number: int) -> bool:
+    def __contains__(self, number: int | None) -> bool:
+        if number is None:
+            return False
         key = np.int64(number) ^ self.own
         i = int(np.searchsorted(self.table, key))
         return i < len(self.table) and self.table[i] == key
 
 
 def counted(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``rows(host, page, html)`` -> all subtrees of all different pages, ``(host, page, hash)``, and those that are template, ``(host, hash)``; page is a hash of the whole html."""
-    seen = scratch.save(rows.mapInArrow(_subtree_rows, "host string, page long, hash long").distinct(), "subtrees")
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n"))
-    pages = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    many = counts.where((F.col("hash") != 0) & (F.col("n") >= FEW_PAGES)).join(pages, "host").where((F.col("n") >= MIN_PAGES) | (F.col("n") >= FEW_SHARE * F.col("pages")))
+    """``rows(host, page, html)`` -> the subtrees of each different page, ``(host, page, hashes)``, and those that are template, ``(host, hash)``; page is a hash of the whole html."""
+    seen = scratch.save(rows.mapInArrow(_subtree_rows, "host string, page long, hashes array<bigint>").dropDuplicates(["host", "page"]), "subtrees")
+    counts = seen.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    pages = seen.groupBy("host").agg(F.count("*").alias("pages"))
+    # The number 0 is among them where a host has pages enough to count.
+    many = counts.where(F.col("n") >= FEW_PAGES).join(pages, "host").where((F.col("n") >= MIN_PAGES) | (F.col("n") >= FEW_SHARE * F.col("pages")))
     return seen, scratch.save(many.select("host", "hash"), "templates")
 
 
 def by_page(seen: DataFrame, found: DataFrame) -> DataFrame:
     """``(host, page, hashes)``: for pages with template subtrees, which; a page's own subtrees bound the list."""
-    return seen.join(found, ["host", "hash"]).groupBy("host", "page").agg(F.collect_list("hash").alias("hashes"))
+    return seen.select("host", "page", F.explode("hashes").alias("hash")).join(found, ["host", "hash"]).groupBy("host", "page").agg(F.collect_list("hash").alias("hashes"))
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -262,7 +262,36 @@ def test_shapes_of_a_host_are_template(spark, monkeypatch, bound):
     for i, _, text in rows:
         assert got[i].split("\n")[0].startswith(f"Story {i} of ") and got[i].endswith(f"\nMore {i}") and got[i].count("\n") == 1
         # Recurrence alone does it; without it the list of links stays.
-        assert html.extract(text, template, names=False) == got[i] and html.extract(text) != got[i]
+        assert html.extract(text, template | {0}) == got[i] and html.extract(text) != got[i] and html.extract(text, {0}) != got[i]
+
+
+def test_blocks_of_many_articles_stay(spark):
+    """A thousand pages of one host, without a telling name or tag: chrome goes by recurrence, repeated blocks of the text stay."""
+    blocks = ["<p class=x>We have asked for a comment</p>", "<blockquote id=q3>To be or not to be</blockquote>", "<ul class=k><li>first point</li><li>second point</li></ul>", "<table><tr><td>sum</td><td>7</td></tr></table>"]
+    lines = ["We have asked for a comment", "To be or not to be", "first point\nsecond point", "sum\n7"]
+    chrome = "<div class=a1><a href=/x>home</a> <a href=/y>news</a></div><div class=a2>All about {}</div>"
+    rows, want = [], {}
+    for i in range(1000):
+        k = i % 4
+        rows.append((i, f"http://one.com/{i}", f"<body>{chrome.format('us')}<div class=c><div class=t><h2>Title {i}</h2><p>Text {i} {'word ' * (9 + i % 5)}here</p>{blocks[k]}<p>End of {i} and of what it says</p></div></div><div class=z><p>Call {i // 500} any time</p></div></body>"))
+        want[i] = f"Title {i}\nText {i} {'word ' * (9 + i % 5)}here\n{lines[k]}\nEnd of {i} and of what it says"
+    got = texts_of(spark, rows)
+    assert got == want
+    assert all(html.extract(text, {0}) != got[i] for i, _, text in rows[:20])  # by the templates alone
+
+
+def test_content_is_found_by_counting():
+    page = "<body><div class=m><span>menu of all</span></div><div><div class=t><p>own words of this page</p><p>and more</p></div></div><section><p>rest of it</p></section></body>"
+    tree = html.parse(page)
+    html.measure(tree)
+    other = html.parse("<section><p>rest of it</p></section>").children[0], html.parse("<div class=m><span>menu of all</span></div>").children[0]
+    template = {0}
+    for node in other:
+        html.measure(node)
+        template.add(html.content_key(node))
+    assert [n.attrs.strip() for n in html.content(tree, template)] == ["class=t"] and html.extract(page, template) == "own words of this page\nand more"
+    assert [n.tag for n in html.content(tree, {0})] == ["body"] and html.extract(page, {0}) == "menu of all\nown words of this page\nand more\nrest of it"
+    assert html.extract("", {0}) == "" and html.extract("<article><p>x</article>", {0}) == "x"
 
 
 def test_names_that_articles_may_have(spark):
@@ -278,7 +307,7 @@ def test_counted_templates_match_brute_force(spark):
     frame = spark.createDataFrame([(f"h{i % 3}.com", zlib.crc32(t.encode()), t.encode()) for i, _, t in rows], "host string, page long, html binary")
     got = {(r["host"], r["page"]): set(r["hashes"]) for r in html.by_page(*html.counted(frame, Scratch(spark, "t"))).collect()}
     for host in {f"h{i}.com" for i in range(3)}:
-        own = {zlib.crc32(t.encode()): html.subtrees(html.parse(t)) for i, _, t in rows if f"h{i % 3}.com" == host}
+        own = {zlib.crc32(t.encode()): html.subtrees(html.parse(t)) | {0} for i, _, t in rows if f"h{i % 3}.com" == host}
         counts = collections.Counter(h for x in own.values() for h in x)
         want = {h for h, n in counts.items() if n >= html.MIN_PAGES or n >= html.FEW_PAGES and n >= html.FEW_SHARE * len(own)}
         assert all(got.get((host, page), set()) == x & want for page, x in own.items())
