@@ -467,31 +467,16 @@ def _node(ordered: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(ordered.tobytes(), SEED)).astype(np.int64))
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (token, node) -> (bucket, node): buckets of at least two nodes, those of equal members once in a task."""
-    seen: set[int] = set()
-    tokens, nodes = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def closed(tokens: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, np.int64)
-        ends = np.append(starts[1:], len(tokens))
-        out_b, out_n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            own = nodes[a:b]
-            name = _node(own)
-            if name not in seen:
-                seen.add(name)
-                out_b.append(np.full(b - a, name, dtype=np.int64))
-                out_n.append(own)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_n))], ["bucket", "node"])
-
-    for batch in batches:
-        tokens, nodes = np.append(tokens, batch.column("token").to_numpy()), np.append(nodes, batch.column("node").to_numpy())
-        if len(tokens) and tokens[0] != tokens[-1]:
-            cut = int(np.flatnonzero(tokens != tokens[-1])[-1]) + 1
-            yield closed(tokens[:cut], nodes[:cut])
-            tokens, nodes = tokens[cut:], nodes[cut:]
-    yield closed(tokens, nodes)
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """``nodes(node, first)`` -> ``(bucket, node)``: the nodes that share a token, buckets of equal members once.
+
+    Tokens are counted, and their members digested, before the shuffle, so a token of very many
+    nodes is a row of each task; its nodes are then joined in parts, as adaptive execution splits them.
+    """
+    shared = nodes.select("node", F.explode("first").alias("token"))
+    members = shared.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
+    named = members.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")
+    return shared.join(named, "token").select(F.col("token").alias("bucket"), "node")
 
 
 def _compared(compare):
@@ -558,8 +543,7 @@ def similar(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "t
     kind = rows.schema["doc_id"].dataType.simpleString()
     held = scratch.save(rows.mapInArrow(_set_rows(scheme, shingle_weights(rows, scheme)), f"doc_id {kind}, node long, n long, first array<bigint>, sketch binary, members binary"), "held")
     nodes = scratch.save(held.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "first", "sketch", "members"))), "nodes")
-    shared = nodes.select("node", F.explode("first").alias("token")).repartition("token").sortWithinPartitions("token", "node")
-    groups = scratch.save(shared.mapInArrow(_buckets, "bucket long, node long").distinct(), "buckets")
+    groups = scratch.save(_buckets(nodes), "buckets")
     by_sketch = _linked(groups, nodes.where("sketch IS NOT NULL").select("node", "sketch"), _linker(scheme.radius), F.count("*") / BUCKET_ROWS)
     by_set = _linked(groups, nodes.where("members IS NOT NULL").select("node", F.col("members").alias("sketch")), _compared(lambda x: near_sets(x, least)), F.count("*") / BUCKET_ROWS)
     reached = scratch.save(components(by_sketch.unionByName(by_set), scratch, "candidates"), "clusters")
