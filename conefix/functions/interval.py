@@ -134,3 +134,54 @@ def _defined(value: Column) -> Column:
 def in_bounds(index: Itv, length: Itv) -> Column:
     """Whether an array access is safe: true, false (it never is), or null where unknown."""
     return F.when((index.lo >= 0) & (index.hi < length.lo), F.lit(True)).when((index.hi < 0) | (index.lo >= length.hi), F.lit(False))
+
+
+# --- logic and literals ------------------------------------------------------
+
+
+def truth(holds: Column) -> Itv:
+    """A three-valued comparison as a number: 1, 0, or either."""
+    return Itv(F.when(holds, F.lit(1.0)).otherwise(F.lit(0.0)), F.when(~holds, F.lit(0.0)).otherwise(F.lit(1.0)))
+
+
+def both(a: Itv, b: Itv) -> Itv:
+    """Logical and of truth values: the lesser."""
+    return Itv(F.least(a.lo, b.lo), F.least(a.hi, b.hi))
+
+
+def either(a: Itv, b: Itv) -> Itv:
+    """Logical or: the greater."""
+    return Itv(F.greatest(a.lo, b.lo), F.greatest(a.hi, b.hi))
+
+
+def negated(a: Itv) -> Itv:
+    return Itv(1.0 - a.hi, 1.0 - a.lo)
+
+
+def bitwise_and(a: Itv, b: Itv) -> Itv:
+    """Of whole numbers: within the lesser one where neither is negative, else unconstrained."""
+    known = (a.lo >= 0) & (b.lo >= 0)
+    return Itv(F.when(known, F.lit(0.0)).otherwise(F.lit(NEG)), F.when(known, F.least(a.hi, b.hi)).otherwise(F.lit(POS)))
+
+
+def bitwise_or(a: Itv, b: Itv) -> Itv:
+    """Of whole numbers: at least the greater one and at most their sum where neither is negative."""
+    known = (a.lo >= 0) & (b.lo >= 0)
+    return Itv(F.when(known, F.greatest(a.lo, b.lo)).otherwise(F.lit(NEG)), F.when(known, a.hi + b.hi).otherwise(F.lit(POS)))
+
+
+def literal(text: Column) -> Column:
+    """The number of a literal: whole in base 10, 16, 8 or 2, with a fraction or exponent, a character, true or false; null for others."""
+    plain = F.regexp_replace(F.lower(text), "_", "")
+    digits = F.regexp_replace(plain, "l$", "")
+    based = lambda n, b: F.conv(F.substring(digits, n + 1, 64), b, 10).cast("double")
+    return (
+        F.when(plain == "true", F.lit(1.0))
+        .when(plain == "false", F.lit(0.0))
+        .when(text.rlike("^'.'$"), F.ascii(F.substring(text, 2, 1)).cast("double"))
+        .when(digits.rlike("^0x[0-9a-f]+$"), based(2, 16))
+        .when(digits.rlike("^0b[01]+$"), based(2, 2))
+        .when(digits.rlike("^0[0-7]+$"), based(1, 8))
+        .when(digits.rlike("^[0-9]+$"), digits.try_cast("double"))
+        .when(plain.rlike(r"^([0-9]+\.[0-9]*|\.?[0-9]+)(e[+-]?[0-9]+)?[fd]?$"), F.regexp_replace(plain, "[fd]$", "").try_cast("double"))
+    )
