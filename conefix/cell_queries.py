@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from conefix.operators import cells, dominators, graph_edits, interning, paths, ranges, scans
+from conefix.operators import cells, dominators, graph_edits, interning, paths, ranges, scans, summaries
 from conefix.queries import _STEPS, finite, query, steps
 from conefix.session import Scratch, read_table
 from conefix.streaming import registry
@@ -170,8 +170,8 @@ def cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- values --------------------------------------------------------------------
 
 
-def _machine(changes: str = "SELECT NULL AS fn, NULL AS src, NULL AS dst, NULL AS a, NULL AS b WHERE false") -> str:
-    """SQL that runs each program one location at a time, with its loops' iterates in lists."""
+def _machine(changes: str = "SELECT NULL AS fn, NULL AS src, NULL AS dst, NULL AS a, NULL AS b WHERE false", given: str = "SELECT NULL AS fn, 0.0 AS hi WHERE false", only: str = "true") -> str:
+    """SQL that runs each program one location at a time, with its loops' iterates in lists; ``given`` bounds of entries replace their own."""
     new = "coalesce((SELECT c.{x} FROM changes c WHERE c.fn = q.fn AND c.src = q.loc AND c.dst = q.loc + 1), {old})"
     low = new.format(x="a", old="CASE t WHEN 'error' THEN 0.0 WHEN 'purchase' THEN -v ELSE v END")
     high = new.format(x="b", old="CASE WHEN t = 'error' THEN 1.0 WHEN t = 'purchase' THEN -v WHEN tail IS NOT NULL THEN v * 10 ELSE v END")
@@ -179,14 +179,14 @@ def _machine(changes: str = "SELECT NULL AS fn, NULL AS src, NULL AS dst, NULL A
     bottom = lambda lo, hi, a, b: f"CASE WHEN greatest({lo}, {a}) > least({hi}, {b}) OR {lo} > {hi} THEN '-inf'::DOUBLE ELSE least({hi}, {b}) END"
     inf = "'inf'::DOUBLE"
     return f"""
-{_PROGRAMS}, changes AS ({changes}),
+{_PROGRAMS}, changes AS ({changes}), given AS ({given}),
 prog AS MATERIALIZED (
   SELECT fn, count(*) AS n, list(t ORDER BY loc) AS t, list(v ORDER BY loc) AS v, list(tail ORDER BY loc) AS tail, list(head ORDER BY loc) AS head, list(around ORDER BY loc) AS around,
     list(t = 'signup' AND coalesce(following = 'click', false) ORDER BY loc) AS skips, list({low} ORDER BY loc) AS a, list({high} ORDER BY loc) AS b FROM q GROUP BY fn
 ), run AS (
-  SELECT fn, 0 AS pc, list_prepend(0.0::DOUBLE, list_transform(range(n), lambda x: {inf})) AS lo, list_prepend(v[1], list_transform(range(n), lambda x: -{inf})) AS hi,
+  SELECT fn, 0 AS pc, list_prepend(0.0::DOUBLE, list_transform(range(n), lambda x: {inf})) AS lo, list_prepend(coalesce((SELECT g.hi FROM given g WHERE g.fn = prog.fn), v[1]), list_transform(range(n), lambda x: -{inf})) AS hi,
     list_transform(range(n), lambda x: {inf}) AS wlo, list_transform(range(n), lambda x: -{inf}) AS whi, list_transform(range(n), lambda x: 0) AS it
-  FROM prog
+  FROM prog WHERE {only}
   UNION ALL
   SELECT fn, nxt AS pc,
     list_transform(lo, lambda x, i: CASE WHEN fixed AND i = h + 1 THEN nlo ELSE least(CASE WHEN i BETWEEN r0 AND r1 THEN {inf} ELSE x END, CASE WHEN i = t1 THEN l1 ELSE {inf} END, CASE WHEN i = t2 THEN l2 ELSE {inf} END) END),
@@ -264,6 +264,33 @@ def cell_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(store.read(), store.graph)
 
 
+_CALLERS = "SELECT fn, split_part(fn, ':', 1) || ':' || (CAST(split_part(fn, ':', 2) AS BIGINT) + 1) AS callee, v FROM q WHERE loc = 0 AND t = 'signup' AND CAST(split_part(fn, ':', 2) AS BIGINT) % 2 = 0"
+_CALLEES = _machine(given=f"SELECT callee AS fn, v AS hi FROM ({_CALLERS})", only="fn IN (SELECT fn FROM given)")
+_TOLD = f"SELECT c.fn, 0 AS src, 1 AS dst, coalesce(e.lo, '-inf'::DOUBLE) AS a, coalesce(e.hi, 'inf'::DOUBLE) AS b FROM ({_CALLERS}) c LEFT JOIN callees e ON e.fn = c.callee AND e.loc = e.n"
+
+
+@query(f"""
+WITH RECURSIVE callees AS MATERIALIZED (WITH RECURSIVE {_CALLEES} SELECT final.*, p.n FROM final JOIN prog p USING (fn)), {_machine(_TOLD, only="fn IN (SELECT fn FROM changes)")},
+found AS (SELECT fn, loc, lo, hi, iterations FROM final UNION ALL SELECT fn, loc, lo, hi, iterations FROM callees)
+{_RESULT.replace("FROM final", "FROM found")}
+""")
+def cell_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other program whose first event is a signup calls the user's next program there: states of callers and of callees in the contexts they are asked for in, and no others."""
+    scratch = Scratch(spark, "calling")
+    edges, entries = programs(spark, sf_dir)
+    q = scratch.save(program_rows(spark, sf_dir, scratch), "placed")
+    user, number = F.substring_index("fn", ":", 1), F.substring_index("fn", ":", -1).cast("long")
+    callers = scratch.save(q.where("loc = 0 AND t = 'signup'").where(number % 2 == 0).select("fn", F.concat_ws(":", user, (number + 1).cast("string")).alias("callee")), "callers")
+    joined = edges.join(callers.withColumns({"src": F.lit(0).cast("long"), "dst": F.lit(1).cast("long")}), ["fn", "src", "dst"], "left")
+    calling = joined.withColumn("op", F.when(F.col("callee").isNotNull(), "call").otherwise(F.col("op")))
+    g = cells.build(calling, entries)
+    exits = q.groupBy("fn").agg((F.max("loc") + 1).cast("long").alias("loc"))
+    demand = entries.join(callers.select("fn"), "fn", "left_semi").select("fn", "lo", "hi")
+    found = summaries.solve(g, exits, demand)
+    states = found.values.at_locations(found.graph.locs).join(found.contexts.select(F.col("ctx").alias("fn"), F.col("fn").alias("program")), "fn")
+    return states.select(F.col("program").alias("fn"), F.col("loc").cast("int").alias("loc"), finite(F.col("lo")).alias("lo"), finite(F.col("hi")).alias("hi"), (F.col("lo") > F.col("hi")).alias("is_bottom"), "iterations")
+
+
 def read_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(fn, v)`` of programs whose sixth event is a click."""
     events = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("t"), F.col("value").alias("v"))

@@ -200,13 +200,15 @@ def _rows(df: DataFrame, tag: str, **columns: Column) -> DataFrame:
     return df.select(F.lit(tag).alias("tag"), F.col("fn"), *(v.alias(c) for c, v in own.items()))
 
 
-def evaluate(g: CellGraph, wanted: DataFrame | None = None, kept: Values | None = None, ended_with: str = "values") -> Values:
+def evaluate(g: CellGraph, wanted: DataFrame | None = None, kept: Values | None = None, answers: DataFrame | None = None) -> Values:
     """Values of all cells, or of those that ``wanted(fn, loc)`` depend on.
 
-    ``kept``: cells that are known already; only what they lack is computed.
+    ``kept``: cells that are known already; only what they lack is computed. ``answers(callee, in_lo, in_hi,
+    lo, hi)`` are what edges with op call and a ``callee`` make of a state (of any state, where they are on a ``circle``);
+    what has no answer is not sent.
     """
     spark = g.edges.sparkSession
-    scratch = Scratch(spark, ended_with)
+    scratch = Scratch(spark, "values")
     edges, entries = g.edges, g.entries
     if wanted is not None:
         node = lambda c: F.struct(F.col("fn"), F.col(c).cast("long").alias("loc"))
@@ -216,7 +218,7 @@ def evaluate(g: CellGraph, wanted: DataFrame | None = None, kept: Values | None
         cone = scratch.save(graph.reach(back.union(around).distinct(), wanted.select(F.lit(0).alias("origin"), node("loc").alias("node"))).select("node.fn", "node.loc"), "cone")
         edges = scratch.save(edges.join(cone.withColumnRenamed("loc", "dst"), ["fn", "dst"], "left_semi"), "demanded")
         entries = entries.join(cone.select("fn").distinct(), "fn", "left_semi")
-    flow = scratch.save(edges.select("fn", F.col("src").alias("loc"), "dst", F.when(F.col("from_iter"), "iter").otherwise("at").alias("role"), "op", "a", "b", "i", "is_back", "is_join", "dst_head", "left", "stays", F.when(F.col("is_back"), F.col("n_back")).otherwise(F.col("dst_in")).alias("n")), "flow")
+    flow = scratch.save(edges.select("fn", F.col("src").alias("loc"), "dst", F.when(F.col("from_iter"), "iter").otherwise("at").alias("role"), "op", "a", "b", "i", "is_back", "is_join", "dst_head", "left", "stays", F.when(F.col("is_back"), F.col("n_back")).otherwise(F.col("dst_in")).alias("n"), *(["callee", "circle"] if answers is not None else [])), "flow")
 
     start = entries.join(g.locs.withColumnRenamed("loc", "entry"), ["fn", "entry"]).select("fn", F.col("entry").cast("long").alias("loc"), "lo", "hi", "is_head", "n_in")
     if kept is None:
@@ -226,11 +228,11 @@ def evaluate(g: CellGraph, wanted: DataFrame | None = None, kept: Values | None
         first = _rows(alone, "value", sends=F.lit(True), slot=F.lit(-1)).unionByName(_rows(waits, "waits")).unionByName(_rows(alone.where("role = 'iter'"), "loop"))
         ended = spark.createDataFrame([], _ended_schema(g))
     else:
-        first, ended = _resumed(g, flow, start, kept), kept.ended
+        first, ended = _resumed(flow, start, kept, answers), kept.ended
     state = scratch.save(first, "round-0")
     parts, ends = [state.where("tag = 'value'")], [ended]
     for turn in itertools.count(1):
-        state = scratch.save(_round(state, flow, graph.rows_of(iter(ends))), f"round-{turn}")
+        state = scratch.save(_round(state, flow, graph.rows_of(iter(ends)), answers), f"round-{turn}")
         if not _moves(state):
             break
         parts.append(state.where("tag = 'value'"))
@@ -253,10 +255,17 @@ def _moves(state: DataFrame) -> bool:
     return not state.where("tag IN ('value', 'ended', 'opened')").isEmpty()
 
 
-def _sent(sending: DataFrame, flow: DataFrame) -> DataFrame:
+def _sent(sending: DataFrame, flow: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """What cells send along their edges: ``(fn, loc, i, is_back, is_join, dst_head, n, ctx, lo, hi, left, stays)``."""
     moved = sending.select("fn", "loc", "role", "ctx", "lo", "hi").join(flow, ["fn", "loc", "role"])
     lo, hi = transfer(F.col("op"), F.col("a"), F.col("b"), F.col("lo"), F.col("hi"))
+    if answers is not None:
+        told = answers.select("callee", "in_lo", "in_hi", F.struct("lo", "hi").alias("told"))
+        asked = {"in_lo": F.when(F.col("circle"), F.lit(NEG)).otherwise(F.col("lo")), "in_hi": F.when(F.col("circle"), F.lit(POS)).otherwise(F.col("hi"))}
+        moved = moved.withColumns(asked).join(told, ["callee", "in_lo", "in_hi"], "left")
+        asks = (F.col("op") == "call") & (F.col("lo") <= F.col("hi"))
+        moved = moved.where(~asks | F.col("told").isNotNull())
+        lo, hi = F.when(asks, F.col("told.lo")).otherwise(lo), F.when(asks, F.col("told.hi")).otherwise(hi)
     return moved.select("fn", F.col("dst").cast("long").alias("loc"), "i", "is_back", "is_join", "dst_head", "n", "ctx", lo.alias("lo"), hi.alias("hi"), "left")
 
 
@@ -265,12 +274,12 @@ def _as_rows(sent: DataFrame, tag: str) -> DataFrame:
     return _rows(sent, tag, role=role, slot=F.col("i"), head=F.col("dst_head"))
 
 
-def _round(state: DataFrame, flow: DataFrame, ended: DataFrame) -> DataFrame:
+def _round(state: DataFrame, flow: DataFrame, ended: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """The rows of the next round: filled cells, inputs that wait for others, what waits at barriers, open loops and ended ones.
 
     One join with the edges, one with ended loops and one aggregation, whatever becomes of a row.
     """
-    sent = _as_rows(_sent(state.where("tag = 'value' AND sends"), flow), "sent").unionByName(state.where("tag IN ('sent', 'held')"))
+    sent = _as_rows(_sent(state.where("tag = 'value' AND sends"), flow, answers), "sent").unionByName(state.where("tag IN ('sent', 'held')"))
     # Barriers: the innermost loop still to be left must have ended, in this iteration.
     outer = F.expr("slice(ctx, 1, size(ctx) - 1)")
     done = ended.select("fn", F.col("head").alias("h"), F.col("ctx").alias("outer"), "at")
@@ -361,10 +370,10 @@ def dirtied(g: CellGraph, values: Values, changed: DataFrame) -> Values:
     return Values(clean, ended, 0)
 
 
-def _resumed(g: CellGraph, flow: DataFrame, start: DataFrame, kept: Values) -> DataFrame:
+def _resumed(flow: DataFrame, start: DataFrame, kept: Values, answers: DataFrame | None) -> DataFrame:
     """The first round over kept values: they send again, but only to cells that have none, and loops without an end are open at their last iterate."""
     have = kept.cells.select("fn", "loc", "role", "ctx").where("role IN ('at', 'iter')")
-    sent = _as_rows(_sent(kept.cells.where("sends"), flow), "sent")
+    sent = _as_rows(_sent(kept.cells.where("sends"), flow, answers), "sent")
     begins = F.array(F.lit(0))
     # The cell that an input ends in: a head's iterate 0 or the next one, or the location itself.
     final = F.expr("slice(ctx, 1, size(ctx) - size(left))")

@@ -10,7 +10,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conefix.operators import cells, dominators, graph_edits, interning, paths, ranges, scans
+from conefix.operators import cells, dominators, graph_edits, interning, paths, ranges, scans, summaries
 from conefix.session import Scratch
 from conefix.streaming import registry
 
@@ -392,3 +392,36 @@ def test_registry_survives_restarts(spark):
         registry.follow(spark.readStream.schema(schema).parquet(source), target, checkpoint)
     registry.follow(spark.readStream.schema(schema).parquet(source), target, checkpoint)  # nothing new
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == sorted(want) and len(want) > 20
+
+
+# --- calls -------------------------------------------------------------------------
+
+
+def test_summaries_by_demand(spark):
+    """Contexts are shared, missing callees and circles leave the state open, programs that nobody asks for are not touched."""
+    lines = {
+        "main": [(0, 1, "call", "f"), (1, 2, "set", 4.0), (2, 3, "call", "f"), (3, 4, "call", "nobody")],
+        "other": [(0, 1, "call", "f"), (1, 2, "call", "loop")],
+        "f": [(0, 1, "add", 1.0)],
+        "loop": [(0, 1, "add", 1.0), (1, 0, "call", "f"), (0, 2, "above", 3.0)],
+        "rec": [(0, 1, "add", 1.0), (1, 2, "call", "rec")],
+        "ping": [(0, 1, "call", "pong"), (1, 2, "add", 1.0)],
+        "pong": [(0, 1, "call", "ping"), (1, 2, "set", 7.0)],
+        "unused": [(0, 1, "add", 1.0)],
+    }
+    rows = [(f, s, d, op, 0.0 if op == "call" else x, 0.0 if op == "call" else x, x if op == "call" else None) for f, own in lines.items() for s, d, op, x in own]
+    edges = spark.createDataFrame(rows, "fn string, src long, dst long, op string, a double, b double, callee string")
+    entries = spark.createDataFrame([(f, 0, 0.0, 0.0) for f in lines], "fn string, entry long, lo double, hi double")
+    exits = spark.createDataFrame([(f, max(d for _, d, _, _ in own)) for f, own in lines.items()], "fn string, loc long")
+    demand = spark.createDataFrame([("main", 1.0, 1.0), ("other", 4.0, 4.0), ("rec", 0.0, 0.0), ("ping", 0.0, 0.0)], "fn string, lo double, hi double")
+    found = summaries.solve(cells.build(edges, entries), exits, demand)
+    contexts = sorted((r["fn"], r["lo"], r["hi"]) for r in found.contexts.collect())
+    top = (-INF, INF)
+    assert contexts == sorted([("main", 1.0, 1.0), ("other", 4.0, 4.0), ("f", 1.0, 1.0), ("f", 4.0, 4.0), ("loop", 5.0, 5.0), ("f", 6.0, 6.0), ("f", 6.0, INF), ("rec", 0.0, 0.0), ("rec", *top), ("ping", 0.0, 0.0), ("pong", *top), ("ping", *top)])
+    states = {(r["fn"], r["loc"]): (r["lo"], r["hi"]) for r in found.values.at_locations(found.graph.locs).collect()}
+    main = [states["main#1.0#1.0", k] for k in range(5)]
+    assert main == [(1.0, 1.0), (2.0, 2.0), (4.0, 4.0), (5.0, 5.0), top]
+    assert states["other#4.0#4.0", 2] == (5.0, INF) and states["rec#0.0#0.0", 2] == top and states["ping#0.0#0.0", 2] == top
+    places = spark.createDataFrame([("f", 0), ("f", 1)], "fn string, loc long")
+    assert sorted(map(tuple, summaries.located(found, places).collect())) == [("f", 0, 1.0, INF, 4), ("f", 1, 2.0, INF, 4)]
+    assert found.asks.where("callee = 'f'").select("fn").distinct().count() == 3
