@@ -36,8 +36,9 @@ from conefix.llm.arrow import slices, small_batches, values
 
 #: Labelled rows of each label that the fit reads at most (those with the least hash of their doc_id).
 FIT_ROWS = 8_000
-#: Word beginnings that toxic rows share and that are then counted in the other rows, the most frequent first.
-CANDIDATES = 100_000
+#: Least share of the toxic rows that have a term. The rows read bound the terms: of beginnings that long, not more
+#: than 1 / COMMON times as many as a row has on average.
+COMMON = 0.01
 #: Characters of a word beginning.
 LENGTHS = range(4, 11)
 #: How much more frequent in toxic rows a term has to be.
@@ -46,8 +47,6 @@ RATIO = 20.0
 EVIDENCE = 20.0
 #: Share of its texts that a longer beginning must keep to stand for a shorter one.
 SHARED = 0.9
-#: Terms of a learned lexicon.
-LEXICON = 4_000
 
 #: Insults known without labels, and phrases in which they are harmless.
 SEEDS = ("idiot", "moron", "loser", "scum", "stupid", "worthless", "pathetic", "disgusting", "trash", "clown")
@@ -196,8 +195,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def counted(value: int, keep: set[str] | None) -> DataFrame:
         return sample.where(F.col("label") == value).select("text").mapInArrow(_counter(keep), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-    least = max(3, math.ceil(0.01 * toxic))
-    common = {r["term"]: r["n"] for r in counted(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+    least = max(3, math.ceil(COMMON * toxic))
+    common = {r["term"]: r["n"] for r in counted(1, None).where(F.col("n") >= least).collect()}
     other = {r["term"]: r["n"] for r in counted(0, set(common)).collect()}
     ratio = {t: (n + 0.5) / (toxic + 1) / ((other.get(t, 0) + 0.5) / (clean + 1)) for t, n in common.items()}
     weights = {fold(w).strip(): 3.0 for w in SEEDS}
@@ -213,8 +212,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         cells = ((a, toxic * rate), (b, clean * rate), (toxic - a, toxic * (1 - rate)), (clean - b, clean * (1 - rate)))
         return 2 * sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0)
 
-    for term in sorted((t for t in ratio if ratio[t] >= RATIO and evidence(t) >= EVIDENCE), key=lambda t: (len(t), -ratio[t], t))[: 4 * LEXICON]:
-        if len(weights) < LEXICON and not any(term[:n] in weights and term != term[:n] for n in range(3, len(term))):
+    for term in sorted((t for t in ratio if ratio[t] >= RATIO and evidence(t) >= EVIDENCE), key=lambda t: (len(t), -ratio[t], t)):
+        if not any(term[:n] in weights and term != term[:n] for n in range(3, len(term))):
             # The longest beginning that nearly all of its texts share, so that other words are not taken in.
             while (longer := following.get(term)) and common[longer] >= SHARED * common[term]:
                 term = longer
