@@ -394,6 +394,31 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("src"), following.alias("dst")).where("dst IS NOT NULL").distinct()
 
 
+_NODES = "p AS (SELECT user_id || ':' || src AS src, user_id || ':' || dst AS dst FROM e)"
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transitions of all users as one graph, of ``user:event type``."""
+    node = lambda c: F.concat_ws(":", "user_id", c).alias(c)
+    return steps(spark, sf_dir).select(node("src"), node("dst"))
+
+
+@query(f"""
+WITH RECURSIVE {_STEPS}, {_NODES}, r AS (SELECT src, dst FROM p UNION SELECT r.src, p.dst FROM r JOIN p ON r.dst = p.src), n AS (SELECT src AS node FROM p UNION SELECT dst FROM p)
+SELECT node, least(node, coalesce(min(b.src), node)) AS component FROM n LEFT JOIN r a ON a.src = node LEFT JOIN r b ON b.src = a.dst AND b.dst = node GROUP BY node
+""")
+def transition_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongly connected components of the transitions of all users."""
+    return graph.strong_components(transitions(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_STEPS}, {_NODES}, r AS (SELECT DISTINCT user_id || ':error' AS node FROM events WHERE event_type = 'error' UNION SELECT p.src FROM r JOIN p ON p.dst = r.node) SELECT node FROM r")
+def transition_cones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the errors of all users come from."""
+    errors = read_table(spark, sf_dir, "events").where("event_type = 'error'").select(F.lit(0).alias("origin"), F.concat_ws(":", "user_id", "event_type").alias("node")).distinct()
+    return graph.reach(graph.reverse(transitions(spark, sf_dir)), errors).select("node")
+
+
 @query(f"WITH {_STEPS} SELECT user_id, src, dst, CAST(row_number() OVER (PARTITION BY user_id, dst ORDER BY src) - 1 AS INTEGER) AS idx FROM e")
 def edge_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_ordinals(steps(spark, sf_dir), ["user_id", "dst"], ["src"])

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import random
 
-import pytest
-from pyspark.sql import functions as F
-
 from conefix.operators import dominators, statements
 
 SCHEMA = "fn string, node string, parent string, ord int, role string, kind string, label string, target string, parts int, calls boolean"
@@ -127,7 +124,7 @@ class Tree:
         if kind == "switch":
             out = set()
             for i, c in enumerate(own):
-                out |= self.then(self.step(node if False else c, self.by[c][4]), "next", lambda i=i: self.sequence(own[i:]))
+                out |= self.then(self.step(c, self.by[c][4]), "next", lambda i=i: self.sequence(own[i:]))
             if "default" not in role:
                 out |= self.step(node, "default")
             return {(t, "next" if o == "break" else o) for t, o in out}
@@ -208,33 +205,30 @@ def test_traces_of_random_trees(spark):
         assert walks(found[tree.fn]) == tree.traces(), tree.fn
 
 
-def rows_of(spark, *rows):
-    return spark.createDataFrame([("m", *r) for r in rows], SCHEMA)
+def method(fn, *rows):
+    return [(fn, node, parent, order, role, kind, None, target, 1, calls) for node, parent, order, role, kind, target, calls in rows]
 
 
-def test_loops_have_one_edge_back(spark):
-    tree = rows_of(
-        spark, ("0", None, 0, None, "block", None, None, 1, False), ("1", "0", 0, None, "while", None, None, 1, False), ("2", "1", 0, "body", "block", None, None, 1, False),
-        ("3", "2", 0, None, "if", None, None, 1, False), ("4", "3", 0, "then", "continue", None, None, 1, False), ("5", "2", 1, None, "expr", None, None, 1, True),
-        ("6", "0", 1, None, "while", None, None, 1, False), ("7", "6", 0, "body", "expr", None, None, 1, False),
+def test_shapes_of_graphs(spark):
+    """Loops have one edge back, finally blocks a copy for each way, errors a row each."""
+    root = ("0", None, 0, None, "block", None, False)
+    loops = method(
+        "loops", root, ("1", "0", 0, None, "while", None, False), ("2", "1", 0, "body", "block", None, False), ("3", "2", 0, None, "if", None, False), ("4", "3", 0, "then", "continue", None, False),
+        ("5", "2", 1, None, "expr", None, True), ("6", "0", 1, None, "while", None, False), ("7", "6", 0, "body", "expr", None, False),
     )
-    edges, _ = statements.lower(tree)
-    back = dominators.back_edges(edges, spark.createDataFrame([("m", "in")], "fn string, entry string"))
+    errors = method("errors", root, ("1", "0", 0, None, "break", None, False), ("2", "0", 1, None, "yield", None, False), ("3", "0", 2, None, "continue", "x", False))
+    guard = [root, ("1", "0", 0, None, "while", None, False), ("2", "1", 0, "body", "try", None, False), ("3", "2", 0, "body", "block", None, False), ("4", "2", 1, "finally", "expr", None, False)]
+    one = method("one", *guard, ("5", "3", 0, None, "return", None, False))
+    two = method("two", *guard, ("5", "3", 0, None, "break", None, False), ("6", "3", 1, None, "return", None, False))
+    edges, wrong = statements.lower(spark.createDataFrame(loops + errors + one + two, SCHEMA))
+    back = dominators.back_edges(edges.where("fn = 'loops'"), spark.createDataFrame([("loops", "in")], "fn string, entry string"))
     assert {(r["src"], r["dst"]) for r in back.collect()} == {("1#l", "in"), ("7", "6")}
+    assert sorted(map(tuple, wrong.collect())) == [("errors", "1", "break", "no target"), ("errors", "2", "yield", "unsupported"), ("errors", "3", "continue", "no target")]
+    assert [tuple(r) for r in edges.where("fn = 'errors'").select("src", "dst", "op").collect()] == [("2", "3", "unsupported")]
+    closing = edges.where("op = 'expr' AND fn IN ('one', 'two')").groupBy("fn").count()
+    assert {r["fn"]: r["count"] for r in closing.collect()} == {"one": 2, "two": 3}
 
 
-def test_errors_and_empty(spark):
-    tree = rows_of(spark, ("0", None, 0, None, "block", None, None, 1, False), ("1", "0", 0, None, "break", None, None, 1, False), ("2", "0", 1, None, "yield", None, None, 1, False), ("3", "0", 2, None, "continue", None, "x", 1, False))
-    edges, errors = statements.lower(tree)
-    assert sorted(map(tuple, errors.collect())) == [("m", "1", "break", "no target"), ("m", "2", "yield", "unsupported"), ("m", "3", "continue", "no target")]
-    assert [tuple(r) for r in edges.select("src", "dst", "op").collect()] == [("2", "3", "unsupported")]
-    edges, errors = statements.lower(tree.where("false"))
+def test_no_statements(spark):
+    edges, errors = statements.lower(spark.createDataFrame([], SCHEMA))
     assert edges.isEmpty() and errors.isEmpty()
-
-
-@pytest.mark.parametrize("ways", [("return",), ("break", "return")])
-def test_finally_exists_once_for_each_way(spark, ways):
-    body = [(str(10 + i), "3", i, None, w, None, None, 1, False) for i, w in enumerate(ways)]
-    tree = rows_of(spark, ("0", None, 0, None, "block", None, None, 1, False), ("1", "0", 0, None, "while", None, None, 1, False), ("2", "1", 0, "body", "try", None, None, 1, False), ("3", "2", 0, "body", "block", None, None, 1, False), *body, ("4", "2", 1, "finally", "expr", None, None, 1, False))
-    edges, _ = statements.lower(tree)
-    assert edges.where(F.col("op") == "expr").count() == 1 + len(ways)
