@@ -75,7 +75,7 @@ def program_rows(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFram
 
 def programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """``edges(fn, src, dst, op, a, b)`` and ``entries(fn, entry, lo, hi)`` of the events of ``sf_dir``."""
-    scratch = Scratch(spark, "programs")
+    scratch = Scratch(spark, "programs", spread=True)
     q = scratch.save(program_rows(spark, sf_dir, scratch), "placed")
     edge = lambda when, dst, op, a, b: F.when(when, F.struct(dst.cast("long").alias("dst"), op.alias("op"), a.cast("double").alias("a"), b.cast("double").alias("b")))
     t, v, loc, tail, head, text = F.col("t"), F.col("v"), F.col("loc"), F.col("tail"), F.col("head"), F.lit
@@ -276,7 +276,7 @@ found AS (SELECT fn, loc, lo, hi, iterations FROM final UNION ALL SELECT fn, loc
 """)
 def cell_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other program whose first event is a signup calls the user's next program there: states of callers and of callees in the contexts they are asked for in, and no others."""
-    scratch = Scratch(spark, "calling")
+    scratch = Scratch(spark, "calling", spread=True)
     edges, entries = programs(spark, sf_dir)
     q = scratch.save(program_rows(spark, sf_dir, scratch), "placed")
     user, number = F.substring_index("fn", ":", 1), F.substring_index("fn", ":", -1).cast("long")
@@ -346,7 +346,7 @@ def graph_edit_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges, _ = programs(spark, sf_dir)
-    scratch = Scratch(spark, "edit-rows")
+    scratch = Scratch(spark, "edit-rows", spread=True)
     q = scratch.save(program_rows(spark, sf_dir, scratch), "placed")
     click, odd, v, loc = F.col("t") == "click", F.col("loc") % 2 == 1, F.col("v"), F.col("loc")
     kind = F.when(click & ~odd, "add").when(click, "delete").when((F.col("t") == "signup") & (F.col("following") == "click"), "modify").when(F.col("tail").isNotNull(), "header")
@@ -387,7 +387,7 @@ def ranged_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = lambda n: F.floor(F.col("o_totalprice") / n).cast("double")
     last = F.when(F.col("o_orderkey") % 97 != 0, F.col("o_custkey") + F.col("o_orderkey") % 50 - 3)
     writes = read_table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10).alias("address"), F.col("o_custkey").alias("first"), last.alias("last"), price(5000).alias("lo"), price(4000).alias("hi"))
-    held = Scratch(spark, "arrays").save(held, "cells")
+    held = Scratch(spark, "arrays", spread=True).save(held, "cells")
     found = ranges.reached(held.select("address", "idx"), writes, "address", "idx")
     both = held.join(found, ["address", "idx"], "left")
     return both.select("address", "idx", F.least("lo", "w_lo").alias("lo"), F.greatest("hi", "w_hi").alias("hi"), F.col("w_lo").isNotNull().alias("is_reached"))

@@ -59,7 +59,7 @@ UNION ALL SELECT fn, stmt, k, CASE WHEN form = 'after' THEN 2 ELSE 1 END, CASE W
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expressions that the events of ``sf_dir`` spell out; one target in fifty cannot be assigned to."""
-    scratch = Scratch(spark, "expression-trees")
+    scratch = Scratch(spark, "expression-trees", spread=True)
     events = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("t"), F.floor("value").cast("long").alias("v"))
     k = scans.running_offset(events, ["user_id"], ["ts", "event_id"], F.lit(1), "k")
     rows = scratch.save(k.select(F.col("user_id").cast("string").alias("fn"), F.floor(F.col("k") / SIZE).cast("string").alias("stmt"), (F.col("k") % SIZE).alias("i"), "t", "v"), "rows")

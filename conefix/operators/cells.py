@@ -101,7 +101,7 @@ def build(edges: DataFrame, entries: DataFrame) -> CellGraph:
 
     Edges are unique in (fn, src, dst); what no entry reaches is left out. Loops must be entered by their heads.
     """
-    scratch = Scratch(edges.sparkSession, "cell-graph")
+    scratch = Scratch(edges.sparkSession, "cell-graph", spread=True)
     edges = edges.withColumns({"src": F.col("src").cast("long"), "dst": F.col("dst").cast("long")})
     entries = entries.withColumn("entry", F.col("entry").cast("long"))
     locs = scratch.save(dominators.reachable(edges, entries), "reachable")
@@ -208,7 +208,7 @@ def evaluate(g: CellGraph, wanted: DataFrame | None = None, kept: Values | None
     what has no answer is not sent.
     """
     spark = g.edges.sparkSession
-    scratch = Scratch(spark, "values")
+    scratch = Scratch(spark, "values", spread=True)
     edges, entries = g.edges, g.entries
     if wanted is not None:
         node = lambda c: F.struct(F.col("fn"), F.col(c).cast("long").alias("loc"))
@@ -346,7 +346,7 @@ def dirtied(g: CellGraph, values: Values, changed: DataFrame) -> Values:
     loop keeps its iterate 0 unless that is dirty too: later iterates, all instances of later iterations
     and the loop's end go.
     """
-    scratch = Scratch(g.edges.sparkSession, "dirtied")
+    scratch = Scratch(g.edges.sparkSession, "dirtied", spread=True)
     touched = changed.select("fn").distinct()
     cells = g.cells.where("kind = 'state'").join(touched, "fn", "left_semi")
     own = values.cells.join(touched, "fn", "left_semi")
@@ -400,7 +400,7 @@ class CellStore:
 
     def __init__(self, g: CellGraph, buckets: int = 64):
         self.graph, self.buckets = g, buckets
-        self.scratch = Scratch(g.edges.sparkSession, "cell-store")
+        self.scratch = Scratch(g.edges.sparkSession, "cell-store", spread=True)
         self.version = 0
 
     def _bucket(self) -> Column:

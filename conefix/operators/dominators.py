@@ -26,7 +26,7 @@ def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
 
 def removals(edges: DataFrame, entries: DataFrame, locs: DataFrame | None = None) -> DataFrame:
     """``(fn, loc, other)``: reachable pairs where ``other`` does not dominate ``loc``; ``locs`` are the reachable ones, where they are known."""
-    scratch = Scratch(edges.sparkSession, "dominators")
+    scratch = Scratch(edges.sparkSession, "dominators", spread=True)
     if locs is None:
         locs = scratch.save(reachable(edges, entries), "locs")
     edges = scratch.save(edges.select("fn", "src", "dst").distinct().join(locs.withColumnRenamed("loc", "src"), ["fn", "src"], "left_semi"), "edges")
@@ -43,7 +43,7 @@ def removals(edges: DataFrame, entries: DataFrame, locs: DataFrame | None = None
 
 def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """``(fn, loc, dominator)``, each location's own included; unreachable locations have none."""
-    locs = Scratch(edges.sparkSession, "dominators").save(reachable(edges, entries), "locs")
+    locs = Scratch(edges.sparkSession, "dominators", spread=True).save(reachable(edges, entries), "locs")
     pairs = locs.join(locs.withColumnRenamed("loc", "dominator"), "fn")
     return pairs.join(removals(edges, entries, locs).withColumnRenamed("other", "dominator"), ["fn", "loc", "dominator"], "left_anti")
 
@@ -51,7 +51,7 @@ def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
 def back_edges(edges: DataFrame, entries: DataFrame, locs: DataFrame | None = None) -> DataFrame:
     """``(fn, src, dst)`` of reachable edges whose target dominates their source, self loops among them."""
     if locs is None:
-        locs = Scratch(edges.sparkSession, "dominators").save(reachable(edges, entries), "locs")
+        locs = Scratch(edges.sparkSession, "dominators", spread=True).save(reachable(edges, entries), "locs")
     lost = removals(edges, entries, locs).select("fn", F.col("loc").alias("src"), F.col("other").alias("dst"))
     live = edges.select("fn", "src", "dst").distinct().join(locs.withColumnRenamed("loc", "src"), ["fn", "src"], "left_semi")
     return live.join(lost, ["fn", "src", "dst"], "left_anti")

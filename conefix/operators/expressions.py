@@ -98,7 +98,7 @@ def flatten(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Statements with an error have no steps.
     """
-    scratch = Scratch(tree.sparkSession, "expressions")
+    scratch = Scratch(tree.sparkSession, "expressions", spread=True)
     keys = ["fn", "stmt"]
     parts = scratch.save(_operands(scratch.save(ordered(tree, scratch), "ordered")), "operands")
     problem = F.when(~F.col("form").isin(*FORMS), "unsupported").when(F.col("is_target") & ~F.col("form").isin(*TARGETS), "no target")

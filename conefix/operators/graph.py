@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conefix.session import Scratch
+from conefix.session import Scratch, shuffled
 
 
 def reach(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def reach(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None) ->
 
     ``stop(node)``: nodes that are reached but not left.
     """
-    scratch = Scratch(edges.sparkSession, "reach")
+    scratch = Scratch(edges.sparkSession, "reach", spread=True)
     edges = scratch.save(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     if stop is not None:
         edges = edges.join(stop.select(F.col("node").alias("src")).distinct(), "src", "left_anti")
@@ -30,18 +30,13 @@ def reach(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None) ->
     parts = [newest]
     for turn in itertools.count(1):
         step = newest.join(edges, newest["node"] == edges["src"]).select("origin", F.col("dst").alias("node")).distinct()
-        known = parts[0]
-        for part in parts[1:]:
-            known = known.unionByName(part)
+        known = rows_of(iter(parts))
         newest = scratch.save(step.join(known, ["origin", "node"], "left_anti"), f"new-{turn}")
         if newest.isEmpty():
             return known
         parts.append(newest)
         if len(parts) > 16:  # keep the plan short
-            known = parts[0]
-            for part in parts[1:]:
-                known = known.unionByName(part)
-            parts = [scratch.save(known, f"known-{turn}")]
+            parts = [scratch.save(rows_of(iter(parts)), f"known-{turn}")]
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -78,7 +73,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     edges in or out among the rest are components of their own and leave first. No pairs of
     nodes are made.
     """
-    scratch = Scratch(edges.sparkSession, "scc")
+    scratch = Scratch(edges.sparkSession, "scc", spread=True)
     rest = scratch.save(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     nodes = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
     done: list[DataFrame] = []
@@ -173,11 +168,11 @@ def inherited(edges: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def rows_of(frames: Iterator[DataFrame]) -> DataFrame:
-    """Union by name of some frames."""
+    """Union by name of some frames; joins shuffle it, as Spark does not see how its parts add up."""
     first, *rest = frames
     for frame in rest:
         first = first.unionByName(frame)
-    return first
+    return shuffled(first) if rest else first
 
 
 def containing_heads(edges: DataFrame, back: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ COMPARES = ("below", "above")
 
 def between(edges: DataFrame, edits: DataFrame) -> DataFrame:
     """``(edit, fn, src, dst)``: edges on a path from ``at`` that has not passed ``upto``, to ``upto``; all regions in one search."""
-    scratch = Scratch(edges.sparkSession, "regions")
+    scratch = Scratch(edges.sparkSession, "regions", spread=True)
     wanted = edits.where("upto IS NOT NULL").select("edit", "fn", "at", "upto")
     node = lambda c: F.struct(F.col("edit"), F.col(c).cast("long").alias("loc"))
     own = scratch.save(wanted.join(edges.select("fn", "src", "dst"), "fn").select("edit", "fn", "upto", "src", "dst"), "own")
@@ -54,7 +54,7 @@ def apply_edits(edges: DataFrame, edits: DataFrame, exits: DataFrame) -> tuple[D
 
     An edit whose kind is unknown, or whose locations do not exist, is reported without an edge.
     """
-    scratch = Scratch(edges.sparkSession, "edits")
+    scratch = Scratch(edges.sparkSession, "edits", spread=True)
     edits = scratch.save(edits.select("edit", "fn", "kind", F.col("at").cast("long").alias("at"), F.col("upto").cast("long").alias("upto"), "op", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).join(exits.select("fn", F.col("loc").alias("upto"), F.lit(True).alias("last")).distinct(), ["fn", "upto"], "left").withColumn("at_exit", F.coalesce("last", F.lit(False))).drop("last"), "edits")
     region = scratch.save(between(edges, edits.where("kind IN ('modify', 'delete')")), "regions")
     moved = scratch.save(touched(edges, edits, region), "touched")

@@ -11,24 +11,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from conefix.session import Scratch
+
 #: Sizes of blocks, as powers of two.
 LEVELS = 40
 
 
 def blocks(lo: Column, hi: Column, levels: int = LEVELS) -> Column:
     """``array<struct<level, block>>``: the blocks that make up ``[lo, hi]``, both within 0 and 2 ** levels; empty where lo > hi."""
-    state = F.struct(lo.cast("long").alias("a"), (hi + 1).cast("long").alias("b"), F.array().cast("array<struct<level: int, block: bigint>>").alias("out"))
+    a, b = lo.cast("long"), (hi + 1).cast("long")
+    none = F.array().cast("array<struct<level: int, block: bigint>>")
 
-    def step(s: Column, level: Column) -> Column:
-        # Of the half-open range [a, b) in units of this size: an odd end is a block of its own, the rest goes one size up.
-        a, b = s["a"], s["b"]
-        open_ = a < b
-        low, high = open_ & (a % 2 == 1), open_ & (b % 2 == 1)
-        block = lambda when, at: F.when(when, F.array(F.struct(level.cast("int").alias("level"), at.alias("block")))).otherwise(F.array().cast("array<struct<level: int, block: bigint>>"))
-        up = F.when(low, a + 1).otherwise(a), F.when(high, b - 1).otherwise(b)
-        return F.struct(F.floor(up[0] / 2).cast("long").alias("a"), F.floor(up[1] / 2).cast("long").alias("b"), F.concat(s["out"], block(low, a), block(high, b - 1)).alias("out"))
+    def step(level: Column) -> Column:
+        # The half-open range [a, b) in units of this size: an odd end is a block of its own, the rest goes one size up.
+        low, high = F.call_function("shiftright", a + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level), F.call_function("shiftright", b, level)
+        block = lambda when, at: F.when(when, F.array(F.struct(level.cast("int").alias("level"), at.alias("block")))).otherwise(none)
+        return F.concat(block((low < high) & (low % 2 == 1), low), block((low < high) & (high % 2 == 1), high - 1))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), state, step)["out"]
+    # No block is longer than the range; one size more, as logarithms are rounded.
+    sizes = F.sequence(F.lit(0), F.least(F.ceil(F.log2((b - a).cast("double"))).cast("int"), F.lit(levels)))
+    return F.when(a < b, F.flatten(F.transform(sizes, step))).otherwise(none)
 
 
 def reached(cells: DataFrame, writes: DataFrame, key: str, index: str) -> DataFrame:
@@ -36,10 +38,11 @@ def reached(cells: DataFrame, writes: DataFrame, key: str, index: str) -> DataFr
 
     Infinite or missing ends of a range, and ends beyond the cells, are those of the cells.
     """
-    limits = cells.groupBy(key).agg(F.min(index).alias("\0least"), F.max(index).alias("\0most"))
+    scratch = Scratch(cells.sparkSession, "ranges", spread=True)
+    limits = scratch.save(cells.groupBy(key).agg(F.min(index).alias("\0least"), F.max(index).alias("\0most")), "limits")
     clipped = writes.join(limits, key).withColumns({"\0a": F.greatest(F.coalesce(F.col("first"), F.col("\0least")), F.col("\0least")) - F.col("\0least"), "\0b": F.least(F.coalesce(F.col("last"), F.col("\0most")), F.col("\0most")) - F.col("\0least")})
     cut = clipped.where(F.col("\0a") <= F.col("\0b")).select(key, "lo", "hi", F.inline(blocks(F.col("\0a"), F.col("\0b"))))
-    joined = cut.groupBy(key, "level", "block").agg(F.min("lo").alias("w_lo"), F.max("hi").alias("w_hi"))
+    joined = scratch.save(cut.groupBy(key, "level", "block").agg(F.min("lo").alias("w_lo"), F.max("hi").alias("w_hi")), "blocks")
     sizes = [r["level"] for r in joined.select("level").distinct().collect()]  # LEVELS numbers at most
     if not sizes:
         return cells.limit(0).withColumns({"w_lo": F.lit(0.0), "w_hi": F.lit(0.0)})

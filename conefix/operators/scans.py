@@ -19,7 +19,7 @@ def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Co
 
     Groups may have null keys. Rows that are equal in ``by`` and ``order`` are taken in any order.
     """
-    scratch = Scratch(rows.sparkSession, "running")
+    scratch = Scratch(rows.sparkSession, "running", spread=True)
     values = {f"\0{n}": c for n, c in ((sums or {}) | (last or {})).items()}
     direction = (lambda c: F.col(c).desc_nulls_last()) if descending else F.col
     tagged = rows.withColumns(values | {"\0tag": F.monotonically_increasing_id()})

@@ -135,7 +135,7 @@ def _below(above: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def placed(tree: DataFrame) -> DataFrame:
     """Statements, each copy for itself, with ``at``, where they begin, and ``targets``, where control goes by way."""
-    scratch = Scratch(tree.sparkSession, "statements")
+    scratch = Scratch(tree.sparkSession, "statements", spread=True)
     nodes = scratch.save(_nodes(without_resources(tree)), "nodes")
     ways = ways_out(nodes, scratch)
     nodes = scratch.save(nodes.join(ways, ["fn", "node"], "left"), "statements")
@@ -200,7 +200,7 @@ def lower(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A loop has one edge back: where several ways lead to its next turn they meet at a location of their own.
     """
-    scratch = Scratch(tree.sparkSession, "lowered")
+    scratch = Scratch(tree.sparkSession, "lowered", spread=True)
     found = scratch.save(placed(tree), "placed")
     edges = scratch.save(found.select("fn", "node", F.inline(_edges_of())).where("dst IS NOT NULL").select("fn", "src", "dst", "op", "node"), "edges")
     backs = edges.where("op = 'back'").select("fn", F.col("src").alias("latch"), F.col("dst").alias("head"))

@@ -49,7 +49,7 @@ def instances(g: CellGraph, contexts: DataFrame) -> CellGraph:
 def solve(g: CellGraph, exits: DataFrame, demand: DataFrame) -> Solved:
     """``g`` with edges of op call and their ``callee``; ``exits(fn, loc)``; ``demand(fn, lo, hi)`` of programs in entry states."""
     spark = g.edges.sparkSession
-    scratch = Scratch(spark, "summaries")
+    scratch = Scratch(spark, "summaries", spread=True)
     fn = g.edges.schema["fn"].dataType.simpleString()
     links = scratch.save(g.edges.where("op = 'call'").select(F.col("fn").alias("src"), F.col("callee").alias("dst")).distinct(), "links")
     parts = scratch.save(graph.strong_components(links), "components")

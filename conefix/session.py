@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Session settings the engine expects; a cluster may override any of them.
 DEFAULTS = {
@@ -67,16 +68,27 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, which joins shuffle and do not broadcast, nor what is selected, filtered or aggregated from it; a small other side may be."""
+    return df.hint("merge")
+
+
 class Scratch:
     """Intermediate tables of one query, written to the shared folder.
 
     A written table cuts lineage and outlives lost executors. Tables that the
     caller drops are deleted at once, the others when the driver exits.
+
+    Spark broadcasts a side of a join by the size of its compressed files, which may be a hundredth of what the
+    driver would then hold. Tables of a ``spread`` scratch are therefore shuffled in joins, and only small ones broadcast.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    #: Bytes of files up to which a table of a spread scratch is broadcast.
+    SMALL = 1 << 18
+
+    def __init__(self, spark: SparkSession, name: str, spread: bool = False):
         ship(spark)
-        self.spark = spark
+        self.spark, self.spread = spark, spread
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._delete, self.root)
 
@@ -84,7 +96,15 @@ class Scratch:
         """Write ``df`` as Parquet and return a frame that reads it back."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", codec).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        held = self.spark.read.schema(df.schema).parquet(path)
+        if not self.spread:
+            return held
+        return F.broadcast(held) if self.bytes(name) <= self.SMALL else shuffled(held)
+
+    def bytes(self, name: str) -> int:
+        """Of the files of a table."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
     def drop(self, name: str) -> None:
         self._delete(f"{self.root}/{name}")

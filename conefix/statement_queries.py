@@ -95,7 +95,7 @@ turns AS (SELECT b.fn, b.src AS latch, b.dst AS head, count(*) AS n FROM drawn b
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statement trees that the events of ``sf_dir`` spell out."""
-    scratch = Scratch(spark, "trees")
+    scratch = Scratch(spark, "trees", spread=True)
     events = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("t"), F.floor("value").cast("long").alias("v"))
     k = scans.running_offset(events, ["user_id"], ["ts", "event_id"], F.lit(1), "k")
     rows = k.select(F.concat_ws(":", "user_id", F.floor(F.col("k") / SIZE).cast("string")).alias("fn"), (F.col("k") % SIZE).alias("i"), "t", "v")
