@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conefix.operators import graph
-from conefix.session import Scratch
+from conefix.session import Scratch, shuffled
 
 SEQUENCES = ("block", "synchronized")
 LOOPS = ("while", "do", "for", "foreach")
@@ -57,7 +57,7 @@ def without_resources(tree: DataFrame) -> DataFrame:
     nested = held.select("fn", F.inline(made))
     rest = tree.where("role IS DISTINCT FROM 'resource'").join(last, ["fn", "parent"], "left")
     inner = F.when((F.col("role") == "body") & F.col("most").isNotNull(), F.concat("parent", F.lit("~t"), F.col("most").cast("string")))
-    return rest.withColumn("parent", F.coalesce(inner, "parent")).select(*COLUMNS).unionByName(nested.select(*COLUMNS))
+    return shuffled(rest.withColumn("parent", F.coalesce(inner, "parent")).select(*COLUMNS).unionByName(nested.select(*COLUMNS)))
 
 
 def _nodes(tree: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def _way(kind: Column, target: Column) -> Column:
 def ways_out(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """``(fn, node, ways)`` of each try with a finally block: how control leaves what it guards, besides at its end."""
     guarded = nodes.where("final IS NOT NULL").select("fn").distinct()
-    own = nodes.join(guarded, "fn", "left_semi")
+    own = shuffled(nodes.join(guarded, "fn", "left_semi"))
     jump = F.when(F.col("kind").isin("break", "continue"), _way(F.col("kind"), F.col("target"))).when(F.col("kind").isin("return", "throw"), F.col("kind"))
     starts = F.array_compact(F.array(jump, F.when(F.col("calls") | (F.col("kind") == "foreach"), F.lit("throw"))))
     parts = [scratch.save(own.select("fn", "node", F.explode(starts).alias("way")).distinct(), "ways-0")]
