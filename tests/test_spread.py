@@ -42,3 +42,10 @@ def test_small_tables_are_broadcast_and_large_ones_are_not(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["ranged_writes", "expression_errors", "expressions_flattened", "statement_errors"])
 def test_large_tables_are_not_broadcast(spark, broadcasts, name):
     assert broadcasts(__spark_entry__.queries()[name](spark, SF)) == []
+
+
+def test_address_sets_are_whole_and_one_to_a_brand(spark):
+    rows = {r["p_brand"]: r["addresses"].split(",") for r in __spark_entry__.queries()["addr_union"](spark, SF).collect()}
+    part, lines = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("part", "lineitem"))
+    pairs = {tuple(r) for r in lines.join(part, lines["l_partkey"] == part["p_partkey"]).select("p_brand", "l_suppkey").collect()}
+    assert rows == {b: [str(a) for a in sorted(a for c, a in pairs if c == b)] for b in {b for b, _ in pairs}}
