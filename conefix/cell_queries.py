@@ -75,6 +75,11 @@ def program_rows(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFram
 
 def programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """``edges(fn, src, dst, op, a, b)`` and ``entries(fn, entry, lo, hi)`` of the events of ``sf_dir``."""
+    return placed_programs(spark, sf_dir)[1:]
+
+
+def placed_programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of the programs, and what ``programs`` makes of them."""
     scratch = Scratch(spark, "programs", spread=True)
     q = scratch.save(program_rows(spark, sf_dir, scratch), "placed")
     edge = lambda when, dst, op, a, b: F.when(when, F.struct(dst.cast("long").alias("dst"), op.alias("op"), a.cast("double").alias("a"), b.cast("double").alias("b")))
@@ -89,7 +94,7 @@ def programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     edges = q.select("fn", loc.alias("src"), F.explode(F.filter(out, lambda e: e.isNotNull())).alias("e")).select("fn", F.col("src").cast("long").alias("src"), "e.dst", "e.op", "e.a", "e.b")
     entries = q.where("loc = 0").select("fn", F.col("loc").cast("long").alias("entry"), F.lit(0.0).alias("lo"), v.alias("hi"))
-    return scratch.save(edges, "edges"), scratch.save(entries, "entries")
+    return q, scratch.save(edges, "edges"), scratch.save(entries, "entries")
 
 
 # --- loops ---------------------------------------------------------------------
@@ -242,9 +247,9 @@ SELECT fn, CAST(loc AS INTEGER) AS loc, CASE WHEN isfinite(lo) THEN lo END AS lo
 """)
 def cell_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state at each program's first purchase, from the cells alone that it depends on."""
-    edges, entries = programs(spark, sf_dir)
+    q, edges, entries = placed_programs(spark, sf_dir)
     g = cells.build(edges, entries)
-    bought = edges.where("op = 'add' AND (a < 0 OR dst < src)").groupBy("fn").agg(F.min("src").alias("loc"))
+    bought = q.where("t = 'purchase'").groupBy("fn").agg(F.min("loc").cast("long").alias("loc"))
     found = cells.evaluate(g, wanted=bought).at_locations(g.locs).join(bought, ["fn", "loc"])
     return found.select("fn", F.col("loc").cast("int").alias("loc"), finite(F.col("lo")).alias("lo"), finite(F.col("hi")).alias("hi"))
 

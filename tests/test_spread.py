@@ -49,3 +49,14 @@ def test_address_sets_are_whole_and_one_to_a_brand(spark):
     part, lines = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("part", "lineitem"))
     pairs = {tuple(r) for r in lines.join(part, lines["l_partkey"] == part["p_partkey"]).select("p_brand", "l_suppkey").collect()}
     assert rows == {b: [str(a) for a in sorted(a for c, a in pairs if c == b)] for b in {b for b, _ in pairs}}
+
+
+def test_demand_finds_purchases_of_nothing(spark, tmp_path):
+    """A purchase of value 0 adds nothing, and is a purchase."""
+    from datetime import datetime, timedelta
+
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i), 1, t, v, "{}") for i, (t, v) in enumerate([("click", 3.0), ("purchase", 0.0), ("click", -2.0), ("purchase", 1.0)])]
+    rows += [(9, datetime(2024, 1, 1), 2, "click", -2.0, "{}"), (10, datetime(2024, 1, 2), 2, "purchase", 5.0, "{}")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = __spark_entry__.queries()["cell_demand"](spark, str(tmp_path)).collect()
+    assert sorted((r["fn"], r["loc"]) for r in got) == [("1:0", 1), ("2:0", 1)]
