@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from conefix.functions.interval import NEG, POS, Itv
 from conefix.operators import dominators, graph
-from conefix.session import Scratch
+from conefix.session import Scratch, shuffled
 
 _INTS, _LOCS = "array<int>", "array<bigint>"
 
@@ -52,7 +52,7 @@ class CellGraph:
         joined = self.edges.where("is_join AND NOT is_back")
         pre = joined.select("fn", _pre().alias("cell"), F.lit("state").alias("kind"), F.col("dst").alias("loc"), F.lit("pre").alias("role"), F.col("i").alias("slot"))
         stmts = self.edges.select("fn", _stmt().alias("cell"), F.lit("stmt").alias("kind"), F.col("dst").alias("loc"), F.lit("stmt").alias("role"), F.when(F.col("is_join") & ~F.col("is_back"), F.col("i")).otherwise(-1).alias("slot"))
-        return own.unionByName(pre).unionByName(stmts)
+        return shuffled(own.unionByName(pre).unionByName(stmts))
 
     @property
     def comps(self) -> DataFrame:
@@ -68,7 +68,7 @@ class CellGraph:
         zero, one, fix = _name("loc", own), _name("loc", own, last=1), _name("loc", "nest")
         loops = [pair(zero, fix, "fix"), pair(one, fix, "fix"), pair(zero, one, "widen"), pair(F.concat(zero, F.lit("^"), one), one, "widen")]
         rings = self.locs.where("is_head").select("fn", F.explode(F.array(*loops)).alias("c"), F.lit(None).cast("long").alias("after"))
-        return moves.unionByName(joins).unionByName(rings).select("fn", "c.src", "c.dst", "c.kind", "after").distinct()
+        return shuffled(moves.unionByName(joins).unionByName(rings)).select("fn", "c.src", "c.dst", "c.kind", "after").distinct()
 
 
 def _name(loc: str, nest: Column | str, last: int = 0) -> Column:
@@ -113,7 +113,7 @@ def build(edges: DataFrame, entries: DataFrame) -> CellGraph:
     wide = sizes.groupBy("fn", "head").agg(F.count("*").alias("n"))
     nests = sizes.join(wide, ["fn", "head"]).groupBy("fn", "loc").agg(F.sort_array(F.collect_list(F.struct(-F.col("n"), F.col("head").cast("long").alias("head")))).alias("l"))
     heads = back.select("fn", F.col("dst").alias("loc")).distinct().withColumn("is_head", F.lit(True))
-    forward = edges.join(back, ["fn", "src", "dst"], "left_anti")
+    forward = shuffled(edges.join(back, ["fn", "src", "dst"], "left_anti"))
     n_in = forward.groupBy("fn", F.col("dst").alias("loc")).agg(F.count("*").alias("n_in"))
     # Entry states are an input of their own.
     n_in = n_in.join(entries.select("fn", F.col("entry").alias("loc"), F.lit(1).alias("one")), ["fn", "loc"], "full_outer").select("fn", "loc", (F.coalesce("n_in", F.lit(0)) + F.coalesce("one", F.lit(0))).cast("int").alias("n_in"))
@@ -425,7 +425,7 @@ class CellStore:
         found = {n: spark.read.schema(s).parquet(self.path(n)) for n, s in schemas.items()}
         if buckets is not None:
             found = {n: df.where(F.col("bucket").isin(buckets)) for n, df in found.items()}
-        return Values(found["cells"].drop("bucket", "version"), found["ended"].drop("bucket", "version"), 0)
+        return Values(shuffled(found["cells"].drop("bucket", "version")), shuffled(found["ended"].drop("bucket", "version")), 0)
 
     def fill(self) -> None:
         self.write(evaluate(self.graph))
@@ -433,17 +433,19 @@ class CellStore:
     def edit(self, changes: DataFrame) -> list[int]:
         """New statements ``changes(fn, src, dst, op, a, b)`` of edges; returns the buckets that were rewritten, numbers below ``buckets``."""
         g, keys = self.graph, ["fn", "src", "dst"]
+        self.version += 1
+        changes = self.scratch.save(changes.select(*keys, "op", "a", "b"), f"changes-{self.version}")
         new = changes.select(*keys, F.struct("op", "a", "b").alias("new"))
         touched = sorted(r[0] for r in changes.select(self._bucket()).distinct().collect())
         if not touched:
             return []
         edited = g.edges.join(new, keys, "left").withColumns({c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) for c in ("op", "a", "b")}).drop("new")
-        self.version += 1
         self.graph = CellGraph(self.scratch.save(edited, f"edges-{self.version}"), g.locs, g.entries)
         before = self.read(touched)
         clean = dirtied(g, before, changes)
-        fns = changes.select("fn").distinct()
-        part = CellGraph(self.graph.edges.join(fns, "fn", "left_semi"), g.locs.join(fns, "fn", "left_semi"), g.entries.join(fns, "fn", "left_semi"))
+        fns = self.scratch.save(changes.select("fn").distinct(), f"programs-{self.version}")
+        of = lambda df: shuffled(df.join(fns, "fn", "left_semi"))
+        part = CellGraph(of(self.graph.edges), of(g.locs), of(g.entries))
         fresh = evaluate(part, kept=clean)
         rest = Values(before.cells.join(fns, "fn", "left_anti"), before.ended.join(fns, "fn", "left_anti"), 0)
         merged = Values(self.scratch.save(rest.cells.unionByName(fresh.cells.select(rest.cells.columns)), f"cells-{self.version}"), self.scratch.save(rest.ended.unionByName(fresh.ended), f"ended-{self.version}"), 0)
