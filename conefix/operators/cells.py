@@ -116,7 +116,7 @@ def build(edges: DataFrame, entries: DataFrame) -> CellGraph:
     forward = shuffled(edges.join(back, ["fn", "src", "dst"], "left_anti"))
     n_in = forward.groupBy("fn", F.col("dst").alias("loc")).agg(F.count("*").alias("n_in"))
     # Entry states are an input of their own.
-    n_in = n_in.join(entries.select("fn", F.col("entry").alias("loc"), F.lit(1).alias("one")), ["fn", "loc"], "full_outer").select("fn", "loc", (F.coalesce("n_in", F.lit(0)) + F.coalesce("one", F.lit(0))).cast("int").alias("n_in"))
+    n_in = shuffled(n_in.join(entries.select("fn", F.col("entry").alias("loc"), F.lit(1).alias("one")), ["fn", "loc"], "full_outer")).select("fn", "loc", (F.coalesce("n_in", F.lit(0)) + F.coalesce("one", F.lit(0))).cast("int").alias("n_in"))
     none = F.array().cast(_LOCS)
     placed = locs.join(nests, ["fn", "loc"], "left").join(heads, ["fn", "loc"], "left").join(n_in, ["fn", "loc"], "left")
     placed = scratch.save(placed.select("fn", F.col("loc").cast("long").alias("loc"), F.coalesce(F.col("l.head"), none).alias("nest"), F.coalesce("is_head", F.lit(False)).alias("is_head"), F.coalesce("n_in", F.lit(0)).alias("n_in")), "locs")
@@ -137,7 +137,7 @@ def transfer_inputs(cells: DataFrame, comps: DataFrame) -> DataFrame:
 
     A cell that has not exactly one of either is malformed: it is a row with its ``error`` and without inputs.
     """
-    kinds = cells.select("fn", F.col("cell").alias("src"), F.col("kind").alias("of"))
+    kinds = shuffled(cells.select("fn", F.col("cell").alias("src"), F.col("kind").alias("of")))
     inputs = comps.where("kind = 'transfer'").join(kinds, ["fn", "src"], "left")
     side = lambda k: F.when(F.col("of") == k, F.col("src"))
     met = inputs.groupBy("fn", F.col("dst").alias("cell")).agg(F.count_if(F.col("of") == "stmt").alias("stmts"), F.count_if(F.col("of") == "state").alias("states"), F.count("*").alias("n"), F.min(side("stmt")).alias("stmt"), F.min(side("state")).alias("state"))

@@ -39,7 +39,7 @@ def test_small_tables_are_broadcast_and_large_ones_are_not(spark, monkeypatch):
     assert "SortMergeJoin" in plan(rows.join(held.where("k = 1").groupBy("id").count(), "id"))
 
 
-@pytest.mark.parametrize("name", ["ranged_writes", "expression_errors", "expressions_flattened", "statement_errors"])
+@pytest.mark.parametrize("name", ["ranged_writes", "expression_errors", "expressions_flattened", "statement_errors", "transfer_inputs"])
 def test_large_tables_are_not_broadcast(spark, broadcasts, name):
     assert broadcasts(__spark_entry__.queries()[name](spark, SF)) == []
 
