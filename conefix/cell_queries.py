@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from conefix.operators import cells, dominators, graph_edits, interning, paths, ranges, scans, summaries
 from conefix.queries import _STEPS, finite, query, steps
-from conefix.session import Scratch, read_table
+from conefix.session import Scratch, read_table, shuffled
 from conefix.streaming import registry
 
 #: Events of a program.
@@ -69,7 +69,8 @@ def program_rows(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFram
     inner = matched(marks)
     rest = marks.join(inner.select("fn", F.explode(F.array("j", "e")).alias("loc")), ["fn", "loc"], "left_anti")
     pairs = scratch.save(inner.unionByName(matched(rest)), "pairs")
-    around = rows.where("t = 'error'").select("fn", "loc").join(pairs, "fn").where("j < loc AND loc < e").groupBy("fn", "loc").agg(F.min("e").alias("around"))
+    around = rows.where("t = 'error'").select("fn", "loc").join(pairs, "fn").where("j < loc AND loc < e")
+    around = shuffled(around.groupBy("fn", "loc").agg(F.min("e").alias("around")))
     return rows.join(pairs.select("fn", F.col("j").alias("loc"), F.col("e").alias("tail")), ["fn", "loc"], "left").join(pairs.select("fn", F.col("e").alias("loc"), F.col("j").alias("head")), ["fn", "loc"], "left").join(around, ["fn", "loc"], "left")
 
 
@@ -260,10 +261,10 @@ _CHANGES = "SELECT fn, loc AS src, loc + 1 AS dst, -3 * v AS a, 2 * v AS b FROM
 @query(f"WITH RECURSIVE {_machine(_CHANGES)} {_RESULT}")
 def cell_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New statements where the sixth event of a program is a click, applied to kept values: only cells that they reach are computed anew."""
-    edges, entries = programs(spark, sf_dir)
+    q, edges, entries = placed_programs(spark, sf_dir)
     store = cells.CellStore(cells.build(edges, entries))
     store.fill()
-    clicks = read_clicks(spark, sf_dir)
+    clicks = q.where("loc = 5 AND t = 'click'").select("fn", "v")
     changed = edges.where("src = 5 AND dst = 6").join(clicks, "fn").select("fn", "src", "dst", F.lit("add").alias("op"), (-3 * F.col("v")).alias("a"), (2 * F.col("v")).alias("b"))
     store.edit(changed)
     return _shown(store.read(), store.graph)
@@ -282,8 +283,7 @@ found AS (SELECT fn, loc, lo, hi, iterations FROM final UNION ALL SELECT fn, loc
 def cell_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other program whose first event is a signup calls the user's next program there: states of callers and of callees in the contexts they are asked for in, and no others."""
     scratch = Scratch(spark, "calling", spread=True)
-    edges, entries = programs(spark, sf_dir)
-    q = scratch.save(program_rows(spark, sf_dir, scratch), "placed")
+    q, edges, entries = placed_programs(spark, sf_dir)
     user, number = F.substring_index("fn", ":", 1), F.substring_index("fn", ":", -1).cast("long")
     callers = scratch.save(q.where("loc = 0 AND t = 'signup'").where(number % 2 == 0).select("fn", F.concat_ws(":", user, (number + 1).cast("string")).alias("callee")), "callers")
     joined = edges.join(callers.withColumns({"src": F.lit(0).cast("long"), "dst": F.lit(1).cast("long")}), ["fn", "src", "dst"], "left")
@@ -350,9 +350,7 @@ def graph_edit_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges, _ = programs(spark, sf_dir)
-    scratch = Scratch(spark, "edit-rows", spread=True)
-    q = scratch.save(program_rows(spark, sf_dir, scratch), "placed")
+    q, edges, _ = placed_programs(spark, sf_dir)
     click, odd, v, loc = F.col("t") == "click", F.col("loc") % 2 == 1, F.col("v"), F.col("loc")
     kind = F.when(click & ~odd, "add").when(click, "delete").when((F.col("t") == "signup") & (F.col("following") == "click"), "modify").when(F.col("tail").isNotNull(), "header")
     upto = F.when(F.col("kind") == "delete", loc + 1).when(F.col("kind") == "modify", loc + 2)
