@@ -296,13 +296,6 @@ def cell_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.select(F.col("program").alias("fn"), F.col("loc").cast("int").alias("loc"), finite(F.col("lo")).alias("lo"), finite(F.col("hi")).alias("hi"), (F.col("lo") > F.col("hi")).alias("is_bottom"), "iterations")
 
 
-def read_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(fn, v)`` of programs whose sixth event is a click."""
-    events = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("t"), F.col("value").alias("v"))
-    k = scans.running_offset(events, ["user_id"], ["ts", "event_id"], F.lit(1), "k")
-    return k.where(f"k % {SIZE} = 5 AND t = 'click'").select(F.concat_ws(":", "user_id", F.floor(F.col("k") / SIZE).cast("string")).alias("fn"), "v")
-
-
 @query(f"WITH {_GRAPH} SELECT fn, target AS cell, stmt, from_cell AS state, NULL::VARCHAR AS error FROM targets")
 def transfer_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statement and the state that each transfer of the events' programs reads; malformed cells would have an error."""
