@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from conefix.operators import graph
-from conefix.session import Scratch
+from conefix.session import Scratch, shuffled
 
 VALUES = ("binary", "unary", "cast", "instanceof", "call", "new", "field", "cell", "array", "items")
 CHANGES = ("assign", "before", "after")
@@ -53,7 +53,7 @@ def _operands(parts: DataFrame) -> DataFrame:
     keys = ["fn", "stmt"]
     changing = parts.where(F.col("form").isin(*CHANGES)).select(*keys, F.explode(F.concat("above", F.array("node"))).alias("node"))
     # The last child of each part within which something changes.
-    last = parts.join(changing.distinct(), [*keys, "node"], "left_semi").where("parent IS NOT NULL").groupBy(*keys, "parent").agg(F.max("ord").alias("changed"))
+    last = shuffled(parts.join(changing.distinct(), [*keys, "node"], "left_semi").where("parent IS NOT NULL").groupBy(*keys, "parent").agg(F.max("ord").alias("changed")))
     up = parts.select(*keys, F.col("node").alias("parent"), F.col("form").alias("around"), F.col("value").alias("with"), F.col("ord").alias("up_ord"), F.col("parent").alias("beyond"))
     out = parts.join(up, [*keys, "parent"], "left").join(last, [*keys, "parent"], "left")
     out = out.join(last.withColumnsRenamed({"parent": "beyond", "changed": "changed_beyond"}), [*keys, "beyond"], "left")
@@ -103,7 +103,7 @@ def flatten(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = scratch.save(_operands(scratch.save(ordered(tree, scratch), "ordered")), "operands")
     problem = F.when(~F.col("form").isin(*FORMS), "unsupported").when(F.col("is_target") & ~F.col("form").isin(*TARGETS), "no target")
     errors = scratch.save(parts.select(*keys, "node", "form", problem.alias("problem")).where("problem IS NOT NULL"), "errors")
-    sound = parts.join(errors.select(*keys).distinct(), keys, "left_anti")
+    sound = shuffled(parts.join(errors.select(*keys).distinct(), keys, "left_anti"))
     args = sound.where("parent IS NOT NULL").groupBy(*keys, F.col("parent").alias("node")).agg(F.sort_array(F.collect_list(F.struct("ord", "operand")))["operand"].alias("args"))
     sound = scratch.save(sound.join(args, [*keys, "node"], "left").withColumn("args", F.coalesce("args", F.array().cast("array<string>"))), "sound")
     targets = sound.where("is_target").select(*keys, F.col("parent").alias("node"), F.col("form").alias("t_form"), F.col("value").alias("t_value"), F.col("args").alias("t_args"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
+from conefix.operators import expressions
 from conefix.session import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +40,15 @@ def test_small_tables_are_broadcast_and_large_ones_are_not(spark, monkeypatch):
     assert "SortMergeJoin" in plan(rows.join(held.where("k = 1").groupBy("id").count(), "id"))
 
 
+def test_parts_of_expressions_are_not_broadcast(spark, broadcasts, monkeypatch):
+    """Counts of changes and lists of arguments come from joins, which pass no hint on: they have their own."""
+    monkeypatch.setattr(Scratch, "FEW", -1, raising=False)
+    tree = "VALUES ('f', '0', 'a', NULL, 0, 'assign', '+'), ('f', '0', 'x', 'a', 0, 'name', 'x'), ('f', '0', 'b', 'a', 1, 'literal', '1')"
+    steps, errors = expressions.flatten(spark.sql(f"SELECT * FROM {tree} AS t(fn, stmt, node, parent, ord, form, value)"))
+    assert broadcasts(steps) == [] and broadcasts(errors) == []
+    assert [tuple(r) for r in steps.orderBy("k", "part").select("target", "form", "args").collect()] == [("$3", "binary", ["x", "1"]), ("x", "copy", ["$3"])]
+
+
 @pytest.mark.parametrize("name", ["ranged_writes", "expression_errors", "expressions_flattened", "statement_errors", "transfer_inputs"])
 def test_large_tables_are_not_broadcast(spark, broadcasts, name):
     assert broadcasts(__spark_entry__.queries()[name](spark, SF)) == []
