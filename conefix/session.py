@@ -80,11 +80,13 @@ class Scratch:
     caller drops are deleted at once, the others when the driver exits.
 
     Spark broadcasts a side of a join by the size of its compressed files, which may be a hundredth of what the
-    driver would then hold. Tables of a ``spread`` scratch are therefore shuffled in joins, and only small ones broadcast.
+    driver would then hold. Tables of a ``spread`` scratch are therefore shuffled in joins, and only small ones of few rows broadcast.
     """
 
     #: Bytes of files up to which a table of a spread scratch is broadcast.
     SMALL = 1 << 18
+    #: Rows up to which it is: rows that are alike take next to no bytes in files, but in the driver all of theirs.
+    FEW = 10_000
 
     def __init__(self, spark: SparkSession, name: str, spread: bool = False):
         ship(spark)
@@ -99,7 +101,7 @@ class Scratch:
         held = self.spark.read.schema(df.schema).parquet(path)
         if not self.spread:
             return held
-        return F.broadcast(held) if self.bytes(name) <= self.SMALL else shuffled(held)
+        return F.broadcast(held) if self.bytes(name) <= self.SMALL and held.count() <= self.FEW else shuffled(held)
 
     def bytes(self, name: str) -> int:
         """Of the files of a table."""

@@ -40,6 +40,15 @@ def test_small_tables_are_broadcast_and_large_ones_are_not(spark, monkeypatch):
     assert "SortMergeJoin" in plan(rows.join(held.where("k = 1").groupBy("id").count(), "id"))
 
 
+def test_many_alike_rows_are_not_broadcast(spark, monkeypatch):
+    """Next to no bytes in files are not few rows in the driver."""
+    monkeypatch.setattr(Scratch, "FEW", 100, raising=False)
+    scratch, rows = Scratch(spark, "alike", spread=True), spark.range(1000).selectExpr("id", "'in' AS place")
+    plan = lambda held: rows.join(held.where("id > 5").select("id"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(scratch.save(rows, "many"))
+    assert "BroadcastHashJoin" in plan(scratch.save(rows.limit(100), "few"))
+
+
 def test_parts_of_expressions_are_not_broadcast(spark, broadcasts, monkeypatch):
     """Counts of changes and lists of arguments come from joins, which pass no hint on: they have their own."""
     monkeypatch.setattr(Scratch, "FEW", -1, raising=False)
