@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from conefix.functions.interval import NEG, POS
 from conefix.operators import graph
 from conefix.operators.cells import _INTS, CellGraph, Values, _ended_schema, evaluate
-from conefix.session import Scratch
+from conefix.session import Scratch, shuffled
 
 
 @dataclass
@@ -41,9 +41,9 @@ def _context(fn: str, lo: str, hi: str) -> Column:
 def instances(g: CellGraph, contexts: DataFrame) -> CellGraph:
     """The cell graphs of contexts: those of their programs, named by the context."""
     named = contexts.select("ctx", "fn")
-    of = lambda df: df.join(named, "fn").withColumn("fn", F.col("ctx")).drop("ctx")
+    of = lambda df: shuffled(df.join(named, "fn").withColumn("fn", F.col("ctx")).drop("ctx"))
     entries = contexts.join(g.entries.select("fn", "entry"), "fn").select(F.col("ctx").alias("fn"), "entry", "lo", "hi")
-    return CellGraph(of(g.edges), of(g.locs), entries)
+    return CellGraph(of(g.edges), of(g.locs), shuffled(entries))
 
 
 def solve(g: CellGraph, exits: DataFrame, demand: DataFrame) -> Solved:
@@ -65,7 +65,7 @@ def solve(g: CellGraph, exits: DataFrame, demand: DataFrame) -> Solved:
     answers = spark.createDataFrame([], f"callee {fn}, in_lo double, in_hi double, lo double, hi double")
     for turn in itertools.count(1):
         names = active.select(F.col("ctx").alias("fn"))
-        old = Values(cells.join(names, "fn", "left_semi"), ended.join(names, "fn", "left_semi"), 0)
+        old = Values(shuffled(cells.join(names, "fn", "left_semi")), shuffled(ended.join(names, "fn", "left_semi")), 0)
         got = evaluate(instances(g, active), kept=old, answers=answers)
         cells = scratch.save(cells.join(names, "fn", "left_anti").unionByName(got.cells.select(cells.columns)), f"cells-{turn}")
         ended = scratch.save(ended.join(names, "fn", "left_anti").unionByName(got.ended.select(ended.columns)), f"ended-{turn}")

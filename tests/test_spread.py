@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
-from conefix.operators import expressions
+from conefix.operators import cells, expressions, summaries
 from conefix.session import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +58,16 @@ def test_parts_of_expressions_are_not_broadcast(spark, broadcasts, monkeypatch):
     assert [tuple(r) for r in steps.orderBy("k", "part").select("target", "form", "args").collect()] == [("$3", "binary", ["x", "1"]), ("x", "copy", ["$3"])]
 
 
+def test_contexts_are_not_broadcast(spark, broadcasts):
+    """What contexts instantiate comes from joins: edges, locations, entries."""
+    of = lambda names, values: Scratch(spark, "given", spread=True).save(spark.sql(f"SELECT * FROM VALUES {values} AS t({names})"), "t")
+    g = cells.CellGraph(of("fn, src, dst", "('f', 0L, 1L)"), of("fn, loc", "('f', 0L)"), of("fn, entry", "('f', 0L)"))
+    made = summaries.instances(g, of("ctx, fn, lo, hi", "('f#0', 'f', 0D, 1D)"))
+    for table in (made.edges, made.locs, made.entries):
+        assert broadcasts(spark.range(9).selectExpr("CAST(id AS STRING) AS fn").join(table, "fn")) == []
+    assert [tuple(r) for r in made.entries.collect()] == [("f#0", 0, 0.0, 1.0)]
+
+
 @pytest.mark.parametrize("name", ["ranged_writes", "expression_errors", "expressions_flattened", "statement_errors", "transfer_inputs"])
 def test_large_tables_are_not_broadcast(spark, broadcasts, name):
     assert broadcasts(__spark_entry__.queries()[name](spark, SF)) == []
