@@ -17,6 +17,7 @@ States are intervals; the empty one is ``(inf, -inf)``.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -96,14 +97,41 @@ def _stmt() -> Column:
     return F.when(F.col("is_join") & ~F.col("is_back"), F.concat(F.col("i").cast("string"), F.lit("*"), edge)).otherwise(edge)
 
 
+#: Edges up to which a program's graph is named by its edges, so that programs of one shape share what is found out about it.
+SHAPED = 64
+
+
 def build(edges: DataFrame, entries: DataFrame) -> CellGraph:
     """``edges(fn, src, dst, op, a, b)`` and ``entries(fn, entry, lo, hi)`` -> their cell graph.
 
     Edges are unique in (fn, src, dst); what no entry reaches is left out. Loops must be entered by their heads.
+    Loops, joins and ordinals follow from (src, dst) and entries alone: they are found once for each shape. A program of more than
+    ``SHAPED`` edges is a shape of its own, and none of its rows are collected.
     """
     scratch = Scratch(edges.sparkSession, "cell-graph", spread=True)
     edges = edges.withColumns({"src": F.col("src").cast("long"), "dst": F.col("dst").cast("long")})
     entries = entries.withColumn("entry", F.col("entry").cast("long"))
+    big = scratch.save(edges.groupBy("fn").agg(F.count("*").alias("n")).where(F.col("n") > SHAPED).select("fn", F.lit(True).alias("big")), "big")
+    arcs = edges.join(big, "fn", "left_anti").groupBy("fn").agg(F.sort_array(F.collect_set(F.struct("src", "dst"))).alias("arcs"))
+    starts = entries.groupBy("fn").agg(F.sort_array(F.collect_set("entry")).alias("starts"))
+    text = F.concat(F.array_join(F.col("starts").cast("array<string>"), ","), F.lit("|"), F.array_join(F.transform(F.coalesce("arcs", F.array().cast("array<struct<src:bigint,dst:bigint>>")), lambda e: F.concat(e["src"].cast("string"), F.lit(">"), e["dst"].cast("string"))), ","))
+    named = starts.join(arcs, "fn", "left").join(big, "fn", "left")
+    named = scratch.save(named.select("fn", F.when(F.col("big"), F.concat(F.lit("="), F.col("fn").cast("string"))).otherwise(text).alias("shape"), "arcs", "starts"), "named")
+    shapes = scratch.save(named.groupBy("shape").agg(F.first("arcs").alias("arcs"), F.first("starts").alias("starts")), "shapes")
+    large = edges.join(big, "fn", "left_semi").select(F.concat(F.lit("="), F.col("fn").cast("string")).alias("fn"), "src", "dst")
+    drawn = scratch.save(shapes.select(F.col("shape").alias("fn"), F.inline("arcs")).unionByName(large), "drawn")
+    found, locs = _placed(drawn, shapes.select(F.col("shape").alias("fn"), F.explode("starts").alias("entry")), scratch)
+    names = named.select("fn", "shape")
+    own = named.where("shape NOT LIKE '=%'").select("fn", "shape", F.explode(F.array_distinct(F.concat("starts", F.flatten(F.transform(F.coalesce("arcs", F.array().cast("array<struct<src:bigint,dst:bigint>>")), lambda e: F.array(e["src"], e["dst"])))))).alias("loc"))
+    other = edges.join(big, "fn", "left_semi").select("fn", F.explode(F.array("src", "dst")).alias("loc")).unionByName(entries.join(big, "fn", "left_semi").select("fn", F.col("entry").alias("loc"))).distinct()
+    nodes = shuffled(own.unionByName(other.select("fn", F.concat(F.lit("="), F.col("fn").cast("string")).alias("shape"), "loc")))
+    placed = scratch.save(nodes.join(locs.withColumnRenamed("fn", "shape"), ["shape", "loc"]).select("fn", *(c for c in locs.columns if c != "fn")), "placed-locs")
+    rows = shuffled(edges.join(names, "fn")).join(found.withColumnRenamed("fn", "shape"), ["shape", "src", "dst"]).drop("shape")
+    return CellGraph(scratch.save(rows, "placed-edges"), placed, entries)
+
+
+def _placed(edges: DataFrame, entries: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Where ``edges(fn, src, dst)`` and locations that ``entries(fn, entry)`` reach lie in loops, and how many edges lead to them."""
     locs = scratch.save(dominators.reachable(edges, entries), "reachable")
     edges = scratch.save(edges.join(locs.withColumnRenamed("loc", "src"), ["fn", "src"], "left_semi"), "edges")
     back = scratch.save(dominators.back_edges(edges, entries, locs), "back")
@@ -129,7 +157,7 @@ def build(edges: DataFrame, entries: DataFrame) -> CellGraph:
     own = F.concat("src_nest", F.when(from_iter, F.array("src")).otherwise(none))
     stays = F.size("dst_nest") + F.col("is_back").cast("int")
     rows = rows.withColumns({"from_iter": from_iter, "is_join": F.col("dst_in") > 1, "stays": stays, "left": F.when(F.size(own) > stays, F.slice(own, stays + 1, F.size(own) - stays)).otherwise(none)})
-    return CellGraph(scratch.save(rows.drop("src_head"), "placed-edges"), placed, entries)
+    return scratch.save(rows.drop("src_head"), "shaped-edges"), placed
 
 
 def transfer_inputs(cells: DataFrame, comps: DataFrame) -> DataFrame:
@@ -229,21 +257,34 @@ def evaluate(g: CellGraph, wanted: DataFrame | None = None, kept: Values | None
         ended = spark.createDataFrame([], _ended_schema(g))
     else:
         first, ended = _resumed(flow, start, kept, answers), kept.ended
-    state = scratch.save(first, "round-0")
-    parts, ends = [state.where("tag = 'value'")], [ended]
+    state, parts, ends, known, turn = scratch.save(first, "round-0"), [], [ended], ended, 0
+    if answers is None:
+        big = scratch.save(flow.groupBy("fn").agg(F.count("*").alias("n")).where(F.col("n") > LOCAL).select("fn"), "big")
+        small = lambda df: shuffled(df.join(big, "fn", "left_anti"))
+        parts, found = _in_rows(small(state), small(flow), small(ended), scratch)
+        ends += found
+        state, flow, known = (shuffled(df.join(big, "fn", "left_semi")) for df in (state, flow, ended))
+    if answers is not None or not big.isEmpty():
+        tables, found, turn = _by_rounds(state, flow, known, answers, scratch)
+        parts, ends = parts + tables, ends + found
+    cells = graph.rows_of(p.select("fn", "loc", "role", "slot", "ctx", "lo", "hi", "sends") for p in parts)
+    if kept is not None:
+        cells = kept.cells.unionByName(cells.join(kept.cells, ["fn", "loc", "role", "slot", "ctx"], "left_anti"))
+    return Values(cells, graph.rows_of(iter(ends)), turn)
+
+
+def _by_rounds(state: DataFrame, flow: DataFrame, ended: DataFrame, answers: DataFrame | None, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """Rows of values and of newly ended loops of programs of any size, a table for each round, and the number of rounds."""
+    parts, ends = [state.where("tag = 'value'")], []
     for turn in itertools.count(1):
-        state = scratch.save(_round(state, flow, graph.rows_of(iter(ends)), answers), f"round-{turn}")
+        state = scratch.save(_round(state, flow, graph.rows_of(iter([ended, *ends])), answers), f"round-{turn}")
         if not _moves(state):
-            break
+            return parts, ends, turn
         parts.append(state.where("tag = 'value'"))
         ends.append(state.where("tag = 'ended'").select("fn", F.col("loc").alias("head"), "ctx", F.col("n").alias("at")))
         if len(parts) > 16:  # keep the plans short
             parts = [scratch.save(graph.rows_of(iter(parts)), f"values-{turn}")]
             ends = [scratch.save(graph.rows_of(iter(ends)), f"ended-{turn}")]
-    cells = graph.rows_of(iter(parts)).select("fn", "loc", "role", "slot", "ctx", "lo", "hi", "sends")
-    if kept is not None:
-        cells = kept.cells.unionByName(cells.join(kept.cells, ["fn", "loc", "role", "slot", "ctx"], "left_anti"))
-    return Values(cells, graph.rows_of(iter(ends)), turn)
 
 
 def _ended_schema(g: CellGraph) -> str:
@@ -301,16 +342,21 @@ def _round(state: DataFrame, flow: DataFrame, ended: DataFrame, answers: DataFra
         F.collect_list(F.when(is_in & F.col("left").isNull() & (F.col("role") != "at"), F.struct("slot", "lo", "hi"))).alias("cells"),  # a cell has as many as edges lead to it
     )
 
-    lo, hi, ctx, head, loop = F.col("lo"), F.col("hi"), F.col("ctx"), F.col("head"), F.col("loop")
-    lacks = (F.coalesce(F.col("missing"), F.col("want")) - F.col("new")).cast("int")
-    at_gate, widens, joins = F.col("left").isNotNull(), F.col("role") == "prewiden", F.col("role") == "pre"
-    full = ~at_gate & (F.col("new") > 0) & ((F.col("role") == "at") | (lacks == 0))
+    return met.select("fn", "loc", F.inline(_outcome(F.col))).select(_ROW)
+
+
+def _outcome(of: Callable[[str], Column]) -> Column:
+    """What becomes of the inputs that have met at one cell or barrier, ``of`` their columns: the rows of the next round, without program and location."""
+    lo, hi, ctx, head, loop = (of(c) for c in ("lo", "hi", "ctx", "head", "loop"))
+    lacks = (F.coalesce(of("missing"), of("want")) - of("new")).cast("int")
+    at_gate, widens, joins = of("left").isNotNull(), of("role") == "prewiden", of("role") == "pre"
+    full = ~at_gate & (of("new") > 0) & ((of("role") == "at") | (lacks == 0))
     low, high = _widened(loop["lo"], loop["hi"], lo, hi)
-    k, around = F.try_element_at("ctx", F.lit(-1)), outer
+    k, around = F.try_element_at(ctx, F.lit(-1)), F.slice(ctx, F.lit(1), F.size(ctx) - 1)
     same = (low == loop["lo"]) & (high == loop["hi"])
 
     def row(when: Column, tag: str, **columns: Column) -> Column:
-        own = {"tag": F.lit(tag), "role": F.col("role"), "slot": F.lit(-1), "ctx": ctx, "lo": lo, "hi": hi, "sends": F.lit(False), "n": F.lit(None), "head": head, "left": F.lit(None)} | columns
+        own = {"tag": F.lit(tag), "role": of("role"), "slot": F.lit(-1), "ctx": ctx, "lo": lo, "hi": hi, "sends": F.lit(False), "n": F.lit(None), "head": head, "left": F.lit(None)} | columns
         kinds = {"slot": "int", "ctx": _INTS, "lo": "double", "hi": "double", "n": "int", "left": _LOCS}
         return F.when(when, F.struct(*(c.cast(kinds[n]).alias(n) if n in kinds else c.alias(n) for n, c in own.items())))
 
@@ -326,14 +372,114 @@ def _round(state: DataFrame, flow: DataFrame, ended: DataFrame, answers: DataFra
         row(full & widens & ~same, "loop", role=F.lit("iter"), ctx=again, lo=low, hi=high),
         row(~full & widens & ~at_gate & loop.isNotNull(), "loop", role=F.lit("iter"), lo=loop["lo"], hi=loop["hi"]),
         row(~at_gate & (joins | widens) & (lacks > 0), "waits", n=lacks),
-        row(at_gate, "held", slot=F.col("gate"), n=F.col("want"), left=F.col("left")),
-        row(at_gate & F.col("opened"), "opened"),
+        row(at_gate, "held", slot=of("gate"), n=of("want"), left=of("left")),
+        row(at_gate & of("opened"), "opened"),
     ]
-    filled = F.transform("cells", lambda c: F.struct(
-        F.lit("value").alias("tag"), F.col("role").alias("role"), c["slot"].alias("slot"), ctx.alias("ctx"), c["lo"].alias("lo"), c["hi"].alias("hi"), F.lit(False).alias("sends"), F.lit(None).cast("int").alias("n"), head.alias("head"), none.alias("left"),
+    filled = F.transform(of("cells"), lambda c: F.struct(
+        F.lit("value").alias("tag"), of("role").alias("role"), c["slot"].alias("slot"), ctx.alias("ctx"), c["lo"].alias("lo"), c["hi"].alias("hi"), F.lit(False).alias("sends"), F.lit(None).cast("int").alias("n"), head.alias("head"), none.alias("left"),
     ))
-    rows = F.concat(F.filter(F.array(*out), lambda r: r.isNotNull()), filled)
-    return met.select("fn", "loc", F.inline(rows)).select(_ROW)
+    return F.concat(F.filter(F.array(*out), lambda r: r.isNotNull()), filled)
+
+
+# --- values of small programs, within a row ----------------------------------------
+
+#: Edges up to which a program's values are computed within a row of its own, and the rounds of one pass over such rows.
+LOCAL, ROUNDS = 64, 32
+
+_FIELDS = _ROW[:1] + _ROW[2:]
+_STATES = f"array<struct<tag:string,loc:bigint,role:string,slot:int,ctx:{_INTS},lo:double,hi:double,sends:boolean,n:int,head:boolean,left:{_LOCS}>>"
+_KEY = ["loc", "role", "ctx", "left", "gate"]
+_INPUT = ["key", "slot", "lo", "hi", "want", "head", "opened", "what", "missing"]
+_ENDS = f"array<struct<head:bigint,ctx:{_INTS},at:int>>"
+_KEPT = ["state", "ends", "values", "live"]
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _named(names: list[str], *columns: Column) -> Column:
+    """A struct; casts would go through all its arrays in every round."""
+    return F.struct(*(c.alias(n) for c, n in zip(columns, names, strict=True)))
+
+
+def _row_round(state: Column, flow: Column, ended: Column) -> Column:
+    """``_round`` for one program, whose ``state``, edges and ended loops are arrays of a row: no join, no shuffle."""
+    null, number = F.lit(None), F.lit(None).cast("int")
+
+    def sent(s: Column, f: Column) -> Column:
+        lo, hi = transfer(f["op"], f["a"], f["b"], s["lo"], s["hi"])
+        role = F.when(f["is_back"], "prewiden").when(f["is_join"], "pre").otherwise("at")
+        return _named(_FIELDS, F.lit("sent"), f["dst"], role, f["i"], s["ctx"], lo, hi, null.cast("boolean"), f["n"], f["dst_head"], f["left"])
+
+    def gated(s: Column) -> Column:
+        leaves, head, ctx = F.size(s["left"]) > 0, F.try_element_at(s["left"], F.lit(-1)), s["ctx"]
+        outer = F.slice(ctx, F.lit(1), F.size(ctx) - 1)
+        at = F.when(leaves, F.get(F.transform(F.filter(ended, lambda e: (e["head"] == head) & (e["ctx"] == outer)), lambda e: e["at"]), F.lit(0)))
+
+        def through(at: Column) -> Column:
+            opens = leaves & F.coalesce(F.try_element_at(ctx, F.lit(-1)) == at, F.lit(False))
+            left = F.when(opens, F.slice(s["left"], F.lit(1), F.size(s["left"]) - 1)).otherwise(s["left"])
+            barred = F.size(left) > 0
+            key = _named(_KEY, s["loc"], s["role"], F.when(opens, outer).otherwise(ctx), F.when(barred, left), F.when(barred, s["slot"]))
+            return F.when(~leaves | at.isNull() | opens, _named(_INPUT, key, s["slot"], s["lo"], s["hi"], s["n"], s["head"], opens, F.lit("in"), number))
+
+        return _let(at, through)
+
+    def stored(s: Column) -> Column:
+        key = _named(_KEY, s["loc"], F.when(s["tag"] == "loop", "prewiden").otherwise(s["role"]), s["ctx"], null.cast(_LOCS), number)
+        return _named(_INPUT, key, number, s["lo"], s["hi"], number, s["head"], F.lit(False), s["tag"], F.when(s["tag"] == "waits", s["n"]))
+
+    def met(k: Column, own: Column) -> Column:
+        new = F.filter(own, lambda r: r["what"] == "in")
+        given = F.filter(own, lambda r: r["what"] != "loop")
+        each = lambda rows, c: F.transform(rows, lambda r: r[c])
+        fills = F.filter(new, lambda r: k["left"].isNull() & (k["role"] != "at"))
+        return F.struct(
+            *(k[c].alias(c) for c in ("loc", "role", "ctx", "left", "gate")), F.array_min(each(given, "lo")).alias("lo"), F.array_max(each(given, "hi")).alias("hi"), F.size(new).alias("new"),
+            F.array_min(each(own, "missing")).alias("missing"), F.array_max(each(own, "want")).alias("want"), F.array_max(each(own, "head")).alias("head"), F.array_max(each(own, "opened")).alias("opened"),
+            F.array_max(F.transform(F.filter(own, lambda r: r["what"] == "loop"), lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi")))).alias("loop"),
+            F.transform(fills, lambda r: F.struct(r["slot"].alias("slot"), r["lo"].alias("lo"), r["hi"].alias("hi"))).alias("cells"),
+        )
+
+    def following(m: Column) -> Column:
+        return F.transform(_outcome(lambda c: m[c]), lambda r: _named(_FIELDS, *(m[c] if c == "loc" else r[c] for c in _FIELDS)))
+
+    sending = F.filter(state, lambda s: (s["tag"] == "value") & s["sends"])
+    moved = F.flatten(F.transform(sending, lambda s: F.transform(F.filter(flow, lambda f: (f["loc"] == s["loc"]) & (f["role"] == s["role"])), lambda f: sent(s, f))))
+    waiting = F.filter(state, lambda s: s["tag"].isin("sent", "held"))
+    inputs = F.filter(F.transform(F.concat(moved, waiting), gated), lambda r: r.isNotNull())
+    other = F.transform(F.filter(state, lambda s: s["tag"].isin("waits", "loop")), stored)
+    by_key = lambda rows: F.transform(F.array_distinct(F.transform(rows, lambda r: r["key"])), lambda k: _let(F.filter(rows, lambda r: r["key"] == k), lambda own: met(k, own)))
+    return F.flatten(F.transform(_let(F.concat(inputs, other), by_key), following))
+
+
+def _in_rows(first: DataFrame, flow: DataFrame, ended: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Rows of values and of newly ended loops of programs that fit a row: a pass runs ``ROUNDS`` rounds, those that still move have another."""
+    listed = lambda df, name, columns: shuffled(df.select("fn", F.struct(*columns).alias("row")).repartition("fn").groupBy("fn").agg(F.collect_list("row").alias(name)))
+    edges = listed(flow, "flow", [c for c in flow.columns if c != "fn"])
+    rows = listed(first, "state", _FIELDS).join(listed(ended, "ended", ["head", "ctx", "at"]), "fn", "left").withColumn("values", F.filter("state", lambda r: r["tag"] == "value"))
+    none = F.array().cast(edges.schema["flow"].dataType)
+    values, ends = [], []
+    for turn in itertools.count(1):
+        rows = rows.join(edges, "fn", "left").select("fn", "state", F.coalesce("ended", F.array().cast(_ENDS)).cast(_ENDS).alias("ended"), "values", F.coalesce("flow", none).alias("flow"))
+        start = _named(_KEPT, F.col("state").cast(_STATES), F.array().cast(_ENDS), F.col("values").cast(_STATES), F.lit(True))
+
+        def play(acc: Column, _: Column) -> Column:
+            def added(new: Column) -> Column:
+                ends = F.transform(F.filter(new, lambda r: r["tag"] == "ended"), lambda r: _named(["head", "ctx", "at"], r["loc"], r["ctx"], r["n"]))
+                return _named(_KEPT, new, F.concat(acc["ends"], ends), F.concat(acc["values"], F.filter(new, lambda r: r["tag"] == "value")), F.exists(new, lambda r: r["tag"].isin("value", "ended", "opened")))
+
+            return F.when(acc["live"], _let(_row_round(acc["state"], F.col("flow"), F.concat("ended", acc["ends"])), added)).otherwise(acc)
+
+        held = scratch.save(rows.select("fn", "ended", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, play).alias("v")), f"pass-{turn}")
+        values.append(held.select("fn", F.inline("v.values")))
+        ends.append(held.select("fn", F.inline("v.ends")))
+        rest = held.where("v.live")
+        if rest.isEmpty():
+            return values, ends
+        rows = rest.select("fn", "v.state", F.concat("ended", "v.ends").alias("ended"), F.array().cast(_STATES).alias("values"))
 
 
 # --- edits ---------------------------------------------------------------------
@@ -347,14 +493,15 @@ def dirtied(g: CellGraph, values: Values, changed: DataFrame) -> Values:
     and the loop's end go.
     """
     scratch = Scratch(g.edges.sparkSession, "dirtied", spread=True)
-    touched = changed.select("fn").distinct()
-    cells = g.cells.where("kind = 'state'").join(touched, "fn", "left_semi")
+    touched = scratch.save(changed.select("fn").distinct(), "touched")
+    g = CellGraph(*(shuffled(df.join(touched, "fn", "left_semi")) for df in (g.edges, g.locs, g.entries)))
+    cells = g.cells.where("kind = 'state'")
     own = values.cells.join(touched, "fn", "left_semi")
     first = F.when(F.col("role") == "iter", F.least(F.try_element_at("ctx", F.lit(-1)), F.lit(1))).otherwise(F.col("slot"))
     filled = own.select("fn", "loc", "role", first.cast("int").alias("slot")).distinct()
     cells = scratch.save(cells.join(filled, ["fn", "loc", "role", "slot"], "left_semi"), "filled")
     node = lambda c: F.struct(F.col("fn"), F.col(c).alias("cell"))
-    comps = g.comps.join(touched, "fn", "left_semi").join(cells.select("fn", F.col("cell").alias("dst")), ["fn", "dst"], "left_semi").select(node("src").alias("src"), node("dst").alias("dst"))
+    comps = g.comps.join(cells.select("fn", F.col("cell").alias("dst")), ["fn", "dst"], "left_semi").select(node("src").alias("src"), node("dst").alias("dst"))
     stmts = g.edges.join(changed.select("fn", "src", "dst").distinct(), ["fn", "src", "dst"], "left_semi").select("fn", _stmt().alias("cell"))
     reached = graph.reach(comps, stmts.select(F.lit(0).alias("origin"), node("cell").alias("node"))).select("node.fn", "node.cell")
     dirty = scratch.save(cells.join(reached, ["fn", "cell"], "left_semi").select("fn", "loc", "role", "slot"), "dirty")

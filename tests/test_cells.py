@@ -213,6 +213,34 @@ def test_values_equal_structured_iteration(programs, built):
     assert shown(cells.evaluate(built), built) == wanted(programs)
 
 
+def test_rows_passes_and_rounds_make_the_same_cells(programs, built, monkeypatch):
+    """Small programs are computed within a row each, in one pass or in several; larger ones round by round."""
+    every = lambda v: (sorted(map(str, v.cells.collect())), sorted(map(str, v.ended.collect())))
+    few = sorted(programs)[:12]
+    g = cells.CellGraph(*(df.where(F.col("fn").isin(few)) for df in (built.edges, built.locs, built.entries)))
+    by_rounds = cells._by_rounds
+    monkeypatch.setattr(cells, "_by_rounds", None)
+    once = every(cells.evaluate(g))
+    monkeypatch.setattr(cells, "ROUNDS", 4)
+    assert every(cells.evaluate(g)) == once
+    monkeypatch.setattr(cells, "_by_rounds", by_rounds)
+    monkeypatch.setattr(cells, "LOCAL", 6)
+    assert every(cells.evaluate(g)) == once
+
+
+def test_programs_of_one_shape_are_placed_once(spark, programs, monkeypatch):
+    """Twins have values of their own, but loops, joins and ordinals are found once; a program of many edges is a shape of its own."""
+    some = {f: programs[f] for f in ("p1", "p2", "self")}
+    twins = some | {f"{f}'": ({e: (op, a + 1, b + 1) for e, (op, a, b) in edges.items()}, (0.0, 7.0)) for f, (edges, _) in some.items()}
+    seen, reachable = [], cells.dominators.reachable
+    monkeypatch.setattr(cells.dominators, "reachable", lambda edges, entries: seen.append(entries.select("fn").distinct().count()) or reachable(edges, entries))
+    rows = lambda g: (sorted(map(str, g.edges.select(sorted(g.edges.columns)).collect())), sorted(map(str, g.locs.collect())))
+    made = rows(cells.build(*frames(spark, twins)))
+    assert seen == [3]
+    monkeypatch.setattr(cells, "SHAPED", 3)
+    assert rows(cells.build(*frames(spark, twins))) == made and seen[1] > 3
+
+
 def test_demand_computes_only_its_cone(spark, programs, built):
     asked = spark.createDataFrame([(f, max(1, max(n for e in edges for n in e) // 3)) for f, (edges, _) in programs.items()], "fn string, loc long").join(built.locs.select("fn", "loc"), ["fn", "loc"], "left_semi")
     part, whole = cells.evaluate(built, wanted=asked), wanted(programs)
